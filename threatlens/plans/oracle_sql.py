@@ -22,8 +22,11 @@ def in_list(vals) -> str:
     return "(" + ", ".join(q(v) for v in vals) + ")"
 
 
-def with_fixtures(names, body: str) -> str:
+def with_fixtures(names, body: str, extra: str | None = None) -> str:
+    """``WITH <fixtures>[, <extra CTEs>] <body>``."""
     parts = [f"{n} AS ({fixture_sql_for(n, 'duckdb')})" for n in names]
+    if extra:
+        parts.append(extra)
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
@@ -133,3 +136,136 @@ def rule_verdict_sql(feat_sql: str) -> str:
 SELECT v.*, CASE WHEN rule_score >= 4 THEN 'PHISHING' ELSE 'SAFE' END AS result,
   (CASE WHEN rule_score >= 4 THEN least(50 + rule_score * 5, 95) ELSE least(60 + (10 - rule_score) * 3, 95) END)::BIGINT AS confidence
 FROM (SELECT f.*, {rule_score_sql()}::BIGINT AS rule_score FROM ({feat_sql}) f) v"""
+
+
+WS = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def host_sql(url: str) -> str:
+    """U3(a) of a URL expression."""
+    clean = rf"regexp_replace(regexp_replace({url}, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g')"
+    return f"split_part(lower(regexp_extract({clean}, {q(SPLIT)}, 2)), ':', 1)"
+
+
+def normalize_sql(url: str) -> str:
+    """U2 of a URL expression (scalar form)."""
+    s = strip_sql(url)
+    pref = f"(CASE WHEN starts_with({s}, 'http://') OR starts_with({s}, 'https://') THEN {s} ELSE 'https://' || {s} END)"
+    clean = rf"regexp_replace(regexp_replace({pref}, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g')"
+    g = lambda i: f"regexp_extract({clean}, {q(SPLIT)}, {i})"
+    scheme = f"lower({g(1)})"
+    raw_path = g(3)
+    has_params = f"({scheme} IN {in_list(lists.USES_PARAMS)} AND contains({raw_path}, ';'))"
+    path = (f"(CASE WHEN {has_params} AND regexp_extract({raw_path}, ';([^/]*)$', 1) <> '' "
+            f"THEN regexp_replace({raw_path}, ';[^/]*$', '') || ';' || regexp_extract({raw_path}, ';([^/]*)$', 1) "
+            f"WHEN {has_params} THEN regexp_replace({raw_path}, ';[^/]*$', '') ELSE {raw_path} END)")
+    q2 = f"regexp_replace(regexp_replace({g(4)}, {q(lists.TRACKING_PARAM_PATTERN)}, '', 'g'), '^&+|&+$', '', 'g')"
+    return (f"({scheme} || '://' || {g(2)} || {path} || CASE WHEN {q2} <> '' THEN '?' || {q2} ELSE '' END"
+            f" || CASE WHEN {g(5)} <> '' THEN '#' || {g(5)} ELSE '' END)")
+
+
+def feed_parsed_sql() -> str:
+    """S6-S8 over the feed_lines CTE: (source, kind, value)."""
+    skip = in_list(["url_per_line_skip_hash", "domain_per_line_skip_hash", "hosts_file"])
+    urlf = in_list(["url_per_line", "url_per_line_skip_hash"])
+    domf = in_list(["domain_per_line", "domain_per_line_skip_hash"])
+    tok = f"string_split_regex(s, '{WS}+')"
+    hname = strip_sql(f"lower({tok}[2])")
+    dl0 = strip_sql("lower(s)")
+    return f"""
+SELECT source, kind, value FROM (
+  SELECT source, 'domain' AS kind, {hname} AS value FROM fl
+   WHERE format = 'hosts_file' AND len({tok}) >= 2 AND {tok}[1] IN ('0.0.0.0', '127.0.0.1') AND contains({hname}, '.')
+  UNION ALL
+  SELECT source, 'domain' AS kind, dl AS value FROM (
+    SELECT source, format, CASE WHEN starts_with({dl0}, '*.') THEN substr({dl0}, 3) ELSE {dl0} END AS dl FROM fl) d
+   WHERE format IN {domf} AND contains(dl, '.') AND NOT starts_with(dl, 'http')
+  UNION ALL
+  SELECT source, 'url' AS kind, s AS value FROM fl WHERE format IN {urlf} AND starts_with(s, 'http')
+  UNION ALL
+  SELECT source, 'domain' AS kind, {host_sql('s')} AS value FROM fl WHERE format IN {urlf} AND starts_with(s, 'http')
+) x WHERE value <> ''"""
+
+
+def feed_lines_ctes() -> str:
+    skip = in_list(["url_per_line_skip_hash", "domain_per_line_skip_hash", "hosts_file"])
+    return f"""fl AS (SELECT * FROM (SELECT source, format, regexp_replace({strip_sql('line')}, '\\.+$', '') AS s FROM feed_lines) a
+              WHERE s <> '' AND NOT (format IN {skip} AND starts_with(s, '#'))),
+parsed AS ({feed_parsed_sql()}),
+feed_urls AS (SELECT DISTINCT value AS url FROM parsed WHERE kind = 'url'),
+feed_domains AS (SELECT DISTINCT value AS domain FROM parsed WHERE kind = 'domain'
+                 AND value NOT IN {in_list(lists.NEVER_PHISHING + ['www.' + d for d in lists.NEVER_PHISHING])})"""
+
+
+def suffixes_sql(h: str, start: int) -> str:
+    """List of suffixes of h from label index ``start`` (1-based) to n-1."""
+    parts = f"string_split({h}, '.')"
+    return (f"(CASE WHEN len({parts}) >= {start + 1} THEN list_transform(range({start}, len({parts})), "
+            f"lambda i: array_to_string(list_slice({parts}, i, len({parts})), '.')) ELSE [] END)")
+
+
+def static_candidates_sql(h: str) -> str:
+    return (f"list_distinct(list_concat([{h}], CASE WHEN starts_with({h}, 'www.') THEN [substr({h}, 5)] ELSE [] END, "
+            f"{suffixes_sql(h, 2)}))")
+
+
+def netloc_sql(url: str) -> str:
+    clean = rf"regexp_replace(regexp_replace({url}, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g')"
+    return f"regexp_extract({clean}, {q(SPLIT)}, 2)"
+
+
+def consensus_sql(reports: str) -> str:
+    lab = strip_sql("lower(label)")
+    return f"""
+SELECT url, pending_safe, pending_phishing, all_safe, all_phishing,
+  CASE WHEN safe_ok THEN 'safe' WHEN phish_ok THEN 'phishing'
+       WHEN pending_safe >= {lists.SAFE_REPORT_THRESHOLD} OR pending_phishing >= {lists.PHISHING_REPORT_THRESHOLD} THEN 'conflict'
+       ELSE 'pending' END AS decision,
+  CASE WHEN safe_ok THEN pending_safe WHEN phish_ok THEN pending_phishing END AS report_count
+FROM (SELECT *, (pending_safe >= {lists.SAFE_REPORT_THRESHOLD} AND all_phishing < {lists.PHISHING_REPORT_THRESHOLD}) AS safe_ok,
+             (pending_phishing >= {lists.PHISHING_REPORT_THRESHOLD} AND all_safe < {lists.SAFE_REPORT_THRESHOLD}) AS phish_ok
+      FROM (SELECT url,
+              count(*) FILTER (WHERE used_in_verify = 0 AND {lab} = 'safe')::BIGINT AS pending_safe,
+              count(*) FILTER (WHERE used_in_verify = 0 AND {lab} = 'phishing')::BIGINT AS pending_phishing,
+              count(*) FILTER (WHERE label = 'safe')::BIGINT AS all_safe,
+              count(*) FILTER (WHERE label = 'phishing')::BIGINT AS all_phishing
+            FROM ({reports}) r GROUP BY url) g) h"""
+
+
+def verified_ctes() -> str:
+    """cons, prior_verified, new_verified, verified (after upsert)."""
+    return f"""cons AS ({consensus_sql('SELECT * FROM reports')}),
+prior_verified AS (SELECT url, decision AS label, report_count::INT AS report_count,
+                          TIMESTAMP '2024-01-01 00:00:00' AS verified_at, 1 AS used_in_train
+                   FROM ({consensus_sql('SELECT * FROM reports WHERE id < 150')}) c WHERE decision IN ('safe', 'phishing')),
+new_verified AS (SELECT url, decision AS label, report_count::INT AS report_count,
+                        TIMESTAMP '2024-02-01 00:00:00' AS verified_at, 0 AS used_in_train
+                 FROM cons WHERE decision IN ('safe', 'phishing')),
+verified AS (SELECT * FROM prior_verified WHERE url NOT IN (SELECT url FROM new_verified)
+             UNION ALL SELECT * FROM new_verified)"""
+
+
+def allowlist_clean_sql(x: str) -> str:
+    d = f"substr({strip_sql(f'lower({x})')}, 1, {lists.MAX_DOMAIN_LENGTH})"
+    return f"split_part(replace(replace({d}, 'https://', ''), 'http://', ''), '/', 1)"
+
+
+def user_allowlist_cte() -> str:
+    return f"""user_allow AS (SELECT DISTINCT domain FROM (SELECT {allowlist_clean_sql('domain')} AS domain FROM allowlist_requests) a
+                WHERE domain <> '' AND contains(domain, '.'))"""
+
+
+def dynamic_allowlist_cte() -> str:
+    return f"""dyn_allow AS (SELECT DISTINCT domain FROM (
+        SELECT domain FROM user_allow
+        UNION ALL SELECT replace(lower({netloc_sql('url')}), 'www.', '') AS domain FROM cons WHERE decision = 'safe') d
+      WHERE domain <> '')"""
+
+
+def probe_cte() -> str:
+    return f"""probe AS (SELECT url, {host_sql('url')} AS host FROM (
+        SELECT DISTINCT {normalize_sql('url')} AS url FROM (SELECT url FROM url_corpus UNION ALL SELECT url FROM page_html) a) b)"""

@@ -52,3 +52,146 @@ SELECT result, risk_level, count(*)::BIGINT AS n_urls, sum(rule_score)::BIGINT A
 FROM (SELECT *, {o.risk_level_sql("CASE WHEN result = 'PHISHING' THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END", 'result')} AS risk_level
       FROM ({_BULK}) b) r
 GROUP BY result, risk_level""")
+
+
+# ---- feeds -------------------------------------------------------------------------
+_FEED = o.feed_lines_ctes()
+ORACLES["feed_entries"] = o.with_fixtures(["feed_lines"], "SELECT source, kind, value FROM parsed", _FEED)
+ORACLES["feed_urls"] = o.with_fixtures(["feed_lines"], "SELECT url FROM feed_urls", _FEED)
+ORACLES["feed_domains"] = o.with_fixtures(["feed_lines"], "SELECT domain FROM feed_domains", _FEED)
+ORACLES["feed_stats"] = o.with_fixtures(["feed_lines"], """
+SELECT c.source, coalesce(CASE WHEN c.format IN ('url_per_line', 'url_per_line_skip_hash') THEN s.u ELSE s.d END, 0)::BIGINT AS count,
+  CASE WHEN (CASE WHEN c.format IN ('url_per_line', 'url_per_line_skip_hash') THEN s.u ELSE s.d END) IS NULL THEN 'HTTP ERR' ELSE 'OK' END AS status
+FROM (SELECT DISTINCT source, format FROM feed_lines UNION ALL SELECT 'offline_source', 'url_per_line') c
+LEFT JOIN (SELECT source, count(*) FILTER (WHERE kind = 'url') AS u, count(*) FILTER (WHERE kind = 'domain') AS d
+           FROM parsed GROUP BY source) s ON s.source = c.source""", _FEED)
+ORACLES["feed_totals"] = o.with_fixtures(["feed_lines"], """
+SELECT u.n AS total_urls, d.n AS total_domains, (u.n + d.n)::BIGINT AS total_entries
+FROM (SELECT count(*)::BIGINT AS n FROM feed_urls) u, (SELECT count(*)::BIGINT AS n FROM feed_domains) d""", _FEED)
+
+# ---- J1-J5 -------------------------------------------------------------------------
+_ALLOW = lists.DEFAULT_ALLOWLIST + ["example.net"]
+ORACLES["allowlist_static_match"] = o.with_fixtures(["url_corpus", "page_html"], f"""
+SELECT h.host, EXISTS (SELECT 1 FROM (SELECT unnest({o.static_candidates_sql('h.host')}) AS c) x
+                       WHERE x.c IN {o.in_list(_ALLOW)}) AS allowlisted
+FROM (SELECT DISTINCT host FROM probe) h""", o.probe_cte())
+
+_CONS_FIX = ["reports", "allowlist_requests"]
+ORACLES["allowlist_dynamic_match"] = o.with_fixtures(["url_corpus", "page_html"] + _CONS_FIX, """
+SELECT h.host, replace(lower(h.host), 'www.', '') IN (SELECT domain FROM dyn_allow) AS allowlisted
+FROM (SELECT DISTINCT host FROM probe) h""",
+    ",\n".join([o.probe_cte(), f"cons AS ({o.consensus_sql('SELECT * FROM reports')})",
+                o.user_allowlist_cte(), o.dynamic_allowlist_cte()]))
+
+_GUARD = o.in_list(lists.NEVER_PHISHING)
+ORACLES["blocklist_match"] = o.with_fixtures(["url_corpus", "page_html", "feed_lines"], f"""
+SELECT url, host, feed_host, in_feed_url, in_feed_domain, (in_feed_url OR in_feed_domain) AS blocked FROM (
+  SELECT p.url, p.host, p.feed_host,
+    (p.url IN (SELECT url FROM feed_urls) OR regexp_replace(p.url, '/+$', '') IN (SELECT url FROM feed_urls)) AS in_feed_url,
+    (replace(p.feed_host, 'www.', '') NOT IN {_GUARD} AND EXISTS (
+       SELECT 1 FROM (SELECT unnest({o.suffixes_sql('p.feed_host', 1)}) AS c) x WHERE x.c IN (SELECT domain FROM feed_domains))) AS in_feed_domain
+  FROM (SELECT url, host, regexp_replace(host, '\\.+$', '') AS feed_host FROM probe) p) z""",
+    ",\n".join([o.probe_cte(), _FEED]))
+
+ORACLES["dynamic_allowlist"] = o.with_fixtures(_CONS_FIX, "SELECT domain FROM dyn_allow", ",\n".join([
+    f"cons AS ({o.consensus_sql('SELECT * FROM reports')})", o.user_allowlist_cte(), o.dynamic_allowlist_cte()]))
+ORACLES["allowlist_additions"] = o.with_fixtures(["allowlist_requests"], "SELECT domain FROM user_allow",
+                                                 o.user_allowlist_cte())
+
+# ---- consensus ---------------------------------------------------------------------
+ORACLES["report_consensus"] = o.with_fixtures(["reports"], f"""
+SELECT url, pending_safe, pending_phishing, all_safe, all_phishing, decision, report_count::BIGINT AS report_count
+FROM ({o.consensus_sql('SELECT * FROM reports')}) c""")
+ORACLES["reports_after_verify"] = o.with_fixtures(["reports"], f"""
+SELECT r.id, r.url, r.label, (CASE WHEN c.url IS NOT NULL THEN 1 ELSE r.used_in_verify END)::BIGINT AS used_in_verify
+FROM reports r LEFT JOIN (SELECT url, decision FROM cons WHERE decision IN ('safe', 'phishing')) c
+  ON r.url = c.url AND r.label = c.decision""", f"cons AS ({o.consensus_sql('SELECT * FROM reports')})")
+_VER = o.verified_ctes()
+ORACLES["verified_urls_upsert"] = o.with_fixtures(["reports"], """
+SELECT url, label, report_count::BIGINT AS report_count, used_in_train::BIGINT AS used_in_train,
+  strftime(verified_at, '%Y-%m-%d %H:%M:%S') AS verified_at FROM verified""", _VER)
+ORACLES["pending_training_rows"] = o.with_fixtures(["reports"], "SELECT url, label FROM verified WHERE used_in_train = 0", _VER)
+ORACLES["mark_trained"] = o.with_fixtures(["reports"], """
+SELECT url, label, (CASE WHEN used_in_train = 0 AND label = 'phishing' THEN 1 ELSE used_in_train END)::BIGINT AS used_in_train
+FROM verified""", _VER)
+ORACLES["verified_safe_domains"] = o.with_fixtures(["reports"], f"""
+SELECT DISTINCT domain FROM (SELECT replace(lower({o.netloc_sql('url')}), 'www.', '') AS domain FROM verified
+  WHERE label = 'safe' AND used_in_train = 1) d WHERE domain <> ''""", _VER)
+ORACLES["retrain_trigger"] = o.with_fixtures(["reports"], f"""
+SELECT n AS pending, greatest(0, {lists.MIN_NEW_REPORTS_TO_RETRAIN} - n)::BIGINT AS remaining, (n >= {lists.MIN_NEW_REPORTS_TO_RETRAIN}) AS trigger
+FROM (SELECT count(*)::BIGINT AS n FROM verified WHERE used_in_train = 0) x""", _VER)
+ORACLES["retrain_status"] = o.with_fixtures(["reports", "retrain_log"], f"""
+SELECT r.*, v.*, strftime(l.triggered_at, '%Y-%m-%d %H:%M:%S') AS last_triggered_at, l.accuracy AS last_accuracy,
+  l.status AS last_status, {lists.SAFE_REPORT_THRESHOLD}::BIGINT AS safe_reports_needed,
+  {lists.PHISHING_REPORT_THRESHOLD}::BIGINT AS phishing_reports_needed,
+  {lists.MIN_NEW_REPORTS_TO_RETRAIN}::BIGINT AS min_to_trigger_retrain, {lists.MIN_ACCURACY_TO_REPLACE}::DOUBLE AS min_accuracy_to_replace
+FROM (SELECT count(DISTINCT url) FILTER (WHERE label = 'safe' AND uv = 0)::BIGINT AS pending_safe_reports,
+             count(DISTINCT url) FILTER (WHERE label = 'phishing' AND uv = 0)::BIGINT AS pending_phishing_reports
+      FROM (SELECT r.url, r.label, CASE WHEN c.url IS NOT NULL THEN 1 ELSE r.used_in_verify END AS uv
+            FROM reports r LEFT JOIN (SELECT url, decision FROM cons WHERE decision IN ('safe', 'phishing')) c
+              ON r.url = c.url AND r.label = c.decision) rr) r,
+     (SELECT count(*) FILTER (WHERE label = 'safe')::BIGINT AS verified_safe_urls,
+             count(*) FILTER (WHERE label = 'phishing')::BIGINT AS verified_phishing_urls FROM verified) v,
+     (SELECT triggered_at, accuracy, status FROM retrain_log ORDER BY id DESC LIMIT 1) l""", _VER)
+ORACLES["retrain_log_latest"] = o.with_fixtures(["retrain_log"], """
+SELECT run_id, id, strftime(triggered_at, '%Y-%m-%d %H:%M:%S') AS triggered_at, new_safe::BIGINT AS new_safe,
+  new_phishing::BIGINT AS new_phishing, accuracy, status
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY id DESC) AS rn FROM retrain_log) x WHERE rn = 1""")
+ORACLES["report_tally"] = o.with_fixtures(["reports"], f"""
+SELECT url, label, cnt, needed, greatest(0, needed - cnt)::BIGINT AS remaining, (cnt >= needed) AS verified,
+  (processed = 1) AS processed, last_report
+FROM (SELECT url, label, count(*)::BIGINT AS cnt, max(timestamp) AS last_report, min(used_in_verify) AS processed,
+        (CASE WHEN label = 'safe' THEN {lists.SAFE_REPORT_THRESHOLD} ELSE {lists.PHISHING_REPORT_THRESHOLD} END)::BIGINT AS needed
+      FROM reports GROUP BY url, label) g
+ORDER BY cnt DESC, last_report DESC, url, label LIMIT 100""")
+
+# ---- reporting -----------------------------------------------------------------------
+_NOT_LOCAL = "url NOT ILIKE 'http://localhost%'"
+_NOT_BROWSER = "url NOT ILIKE 'chrome://%' AND url NOT ILIKE 'about:%'"
+ORACLES["scan_totals"] = o.with_fixtures(["scans"], """
+SELECT total, phishing, suspicious, (total - phishing - suspicious)::BIGINT AS safe,
+  CASE WHEN total > 0 THEN round(phishing / total * 100, 1) ELSE 0.0 END AS phishing_rate
+FROM (SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE result = 'PHISHING')::BIGINT AS phishing,
+             count(*) FILTER (WHERE result = 'SUSPICIOUS')::BIGINT AS suspicious FROM scans) t""")
+ORACLES["dashboard_kpis"] = o.with_fixtures(["scans"], f"""
+SELECT count(*)::BIGINT AS total, coalesce(sum(CASE WHEN result = 'PHISHING' THEN 1 ELSE 0 END), 0)::BIGINT AS phishing,
+  coalesce(sum(CASE WHEN result = 'SAFE' THEN 1 ELSE 0 END), 0)::BIGINT AS safe,
+  coalesce(sum(CASE WHEN result = 'SUSPICIOUS' THEN 1 ELSE 0 END), 0)::BIGINT AS suspicious
+FROM scans WHERE {_NOT_LOCAL} AND {_NOT_BROWSER}""")
+ORACLES["daily_activity"] = o.with_fixtures(["scans"], f"""
+SELECT CAST(timestamp AS DATE) AS day, count(*)::BIGINT AS scans,
+  sum(CASE WHEN result = 'PHISHING' THEN 1 ELSE 0 END)::BIGINT AS phishing
+FROM scans WHERE {_NOT_LOCAL} AND url NOT ILIKE 'chrome://%'
+GROUP BY CAST(timestamp AS DATE) ORDER BY day DESC LIMIT 7""")
+_SC = "id, url, result, ml_result, lstm_result, vt_result, confidence::BIGINT AS confidence, vt_ratio, timestamp"
+ORACLES["recent_scans"] = o.with_fixtures(["scans"], f"""
+SELECT {_SC} FROM scans WHERE {_NOT_BROWSER} ORDER BY timestamp DESC, id DESC LIMIT 50""")
+ORACLES["scan_history"] = o.with_fixtures(["scans"], f"""
+SELECT {_SC} FROM scans ORDER BY timestamp DESC, id DESC LIMIT 200""")
+ORACLES["top_phishing_domains"] = o.with_fixtures(["scans"], f"""
+SELECT replace(replace(substr(url, instr(url, '://') + 3,
+    CASE WHEN instr(substr(url, instr(url, '://') + 3), '/') > 0 THEN instr(substr(url, instr(url, '://') + 3), '/') - 1
+         ELSE length(url) END), 'www.', ''), 'http://', '') AS domain, count(*)::BIGINT AS cnt
+FROM scans WHERE result = 'PHISHING' AND {_NOT_LOCAL}
+GROUP BY 1 ORDER BY cnt DESC, domain LIMIT 8""")
+_PURGE_RULE = ("CASE WHEN result = 'PHISHING' AND (h IN {a} OR replace(h, 'www.', '') IN {a}) THEN 'allowed_domain' "
+               .format(a=o.in_list(lists.PURGE_ALLOWED_DOMAINS))
+               + " ".join(f"WHEN url ILIKE {o.q(p)} THEN {o.q(p)}" for p in lists.PURGE_INTERNAL_PATTERNS) + " END")
+ORACLES["scans_purged"] = o.with_fixtures(["scans"], f"""
+SELECT id, url, result FROM (SELECT *, {_PURGE_RULE} AS purge_rule FROM (SELECT *, {o.host_sql('url')} AS h FROM scans) s) x
+WHERE purge_rule IS NULL""")
+ORACLES["purge_report"] = o.with_fixtures(["scans"], f"""
+SELECT purge_rule, count(*)::BIGINT AS removed FROM (SELECT *, {_PURGE_RULE} AS purge_rule
+  FROM (SELECT *, {o.host_sql('url')} AS h FROM scans) s) x WHERE purge_rule IS NOT NULL GROUP BY purge_rule""")
+_LAB = o.strip_sql("lower(label)")
+ORACLES["report_validation"] = o.with_fixtures(["report_requests"], f"""
+SELECT id, substr(url, 1, 2048) AS url, {_LAB} AS label, substr(coalesce(note, ''), 1, 500) AS note, 0::BIGINT AS used_in_verify,
+  CASE WHEN url IS NULL OR label IS NULL THEN 'Missing url or label'
+       WHEN {_LAB} NOT IN ('safe', 'phishing') THEN 'Label must be ''safe'' or ''phishing''' END AS error
+FROM report_requests""")
+ORACLES["feedback_reports"] = o.with_fixtures(["report_requests"], f"""
+SELECT id, substr(url, 1, 2048) AS url, {_LAB} AS label,
+  substr('[feedback] was ' || reported_label || ', correct=' || {_LAB} || '. ' || coalesce(note, ''), 1, 500) AS note,
+  CASE WHEN url IS NULL OR label IS NULL OR reported_label IS NULL THEN 'Missing fields'
+       WHEN {_LAB} NOT IN ('safe', 'phishing') THEN 'correct_label must be ''safe'' or ''phishing''' END AS error
+FROM report_requests""")

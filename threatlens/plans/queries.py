@@ -112,3 +112,285 @@ def q_verdict_summary(spark, sf_dir):
         F.sum("rule_score").alias("sum_score"),
         F.min("confidence").alias("min_confidence"),
         F.max("confidence").alias("max_confidence")))
+
+
+# ---- feeds: S6-S10, SET1, SET2, A14 --------------------------------------------------
+
+from ..functions import lists  # noqa: E402
+from ..operators import matching as mt  # noqa: E402
+from ..sources import feeds as fd  # noqa: E402
+
+
+def _feed_catalog(spark, sf_dir):
+    lines = fixture(spark, sf_dir, "feed_lines")
+    offline = spark.createDataFrame([("offline_source", "url_per_line")], "source string, format string")
+    return lines.select("source", "format").distinct().unionByName(offline)
+
+
+def _feed_sets(spark, sf_dir):
+    parsed = fd.parse_feed_lines(fixture(spark, sf_dir, "feed_lines"))
+    return fd.feed_sets(parsed)
+
+
+@register("feed_entries")
+def q_feed_entries(spark, sf_dir):
+    """Every accepted feed entry before de-duplication."""
+    return fd.parse_feed_lines(fixture(spark, sf_dir, "feed_lines"))
+
+
+@register("feed_urls")
+def q_feed_urls(spark, sf_dir):
+    """Distinct feed URLs."""
+    return _feed_sets(spark, sf_dir)[0]
+
+
+@register("feed_domains")
+def q_feed_domains(spark, sf_dir):
+    """S9 + SET1 + SET2: distinct feed domains minus protected brands."""
+    return _feed_sets(spark, sf_dir)[1]
+
+
+@register("feed_stats")
+def q_feed_stats(spark, sf_dir):
+    """Entries per source before de-duplication, with status."""
+    parsed = fd.parse_feed_lines(fixture(spark, sf_dir, "feed_lines"))
+    return fd.feed_stats(parsed, _feed_catalog(spark, sf_dir))
+
+
+@register("feed_totals")
+def q_feed_totals(spark, sf_dir):
+    """URL, domain and total entry counts of the built feed."""
+    u, d = _feed_sets(spark, sf_dir)
+    return fd.feed_totals(u, d)
+
+
+# ---- J1-J5 -------------------------------------------------------------------------
+
+def _probe_urls(spark, sf_dir) -> DataFrame:
+    """Normalised corpus URLs plus plain page URLs, with their hosts."""
+    c = fixture(spark, sf_dir, "url_corpus").select("url")
+    p = fixture(spark, sf_dir, "page_html").select("url")
+    u = c.unionByName(p).select(urls.normalize_url(F.col("url")).alias("url")).distinct()
+    nl = urls.netloc_of(F.col("url"))
+    return u.select("url", urls.host_of_netloc(nl).alias("host"))
+
+
+def static_allowlist_for(spark) -> DataFrame:
+    """Starter allow-list plus one parent domain present in the data."""
+    return mt.list_df(spark, lists.DEFAULT_ALLOWLIST + ["example.net"], "domain")
+
+
+@register("allowlist_static_match")
+def q_allowlist_static(spark, sf_dir):
+    """Hosts allow-listed directly, without 'www.', or by a parent."""
+    hosts = _probe_urls(spark, sf_dir).select("host").distinct()
+    hits = mt.static_allowlist_hits(hosts, static_allowlist_for(spark))
+    return mt.with_flag(hosts, hits, "host", "allowlisted")
+
+
+from ..operators import consensus as cs  # noqa: E402
+from ..operators import maintenance as mn  # noqa: E402
+from ..operators import reporting as rp  # noqa: E402
+from ..sources import sinks as sk  # noqa: E402
+
+AS_OF_TS = "2024-02-01 00:00:00"
+PRIOR_TS = "2024-01-01 00:00:00"
+
+
+def _reports(spark, sf_dir):
+    return fixture(spark, sf_dir, "reports")
+
+
+def _consensus(spark, sf_dir):
+    return cs.report_consensus(_reports(spark, sf_dir))
+
+
+def _prior_verified(spark, sf_dir):
+    """verified_urls before this run: consensus over the first half of the
+    report log, all already used for training."""
+    early = _reports(spark, sf_dir).where(F.col("id") < 150)
+    return (cs.newly_verified(cs.report_consensus(early), PRIOR_TS)
+            .withColumn("used_in_train", F.lit(1)))
+
+
+def _verified_after(spark, sf_dir):
+    new = cs.newly_verified(_consensus(spark, sf_dir), AS_OF_TS)
+    return cs.upsert_verified(_prior_verified(spark, sf_dir), new)
+
+
+def _user_allowlist(spark, sf_dir):
+    return sk.allowlist_additions(fixture(spark, sf_dir, "allowlist_requests"))
+
+
+def _dynamic_allowlist(spark, sf_dir):
+    return cs.dynamic_allowlist(_user_allowlist(spark, sf_dir), _consensus(spark, sf_dir))
+
+
+@register("allowlist_dynamic_match")
+def q_allowlist_dynamic(spark, sf_dir):
+    """J2 + SET3: hosts whose 'www.'-free form is in the dynamic list."""
+    hosts = _probe_urls(spark, sf_dir).select("host").distinct()
+    hits = mt.dynamic_allowlist_hits(hosts, _dynamic_allowlist(spark, sf_dir))
+    return mt.with_flag(hosts, hits, "host", "allowlisted")
+
+
+@register("blocklist_match")
+def q_blocklist_match(spark, sf_dir):
+    """J3 + J4 + J5: exact-URL and parent-domain feed hits per URL."""
+    u = _probe_urls(spark, sf_dir).withColumn("feed_host", urls.feed_host_of_netloc(F.col("host")))
+    fu, fdm = _feed_sets(spark, sf_dir)
+    out = mt.with_flag(u, mt.feed_url_hits(u, fu), "url", "in_feed_url")
+    out = mt.with_flag(out, mt.feed_domain_hits(out, fdm), "feed_host", "in_feed_domain")
+    return out.withColumn("blocked", F.col("in_feed_url") | F.col("in_feed_domain"))
+
+
+@register("dynamic_allowlist")
+def q_dynamic_allowlist(spark, sf_dir):
+    """SET3: user-added + report-verified hosts."""
+    return _dynamic_allowlist(spark, sf_dir)
+
+
+@register("allowlist_additions")
+def q_allowlist_additions(spark, sf_dir):
+    """Cleaned, valid, new allow-list hosts."""
+    return _user_allowlist(spark, sf_dir)
+
+
+@register("report_consensus")
+def q_report_consensus(spark, sf_dir):
+    """A9 + J8: consensus decision per reported URL."""
+    c = _consensus(spark, sf_dir)
+    return bigints(c.select("url", "pending_safe", "pending_phishing", "all_safe", "all_phishing",
+                            "decision", "report_count"))
+
+
+@register("reports_after_verify")
+def q_reports_after_verify(spark, sf_dir):
+    """A9 rewrite: reports with used_in_verify set for verified groups."""
+    r = cs.mark_reports_verified(_reports(spark, sf_dir), _consensus(spark, sf_dir))
+    return bigints(r.select("id", "url", "label", "used_in_verify"))
+
+
+@register("verified_urls_upsert")
+def q_verified_upsert(spark, sf_dir):
+    """Insert-or-replace of verified URLs (replaced rows restart)."""
+    v = _verified_after(spark, sf_dir)
+    return bigints(v.select("url", "label", "report_count", "used_in_train",
+                            F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at")))
+
+
+@register("pending_training_rows")
+def q_pending_training(spark, sf_dir):
+    """Verified URLs awaiting training."""
+    return cs.pending_training_rows(_verified_after(spark, sf_dir))
+
+
+@register("mark_trained")
+def q_mark_trained(spark, sf_dir):
+    """A12 update: phishing verified URLs marked as trained."""
+    v = _verified_after(spark, sf_dir)
+    trained = cs.pending_training_rows(v).where(F.col("label") == "phishing")
+    return bigints(cs.mark_trained(v, trained).select("url", "label", "used_in_train"))
+
+
+@register("verified_safe_domains")
+def q_verified_safe_domains(spark, sf_dir):
+    """Hosts of verified, trained, safe URLs."""
+    return cs.verified_safe_domains(_verified_after(spark, sf_dir))
+
+
+@register("retrain_trigger")
+def q_retrain_trigger(spark, sf_dir):
+    """Pending verified rows vs the retrain threshold."""
+    return bigints(cs.retrain_trigger(_verified_after(spark, sf_dir)))
+
+
+@register("retrain_status")
+def q_retrain_status(spark, sf_dir):
+    """A10: watcher status row."""
+    r = cs.mark_reports_verified(_reports(spark, sf_dir), _consensus(spark, sf_dir))
+    out = cs.retrain_status(r, _verified_after(spark, sf_dir), fixture(spark, sf_dir, "retrain_log"))
+    return bigints(out.withColumn("last_triggered_at", F.date_format("last_triggered_at", "yyyy-MM-dd HH:mm:ss")))
+
+
+@register("retrain_log_latest")
+def q_retrain_log_latest(spark, sf_dir):
+    """Current state of each retrain run from its status events."""
+    out = sk.retrain_log_latest(fixture(spark, sf_dir, "retrain_log"))
+    return bigints(out.withColumn("triggered_at", F.date_format("triggered_at", "yyyy-MM-dd HH:mm:ss")))
+
+
+@register("report_tally")
+def q_report_tally(spark, sf_dir):
+    """Report progress per (url, label), top 100."""
+    return bigints(cs.report_tally(_reports(spark, sf_dir)))
+
+
+# ---- A1-A7, A15, M1-M3 --------------------------------------------------------------
+
+def _scans(spark, sf_dir):
+    return fixture(spark, sf_dir, "scans")
+
+
+@register("scan_totals")
+def q_scan_totals(spark, sf_dir):
+    """A1: scan totals and phishing rate."""
+    return rp.scan_totals(_scans(spark, sf_dir))
+
+
+@register("dashboard_kpis")
+def q_dashboard_kpis(spark, sf_dir):
+    """A2: dashboard counts over non-internal scans."""
+    return bigints(rp.dashboard_kpis(_scans(spark, sf_dir)))
+
+
+@register("daily_activity")
+def q_daily_activity(spark, sf_dir):
+    """A3: scans and phishing per day, latest 7 days."""
+    return bigints(rp.daily_activity(_scans(spark, sf_dir)))
+
+
+@register("recent_scans")
+def q_recent_scans(spark, sf_dir):
+    """A4: newest 50 scans excluding browser pages."""
+    return bigints(rp.recent_scans(_scans(spark, sf_dir)))
+
+
+@register("scan_history")
+def q_history(spark, sf_dir):
+    """A5: newest 200 scans (request capped at 1000)."""
+    return bigints(rp.history(_scans(spark, sf_dir), 200))
+
+
+@register("top_phishing_domains")
+def q_top_domains(spark, sf_dir):
+    """Top 8 hosts of PHISHING scans."""
+    return bigints(rp.top_phishing_domains(_scans(spark, sf_dir)))
+
+
+@register("scans_purged")
+def q_scans_purged(spark, sf_dir):
+    """M1 + M2: scan log after the false-positive and internal purges."""
+    return bigints(mn.purge(_scans(spark, sf_dir)).select("id", "url", "result"))
+
+
+@register("purge_report")
+def q_purge_report(spark, sf_dir):
+    """M3: rows removed per purge rule."""
+    return mn.purge_report(_scans(spark, sf_dir))
+
+
+@register("report_validation")
+def q_report_validation(spark, sf_dir):
+    """Validated report submissions (error NULL = accepted)."""
+    v = sk.validate_reports(fixture(spark, sf_dir, "report_requests"))
+    return bigints(v.select("id", "url", "label", "note", "used_in_verify", "error"))
+
+
+@register("feedback_reports")
+def q_feedback(spark, sf_dir):
+    """Feedback submissions turned into reports."""
+    r = fixture(spark, sf_dir, "report_requests").select(
+        "id", "url", F.col("label").alias("correct_label"), "reported_label", "note", "timestamp")
+    v = sk.feedback_reports(r)
+    return bigints(v.select("id", "url", "label", "note", "error"))
