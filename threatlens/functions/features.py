@@ -48,17 +48,27 @@ def count_char(s: Column, ch: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
 
 
+def lit_array(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def any_contains(s: Column, words) -> Column:
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | s.contains(w)
-    return cond
+    """Some word of the list occurs in ``s`` (one higher-order test over a
+    literal array: small generated code, one pass per row)."""
+    return F.exists(lit_array(words), lambda w: F.contains(s, w))
 
 
 def labels(s: Column) -> Column:
     return F.split(s, r"\.", -1)
 
 
+def round3(x: Column) -> Column:
+    """Round a non-negative double to 3 places, half up on the binary value
+    (floor(x*1000 + 0.5) / 1000): one formula that every engine evaluates
+    identically, unlike decimal-string based ROUND implementations."""
+    return F.floor(x * F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(1000.0)
+
+
 def shannon_entropy(s: Column) -> Column:
     """Bits per symbol of ``s``, rounded to 3 places; '' gives 0."""
     n = F.length(s)
@@ -69,7 +79,7 @@ def shannon_entropy(s: Column) -> Column:
         return acc + p * F.log2(p)
 
     total = F.aggregate(chars, F.lit(0.0).cast("double"), add)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(-total, 3) + F.lit(0.0))
+    return F.when(n == 0, F.lit(0.0)).otherwise(round3(-total) + F.lit(0.0))
 
 
 def domain_entropy(d: Column) -> Column:
@@ -87,10 +97,8 @@ def brand_impersonation(d: Column) -> Column:
     dc = strip_www(F.lower(d))
     parts = labels(dc)
     sld = F.try_element_at(parts, F.lit(-2))
-    hit = F.lit(False)
-    for b in lists.BRANDS:
-        hit = hit | (dc.contains(b) & (sld != F.lit(b)))
-    return (F.size(parts) >= 2) & hit
+    hit = F.exists(lit_array(lists.BRANDS), lambda b: F.contains(dc, b) & (sld != b))
+    return (F.size(parts) >= 2) & F.coalesce(hit, F.lit(False))
 
 
 def typosquatting(d: Column) -> Column:
@@ -99,15 +107,17 @@ def typosquatting(d: Column) -> Column:
     dc = strip_www(F.lower(d))
     parts = labels(dc)
     sld = F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(dc)
-    decision = None
-    for b in lists.BRANDS:
-        lev = F.levenshtein(sld, F.lit(b), 2)
-        if decision is None:
-            decision = F.when(sld == F.lit(b), F.lit(False))
-        else:
-            decision = decision.when(sld == F.lit(b), F.lit(False))
-        decision = decision.when((lev >= 0) & (lev <= 2), F.lit(True))
-    return (F.length(sld) >= 4) & decision.otherwise(F.lit(False))
+    return (F.length(sld) >= 4) & first_brand_decision(sld)
+
+
+def first_brand_decision(sld: Column) -> Column:
+    """Fold over BRANDS in order keeping the first decision: an exact brand
+    gives False, an edit distance of at most 2 gives True, else undecided."""
+    def step(acc, b):
+        lev = F.levenshtein(sld, b, 2)
+        here = F.when(sld == b, F.lit(False)).when((lev >= 0) & (lev <= 2), F.lit(True))
+        return F.coalesce(acc, here)
+    return F.coalesce(F.aggregate(lit_array(lists.BRANDS), F.lit(None).cast("boolean"), step), F.lit(False))
 
 
 def homograph_attack(d: Column) -> Column:
@@ -119,9 +129,8 @@ def path_exempt(d: Column) -> Column:
     """Host is (a subdomain of) a trusted service or an academic or
     government suffix."""
     dd = F.lower(d)
-    cond = F.lit(False)
-    for t in lists.PATH_KEYWORD_EXEMPT:
-        cond = cond | (dd == F.lit(t)) | dd.endswith("." + t)
+    cond = F.exists(lit_array(lists.PATH_KEYWORD_EXEMPT),
+                    lambda t: (dd == t) | F.endswith(dd, F.concat(F.lit("."), t)))
     parts = labels(dd)
     last = F.element_at(parts, -1)
     last2 = F.array_join(F.slice(parts, -2, 2), ".")
@@ -167,9 +176,64 @@ def lexical_feature_columns(url: Column, scheme: Column, path: Column, query: Co
     }
 
 
+def lexical_feature_names() -> list[str]:
+    return ["url_length", "has_ip", "has_at", "is_https", "suspicious_keywords", "dot_count",
+            "subdomain_count", "has_redirect", "has_hex", "domain_length", "path_depth",
+            "has_dash_in_domain", "has_query", "query_param_count", "domain_has_digits",
+            "suspicious_tld", "has_double_slash", "longest_word_length", "domain_entropy",
+            "high_entropy_domain", "brand_impersonation", "typosquatting", "homograph_attack",
+            "gsb_flagged", "path_login_keyword"]
+
+
 def feature_vector_columns() -> list[Column]:
     """43 numeric columns in vector order (booleans as 0/1) for assembling."""
     out = []
     for k in FEATURE_KEYS:
         out.append(F.col(k).cast("double").alias(k))
     return out
+
+
+def with_lexical_features(df, url_col: str, scheme: str, path: str, query: str, host: str):
+    """Staged projection of :func:`lexical_feature_columns`: label arrays,
+    the second-level label and the lower-cased path are projected once and
+    every rule then reads those columns."""
+    d = F.col(host)
+    df = df.select("*", F.lower(F.col(path)).alias("_f_p"), strip_www(F.lower(d)).alias("_f_dc"),
+                   labels(d).alias("_f_parts"),
+                   F.substring_index(strip_www(d), ".", 1).alias("_f_label1"))
+    df = df.select("*", labels(F.col("_f_dc")).alias("_f_dparts"))
+    dparts = F.col("_f_dparts")
+    df = df.select("*", F.try_element_at(dparts, F.lit(-2)).alias("_f_sld2"),
+                   F.when(F.size(dparts) >= 2, F.try_element_at(dparts, F.lit(-2))).otherwise(F.col("_f_dc")).alias("_f_sld"),
+                   shannon_entropy(F.col("_f_label1")).alias("domain_entropy"))
+    dc, sld, sld2, p, url = F.col("_f_dc"), F.col("_f_sld"), F.col("_f_sld2"), F.col("_f_p"), F.col(url_col)
+    brand = F.coalesce(F.exists(lit_array(lists.BRANDS), lambda b: F.contains(dc, b) & (sld2 != b)), F.lit(False))
+    q = F.col(query)
+    cols = {
+        "url_length": F.length(url),
+        "has_ip": d.rlike(r"([0-9]{1,3}\.){3}[0-9]{1,3}"),
+        "has_at": url.contains("@"),
+        "is_https": F.col(scheme) == F.lit("https"),
+        "suspicious_keywords": any_contains(d, lists.DOMAIN_SUSPICIOUS_WORDS),
+        "dot_count": count_char(d, "."),
+        "subdomain_count": F.greatest(F.lit(0), F.size(F.col("_f_parts")) - F.lit(2)),
+        "has_redirect": (F.length(url) - F.length(F.replace(url, F.lit("//"), F.lit("")))) > F.lit(2),
+        "has_hex": url.contains("%"),
+        "domain_length": F.length(d),
+        "path_depth": count_char(p, "/"),
+        "has_dash_in_domain": d.contains("-"),
+        "has_query": F.length(q) > 0,
+        "query_param_count": F.when(q == "", F.lit(0)).otherwise(F.size(F.split(q, "&", -1))),
+        "domain_has_digits": d.rlike("[0-9]"),
+        "suspicious_tld": suspicious_tld(d),
+        "has_double_slash": p.contains("//"),
+        "longest_word_length": longest_word_length(url),
+        "high_entropy_domain": F.col("domain_entropy") > F.lit(3.5),
+        "brand_impersonation": (F.size(F.col("_f_dparts")) >= 2) & brand,
+        "typosquatting": (F.length(sld) >= 4) & first_brand_decision(sld),
+        "homograph_attack": dc.contains("xn--") | dc.rlike(r"[^\x00-\x7F]"),
+        "gsb_flagged": F.lit(False),
+        "path_login_keyword": any_contains(p, lists.PATH_SUSPICIOUS_WORDS) & ~path_exempt(d),
+    }
+    df = df.select("*", *[c.alias(k) for k, c in cols.items()])
+    return df.drop("_f_p", "_f_dc", "_f_parts", "_f_label1", "_f_dparts", "_f_sld2", "_f_sld")

@@ -145,3 +145,45 @@ def not_ilike_any(c, patterns) -> Column:
     for p in patterns:
         cond = cond & ~_c(c).ilike(p)
     return cond
+
+
+# ---- staged (DataFrame-level) forms -------------------------------------------
+# The column forms above repeat sub-expressions (the cleaned URL feeds five
+# extractions).  For wide pipelines the staged forms below project each
+# intermediate once, so Catalyst keeps expressions small and whole-stage
+# codegen stays under the JVM method-size limit.
+
+def with_split(df, url_col: str, prefix: str = "_u"):
+    """Adds {prefix}_scheme/_netloc/_path/_params/_query/_fragment."""
+    c = f"{prefix}_c"
+    df = df.withColumn(c, splitter_clean(F.col(url_col)))
+    g = lambda i: F.regexp_extract(F.col(c), _SPLIT, i)
+    df = df.select("*", F.lower(g(1)).alias(f"{prefix}_scheme"), g(2).alias(f"{prefix}_netloc"),
+                   g(3).alias(f"{prefix}_raw_path"), g(4).alias(f"{prefix}_query"), g(5).alias(f"{prefix}_fragment"))
+    rp = F.col(f"{prefix}_raw_path")
+    has_params = F.col(f"{prefix}_scheme").isin(lists.USES_PARAMS) & rp.contains(";")
+    df = df.select("*", F.when(has_params, F.regexp_replace(rp, ";[^/]*$", "")).otherwise(rp).alias(f"{prefix}_path"),
+                   F.when(has_params, F.regexp_extract(rp, ";([^/]*)$", 1)).otherwise(F.lit("")).alias(f"{prefix}_params"))
+    return df.drop(c, f"{prefix}_raw_path")
+
+
+def split_cols(prefix: str = "_u"):
+    return [f"{prefix}_{k}" for k in ("scheme", "netloc", "path", "params", "query", "fragment")]
+
+
+def with_normalized(df, url_col: str, out_col: str = "normalized"):
+    """U2 as staged projections (same result as :func:`normalize_url`)."""
+    df = df.withColumn("_n_s", py_strip(F.col(url_col)))
+    s = F.col("_n_s")
+    df = df.withColumn("_n_pref", F.when(s.startswith("http://") | s.startswith("https://"), s)
+                       .otherwise(F.concat(F.lit("https://"), s)))
+    df = with_split(df, "_n_pref", "_n")
+    q = F.regexp_replace(F.regexp_replace(F.col("_n_query"), lists.TRACKING_PARAM_PATTERN, ""), "^&+|&+$", "")
+    df = df.withColumn("_n_q", q)
+    path = F.when(F.col("_n_params") != "", F.concat(F.col("_n_path"), F.lit(";"), F.col("_n_params"))).otherwise(F.col("_n_path"))
+    out = F.concat(
+        F.col("_n_scheme"), F.lit("://"), F.col("_n_netloc"), path,
+        F.when(F.col("_n_q") != "", F.concat(F.lit("?"), F.col("_n_q"))).otherwise(F.lit("")),
+        F.when(F.col("_n_fragment") != "", F.concat(F.lit("#"), F.col("_n_fragment"))).otherwise(F.lit("")))
+    df = df.withColumn(out_col, F.when(F.col(url_col).isNull(), F.lit(None).cast("string")).otherwise(out))
+    return df.drop("_n_s", "_n_pref", "_n_q", *split_cols("_n"))

@@ -182,13 +182,12 @@ def redirect_columns(url: Column) -> dict[str, Column]:
             "redirect_chain_suspicious": ok & ((hops >= 3) | changed)}
 
 
-def page_columns(html: Column, host: Column) -> dict[str, Column]:
-    h = F.lower(html)
+def page_columns(html: Column, host: Column, lowered: bool = False) -> dict[str, Column]:
+    h = html if lowered else F.lower(html)
     title = F.lower(F.regexp_extract(h, _TITLE, 1))
     dom = F.lower(host)
-    mismatch = F.lit(False)
-    for b in lists.BRANDS:
-        mismatch = mismatch | (title.contains(b) & ~dom.contains(b))
+    mismatch = F.exists(F.array(*[F.lit(b) for b in lists.BRANDS]),
+                        lambda b: F.contains(title, b) & ~F.contains(dom, b))
     actions = F.regexp_extract_all(h, F.lit(_FORM), F.lit(1))
     external = F.exists(actions, lambda a: a.startswith("http") & ~a.contains(host))
     has = html.isNotNull()
@@ -229,9 +228,10 @@ def enrich_features(df: DataFrame, enr: Enrichment, url_col: str = "url", as_of=
     if uf is not None:
         uf = uf.withColumnRenamed("url", "_furl")
         out = out.join(uf, out[url_col] == uf["_furl"], "left").drop("_furl")
+        out = out.withColumn("page_html", F.lower(F.col("page_html")))
         cols = {}
         cols.update(redirect_columns(F.col(url_col)))
-        cols.update(page_columns(F.col("page_html"), F.col(host_col)))
+        cols.update(page_columns(F.col("page_html"), F.col(host_col), lowered=True))
         cols.update(reputation_columns())
         cols["gsb_flagged"] = F.coalesce(F.col("gsb") == 1, F.lit(False))
         cols["in_feed_url"] = F.coalesce(F.col("feed") == 1, F.lit(False))

@@ -24,12 +24,14 @@ def with_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "u_") -> D
 
 
 def lexical_features(df: DataFrame, url_col: str = "url", keep_host: bool = True) -> DataFrame:
-    """Adds the 25 URL-only feature columns (plus ``host``)."""
-    parts = urls.url_split(F.col(url_col))
-    staged = df.withColumn("_p", parts).withColumn("host", urls.host_of_netloc(F.col("_p.netloc")))
-    cols = feat.lexical_feature_columns(F.col(url_col), F.col("_p.scheme"), F.col("_p.path"),
-                                        F.col("_p.query"), F.col("host"))
-    out = staged.select("*", *[c.alias(k) for k, c in cols.items()]).drop("_p")
+    """Adds the 25 URL-only feature columns (plus ``host``), as a few staged
+    projections over the split URL."""
+    staged = urls.with_split(df, url_col, "_u")
+    staged = staged.withColumn("host", urls.host_of_netloc(F.col("_u_netloc")))
+    out = feat.with_lexical_features(staged, url_col, "_u_scheme", "_u_path", "_u_query", "host")
+    out = out.drop(*urls.split_cols("_u"))
+    order = [c for c in df.columns] + ["host"] + list(feat.lexical_feature_names())
+    out = out.select(*order)
     return out if keep_host else out.drop("host")
 
 

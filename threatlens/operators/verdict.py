@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from ..functions.features import round3
 
 
 def _b(name: str) -> Column:
@@ -141,7 +142,7 @@ def with_ensemble(df: DataFrame) -> DataFrame:
               .otherwise(F.lit("SAFE")))
     df = df.withColumn("result", final).drop("_w")
     df = df.withColumn("confidence", F.greatest(F.col("rf_confidence"), F.coalesce(F.col("nn_confidence"), F.lit(0))).cast("int"))
-    df = df.withColumn("weighted_score", F.round(F.col("weighted_score_raw"), 3))
+    df = df.withColumn("weighted_score", round3(F.col("weighted_score_raw")))
     df = df.withColumn("risk", risk_struct(F.col("weighted_score_raw"), F.col("result")))
     return df.withColumn("reason_codes", reason_codes())
 

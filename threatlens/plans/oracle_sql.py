@@ -64,11 +64,16 @@ def path_exempt_sql(d: str) -> str:
             f" OR array_to_string(list_slice({parts}, -2, -1), '.') IN {in_list(lists.PATH_EXEMPT_TLD2)})))")
 
 
+def round3_sql(x: str) -> str:
+    """Same 3-place rounding as the Spark side (floor(x*1000 + 0.5) / 1000)."""
+    return f"(floor(({x}) * 1000.0 + 0.5) / 1000.0)"
+
+
 def entropy_sql(s: str) -> str:
     n = f"length({s})"
     p = f"((length({s}) - length(replace({s}, ch, '')))::DOUBLE / {n})"
-    return (f"(CASE WHEN {n} = 0 THEN 0.0 ELSE round(-list_sum(list_transform(list_distinct(string_split({s}, '')), "
-            f"lambda ch: {p} * log2({p}))), 3) + 0.0 END)")
+    total = f"list_sum(list_transform(list_distinct(string_split({s}, '')), lambda ch: {p} * log2({p})))"
+    return f"(CASE WHEN {n} = 0 THEN 0.0 ELSE {round3_sql('-' + total)} + 0.0 END)"
 
 
 def lexical_features_sql(src: str, url: str = "url") -> str:
@@ -269,3 +274,166 @@ def dynamic_allowlist_cte() -> str:
 def probe_cte() -> str:
     return f"""probe AS (SELECT url, {host_sql('url')} AS host FROM (
         SELECT DISTINCT {normalize_sql('url')} AS url FROM (SELECT url FROM url_corpus UNION ALL SELECT url FROM page_html) a) b)"""
+
+
+# ---- enrichment (J6, J7, J9) ----------------------------------------------------------
+AS_OF = "2024-01-15"
+IFRAME = r"""<iframe[^>]*(width\s*=\s*["']?\s*0|height\s*=\s*["']?\s*0|display\s*:\s*none)"""
+FORM = r"""<form[^>]*action\s*=\s*["']([^"']+)["']"""
+TITLE = r"(?s)<title[^>]*>(.*?)</title>"
+ENRICH_FIXTURES = ["whois", "certs", "dns_records", "resolutions", "ip_geo", "ct_entries",
+                   "redirects", "page_html", "reputation", "gsb_hits"]
+
+
+def enrichment_ctes() -> str:
+    priv = "(starts_with(r.ip, '10.') OR starts_with(r.ip, '192.168.') OR starts_with(r.ip, '127.'))"
+    return f"""hfacts AS (
+  SELECT domain, min(created_at) AS created_at, min(not_before) AS not_before, max(a) AS a, max(mx) AS mx,
+         max(spf) AS spf, arg_min(risky, ip) AS risky, arg_min(proxy, ip) AS proxy, count(a) AS n_dns
+  FROM (SELECT domain, created_at::DATE AS created_at, NULL::DATE AS not_before, NULL::INT AS a, NULL::INT AS mx,
+               NULL::INT AS spf, NULL::VARCHAR AS ip, NULL::BOOLEAN AS risky, NULL::BOOLEAN AS proxy FROM whois
+        UNION ALL SELECT domain, NULL, not_before::DATE, NULL, NULL, NULL, NULL, NULL, NULL FROM certs
+        UNION ALL SELECT domain, NULL, NULL, (rtype = 'A')::INT, (rtype = 'MX')::INT,
+                         (rtype = 'TXT' AND contains(lower(value), 'spf'))::INT, NULL, NULL, NULL FROM dns_records
+        UNION ALL SELECT r.domain, NULL, NULL, NULL, NULL, NULL, r.ip,
+                         NOT {priv} AND coalesce(g.cc IN {in_list(lists.HIGH_RISK_COUNTRIES)}, false),
+                         NOT {priv} AND coalesce(g.px = 1 OR g.hs = 1, false)
+                  FROM resolutions r LEFT JOIN (SELECT ip, min(cc) AS cc, max(proxy::INT) AS px, max(hosting::INT) AS hs
+                                                FROM ip_geo GROUP BY ip) g ON r.ip = g.ip) u
+  GROUP BY domain),
+hf AS (SELECT domain,
+         CASE WHEN created_at IS NULL THEN -1 ELSE greatest(0, DATE '{AS_OF}' - created_at) END AS domain_age_days,
+         CASE WHEN not_before IS NULL THEN -1 ELSE greatest(0, DATE '{AS_OF}' - not_before) END AS ssl_cert_age_days,
+         CASE WHEN n_dns > 0 THEN a = 1 END AS dns_resolves, CASE WHEN n_dns > 0 THEN mx = 1 END AS has_mx_record,
+         CASE WHEN n_dns > 0 THEN spf = 1 END AS has_spf_record, risky AS high_risk_country, proxy AS is_proxy_hosting
+       FROM hfacts),
+ct AS (SELECT root, count(*) AS ct_n FROM ct_entries GROUP BY root),
+ufacts AS (
+  SELECT url, max(hops) AS hops, max(final_target) AS final_target, max(html) AS page_html, max(vt_m) AS vt_malicious,
+         max(vt_s) AS vt_suspicious, max(vt_h) AS vt_harmless, max(gsb) AS gsb
+  FROM (SELECT url, count(*)::INT AS hops, arg_max(target, hop_no) AS final_target, NULL::VARCHAR AS html, NULL::INT AS vt_m,
+               NULL::INT AS vt_s, NULL::INT AS vt_h, NULL::INT AS gsb FROM redirects GROUP BY url
+        UNION ALL SELECT url, NULL, NULL, html, NULL, NULL, NULL, NULL FROM page_html
+        UNION ALL SELECT url, NULL, NULL, NULL, malicious, suspicious, harmless, NULL FROM reputation
+        UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM gsb_hits) u
+  GROUP BY url)"""
+
+
+def etld1_sql(u: str) -> str:
+    d = f"replace(lower({netloc_sql(u)}), 'www.', '')"
+    parts = f"string_split({d}, '.')"
+    return f"(CASE WHEN len({parts}) >= 2 THEN array_to_string(list_slice({parts}, -2, -1), '.') ELSE {d} END)"
+
+
+def root_sql(h: str) -> str:
+    d = f"replace({h}, 'www.', '')"
+    parts = f"string_split({d}, '.')"
+    return f"(CASE WHEN len({parts}) >= 2 THEN array_to_string(list_slice({parts}, -2, -1), '.') ELSE {h} END)"
+
+
+def enriched_sql(src: str) -> str:
+    """All 43 features plus vt_* columns over ``src`` (a lexical feature
+    relation with url and host), joined to hf / ct / ufacts CTEs."""
+    hh = "lower(e.page_html)"
+    title = f"lower(regexp_extract({hh}, {q(TITLE)}, 1))"
+    mism = " OR ".join(f"(contains({title}, {q(b)}) AND NOT contains(lower(e.host), {q(b)}))" for b in lists.BRANDS)
+    hops = "coalesce(e.hops, 0)"
+    ok = f"({hops} > 0 AND {hops} <= 5)"
+    changed = f"({ok} AND {etld1_sql('e.url')} <> {etld1_sql('e.final_target')})"
+    known = "(e.vt_malicious IS NOT NULL OR e.vt_suspicious IS NOT NULL OR e.vt_harmless IS NOT NULL)"
+    pos = "(coalesce(e.vt_malicious, 0) + coalesce(e.vt_suspicious, 0))"
+    tot0 = f"({pos} + coalesce(e.vt_harmless, 0))"
+    tot = f"(CASE WHEN {tot0} = 0 THEN 1 ELSE {tot0} END)"
+    ctn = "coalesce(e.ct_n, -1)"
+    return f"""
+SELECT e.* EXCLUDE (hops, final_target, page_html, gsb, ct_n, vt_malicious, vt_suspicious, vt_harmless, gsb_flagged,
+                    domain_age_days, ssl_cert_age_days, dns_resolves, has_mx_record, has_spf_record, high_risk_country,
+                    is_proxy_hosting),
+  coalesce(e.domain_age_days, -1)::BIGINT AS domain_age_days,
+  (coalesce(e.domain_age_days, -1) <> -1 AND coalesce(e.domain_age_days, -1) < 30) AS is_new_domain,
+  coalesce(e.ssl_cert_age_days, -1)::BIGINT AS ssl_cert_age_days,
+  (coalesce(e.ssl_cert_age_days, -1) <> -1 AND coalesce(e.ssl_cert_age_days, -1) < 30) AS new_ssl_cert,
+  coalesce(e.dns_resolves, true) AS dns_resolves, coalesce(e.has_mx_record, true) AS has_mx_record,
+  coalesce(e.has_spf_record, false) AS has_spf_record,
+  coalesce(e.high_risk_country, false) AS high_risk_country, coalesce(e.is_proxy_hosting, false) AS is_proxy_hosting,
+  {ctn}::BIGINT AS cert_transparency_count, ({ctn} >= 0 AND {ctn} <= 2) AS low_cert_history,
+  (CASE WHEN {ok} THEN {hops} ELSE 0 END)::BIGINT AS redirect_hop_count,
+  {changed} AS redirect_domain_changed, ({ok} AND ({hops} >= 3 OR {changed})) AS redirect_chain_suspicious,
+  (e.page_html IS NOT NULL AND (contains({hh}, 'type="password"') OR contains({hh}, 'type=''password'''))) AS has_password_field,
+  (e.page_html IS NOT NULL AND ({mism})) AS title_brand_mismatch,
+  (e.page_html IS NOT NULL AND regexp_matches({hh}, {q(IFRAME)})) AS has_hidden_iframe,
+  (e.page_html IS NOT NULL AND coalesce(len(list_filter(regexp_extract_all({hh}, {q(FORM)}, 1),
+       lambda a: starts_with(a, 'http') AND NOT contains(a, e.host))) > 0, false)) AS form_external_action,
+  coalesce(e.gsb = 1, false) AS gsb_flagged,
+  CASE WHEN NOT {known} THEN 'UNAVAILABLE' WHEN {pos} >= 1 THEN 'PHISHING' ELSE 'SAFE' END AS vt_result,
+  (CASE WHEN {known} THEN {pos} ELSE 0 END)::BIGINT AS vt_positives,
+  (CASE WHEN {known} THEN {tot} ELSE 0 END)::BIGINT AS vt_total,
+  CASE WHEN {known} THEN {pos}::VARCHAR || '/' || {tot}::VARCHAR ELSE 'N/A' END AS vt_ratio,
+  CASE WHEN {known} THEN least({pos}::DOUBLE / {tot}::DOUBLE, 1.0) ELSE 0.0 END AS vt_prob
+FROM (SELECT l.*, hf.* EXCLUDE (domain), ct.ct_n, uf.* EXCLUDE (url)
+      FROM ({src}) l LEFT JOIN hf ON l.host = hf.domain
+      LEFT JOIN ct ON {root_sql('l.host')} = ct.root
+      LEFT JOIN ufacts uf ON l.url = uf.url) e"""
+
+
+def ensemble_sql(src: str) -> str:
+    """V1 + V4-V11 over an enriched relation with rf_prob / nn_prob."""
+    d = lambda x: f"{x}::DOUBLE"
+    b = lambda c: f"coalesce({c}, false)"
+    reasons = [("has_ip", "raw_ip"), ("brand_impersonation", "brand_impersonation"), ("typosquatting", "typosquatting"),
+               ("homograph_attack", "homograph"), ("NOT is_https", "no_https"),
+               ("suspicious_keywords", "suspicious_keywords"), ("is_new_domain", "new_domain"),
+               ("high_entropy_domain", "high_entropy")]
+    rs = [f"CASE WHEN {b(c)} THEN {q(k)} END" for c, k in reasons]
+    rs.append("CASE WHEN vt_positives >= 3 THEN 'vt_malicious' WHEN vt_positives >= 1 THEN 'vt_flagged' END")
+    rs += [f"CASE WHEN {b(c)} THEN {q(k)} END" for c, k in [
+        ("gsb_flagged", "gsb_flagged"), ("redirect_chain_suspicious", "redirect_chain"),
+        ("subdomain_count > 3", "deep_subdomains"), ("title_brand_mismatch", "title_brand_mismatch"),
+        ("form_external_action", "external_form"), ("has_hidden_iframe", "hidden_iframe"),
+        ("suspicious_tld", "risky_tld")]]
+    return f"""
+SELECT z.*, {round3_sql('weighted_score_raw')} AS weighted_score,
+  {risk_level_sql('weighted_score_raw', 'result')} AS risk_level,
+  CASE WHEN codes = '' AND result = 'PHISHING' THEN 'ml_pattern' ELSE codes END AS reasons
+FROM (SELECT y.*,
+  CASE WHEN override THEN 'PHISHING'
+       WHEN weighted_score_raw >= thr OR votes >= 5 THEN 'PHISHING'
+       WHEN weighted_score_raw >= {d(0.38)} AND votes >= 2 THEN 'SUSPICIOUS'
+       WHEN rf_result = 'SAFE' AND (nn_result IS NULL OR nn_result = 'SAFE') AND vt_result <> 'PHISHING' THEN 'SAFE'
+       WHEN weighted_score_raw >= {d(0.35)} THEN 'SUSPICIOUS' ELSE 'SAFE' END AS result,
+  greatest(rf_confidence, coalesce(nn_confidence, 0))::BIGINT AS confidence,
+  concat_ws(',', {', '.join(rs)}) AS codes
+FROM (SELECT x.*,
+  (gsb_flagged OR vt_positives >= 3) AS override,
+  CASE WHEN gsb_flagged THEN {d(0.99)} WHEN vt_positives >= 3 THEN {d(0.97)}
+       ELSE rw2 * rf_p + nw2 * nn_p + vw2 * vt_p + gsb_p * gw2 END AS weighted_score_raw,
+  CASE WHEN gsb_flagged OR vt_positives >= 3 THEN 99 ELSE
+    (CASE WHEN rf_result = 'PHISHING' THEN 2 ELSE 0 END) + (CASE WHEN nn_result = 'PHISHING' THEN 1 ELSE 0 END)
+    + (CASE WHEN vt_positives >= 1 THEN 1 ELSE 0 END) + (CASE WHEN {b('typosquatting')} THEN 2 ELSE 0 END)
+    + (CASE WHEN {b('homograph_attack')} THEN 2 ELSE 0 END) + (CASE WHEN {b('redirect_chain_suspicious')} THEN 1 ELSE 0 END)
+    + (CASE WHEN {b('title_brand_mismatch')} THEN 2 ELSE 0 END) + (CASE WHEN {b('suspicious_tld')} THEN 1 ELSE 0 END)
+    + (CASE WHEN {b('brand_impersonation')} THEN 2 ELSE 0 END) END::BIGINT AS votes,
+  CASE WHEN rf_result = 'PHISHING' AND coalesce(nn_result = 'PHISHING', false) THEN {d(0.42)} ELSE {d(0.62)} END AS thr
+FROM (SELECT w.*,
+  CASE WHEN vt_result = 'UNAVAILABLE' THEN rw / (rw + nw + gw) ELSE rw END AS rw2,
+  CASE WHEN vt_result = 'UNAVAILABLE' THEN nw / (rw + nw + gw) ELSE nw END AS nw2,
+  CASE WHEN vt_result = 'UNAVAILABLE' THEN {d(0.0)} ELSE vw END AS vw2,
+  CASE WHEN vt_result = 'UNAVAILABLE' THEN gw / (rw + nw + gw) ELSE gw END AS gw2,
+  CASE WHEN vt_result = 'UNAVAILABLE' THEN {d(0.0)} ELSE coalesce(vt_prob, {d(0.0)}) END AS vt_p,
+  CASE WHEN gsb_flagged THEN {d(1.0)} ELSE {d(0.0)} END AS gsb_p
+FROM (SELECT m.*,
+  CASE WHEN agreement >= {d(0.8)} THEN {d(0.60)} WHEN agreement >= {d(0.5)} THEN {d(0.45)} ELSE {d(0.25)} END AS rw,
+  CASE WHEN agreement >= {d(0.8)} THEN {d(0.25)} WHEN agreement >= {d(0.5)} THEN {d(0.20)} ELSE {d(0.15)} END AS nw,
+  CASE WHEN agreement >= {d(0.8)} THEN {d(0.10)} WHEN agreement >= {d(0.5)} THEN {d(0.25)} ELSE {d(0.45)} END AS vw,
+  CASE WHEN agreement >= {d(0.8)} THEN {d(0.05)} WHEN agreement >= {d(0.5)} THEN {d(0.10)} ELSE {d(0.15)} END AS gw
+FROM (SELECT k2.*, {d(1.0)} - abs(rf_p - nn_p) AS agreement
+FROM (SELECT k.*, coalesce(nn_prob::DOUBLE, rf_p) AS nn_p
+FROM (SELECT r.*,
+  CASE WHEN rf_prob IS NULL THEN rule_result WHEN rf_prob::DOUBLE > {d(0.5)} THEN 'PHISHING' ELSE 'SAFE' END AS rf_result,
+  CASE WHEN rf_prob IS NULL THEN rule_confidence ELSE trunc(greatest(rf_prob::DOUBLE, {d(1.0)} - rf_prob::DOUBLE) * {d(100.0)}) END::BIGINT AS rf_confidence,
+  coalesce(rf_prob::DOUBLE, CASE WHEN rule_result = 'PHISHING' THEN {d(0.9)} ELSE {d(0.1)} END) AS rf_p,
+  CASE WHEN nn_prob IS NULL THEN NULL WHEN nn_prob::DOUBLE > {d(0.5)} THEN 'PHISHING' ELSE 'SAFE' END AS nn_result,
+  CASE WHEN nn_prob IS NULL THEN 0 ELSE trunc(greatest(nn_prob::DOUBLE, {d(1.0)} - nn_prob::DOUBLE) * {d(100.0)}) END::BIGINT AS nn_confidence
+FROM (SELECT s.*, CASE WHEN rule_score >= 4 THEN 'PHISHING' ELSE 'SAFE' END AS rule_result,
+        (CASE WHEN rule_score >= 4 THEN least(50 + rule_score * 5, 95) ELSE least(60 + (10 - rule_score) * 3, 95) END)::BIGINT AS rule_confidence
+      FROM (SELECT t.*, {rule_score_sql()}::BIGINT AS rule_score FROM ({src}) t) s) r) k) k2) m) w) x) y) z"""

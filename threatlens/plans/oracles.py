@@ -195,3 +195,87 @@ SELECT id, substr(url, 1, 2048) AS url, {_LAB} AS label,
   CASE WHEN url IS NULL OR label IS NULL OR reported_label IS NULL THEN 'Missing fields'
        WHEN {_LAB} NOT IN ('safe', 'phishing') THEN 'correct_label must be ''safe'' or ''phishing''' END AS error
 FROM report_requests""")
+
+
+# ---- enrichment, ensemble, routing -----------------------------------------------------
+_FEAT_SRC = ("SELECT page_id AS id, url FROM url_corpus UNION ALL "
+             "SELECT page_id + 100000 AS id, url FROM page_html")
+_ENR = o.enriched_sql(o.lexical_features_sql(_FEAT_SRC))
+_ENR_FIX = ["url_corpus"] + o.ENRICH_FIXTURES
+_FEATURE_KEYS = ["url_length", "has_ip", "has_at", "is_https", "suspicious_keywords", "dot_count", "subdomain_count",
+                 "has_redirect", "has_hex", "domain_length", "path_depth", "has_dash_in_domain", "has_query",
+                 "query_param_count", "domain_has_digits", "suspicious_tld", "has_double_slash",
+                 "longest_word_length", "domain_entropy", "high_entropy_domain", "brand_impersonation",
+                 "domain_age_days", "is_new_domain", "ssl_cert_age_days", "new_ssl_cert", "dns_resolves",
+                 "has_mx_record", "has_spf_record", "typosquatting", "homograph_attack", "gsb_flagged",
+                 "redirect_hop_count", "redirect_domain_changed", "redirect_chain_suspicious",
+                 "high_risk_country", "is_proxy_hosting", "cert_transparency_count", "low_cert_history",
+                 "has_password_field", "title_brand_mismatch", "has_hidden_iframe", "form_external_action",
+                 "path_login_keyword"]
+ORACLES["enriched_features"] = o.with_fixtures(_ENR_FIX, f"""
+SELECT id, url, {', '.join(_FEATURE_KEYS)} FROM ({_ENR}) e""", o.enrichment_ctes())
+ORACLES["reputation_enrich"] = o.with_fixtures(_ENR_FIX, f"""
+SELECT id, url, vt_result, vt_positives, vt_total, vt_ratio, vt_prob, gsb_flagged FROM ({_ENR}) e""", o.enrichment_ctes())
+_ENS = o.ensemble_sql(f"SELECT e.*, ms.rf_prob, ms.nn_prob FROM ({_ENR}) e LEFT JOIN model_scores ms ON e.id = ms.page_id")
+ORACLES["ensemble_verdicts"] = o.with_fixtures(_ENR_FIX + ["model_scores"], f"""
+SELECT id, url, rule_score, rf_result, rf_confidence, nn_result, nn_confidence, weighted_score, votes, result,
+  confidence, risk_level, reasons FROM ({_ENS}) v""", o.enrichment_ctes())
+
+# full routing
+_ERR = (f"CASE WHEN url IS NULL THEN 'Missing url' WHEN {o.strip_sql('url')} = '' THEN 'Empty url' "
+        f"WHEN length({o.strip_sql('url')}) > 2048 THEN 'URL too long (max 2048 chars)' END")
+_REQ = f"""req AS (SELECT id, raw_url, error, CASE WHEN error IS NULL THEN {o.normalize_sql('raw_url')} END AS url FROM (
+    SELECT id, url AS raw_url, {_ERR} AS error FROM (
+      SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT id + 1000000000 AS id, url FROM scans) a) b),
+req2 AS (SELECT *, coalesce(({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.SKIP_PREFIXES)}), false) AS skipped FROM req),
+lex AS ({o.lexical_features_sql('SELECT * FROM req2')}),
+hflags AS (SELECT host,
+    EXISTS (SELECT 1 FROM (SELECT unnest({o.static_candidates_sql('h.host')}) AS c) x WHERE x.c IN {o.in_list(_ALLOW)}) AS in_static,
+    replace(lower(host), 'www.', '') IN (SELECT domain FROM dyn_allow) AS in_dynamic,
+    (replace(regexp_replace(host, '\\.+$', ''), 'www.', '') NOT IN {_GUARD} AND EXISTS (
+       SELECT 1 FROM (SELECT unnest({o.suffixes_sql("regexp_replace(h.host, '\\.+$', '')", 1)}) AS c) x
+       WHERE x.c IN (SELECT domain FROM feed_domains))) AS in_feed_domain
+  FROM (SELECT DISTINCT host FROM lex WHERE error IS NULL AND NOT skipped) h),
+lexf AS (SELECT l.*, hf2.in_static, hf2.in_dynamic, hf2.in_feed_domain,
+    coalesce(l.url IN (SELECT url FROM feed_urls) OR regexp_replace(l.url, '/+$', '') IN (SELECT url FROM feed_urls), false) AS in_feed_url
+  FROM lex l LEFT JOIN hflags hf2 ON l.host = hf2.host)"""
+_ROUTE_CTES = ",\n".join([o.enrichment_ctes(), _FEED, f"cons AS ({o.consensus_sql('SELECT * FROM reports')})",
+                          o.user_allowlist_cte(), o.dynamic_allowlist_cte(), _REQ])
+_RENS = o.ensemble_sql(f"SELECT e.*, ms.rf_prob, ms.nn_prob FROM ({o.enriched_sql('SELECT * FROM lexf')}) e "
+                       "LEFT JOIN model_scores ms ON e.id = ms.page_id")
+_ROUTED = f"""
+SELECT v.*,
+  CASE WHEN route = 'error' THEN 'ERROR' WHEN route IN ('skipped', 'allowlist') THEN 'SAFE'
+       WHEN route = 'blocklist' THEN 'PHISHING' ELSE result END AS final_result,
+  CASE WHEN route = 'error' THEN NULL WHEN route IN ('skipped', 'allowlist') THEN 100
+       WHEN route = 'blocklist' THEN 99 ELSE confidence END::BIGINT AS final_confidence,
+  CASE WHEN route = 'error' THEN NULL WHEN route IN ('skipped', 'allowlist') THEN 'SAFE'
+       WHEN route = 'blocklist' THEN 'CRITICAL' ELSE risk_level END AS final_risk,
+  CASE WHEN route = 'allowlist' THEN CASE WHEN coalesce(in_static, false) THEN 'static_whitelist' ELSE 'user_verified' END END AS whitelist_source,
+  CASE WHEN route = 'scored' THEN reasons WHEN route = 'blocklist' THEN 'blocklist' ELSE '' END AS final_reasons
+FROM (SELECT u.*, CASE WHEN error IS NOT NULL THEN 'error' WHEN skipped THEN 'skipped'
+                  WHEN coalesce(in_static, false) OR coalesce(in_dynamic, false) THEN 'allowlist'
+                  WHEN coalesce(in_feed_url, false) OR coalesce(in_feed_domain, false) THEN 'blocklist'
+                  ELSE 'scored' END AS route FROM ({_RENS}) u) v"""
+_ROUTE_FIX = ["url_corpus", "scans", "feed_lines", "reports", "allowlist_requests", "model_scores"] + o.ENRICH_FIXTURES
+ORACLES["routed_verdicts"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT id, url, route, final_result AS result, final_confidence AS confidence, final_risk AS risk_level, whitelist_source,
+  final_reasons AS reasons, CASE WHEN route = 'scored' THEN weighted_score END AS weighted_score,
+  CASE WHEN route = 'scored' THEN votes END AS votes FROM ({_ROUTED}) r""", _ROUTE_CTES)
+ORACLES["scan_log_rows"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT id, url, final_result AS result,
+  CASE WHEN route = 'blocklist' THEN 'BLOCKLIST' ELSE rf_result END AS ml_result,
+  CASE WHEN route = 'blocklist' THEN 'N/A' ELSE coalesce(nn_result, 'N/A') END AS lstm_result,
+  CASE WHEN route = 'blocklist' THEN 'BLOCKLIST' ELSE vt_result END AS vt_result,
+  final_confidence AS confidence, CASE WHEN route = 'blocklist' THEN 'N/A' ELSE vt_ratio END AS vt_ratio
+FROM ({_ROUTED}) r WHERE route IN ('blocklist', 'scored')
+  AND NOT ({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.NO_LOG_PREFIXES)})""", _ROUTE_CTES)
+ORACLES["verdict_counters"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT count(*) FILTER (WHERE route = 'scored')::BIGINT AS total_scans,
+  count(*) FILTER (WHERE route = 'scored' AND final_result = 'PHISHING')::BIGINT AS result_phishing,
+  count(*) FILTER (WHERE route = 'scored' AND final_result = 'SUSPICIOUS')::BIGINT AS result_suspicious,
+  count(*) FILTER (WHERE route = 'scored' AND final_result = 'SAFE')::BIGINT AS result_safe,
+  count(*) FILTER (WHERE route = 'blocklist')::BIGINT AS blocklist_hits,
+  count(*) FILTER (WHERE route = 'scored' AND vt_result = 'UNAVAILABLE')::BIGINT AS vt_unavailable,
+  count(*) FILTER (WHERE route = 'scored' AND gsb_flagged)::BIGINT AS gsb_flagged_count
+FROM ({_ROUTED}) r""", _ROUTE_CTES)

@@ -394,3 +394,111 @@ def q_feedback(spark, sf_dir):
         "id", "url", F.col("label").alias("correct_label"), "reported_label", "note", "timestamp")
     v = sk.feedback_reports(r)
     return bigints(v.select("id", "url", "label", "note", "error"))
+
+
+# ---- J6, J7, J9, V4-V16, A6 ------------------------------------------------------------
+
+from ..operators import enrich as en  # noqa: E402
+from ..plans import scoring as sc  # noqa: E402
+
+AS_OF_DATE = "2024-01-15"
+
+
+def enrichment_for(spark, sf_dir) -> en.Enrichment:
+    fx = lambda n: fixture(spark, sf_dir, n)
+    return en.Enrichment(
+        whois=fx("whois"), certs=fx("certs"), dns_records=fx("dns_records"),
+        resolutions=fx("resolutions"), ip_geo=fx("ip_geo"), ct_entries=fx("ct_entries"),
+        redirects=fx("redirects"), pages=fx("page_html").select("url", "html"),
+        reputation=fx("reputation"), gsb_hits=fx("gsb_hits"))
+
+
+def _feature_input(spark, sf_dir) -> DataFrame:
+    """Corpus URLs plus raw page URLs (the enrichment tables know the latter)."""
+    c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
+    p = fixture(spark, sf_dir, "page_html").select((F.col("page_id") + F.lit(100000)).alias("id"), "url")
+    return c.unionByName(p)
+
+
+def _enriched(spark, sf_dir) -> DataFrame:
+    return fz.featurize(_feature_input(spark, sf_dir), "url", enrichment_for(spark, sf_dir), AS_OF_DATE)
+
+
+@register("enriched_features")
+def q_enriched_features(spark, sf_dir):
+    """V16 with J9: all 43 features, network-backed ones from enrichment tables."""
+    return bigints(_enriched(spark, sf_dir).select("id", "url", *feat.FEATURE_KEYS))
+
+
+@register("reputation_enrich")
+def q_reputation(spark, sf_dir):
+    """J7 + J6: engine reputation verdict and safe-browsing flag per URL."""
+    e = _enriched(spark, sf_dir)
+    return bigints(e.select("id", "url", "vt_result", "vt_positives", "vt_total", "vt_ratio", "vt_prob", "gsb_flagged"))
+
+
+def _ensemble(spark, sf_dir) -> DataFrame:
+    e = vd.with_rule_verdict(_enriched(spark, sf_dir))
+    ms = fixture(spark, sf_dir, "model_scores").select(F.col("page_id").alias("_mid"), "rf_prob", "nn_prob")
+    e = e.join(ms, e["id"] == F.col("_mid"), "left").drop("_mid")
+    return vd.with_ensemble(vd.with_model_inputs(e))
+
+
+@register("ensemble_verdicts")
+def q_ensemble(spark, sf_dir):
+    """Model inputs, dynamic weights, votes, decision, risk, reasons."""
+    v = _ensemble(spark, sf_dir)
+    return bigints(v.select(
+        "id", "url", "rule_score", "rf_result", "rf_confidence", "nn_result", "nn_confidence",
+        "weighted_score", "votes", "result", "confidence", F.col("risk.level").alias("risk_level"),
+        F.array_join("reason_codes", ",").alias("reasons")))
+
+
+def scoring_inputs(spark, sf_dir) -> sc.ScoringInputs:
+    fu, fdm = _feed_sets(spark, sf_dir)
+    li = sc.ListInputs(static_allowlist=static_allowlist_for(spark),
+                       dynamic_allowlist=_dynamic_allowlist(spark, sf_dir),
+                       feed_urls=fu, feed_domains=fdm)
+    ms = fixture(spark, sf_dir, "model_scores").select(F.col("page_id").alias("id"), "rf_prob", "nn_prob")
+    return sc.ScoringInputs(lists=li, enrichment=enrichment_for(spark, sf_dir), model_scores=ms, as_of=AS_OF_DATE)
+
+
+def scan_requests(spark, sf_dir) -> DataFrame:
+    """Requests: corpus URLs and the scan-log URLs (internal pages included)."""
+    c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
+    s = fixture(spark, sf_dir, "scans").select((F.col("id") + F.lit(1_000_000_000)).alias("id"), "url")
+    return c.unionByName(s)
+
+
+def routed(spark, sf_dir) -> DataFrame:
+    return sc.score_requests(scan_requests(spark, sf_dir), scoring_inputs(spark, sf_dir))
+
+
+@register("routed_verdicts")
+def q_routed(spark, sf_dir):
+    """V12 (T1 batch form): validation -> skip -> allow-lists -> blocklist -> scoring."""
+    v = routed(spark, sf_dir)
+    rt = F.col("route")
+    return bigints(v.select(
+        "id", "url", "route", F.col("final_result").alias("result"), F.col("final_confidence").alias("confidence"),
+        "risk_level", "whitelist_source", "reasons",
+        F.when(rt == "scored", F.col("weighted_score")).alias("weighted_score"),
+        F.when(rt == "scored", F.col("votes")).alias("votes")))
+
+
+@register("scan_log_rows")
+def q_scan_log_rows(spark, sf_dir):
+    """V13 + S11: the rows a scoring run appends to the scan log."""
+    return bigints(sc.scan_log_rows(routed(spark, sf_dir)))
+
+
+@register("verdict_counters")
+def q_counters(spark, sf_dir):
+    """Service counters over the routed verdicts."""
+    return bigints(sc.counters(routed(spark, sf_dir)))
+
+
+@register("verdict_documents")
+def q_documents(spark, sf_dir):
+    """Nested verdict document per request (struct + JSON)."""
+    return sc.verdict_document(routed(spark, sf_dir)).select("id", "route", "verdict_json")

@@ -20,6 +20,7 @@ from ..operators import enrich as en
 from ..operators import featurize as fz
 from ..operators import matching as m
 from ..operators import verdict as vd
+from ..session import materialize
 
 
 @dataclass
@@ -61,15 +62,20 @@ def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id
                    url_col: str = "url") -> DataFrame:
     """Full verdict per request row."""
     r = requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("raw_url"))
-    r = (r.withColumn("error", U.validation_error(F.col("raw_url")))
-          .withColumn("url", F.when(F.col("error").isNull(), U.normalize_url(F.col("raw_url"))))
+    r = r.withColumn("error", U.validation_error(F.col("raw_url")))
+    r = U.with_normalized(r, "raw_url", "_norm")
+    r = (r.withColumn("url", F.when(F.col("error").isNull(), F.col("_norm"))).drop("_norm")
           .withColumn("skipped", F.coalesce(U.is_skipped(F.col("url")), F.lit(False))))
-    f = fz.lexical_features(r, "url")
-    scored_hosts = f.where(F.col("error").isNull() & ~F.col("skipped")).select("host")
-    flags = _host_flags(scored_hosts, inputs.lists)
+    # the featurised request table feeds four branches (rows, hosts, URLs,
+    # enrichment); write it once
+    f = materialize(fz.lexical_features(r, "url"), "scored-requests")
+    # Flags are computed for every distinct host / URL: routing already puts
+    # invalid and skipped rows first, and a filter on these derived columns
+    # would be pushed down through (and expand) the URL projections.
+    flags = _host_flags(f.select("host"), inputs.lists)
     hits = None
     if inputs.lists.feed_urls is not None:
-        hits = m.feed_url_hits(f.where(F.col("error").isNull()).select("url"), inputs.lists.feed_urls)
+        hits = m.feed_url_hits(f.select("url"), inputs.lists.feed_urls)
     # two joins for the URL rows: the host table (enrichment + list flags)
     # and the URL table (enrichment + exact feed hits)
     f = en.enrich_features(f, inputs.enrichment, "url", inputs.as_of,

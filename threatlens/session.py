@@ -70,3 +70,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written snapshots."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back.
+
+    Used where one expensive intermediate (e.g. the featurised URL table)
+    feeds several branches: it is computed once instead of once per branch,
+    the lineage is cut (a lost executor re-reads files instead of recomputing
+    the chain), and the optimizer no longer pushes filters into -- and
+    expands -- the expressions that produced it.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
