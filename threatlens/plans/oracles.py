@@ -279,3 +279,34 @@ SELECT count(*) FILTER (WHERE route = 'scored')::BIGINT AS total_scans,
   count(*) FILTER (WHERE route = 'scored' AND vt_result = 'UNAVAILABLE')::BIGINT AS vt_unavailable,
   count(*) FILTER (WHERE route = 'scored' AND gsb_flagged)::BIGINT AS gsb_flagged_count
 FROM ({_ROUTED}) r""", _ROUTE_CTES)
+
+
+# ---- ML ------------------------------------------------------------------------------------
+_LABELLED = ("labelled AS (SELECT page_id, url, CASE WHEN page_id % 8 IN (1, 2, 3, 4, 6) THEN 'phishing' ELSE 'safe' END AS label "
+             "FROM url_corpus)")
+ORACLES["labelled_corpus"] = o.with_fixtures(["url_corpus"], """
+SELECT page_id, url, label, (dense_rank() OVER (ORDER BY label) - 1)::BIGINT AS label_index,
+  (label = 'phishing')::BIGINT AS y FROM labelled""", _LABELLED)
+ORACLES["train_test_split"] = o.with_fixtures(["url_corpus"], """
+SELECT page_id, url, b AS bucket, CASE WHEN b < 80 THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, (('0x' || substr(md5(url), 1, 8))::BIGINT % 100)::BIGINT AS b FROM labelled) x""", _LABELLED)
+ORACLES["class_distribution"] = o.with_fixtures(["url_corpus"], """
+SELECT label, count(*)::BIGINT AS n FROM labelled GROUP BY label""", _LABELLED)
+ORACLES["training_set"] = o.with_fixtures(["url_corpus", "reports"], """
+SELECT url, (label = 'phishing')::BIGINT AS y, 'base' AS source, 1::BIGINT AS copy FROM labelled
+UNION ALL
+SELECT url, CASE WHEN lower(label) = 'safe' THEN 0 ELSE 1 END::BIGINT AS y, 'verified' AS source, c.copy::BIGINT AS copy
+FROM verified, (SELECT unnest(range(1, 6)) AS copy) c WHERE used_in_train = 0""", ",\n".join([_LABELLED, _VER]))
+ORACLES["model_evaluation"] = o.with_fixtures(["url_corpus", "model_scores"], """
+SELECT tp, fp, tn, fn,
+  CASE WHEN n > 0 THEN (tp + tn)::DOUBLE / n ELSE 0.0 END AS accuracy,
+  CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS recall,
+  CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0
+       THEN 2.0 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / ((tp::DOUBLE / (tp + fp)) + (tp::DOUBLE / (tp + fn)))
+       ELSE 0.0 END AS f1
+FROM (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::BIGINT AS tp, count(*) FILTER (WHERE y = 0 AND p = 1)::BIGINT AS fp,
+             count(*) FILTER (WHERE y = 0 AND p = 0)::BIGINT AS tn, count(*) FILTER (WHERE y = 1 AND p = 0)::BIGINT AS fn,
+             count(*) AS n
+      FROM (SELECT (l.label = 'phishing')::INT AS y, (m.rf_prob > 0.5)::INT AS p
+            FROM labelled l JOIN model_scores m ON l.page_id = m.page_id) j) c""", _LABELLED)

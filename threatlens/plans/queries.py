@@ -502,3 +502,65 @@ def q_counters(spark, sf_dir):
 def q_documents(spark, sf_dir):
     """Nested verdict document per request (struct + JSON)."""
     return sc.verdict_document(routed(spark, sf_dir)).select("id", "route", "verdict_json")
+
+
+# ---- S3, ML1, ML2, SET4, ML7, ML10, A15 ---------------------------------------------------
+
+from ..operators import ml  # noqa: E402
+
+
+def _labelled_corpus(spark, sf_dir) -> DataFrame:
+    """url_corpus with a text label (phishing-like variants are 'phishing')."""
+    c = fixture(spark, sf_dir, "url_corpus")
+    lab = F.when(F.pmod(F.col("page_id"), F.lit(8)).isin(1, 2, 3, 4, 6), F.lit("phishing")).otherwise(F.lit("safe"))
+    df = c.select("page_id", "url", lab.alias("label"))
+    label_col, url_col = ml.resolve_columns(df.columns)  # S3 column discovery
+    return df.select("page_id", F.col(url_col).alias("url"), F.col(label_col).alias("label"))
+
+
+@register("labelled_corpus")
+def q_labelled_corpus(spark, sf_dir):
+    """S3 + ML1: labelled rows, alphabetical label index, explicit 0/1 target."""
+    return bigints(ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+                   .select("page_id", "url", "label", "label_index", "y"))
+
+
+@register("train_test_split")
+def q_split(spark, sf_dir):
+    """ML2: deterministic hash split 80/20."""
+    return bigints(ml.train_test_split(_labelled_corpus(spark, sf_dir)).select("page_id", "url", "bucket", "split"))
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    """Label histogram of the labelled corpus."""
+    return rp.class_distribution(_labelled_corpus(spark, sf_dir))
+
+
+def _training_union(spark, sf_dir):
+    base = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    return ml.training_union(base, cs.pending_training_rows(_verified_after(spark, sf_dir)))
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    """SET4: base rows plus each pending verified report five times."""
+    return bigints(_training_union(spark, sf_dir))
+
+
+@register("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    """ML7: confusion counts and metrics of the tree-model scores."""
+    lab = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    ms = fixture(spark, sf_dir, "model_scores")
+    pred = lab.join(ms, "page_id").withColumn("prediction", (F.col("rf_prob") > F.lit(0.5)).cast("int"))
+    return bigints(ml.evaluation(pred))
+
+
+@register("retrain_run")
+def q_retrain_run(spark, sf_dir):
+    """ML9 + ML10: retrain on corpus + verified reports, gate on accuracy."""
+    base = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    r = ml.retrain(base, cs.pending_training_rows(_verified_after(spark, sf_dir)))
+    return spark.createDataFrame([(r.status, float(r.accuracy), r.n_train, r.n_test, r.new_safe, r.new_phishing)],
+                                 "status string, accuracy double, n_train bigint, n_test bigint, new_safe bigint, new_phishing bigint")
