@@ -310,3 +310,8 @@ FROM (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::BIGINT AS tp, count(*) FIL
              count(*) AS n
       FROM (SELECT (l.label = 'phishing')::INT AS y, (m.rf_prob > 0.5)::INT AS p
             FROM labelled l JOIN model_scores m ON l.page_id = m.page_id) j) c""", _LABELLED)
+
+ORACLES["windowed_scan_activity"] = o.with_fixtures(["scans"], """
+SELECT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end,
+  count(*)::BIGINT AS scans, sum(CASE WHEN result = 'PHISHING' THEN 1 ELSE 0 END)::BIGINT AS phishing
+FROM scans WHERE url NOT ILIKE 'http://localhost%' AND url NOT ILIKE 'chrome://%' GROUP BY 1, 2""")

@@ -17,6 +17,7 @@ from ..functions import urls
 from ..operators import featurize as fz
 from ..operators import verdict as vd
 from ..sources.fixtures import fixture
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -564,3 +565,29 @@ def q_retrain_run(spark, sf_dir):
     r = ml.retrain(base, cs.pending_training_rows(_verified_after(spark, sf_dir)))
     return spark.createDataFrame([(r.status, float(r.accuracy), r.n_train, r.n_test, r.new_safe, r.new_phishing)],
                                  "status string, accuracy double, n_train bigint, n_test bigint, new_safe bigint, new_phishing bigint")
+
+
+# ---- T4, T5, T6 -------------------------------------------------------------------------------
+
+from ..streaming import jobs as sj  # noqa: E402
+from ..streaming import state as st  # noqa: E402
+
+
+@register("throttle_decisions")
+def q_throttle(spark, sf_dir):
+    """T4 batch form: sliding-log throttle per user, 2 calls per 6 hours."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return st.throttle(ev, "user_id", "ts", limit=2, window_s=6 * 3600).select("event_id", "user_id", "limited")
+
+
+@register("cache_reuse")
+def q_cache_reuse(spark, sf_dir):
+    """T5 batch form: TTL result reuse per normalised URL over the scan log."""
+    s = fixture(spark, sf_dir, "scans").select("id", urls.normalize_url(F.col("url")).alias("key"), "timestamp")
+    return st.ttl_reuse(s, "key", "timestamp").select("id", "key", "cache_hit")
+
+
+@register("windowed_scan_activity")
+def q_windowed_activity(spark, sf_dir):
+    """T6 (batch form of the watermarked stream): scans per day window."""
+    return bigints(sj.windowed_activity(_scans(spark, sf_dir)))
