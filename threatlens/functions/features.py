@@ -97,8 +97,16 @@ def brand_impersonation(d: Column) -> Column:
     dc = strip_www(F.lower(d))
     parts = labels(dc)
     sld = F.try_element_at(parts, F.lit(-2))
-    hit = F.exists(lit_array(lists.BRANDS), lambda b: F.contains(dc, b) & (sld != b))
-    return (F.size(parts) >= 2) & F.coalesce(hit, F.lit(False))
+    return (F.size(parts) >= 2) & brand_hit(dc, sld)
+
+
+def brand_hit(dc: Column, sld: Column) -> Column:
+    """Some brand occurs in the host and is not its second-level label.
+    Unrolled into an OR chain: compiled code beats a per-element lambda."""
+    hit = F.lit(False)
+    for b in lists.BRANDS:
+        hit = hit | (dc.contains(b) & F.coalesce(sld != F.lit(b), F.lit(True)))
+    return hit
 
 
 def typosquatting(d: Column) -> Column:
@@ -111,13 +119,16 @@ def typosquatting(d: Column) -> Column:
 
 
 def first_brand_decision(sld: Column) -> Column:
-    """Fold over BRANDS in order keeping the first decision: an exact brand
-    gives False, an edit distance of at most 2 gives True, else undecided."""
-    def step(acc, b):
-        lev = F.levenshtein(sld, b, 2)
-        here = F.when(sld == b, F.lit(False)).when((lev >= 0) & (lev <= 2), F.lit(True))
-        return F.coalesce(acc, here)
-    return F.coalesce(F.aggregate(lit_array(lists.BRANDS), F.lit(None).cast("boolean"), step), F.lit(False))
+    """First decision over BRANDS in list order: an exact brand gives False,
+    an edit distance of at most 2 gives True.  One CASE chain (compiled);
+    the 3-argument levenshtein stops early and returns -1 beyond 2."""
+    decision = None
+    for b in lists.BRANDS:
+        lev = F.levenshtein(sld, F.lit(b), 2)
+        decision = (F.when(sld == F.lit(b), F.lit(False)) if decision is None
+                    else decision.when(sld == F.lit(b), F.lit(False)))
+        decision = decision.when((lev >= 0) & (lev <= 2), F.lit(True))
+    return decision.otherwise(F.lit(False))
 
 
 def homograph_attack(d: Column) -> Column:
@@ -129,8 +140,9 @@ def path_exempt(d: Column) -> Column:
     """Host is (a subdomain of) a trusted service or an academic or
     government suffix."""
     dd = F.lower(d)
-    cond = F.exists(lit_array(lists.PATH_KEYWORD_EXEMPT),
-                    lambda t: (dd == t) | F.endswith(dd, F.concat(F.lit("."), t)))
+    cond = F.lit(False)
+    for t in lists.PATH_KEYWORD_EXEMPT:
+        cond = cond | (dd == F.lit(t)) | dd.endswith("." + t)
     parts = labels(dd)
     last = F.element_at(parts, -1)
     last2 = F.array_join(F.slice(parts, -2, 2), ".")
@@ -193,21 +205,66 @@ def feature_vector_columns() -> list[Column]:
     return out
 
 
+_COLUMN_CACHE: dict = {}
+
+
+def _memo(key, build):
+    """Column expressions that refer to columns by name are reusable; build
+    each set once per SparkContext (building them is thousands of py4j
+    calls, the plan itself is unaffected)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (id(sc), key)
+    if k not in _COLUMN_CACHE:
+        _COLUMN_CACHE[k] = build()
+    return _COLUMN_CACHE[k]
+
+
 def with_lexical_features(df, url_col: str, scheme: str, path: str, query: str, host: str):
     """Staged projection of :func:`lexical_feature_columns`: label arrays,
     the second-level label and the lower-cased path are projected once and
     every rule then reads those columns."""
+    stage1, stage2, stage3, cols = _memo(("lexical", url_col, scheme, path, query, host),
+                                         lambda: _lexical_stages(url_col, scheme, path, query, host))
+    df = df.select("*", *stage1).select("*", *stage2).select("*", *stage3)
+    df = df.select("*", *cols)
+    return df.drop("_f_p", "_f_dc", "_f_parts", "_f_label1", "_f_dparts", "_f_sld2", "_f_sld")
+
+
+def _sq(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_rules(dc: str, sld: str, sld2: str, dparts: str, d: str) -> dict[str, Column]:
+    """The four list-heavy rules as single SQL expressions (one parse on the
+    JVM instead of hundreds of py4j calls); same logic as the Column forms."""
+    typo = " ".join(f"WHEN `{sld}` = {_sq(b)} THEN false WHEN levenshtein(`{sld}`, {_sq(b)}, 2) BETWEEN 0 AND 2 THEN true"
+                    for b in lists.BRANDS)
+    brand = " OR ".join(f"(contains(`{dc}`, {_sq(b)}) AND coalesce(`{sld2}` <> {_sq(b)}, true))" for b in lists.BRANDS)
+    exempt = " OR ".join(f"lower(`{d}`) = {_sq(t)} OR endswith(lower(`{d}`), {_sq('.' + t)})" for t in lists.PATH_KEYWORD_EXEMPT)
+    tlds = ", ".join(_sq(t) for t in lists.SUSPICIOUS_TLDS)
+    return {
+        "typosquatting": F.expr(f"(length(`{sld}`) >= 4) AND (CASE {typo} ELSE false END)"),
+        "brand_impersonation": F.expr(f"(size(`{dparts}`) >= 2) AND ({brand})"),
+        "_exempt_listed": F.expr(f"({exempt})"),
+        "suspicious_tld": F.expr(f"contains(`{d}`, '.') AND concat('.', substring_index(`{d}`, '.', -1)) IN ({tlds})"),
+    }
+
+
+def _lexical_stages(url_col, scheme, path, query, host):
     d = F.col(host)
-    df = df.select("*", F.lower(F.col(path)).alias("_f_p"), strip_www(F.lower(d)).alias("_f_dc"),
-                   labels(d).alias("_f_parts"),
-                   F.substring_index(strip_www(d), ".", 1).alias("_f_label1"))
-    df = df.select("*", labels(F.col("_f_dc")).alias("_f_dparts"))
+    stage1 = [F.lower(F.col(path)).alias("_f_p"), strip_www(F.lower(d)).alias("_f_dc"),
+              labels(d).alias("_f_parts"), F.substring_index(strip_www(d), ".", 1).alias("_f_label1")]
+    stage2 = [labels(F.col("_f_dc")).alias("_f_dparts")]
     dparts = F.col("_f_dparts")
-    df = df.select("*", F.try_element_at(dparts, F.lit(-2)).alias("_f_sld2"),
-                   F.when(F.size(dparts) >= 2, F.try_element_at(dparts, F.lit(-2))).otherwise(F.col("_f_dc")).alias("_f_sld"),
-                   shannon_entropy(F.col("_f_label1")).alias("domain_entropy"))
+    stage3 = [F.try_element_at(dparts, F.lit(-2)).alias("_f_sld2"),
+              F.when(F.size(dparts) >= 2, F.try_element_at(dparts, F.lit(-2))).otherwise(F.col("_f_dc")).alias("_f_sld"),
+              shannon_entropy(F.col("_f_label1")).alias("domain_entropy")]
     dc, sld, sld2, p, url = F.col("_f_dc"), F.col("_f_sld"), F.col("_f_sld2"), F.col("_f_p"), F.col(url_col)
-    brand = F.coalesce(F.exists(lit_array(lists.BRANDS), lambda b: F.contains(dc, b) & (sld2 != b)), F.lit(False))
+    rules = _sql_rules("_f_dc", "_f_sld", "_f_sld2", "_f_dparts", host)
+    parts = labels(F.lower(d))
+    exempt = rules["_exempt_listed"] | ((F.size(parts) >= 2) & (F.element_at(parts, -1).isin(lists.PATH_EXEMPT_TLDS)
+                                        | F.array_join(F.slice(parts, -2, 2), ".").isin(lists.PATH_EXEMPT_TLD2)))
     q = F.col(query)
     cols = {
         "url_length": F.length(url),
@@ -225,15 +282,14 @@ def with_lexical_features(df, url_col: str, scheme: str, path: str, query: str,
         "has_query": F.length(q) > 0,
         "query_param_count": F.when(q == "", F.lit(0)).otherwise(F.size(F.split(q, "&", -1))),
         "domain_has_digits": d.rlike("[0-9]"),
-        "suspicious_tld": suspicious_tld(d),
+        "suspicious_tld": rules["suspicious_tld"],
         "has_double_slash": p.contains("//"),
         "longest_word_length": longest_word_length(url),
         "high_entropy_domain": F.col("domain_entropy") > F.lit(3.5),
-        "brand_impersonation": (F.size(F.col("_f_dparts")) >= 2) & brand,
-        "typosquatting": (F.length(sld) >= 4) & first_brand_decision(sld),
+        "brand_impersonation": rules["brand_impersonation"],
+        "typosquatting": rules["typosquatting"],
         "homograph_attack": dc.contains("xn--") | dc.rlike(r"[^\x00-\x7F]"),
         "gsb_flagged": F.lit(False),
-        "path_login_keyword": any_contains(p, lists.PATH_SUSPICIOUS_WORDS) & ~path_exempt(d),
+        "path_login_keyword": any_contains(p, lists.PATH_SUSPICIOUS_WORDS) & ~exempt,
     }
-    df = df.select("*", *[c.alias(k) for k, c in cols.items()])
-    return df.drop("_f_p", "_f_dc", "_f_parts", "_f_label1", "_f_dparts", "_f_sld2", "_f_sld")
+    return stage1, stage2, stage3, [c.alias(k) for k, c in cols.items()]
