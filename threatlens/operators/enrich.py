@@ -166,11 +166,17 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("url").agg(
+    g = u.groupBy("url").agg(
         F.max("hops").alias("hops"), F.max("final_target").alias("final_target"),
         F.max("html").alias("page_html"), F.max("vt_m").alias("vt_malicious"),
         F.max("vt_s").alias("vt_suspicious"), F.max("vt_h").alias("vt_harmless"),
         F.max("gsb").alias("gsb"), F.max("feed").alias("feed"))
+    # page content is analysed here, once per distinct URL, so the HTML is
+    # never carried through the join to the (many more) request rows
+    from ..functions.urls import host_of_netloc
+    g = g.withColumn("_ph", host_of_netloc(netloc_of(F.col("url")))).withColumn("page_html", F.lower(F.col("page_html")))
+    g = g.withColumns(page_columns(F.col("page_html"), F.col("_ph"), lowered=True))
+    return g.drop("_ph", "page_html")
 
 
 def redirect_columns(url: Column) -> dict[str, Column]:
@@ -228,14 +234,12 @@ def enrich_features(df: DataFrame, enr: Enrichment, url_col: str = "url", as_of=
     if uf is not None:
         uf = uf.withColumnRenamed("url", "_furl")
         out = out.join(uf, out[url_col] == uf["_furl"], "left").drop("_furl")
-        out = out.withColumn("page_html", F.lower(F.col("page_html")))
         cols = {}
         cols.update(redirect_columns(F.col(url_col)))
-        cols.update(page_columns(F.col("page_html"), F.col(host_col), lowered=True))
         cols.update(reputation_columns())
         cols["gsb_flagged"] = F.coalesce(F.col("gsb") == 1, F.lit(False))
         cols["in_feed_url"] = F.coalesce(F.col("feed") == 1, F.lit(False))
-        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "final_target", "page_html", "gsb", "feed")
+        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "final_target", "gsb", "feed")
     from ..functions.features import DEEP_DEFAULTS
     fills = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in DEEP_DEFAULTS.items() if k in out.columns}
     return out.withColumns(fills)

@@ -35,6 +35,23 @@ def lexical_features(df: DataFrame, url_col: str = "url", keep_host: bool = True
     return out if keep_host else out.drop("host")
 
 
+def url_level_features(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """``host`` plus the 11 URL-level features and ``_path_kw``; the 13
+    host-only features and the exemption flag come from a host table
+    (:func:`threatlens.functions.features.host_feature_table`), joined later
+    by :func:`finish_path_keyword`."""
+    staged = urls.with_split(df, url_col, "_u")
+    staged = staged.withColumn("host", urls.host_of_netloc(F.col("_u_netloc")))
+    out = feat.with_url_features(staged, url_col, "_u_scheme", "_u_path", "_u_query", exempt=None)
+    return out.drop(*urls.split_cols("_u"))
+
+
+def finish_path_keyword(df: DataFrame) -> DataFrame:
+    """path_login_keyword = path keyword and host not exempt (after the join)."""
+    return (df.withColumn("path_login_keyword", F.col("_path_kw") & ~F.coalesce(F.col("_path_exempt"), F.lit(False)))
+              .drop("_path_kw", "_path_exempt"))
+
+
 def with_deep_defaults(df: DataFrame) -> DataFrame:
     """Fills any missing network-backed feature with its 'unknown' value."""
     add = [F.lit(v).alias(k) for k, v in feat.DEEP_DEFAULTS.items() if k not in df.columns]

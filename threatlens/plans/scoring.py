@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import features as feat
 from ..functions import lists
 from ..functions import urls as U
 from ..operators import enrich as en
@@ -66,20 +67,21 @@ def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id
     r = U.with_normalized(r, "raw_url", "_norm")
     r = (r.withColumn("url", F.when(F.col("error").isNull(), F.col("_norm"))).drop("_norm")
           .withColumn("skipped", F.coalesce(U.is_skipped(F.col("url")), F.lit(False))))
-    # the featurised request table feeds four branches (rows, hosts, URLs,
-    # enrichment); write it once
-    f = materialize(fz.lexical_features(r, "url"), "scored-requests")
-    # Flags are computed for every distinct host / URL: routing already puts
-    # invalid and skipped rows first, and a filter on these derived columns
-    # would be pushed down through (and expand) the URL projections.
-    flags = _host_flags(f.select("host"), inputs.lists)
+    # the URL-level table feeds three branches (rows, distinct hosts,
+    # distinct URLs); write it once
+    f = materialize(fz.url_level_features(r, "url"), "scored-requests")
+    # host table: the 13 host-only features are computed once per distinct
+    # host, next to the list flags; it joins the URL rows together with the
+    # host-keyed enrichment (one join)
+    hosts = feat.host_feature_table(f, "host")
+    flags = _host_flags(hosts.select("host"), inputs.lists)
+    host_cols = hosts.join(flags, "host", "left")
     hits = None
     if inputs.lists.feed_urls is not None:
         hits = m.feed_url_hits(f.select("url"), inputs.lists.feed_urls)
-    # two joins for the URL rows: the host table (enrichment + list flags)
-    # and the URL table (enrichment + exact feed hits)
     f = en.enrich_features(f, inputs.enrichment, "url", inputs.as_of,
-                           extra_host_flags=flags, flagged_urls=hits)
+                           extra_host_flags=host_cols, flagged_urls=hits)
+    f = fz.finish_path_keyword(f)
     if "vt_result" not in f.columns:
         f = f.withColumns({"vt_result": F.lit("UNAVAILABLE"), "vt_positives": F.lit(0), "vt_total": F.lit(0),
                            "vt_ratio": F.lit("N/A"), "vt_prob": F.lit(0.0)})
