@@ -61,11 +61,19 @@ def with_deep_defaults(df: DataFrame) -> DataFrame:
 def featurize(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None) -> DataFrame:
     """All 43 features.  ``enrichment`` is an
     :class:`threatlens.operators.enrich.Enrichment`; None means defaults."""
-    out = lexical_features(df, url_col)
-    if enrichment is not None:
-        from .enrich import enrich_features
-        out = enrich_features(out, enrichment, url_col=url_col, as_of=as_of)
-    return with_deep_defaults(out)
+    if enrichment is None:
+        return with_deep_defaults(lexical_features(df, url_col))
+    # with enrichment the rows meet a host table anyway: host-only features
+    # are computed there once per distinct host; the URL-level table feeds
+    # both sides, so it is written once
+    from ..session import materialize
+    from .enrich import enrich_features
+    u = materialize(url_level_features(df, url_col), "featurize-urls")
+    hosts = feat.host_feature_table(u, "host")
+    out = enrich_features(u, enrichment, url_col=url_col, as_of=as_of, extra_host_flags=hosts)
+    order = list(df.columns) + ["host"] + [k for k in feat.FEATURE_KEYS]
+    out = with_deep_defaults(finish_path_keyword(out))
+    return out.select(*order, *[c for c in out.columns if c not in order])
 
 
 def feature_table(df: DataFrame, url_col: str = "url", key_cols=(), enrichment=None,

@@ -18,6 +18,7 @@ from ..operators import featurize as fz
 from ..operators import verdict as vd
 from ..sources.fixtures import fixture
 from ..sources.tables import read_table
+from ..session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -171,9 +172,11 @@ def _probe_urls(spark, sf_dir) -> DataFrame:
     """Normalised corpus URLs plus plain page URLs, with their hosts."""
     c = fixture(spark, sf_dir, "url_corpus").select("url")
     p = fixture(spark, sf_dir, "page_html").select("url")
-    u = c.unionByName(p).select(urls.normalize_url(F.col("url")).alias("url")).distinct()
-    nl = urls.netloc_of(F.col("url"))
-    return u.select("url", urls.host_of_netloc(nl).alias("host"))
+    u = urls.with_normalized(c.unionByName(p), "url", "n").select(F.col("n").alias("url")).distinct()
+    u = urls.with_split(u, "url", "_p")
+    u = u.select("url", urls.host_of_netloc(F.col("_p_netloc")).alias("host"))
+    # probed by several joins (hosts, URLs): written once
+    return materialize(u, "probe-urls")
 
 
 def static_allowlist_for(spark) -> DataFrame:
