@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.features import round3
+from ..functions.features import _memo, round3
 
 
 def _b(name: str) -> Column:
@@ -41,12 +41,21 @@ def rule_score(prefix: str = "") -> Column:
 
 def with_rule_verdict(df: DataFrame) -> DataFrame:
     """V1: rule_score, rule_result, rule_confidence."""
-    s = F.col("rule_score")
-    return (df.withColumn("rule_score", rule_score())
-              .withColumn("rule_result", F.when(s >= 4, F.lit("PHISHING")).otherwise(F.lit("SAFE")))
-              .withColumn("rule_confidence",
-                          F.when(s >= 4, F.least(F.lit(50) + s * 5, F.lit(95)))
-                           .otherwise(F.least(F.lit(60) + (F.lit(10) - s) * 3, F.lit(95)))))
+    def build():
+        s = F.col("rule_score")
+        return ([("rule_score", rule_score())],
+                [("rule_result", F.when(s >= 4, F.lit("PHISHING")).otherwise(F.lit("SAFE"))),
+                 ("rule_confidence", F.when(s >= 4, F.least(F.lit(50) + s * 5, F.lit(95)))
+                  .otherwise(F.least(F.lit(60) + (F.lit(10) - s) * 3, F.lit(95))))])
+    st1, st2 = _memo(("rule",), build)
+    return _add(_add(df, st1), st2)
+
+
+def _add(df: DataFrame, named) -> DataFrame:
+    """One select adding ``(name, column)`` pairs, replacing same-named columns."""
+    names = {n for n, _ in named}
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*keep, *[c.alias(n) for n, c in named])
 
 
 # ---- V10 --------------------------------------------------------------------
@@ -73,6 +82,11 @@ def with_model_inputs(df: DataFrame, rf_prob: str = "rf_prob", nn_prob: str = "n
     verdict with probability 0.9 / 0.1 (V4); a NULL net probability means no
     net, and the net term then reuses the tree probability.
     """
+    st1, st2 = _memo(("model", rf_prob, nn_prob), lambda: _model_cols(rf_prob, nn_prob))
+    return _add(_add(df, st1), st2)
+
+
+def _model_cols(rf_prob, nn_prob):
     rf = F.col(rf_prob).cast("double")
     nn = F.col(nn_prob).cast("double")
     rule_p = F.when(F.col("rule_result") == "PHISHING", _d(0.9)).otherwise(_d(0.1))
@@ -81,12 +95,9 @@ def with_model_inputs(df: DataFrame, rf_prob: str = "rf_prob", nn_prob: str = "n
         (F.greatest(rf, _d(1.0) - rf) * _d(100.0)).cast("int"))
     nn_res = F.when(nn.isNull(), F.lit(None).cast("string")).when(nn > _d(0.5), F.lit("PHISHING")).otherwise(F.lit("SAFE"))
     nn_conf = F.when(nn.isNull(), F.lit(0)).otherwise((F.greatest(nn, _d(1.0) - nn) * _d(100.0)).cast("int"))
-    return (df.withColumn("rf_result", rf_res)
-              .withColumn("rf_confidence", rf_conf)
-              .withColumn("rf_p", F.coalesce(rf, rule_p))
-              .withColumn("nn_result", nn_res)
-              .withColumn("nn_confidence", nn_conf)
-              .withColumn("nn_p", F.coalesce(nn, F.col("rf_p"))))
+    return ([("rf_result", rf_res), ("rf_confidence", rf_conf), ("rf_p", F.coalesce(rf, rule_p)),
+             ("nn_result", nn_res), ("nn_confidence", nn_conf)],
+            [("nn_p", F.coalesce(nn, F.col("rf_p")))])
 
 
 # ---- V5-V9, V11 -------------------------------------------------------------
@@ -95,6 +106,12 @@ def with_ensemble(df: DataFrame) -> DataFrame:
     """V5-V9 + V10 + V11 over columns rf_result, rf_p, rf_confidence,
     nn_result, nn_p, nn_confidence, vt_result, vt_positives, vt_prob,
     gsb_flagged and the features."""
+    for stage in _memo(("ensemble",), _ensemble_stages):
+        df = _add(df, stage)
+    return df.drop("_w")
+
+
+def _ensemble_stages():
     rf_p, nn_p = F.col("rf_p"), F.col("nn_p")
     vt_pos = F.coalesce(F.col("vt_positives"), F.lit(0))
     vt_unavail = F.col("vt_result") == "UNAVAILABLE"
@@ -104,7 +121,6 @@ def with_ensemble(df: DataFrame) -> DataFrame:
     w = (F.when(agreement >= _d(0.8), F.array(_d(0.60), _d(0.25), _d(0.10), _d(0.05)))
           .when(agreement >= _d(0.5), F.array(_d(0.45), _d(0.20), _d(0.25), _d(0.10)))
           .otherwise(F.array(_d(0.25), _d(0.15), _d(0.45), _d(0.15))))
-    df = df.withColumn("_w", w)
     rw, nw, vw, gw = (F.col("_w")[i] for i in range(4))
     t = rw + nw + gw
     rw2 = F.when(vt_unavail, rw / t).otherwise(rw)
@@ -127,7 +143,6 @@ def with_ensemble(df: DataFrame) -> DataFrame:
         + F.when(_b("brand_impersonation"), 2).otherwise(0))
     override = gsb | (vt_pos >= 3)
     votes = F.when(override, F.lit(99)).otherwise(signal_votes)
-    df = df.withColumn("weighted_score_raw", score).withColumn("votes", votes)
     s, v = F.col("weighted_score_raw"), F.col("votes")
     both = (F.col("rf_result") == "PHISHING") & F.coalesce(F.col("nn_result") == "PHISHING", F.lit(False))
     thr = F.when(both, _d(0.42)).otherwise(_d(0.62))
@@ -140,11 +155,14 @@ def with_ensemble(df: DataFrame) -> DataFrame:
               .when(all_safe, F.lit("SAFE"))
               .when(s >= _d(0.35), F.lit("SUSPICIOUS"))
               .otherwise(F.lit("SAFE")))
-    df = df.withColumn("result", final).drop("_w")
-    df = df.withColumn("confidence", F.greatest(F.col("rf_confidence"), F.coalesce(F.col("nn_confidence"), F.lit(0))).cast("int"))
-    df = df.withColumn("weighted_score", round3(F.col("weighted_score_raw")))
-    df = df.withColumn("risk", risk_struct(F.col("weighted_score_raw"), F.col("result")))
-    return df.withColumn("reason_codes", reason_codes())
+    return [
+        [("_w", w)],
+        [("weighted_score_raw", score), ("votes", votes)],
+        [("result", final),
+         ("confidence", F.greatest(F.col("rf_confidence"), F.coalesce(F.col("nn_confidence"), F.lit(0))).cast("int")),
+         ("weighted_score", round3(F.col("weighted_score_raw")))],
+        [("risk", risk_struct(F.col("weighted_score_raw"), F.col("result"))), ("reason_codes", reason_codes())],
+    ]
 
 
 def reason_codes() -> Column:
