@@ -92,3 +92,14 @@ def test_votes_override_score(spark):
     r = vd.with_ensemble(vd.with_model_inputs(f)).first()
     assert (r.rule_score, r.rule_result, r.votes, r.result, r.risk.level) == (3, "SAFE", 5, "PHISHING", "MEDIUM")
     assert abs(r.weighted_score_raw - 0.0941) < 1e-3
+
+
+def test_request_sources(spark, tmp_path):
+    from threatlens.sources import files as fl
+    p = tmp_path / "urls.txt"
+    p.write_text("  http://a.test/x \n\n# http://b.test\nftp://c\nhttps://d.test\n")
+    assert [r.url for r in fl.read_url_file(spark, str(p)).collect()] == ["http://a.test/x", "https://d.test"]
+    j = tmp_path / "batch.json"
+    j.write_text('{"urls": ["u%d"]}\n' % 0 + '{"urls": [%s]}\n' % ",".join(f'"v{i}"' for i in range(60)))
+    b = fl.read_batch_requests(spark, str(j)).collect()
+    assert len(b) == 1 + 50

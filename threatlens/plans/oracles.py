@@ -315,3 +315,6 @@ ORACLES["windowed_scan_activity"] = o.with_fixtures(["scans"], """
 SELECT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end,
   count(*)::BIGINT AS scans, sum(CASE WHEN result = 'PHISHING' THEN 1 ELSE 0 END)::BIGINT AS phishing
 FROM scans WHERE url NOT ILIKE 'http://localhost%' AND url NOT ILIKE 'chrome://%' GROUP BY 1, 2""")
+
+ORACLES["url_file_lines"] = o.with_fixtures(["feed_lines"], f"""
+SELECT url FROM (SELECT {o.strip_sql('line')} AS url FROM feed_lines) x WHERE url <> '' AND starts_with(url, 'http')""")

@@ -594,3 +594,13 @@ def q_cache_reuse(spark, sf_dir):
 def q_windowed_activity(spark, sf_dir):
     """T6 (batch form of the watermarked stream): scans per day window."""
     return bigints(sj.windowed_activity(_scans(spark, sf_dir)))
+
+
+from ..sources import files as fl  # noqa: E402
+
+
+@register("url_file_lines")
+def q_url_file_lines(spark, sf_dir):
+    """URL lines of an uploaded list (the raw feed lines used as file text)."""
+    lines = fixture(spark, sf_dir, "feed_lines").select(F.col("line").alias("value"))
+    return fl.url_lines(lines)
