@@ -81,3 +81,26 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 50
+
+
+def test_throttle_stream_equals_batch(spark, tmp_path):
+    rows = _random_calls(n=600, keys=4, seed=9)
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp")
+    src = str(tmp_path / "calls")
+    df.write.parquet(src)
+    out = str(tmp_path / "out")
+
+    def sink(b, epoch_id):
+        b.write.mode("append").parquet(out)
+
+    stream = spark.readStream.schema(df.schema).parquet(src).select("k", "ts")
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # state store partitions of this small stream
+    q = (st.throttle_stream(stream, "k", "ts", limit=30, window_s=60, idle_timeout=False).writeStream.outputMode("append")
+         .foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(240)
+    q.stop()
+    spark.conf.set("spark.sql.shuffle.partitions", prev)
+    got = sorted((r.k, r.ts, r.limited) for r in spark.read.parquet(out).collect())
+    want = sorted((r.k, r.ts, r.limited) for r in st.throttle(df, "k", "ts", limit=30, window_s=60).collect())
+    assert got == want

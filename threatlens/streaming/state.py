@@ -93,9 +93,10 @@ def ttl_reuse(df: DataFrame, key: str, ts: str, ttl_s: float = lists.CACHE_TTL_S
 # ---- stream form --------------------------------------------------------------------------
 
 def throttle_stream(stream: DataFrame, key: str, ts: str, limit: int = lists.RATE_LIMIT,
-                    window_s: float = lists.RATE_WINDOW_SECONDS) -> DataFrame:
-    """T4 on a stream: state per key = accepted times inside the window; keys
-    idle for longer than the window time out (the periodic clean-up)."""
+                    window_s: float = lists.RATE_WINDOW_SECONDS, idle_timeout: bool = True) -> DataFrame:
+    """T4 on a stream: state per key = accepted times inside the window; with
+    ``idle_timeout`` keys idle for longer than the window time out (the
+    periodic clean-up of a long-running stream; bounded runs pass False)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     out_schema = f"{key} long, {ts} timestamp, limited boolean"
@@ -113,9 +114,10 @@ def throttle_stream(stream: DataFrame, key: str, ts: str, limit: int = lists.RAT
             for t in pdf[ts]:
                 rows.append((k[0], t, log.step(pd.Timestamp(t).timestamp())))
         state.update((list(log.log),))
-        state.setTimeoutDuration(int(window_s * 1000))
+        if idle_timeout:
+            state.setTimeoutDuration(int(window_s * 1000))
         if rows:
             yield pd.DataFrame(rows, columns=[key, ts, "limited"])
 
-    return stream.groupBy(key).applyInPandasWithState(
-        fn, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout else GroupStateTimeout.NoTimeout
+    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
