@@ -104,3 +104,37 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     got = sorted((r.k, r.ts, r.limited) for r in spark.read.parquet(out).collect())
     want = sorted((r.k, r.ts, r.limited) for r in st.throttle(df, "k", "ts", limit=30, window_s=60).collect())
     assert got == want
+
+
+def test_scoring_stream_and_jobs(spark, sf_dir, tmp_path):
+    """T1 stream = batch on the same requests; T2 writes a versioned feed
+    snapshot; T3 one watcher tick matches the batch consensus."""
+    from threatlens.plans import queries as Q
+    from threatlens.plans import scoring as sc
+    from threatlens.sources.fixtures import fixture
+    from threatlens.sources import feeds as fd
+    req = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
+    src = str(tmp_path / "req")
+    req.write.parquet(src)
+    inputs = Q.scoring_inputs(spark, sf_dir)
+    q = sj.start_scoring_stream(spark, src, req.schema, inputs, str(tmp_path / "verdicts"), str(tmp_path / "scans"),
+                                str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    got = sorted((r.id, r.final_result) for r in spark.read.parquet(str(tmp_path / "verdicts")).collect())
+    want = sorted((r.id, r.final_result) for r in sc.score_requests(req, inputs).collect())
+    assert got == want and len(got) == req.count()
+
+    lines = fixture(spark, sf_dir, "feed_lines")
+    cat = lines.select("source", "format").distinct()
+    paths = sj.refresh_feeds(lines, cat, str(tmp_path / "feeds"), "v1")
+    u, d = fd.feed_sets(fd.parse_feed_lines(lines))
+    assert spark.read.parquet(paths["feed_urls"]).count() == u.count()
+    assert spark.read.parquet(paths["feed_domains"]).count() == d.count()
+
+    reports = fixture(spark, sf_dir, "reports")
+    empty = spark.createDataFrame([], "url string, label string, report_count int, verified_at timestamp, used_in_train int")
+    verified, new_reports, trig = sj.watch_reports(reports, empty, "2024-02-01 00:00:00")
+    from threatlens.operators import consensus as cs
+    c = cs.report_consensus(reports)
+    assert verified.count() == c.where(F.col("decision").isin("safe", "phishing")).count()
+    assert trig.first()["pending"] == verified.count()
