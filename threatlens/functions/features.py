@@ -48,8 +48,6 @@ def count_char(s: Column, ch: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
 
 
-def lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
 
 
 def any_contains(s: Column, words) -> Column:
@@ -158,38 +156,6 @@ def longest_word_length(url: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0))
 
 
-def lexical_feature_columns(url: Column, scheme: Column, path: Column, query: Column,
-                            d: Column) -> dict[str, Column]:
-    """The URL-only features, keyed by name (types: int / boolean / double)."""
-    p = F.lower(path)
-    ent = domain_entropy(d)
-    return {
-        "url_length": F.length(url),
-        "has_ip": d.rlike(r"([0-9]{1,3}\.){3}[0-9]{1,3}"),
-        "has_at": url.contains("@"),
-        "is_https": scheme == F.lit("https"),
-        "suspicious_keywords": any_contains(d, lists.DOMAIN_SUSPICIOUS_WORDS),
-        "dot_count": count_char(d, "."),
-        "subdomain_count": F.greatest(F.lit(0), F.size(labels(d)) - F.lit(2)),
-        "has_redirect": (F.length(url) - F.length(F.replace(url, F.lit("//"), F.lit("")))) > F.lit(2),
-        "has_hex": url.contains("%"),
-        "domain_length": F.length(d),
-        "path_depth": count_char(p, "/"),
-        "has_dash_in_domain": d.contains("-"),
-        "has_query": F.length(query) > 0,
-        "query_param_count": F.when(query == "", F.lit(0)).otherwise(F.size(F.split(query, "&", -1))),
-        "domain_has_digits": d.rlike("[0-9]"),
-        "suspicious_tld": suspicious_tld(d),
-        "has_double_slash": p.contains("//"),
-        "longest_word_length": longest_word_length(url),
-        "domain_entropy": ent,
-        "high_entropy_domain": ent > F.lit(3.5),
-        "brand_impersonation": brand_impersonation(d),
-        "typosquatting": typosquatting(d),
-        "homograph_attack": homograph_attack(d),
-        "gsb_flagged": F.lit(False),
-        "path_login_keyword": any_contains(p, lists.PATH_SUSPICIOUS_WORDS) & ~path_exempt(d),
-    }
 
 
 def lexical_feature_names() -> list[str]:
@@ -201,12 +167,6 @@ def lexical_feature_names() -> list[str]:
             "gsb_flagged", "path_login_keyword"]
 
 
-def feature_vector_columns() -> list[Column]:
-    """43 numeric columns in vector order (booleans as 0/1) for assembling."""
-    out = []
-    for k in FEATURE_KEYS:
-        out.append(F.col(k).cast("double").alias(k))
-    return out
 
 
 _COLUMN_CACHE: dict = {}

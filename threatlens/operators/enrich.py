@@ -41,13 +41,6 @@ class Enrichment:
     gsb_hits: DataFrame | None = None       # url
 
 
-HOST_KEYS = ["domain_age_days", "is_new_domain", "ssl_cert_age_days", "new_ssl_cert",
-             "dns_resolves", "has_mx_record", "has_spf_record", "high_risk_country",
-             "is_proxy_hosting", "cert_transparency_count", "low_cert_history"]
-URL_KEYS = ["redirect_hop_count", "redirect_domain_changed", "redirect_chain_suspicious",
-            "has_password_field", "title_brand_mismatch", "has_hidden_iframe",
-            "form_external_action", "page_html", "vt_malicious", "vt_suspicious", "vt_harmless",
-            "gsb_flagged"]
 
 
 def _age(created: Column, as_of: Column) -> Column:

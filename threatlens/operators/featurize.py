@@ -16,11 +16,6 @@ from ..functions import features as feat
 from ..functions import urls
 
 
-def with_url_parts(df: DataFrame, url_col: str = "url", prefix: str = "u_") -> DataFrame:
-    """Adds U1 parts and the U3(a) host as columns ``{prefix}scheme`` ... ``{prefix}host``."""
-    p = urls.url_split(F.col(url_col))
-    return (df.withColumn(f"{prefix}parts", p)
-              .withColumn(f"{prefix}host", urls.host_of_netloc(F.col(f"{prefix}parts.netloc"))))
 
 
 def lexical_features(df: DataFrame, url_col: str = "url", keep_host: bool = True) -> DataFrame:
