@@ -103,3 +103,19 @@ def test_request_sources(spark, tmp_path):
     j.write_text('{"urls": ["u%d"]}\n' % 0 + '{"urls": [%s]}\n' % ",".join(f'"v{i}"' for i in range(60)))
     b = fl.read_batch_requests(spark, str(j)).collect()
     assert len(b) == 1 + 50
+
+
+def test_neural_net_and_cross_validation(spark, sf_dir):
+    """ML5/ML6 (standardise + 43-64-128-64-32-2 net) and ML8 (hash folds)."""
+    from threatlens.operators import ml
+    from threatlens.plans import queries as Q
+    base = ml.encode_labels(Q._labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    vec = ml.feature_vectors(base, "url").select("url", "y", "features")
+    model = ml.neural_classifier().fit(vec)
+    pred = ml.with_probability(model.transform(vec))
+    m = ml.evaluation(pred).first()
+    assert m["tp"] + m["fp"] + m["tn"] + m["fn"] == vec.count()
+    assert m["accuracy"] >= 0.9  # the variants are separable by the URL features
+    from pyspark.ml.classification import RandomForestClassifier
+    folds = ml.cross_validate(vec, RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=20, seed=42), 5)
+    assert len(folds) == 5 and all(0.0 <= a <= 1.0 for a in folds)
