@@ -119,3 +119,17 @@ def test_neural_net_and_cross_validation(spark, sf_dir):
     from pyspark.ml.classification import RandomForestClassifier
     folds = ml.cross_validate(vec, RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=20, seed=42), 5)
     assert len(folds) == 5 and all(0.0 <= a <= 1.0 for a in folds)
+
+
+def test_verdict_document(spark):
+    """V11 messages (numbers filled in) and the V15 nested document."""
+    import json
+    req = spark.createDataFrame([(1, "http://a.b.c.d.e.f.paypal-login.tk/x"), (2, "https://ok.test/")], "id long, url string")
+    li = sc.ListInputs(static_allowlist=mt.list_df(spark, ["ok.test"], "domain"))
+    docs = {r.id: json.loads(r.verdict_json) for r in sc.verdict_document(sc.score_requests(req, sc.ScoringInputs(lists=li))).collect()}
+    d1 = docs[1]
+    assert d1["result"] == "PHISHING" and d1["risk"]["level"] in ("MEDIUM", "HIGH", "CRITICAL")
+    assert "Unusually high subdomain depth (6 levels)" in d1["reasons"]
+    assert "Domain uses a high-risk TLD" in d1["reasons"]
+    assert set(d1["models"]) == {"random_forest", "lstm", "virustotal", "google_safebrowsing"}
+    assert docs[2]["whitelisted"] is True and docs[2]["whitelist_source"] == "static_whitelist"
