@@ -24,7 +24,9 @@ def scan_totals(scans: DataFrame) -> DataFrame:
                   F.count_if(F.col("result") == "SUSPICIOUS").alias("suspicious"))
     return t.select("total", "phishing", "suspicious",
                     (F.col("total") - F.col("phishing") - F.col("suspicious")).alias("safe"),
-                    F.when(F.col("total") > 0, F.round(F.col("phishing") / F.col("total") * 100, 1))
+                    F.when(F.col("total") > 0,
+                           # 1 place, half up on the binary value: same formula in every engine
+                           F.floor(F.col("phishing") / F.col("total") * F.lit(1000.0) + F.lit(0.5)).cast("double") / F.lit(10.0))
                      .otherwise(F.lit(0.0)).alias("phishing_rate"))
 
 

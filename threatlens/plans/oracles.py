@@ -150,7 +150,7 @@ _NOT_LOCAL = "url NOT ILIKE 'http://localhost%'"
 _NOT_BROWSER = "url NOT ILIKE 'chrome://%' AND url NOT ILIKE 'about:%'"
 ORACLES["scan_totals"] = o.with_fixtures(["scans"], """
 SELECT total, phishing, suspicious, (total - phishing - suspicious)::BIGINT AS safe,
-  CASE WHEN total > 0 THEN round(phishing / total * 100, 1) ELSE 0.0 END AS phishing_rate
+  CASE WHEN total > 0 THEN floor(phishing / total * 1000.0 + 0.5) / 10.0 ELSE 0.0 END AS phishing_rate
 FROM (SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE result = 'PHISHING')::BIGINT AS phishing,
              count(*) FILTER (WHERE result = 'SUSPICIOUS')::BIGINT AS suspicious FROM scans) t""")
 ORACLES["dashboard_kpis"] = o.with_fixtures(["scans"], f"""
