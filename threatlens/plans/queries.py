@@ -586,8 +586,14 @@ def q_throttle(spark, sf_dir):
 @register("cache_reuse")
 def q_cache_reuse(spark, sf_dir):
     """T5 batch form: TTL result reuse per normalised URL over the scan log."""
-    s = fixture(spark, sf_dir, "scans").select("id", urls.normalize_url(F.col("url")).alias("key"), "timestamp")
-    return st.ttl_reuse(s, "key", "timestamp").select("id", "key", "cache_hit")
+    s = urls.with_normalized(fixture(spark, sf_dir, "scans").select("id", "url", "timestamp"), "url", "key")
+    s = s.withColumn("skipped", urls.is_skipped(F.col("key")))
+    # two branches filter on derived columns: write the table once first
+    s = materialize(s.select("id", "key", "timestamp", "skipped"), "cache-requests")
+    # skipped internal pages are answered before the cache and never stored
+    folded = st.ttl_reuse(s.where(~F.col("skipped")).select("id", "key", "timestamp"), "key", "timestamp")
+    passed = s.where(F.col("skipped")).select("id", "key", F.lit(False).alias("cache_hit"))
+    return folded.select("id", "key", "cache_hit").unionByName(passed)
 
 
 @register("windowed_scan_activity")
