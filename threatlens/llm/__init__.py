@@ -1,0 +1,11 @@
+"""Training-data operators over document tables.
+
+Nothing else in the library imports this subpackage.  Functions that run in
+Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
