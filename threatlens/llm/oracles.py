@@ -9,3 +9,40 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) = 1 AS kept, text_sha256
 FROM d"""
+
+#: Kinds in their order: pattern, group whose length counts, least length.
+_KINDS = {
+    "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"""
+               r"""|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["\']?\x20*[:=]\x20*["\']?"""
+               r"""([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": (r"AKIA[A-Z0-9]+", 0, 20),
+    "hex": (r"[0-9a-f]+", 0, 24),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+}
+
+
+def _secret_scan() -> str:
+    parts = []
+    for k, (kind, (pattern, group, least)) in enumerate(_KINDS.items()):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+SELECT doc_id, {k} AS k, '{kind}' AS kind, pos - n AS s, pos AS e FROM (
+  SELECT doc_id, n, v, sum(g + n) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM (
+    SELECT doc_id, unnest(range(len(m))) AS i, unnest(list_transform(m, lambda x: length(x))) AS n,
+           unnest(list_transform(regexp_extract_all(t, {p}, {group}), lambda x: length(x))) AS v,
+           unnest(list_transform(string_split_regex(t, {p})[:len(m)], lambda x: length(x))) AS g
+    FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS m FROM d))) WHERE v >= {least}""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+       count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLES["op1_secret_scan"] = _secret_scan()

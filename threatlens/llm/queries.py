@@ -4,8 +4,9 @@ columns out."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, langid, packing, secrets, simhash
 from .common import documents
 
 QUERIES: dict = {}
@@ -18,6 +19,17 @@ def register(name: str):
     return deco
 
 
+@register("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets of every document."""
+    df = secrets.scan(documents(spark, sf_dir))
+    base = [r.kind for r in secrets.BASE_RULES]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return df.select("doc_id", *[count(k).alias(f"n_{k}") for k in base],
+                     F.sha2(secrets.joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
+                     .alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 @register("op2_exact_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, size and verdict of every document."""
@@ -35,3 +47,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs)).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
