@@ -286,11 +286,13 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model:
 def predict(docs: DataFrame, model: Model, passed: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row; with ``passed`` those
     columns of the row instead of doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the data
+    # A few MB, whatever the data; plain arrays, so that workers need no copy of this package to read it.
+    parts = (model.languages, model.table, model.bias, model.temperature, model.threshold)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
     names = passed or ["doc_id"]
 
     def run(batches):
-        own = Predictor(shared.value)
+        own = Predictor(Model(*shared.value))
         m = own.model
         for batch in batches:
             data, off = text_buffer(batch.column(0))

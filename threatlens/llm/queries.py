@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, secrets, simhash
+from . import exact_dedup, langid, packing, secret_scan, simhash
 from .common import documents
 
 QUERIES: dict = {}
@@ -22,12 +22,12 @@ def register(name: str):
 @register("op1_secret_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of the secrets of every document."""
-    df = secrets.scan(documents(spark, sf_dir))
-    base = [r.kind for r in secrets.BASE_RULES]
+    df = secret_scan.scan(documents(spark, sf_dir))
+    base = [r.kind for r in secret_scan.BASE_RULES]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return df.select("doc_id", *[count(k).alias(f"n_{k}") for k in base],
-                     F.sha2(secrets.joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
-                     .alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+                     F.sha2(secret_scan.joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256)
+                     .alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
 @register("op2_exact_dedup")
