@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, secret_scan, simhash
+from . import exact_dedup, langid, packing, quality, secret_scan, simhash
+from ..sources.tables import read_table
 from .common import documents
 
 QUERIES: dict = {}
@@ -43,6 +44,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@register("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = documents(spark, sf_dir)
+    forest = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, forest).select(
+        "doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @register("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
