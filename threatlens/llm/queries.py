@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, secret_scan, simhash
+from . import exact_dedup, langid, packing, quality, secret_scan, simhash, token_store
 from ..sources.tables import read_table
 from .common import documents
 
@@ -44,6 +44,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@register("op4_token_store")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the files."""
+    return token_store.stored_documents(documents(spark, sf_dir))
+
+
 @register("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
