@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, secret_scan, simhash, token_store
+from . import exact_dedup, langid, packing, quality, secret_scan, simhash, token_store, topk
 from ..sources.tables import read_table
 from .common import documents
 
@@ -59,6 +59,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@register("op6_exact_top_k")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
