@@ -34,7 +34,7 @@ from .bytebpe import WordTable, mixed, word_keys
 from .common import row_slices, text_buffer, text_or_empty
 
 #: Bound of the training sample, in documents.
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
 #: Words that a training text contributes at most to one step of the descent
 #: (a contiguous stretch at a random place; its other words serve other steps).
 STEP_WORDS = 64

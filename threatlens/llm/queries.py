@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, quality, secret_scan, simhash, token_store, topk
+from . import exact_dedup, langid, lexicon, packing, quality, secret_scan, simhash, token_store, topk
 from ..sources.tables import read_table
 from .common import documents
 
@@ -65,6 +65,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+@register("op8_lexicon_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and checksums of every document's ids and decoded text."""
+    docs = documents(spark, sf_dir)
+    return lexicon.encode(docs, lexicon.build_lexicon(docs))
+
+
 @register("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
