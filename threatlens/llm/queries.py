@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lexicon, packing, quality, secret_scan, simhash, token_store, topk
+from . import exact_dedup, langid, lexicon, line_dedup, packing, quality, secret_scan, simhash, token_store, topk
 from ..sources.tables import read_table
 from .common import documents
 
@@ -65,6 +65,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+@register("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of lines and the lines that go of every document."""
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 @register("op8_lexicon_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and checksums of every document's ids and decoded text."""
