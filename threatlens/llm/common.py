@@ -30,6 +30,17 @@ def text_or_empty(df: DataFrame, col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def doc_key(df: DataFrame, col: str = "doc_id"):
+    """The identifier as a long; null counts as the smallest long."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(-(1 << 63)))
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``id``, ``text`` (null: empty) and ``row``, the whole row as a struct, so
+    that no other column's name can clash with an operator's own."""
+    return docs.select(doc_key(docs).alias("id"), text_or_empty(docs).alias("text"), F.struct("*").alias("row"))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``.
 Cases: a null text counts as empty, and empty texts equal each other.  Of equal
 texts the one with the most code points stays, then the smallest ``doc_id``.
 Rows that repeat a ``doc_id`` and text are copies like any others; the filter
-keeps one of them.  An empty table gives no rows.  Only ``doc_id`` and ``text``
+keeps one of them.  A null doc_id counts as -2**63.  An empty table gives no rows.  Only ``doc_id`` and ``text``
 are read; the filter passes every other column on.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, staged, text_or_empty
+from .common import doc_key, parallelism, staged, text_or_empty, wrapped
 
 RADIX_BITS = 4
 #: Rows of a run that a worker sorts at a time.
@@ -47,7 +47,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, sha (32 bytes) of the normalised text, n_cp (code points of the
     original)."""
     text = text_or_empty(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return docs.select(doc_key(docs).alias("doc_id"),
                        F.unhex(F.sha2(normalised(text), 256)).alias("sha"),
                        F.char_length(text).cast("long").alias("n_cp"))
 
@@ -149,10 +149,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, all their columns."""
+    key = ["id", "sha", "cp"]
     kept = classes(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_cp").alias("_cp")).distinct()
-    text = text_or_empty(docs)
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": F.sha2(normalised(text), 256),
-                              "_cp": F.char_length(text).cast("long")})
-    key = ["_id", "_sha", "_cp"]
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("n_cp").alias("cp")).distinct()
+    rows = wrapped(docs).select("id", F.sha2(normalised(F.col("text")), 256).alias("sha"),
+                                F.char_length("text").cast("long").alias("cp"), "row")
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import WordTable, mixed, word_keys
-from .common import row_slices, text_buffer, text_or_empty
+from .common import row_slices, text_buffer, text_or_empty, wrapped
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 3000
@@ -53,8 +53,8 @@ TABLE_WORDS = 300_000
 
 
 def held_out(doc_id):
-    """crc32(doc_id as text) mod 3 is 1."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """crc32(doc_id as text) mod 3 is 1; rows without a doc_id are held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def letters_table() -> np.ndarray:
@@ -283,14 +283,12 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model, passed: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row; with ``passed`` those
-    columns of the row instead of doc_id."""
+def predict(docs: DataFrame, model: Model, passed: str = "doc_id") -> DataFrame:
+    """``passed`` (a column that goes through), lang_pred, score, rejected for
+    every row."""
     # A few MB, whatever the data; plain arrays, so that workers need no copy of this package to read it.
     parts = (model.languages, model.table, model.bias, model.temperature, model.threshold)
     shared = docs.sparkSession.sparkContext.broadcast(parts)
-    names = passed or ["doc_id"]
-
     def run(batches):
         own = Predictor(Model(*shared.value))
         m = own.model
@@ -310,19 +308,17 @@ def predict(docs: DataFrame, model: Model, passed: list[str] | None = None) -> D
                 p = np.where(has, p, 0.0)
                 score.append(p)
                 rejected.append(~has | (p < m.threshold))
-            cols = [batch.column(k + 1) for k in range(len(names))]
-            cols += [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)),
-                     pa.array(np.concatenate(rejected) if rejected else np.zeros(0, bool))]
-            yield pa.RecordBatch.from_arrays(cols, [*(f"c{k}" for k in range(len(names))),
-                                                    "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)),
+                 pa.array(np.concatenate(rejected) if rejected else np.zeros(0, bool))],
+                [passed, "lang_pred", "score", "rejected"])
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in names]
-    schema = ", ".join(f"c{k} {t}" for k, t in enumerate(kinds)) + ", lang_pred string, score double, rejected boolean"
-    rows = docs.select(text_or_empty(docs).alias("_text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
-    out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "lang_pred", "score", "rejected")
+    kind = docs.schema[passed].dataType.simpleString()
+    return docs.select(text_or_empty(docs).alias("_text"), F.col(passed)).mapInArrow(
+        run, f"`{passed}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that aren't rejected, all their columns."""
-    return predict(docs, model, docs.columns).where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    rows = wrapped(docs).select("text", "row")
+    return predict(rows, model, "row").where("not rejected").select("row.*")

@@ -16,7 +16,7 @@ Spans are code points, end exclusive.  Cases: a null text counts as empty and
 has no spans.  Rows that repeat a doc_id are verified each on their own text.
 Spans of different kinds may overlap.  An empty table gives no rows.  Columns
 besides ``doc_id`` and ``text`` are not read by ``scan``; ``redact`` passes
-them on, whatever their names (its own begin with ``_s1_``).
+them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -191,9 +191,11 @@ def _with_spans(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _verified(docs: DataFrame, rules=RULES) -> DataFrame:
+    """``_s1_row``, the whole row, with ``_s1_text`` and ``_s1_spans``."""
     index, grams = build_index(docs, rules)
     found = candidates(index, grams, rules)
-    keyed = docs.withColumns({"_s1_id": F.col("doc_id").cast("long"), "_s1_text": text_or_empty(docs)})
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_s1_id"), text_or_empty(docs).alias("_s1_text"),
+                        F.struct("*").alias("_s1_row"))
     # A null doc_id is in no posting list: such rows are verified by every rule.
     mask = F.when(F.col("_s1_id").isNull(), F.lit((1 << len(rules)) - 1)).otherwise(F.coalesce("_s1_mask", F.lit(0)))
     return _with_spans(keyed.join(found, "_s1_id", "left").withColumn("_s1_mask", mask), rules)
@@ -203,8 +205,9 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id and spans: an array of (start, kind, end), by start, then kind
     as listed in ``rules``."""
     name = F.array(*[F.lit(r.kind) for r in rules])
-    return _verified(docs.select("doc_id", "text"), rules).select(
-        "doc_id", F.transform("_s1_spans", lambda s: F.struct(
+    slim = docs.select("doc_id", F.col("text").alias("text"))
+    return _verified(slim, rules).select(
+        F.col("_s1_row.doc_id").alias("doc_id"), F.transform("_s1_spans", lambda s: F.struct(
             s["start"], F.get(name, s["kind"]).alias("kind"), s["end"])).alias("spans"))
 
 
@@ -223,11 +226,12 @@ def redact(docs: DataFrame, rules=RULES, mask: str = MASK) -> DataFrame:
 
     masked = F.aggregate("_s1_spans", start, step, lambda s: F.concat(
         F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.char_length(text))))
-    df = df.withColumn("text", F.when(F.size("_s1_spans") > 0, masked).otherwise(F.col("text")))
+    found = F.size("_s1_spans") > 0
+    new = {"text": F.when(found, masked).otherwise(F.col("_s1_row.text"))}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("_s1_spans") > 0, F.char_length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*[f"`{c}`" for c in docs.columns])
+        new["n_chars"] = F.when(found, F.char_length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(
+            F.col("_s1_row.n_chars"))
+    return df.select(*[new.get(c, F.col("_s1_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:

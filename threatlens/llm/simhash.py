@@ -19,7 +19,8 @@ sequence; none: zero).  A bit is 1 if set in over half of the shingles' XXH64
 values (seed 42).
 
 Cases: null and empty texts have fingerprint zero and link like any other.
-Rows that repeat a doc_id are copies of it.  An empty table gives no rows.
+Rows that repeat a doc_id are one document, of which the filter keeps one row;
+a null doc_id counts as -2**63.  An empty table gives no rows.
 Only ``doc_id`` and ``text`` are read; the filter passes the others on.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_buffer, text_or_empty
+from .common import doc_key, staged, text_buffer, text_or_empty, wrapped
 from .graph import components
 
 SHINGLE_WORDS = 3
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             fp = [fingerprint(bytes(raw[i:j]), words) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    rows = docs.select(doc_key(docs).alias("doc_id"), text_or_empty(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -191,6 +192,5 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     """The document with the smallest doc_id of each component, all columns;
     of rows that repeat a doc_id, one."""
     kept = near_duplicates(docs, words, max_bits).where("doc_id = component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    return (docs.withColumn("_id", F.col("doc_id").cast("long")).join(kept, "_id", "left_semi")
-            .dropDuplicates(["_id"]).drop("_id"))
+        F.col("doc_id").alias("id")).distinct()
+    return wrapped(docs).join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
