@@ -41,7 +41,8 @@ STEP_WORDS = 64
 BUCKETS = 1 << 16
 DIM = 16
 NGRAMS = (1, 2, 3, 4)
-EPOCHS = 3
+#: Stretches of text that the descent sees in all, in whole rounds over the sample.
+DRAWS = 9000
 BATCH = 16
 RATE = 0.5
 #: Share of correctly recognised texts that the threshold may reject.
@@ -154,9 +155,10 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     use = np.flatnonzero(~cal & (np.diff(words) > 0))
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    steps = max(1, EPOCHS * -(-len(use) // BATCH))
+    epochs = -(-DRAWS // max(1, len(use)))
+    steps = max(1, epochs * -(-len(use) // BATCH))
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs if len(use) else 0):
         order = rng.permutation(use)
         for lo in range(0, len(order), BATCH):
             docs = order[lo:lo + BATCH]

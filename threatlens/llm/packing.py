@@ -5,8 +5,9 @@ are cut; their first piece may be shorter, all others are full).  Pieces are
 dealt at random to shards of bounded size.  Within a shard, best-fit
 decreasing gives a first packing and a swap-based local search empties
 underfull bins: pieces of the emptiest bin move into, or are exchanged
-one-for-one or two-for-one with pieces of, fuller bins, each step raising the
-sum of squared fills, until the bin is empty.  Bins that stay underfull are
+one-for-one or two-for-one with pieces of, fuller bins, and where that fails
+other bins exchange pieces, each step raising the sum of squared fills, until
+the bin is empty.  Bins that stay underfull are
 opened again and their pieces dealt to fewer shards, until one shard is left;
 what a round opens is a few bins a shard, so no shard outgrows its bound.
 
@@ -35,6 +36,8 @@ SHARD_PIECES = 16_384
 OPEN_BELOW = 0.97
 #: Bins that the search fails to empty, one after the other, before it ends.
 PATIENCE = 64
+#: Exchanges between other bins that are tried to make room for one bin.
+EXCHANGES = 16
 #: Shards of a round for each shard of the next.
 FAN_IN = 32
 
@@ -125,10 +128,37 @@ class Bins:
             tried[donor] = True
             if left[left < self.capacity].sum() - left[donor] < fill[donor]:
                 break  # no room for its tokens, however they are exchanged
-            failed = 0 if self._drain(donor, left, items) else failed + 1
+            emptied = self._drain(donor, left, items)
+            for _ in range(EXCHANGES):
+                if emptied or not self._exchange(donor, left, items):
+                    break
+                emptied = self._drain(donor, left, items)
+            failed = 0 if emptied else failed + 1
             items = items[left[self.bin[items]] > 0]
         self.left = left.tolist()
 
+    def _exchange(self, donor: int, left: np.ndarray, items: np.ndarray) -> bool:
+        """Exchange one item for one between two other bins, the exchange that
+        moves most tokens into a bin that is then the fuller one."""
+        others = items[(self.bin[items] != donor) & (left[self.bin[items]] > 0)]
+        if len(others) < 2:
+            return False
+        others = others[np.argsort(self.length[others], kind="stable")]
+        size, bin_ = self.length[others], self.bin[others]
+        room = left[bin_]
+        k = np.searchsorted(size, size + room, side="right") - 1  # the longest that fits in an item's place
+        gain = size[k] - size
+        fill = self.capacity - room
+        gain = np.where((bin_[k] != bin_) & (fill + gain > fill[k]), gain, 0)
+        a = int(np.argmax(gain))
+        if not gain[a]:
+            return False
+        b = int(k[a])
+        left[bin_[a]] -= gain[a]
+        left[bin_[b]] += gain[a]
+        self.bin[others[a]], self.bin[others[b]] = bin_[b], bin_[a]
+        return True
+
     def _drain(self, donor: int, left: np.ndarray, items: np.ndarray) -> bool:
         """Move or exchange items of the donor until it is empty.  Every step
         takes tokens from the emptiest bin to a fuller one, so the sum of

@@ -119,7 +119,11 @@ def replace_pairs(ids: np.ndarray, doc: np.ndarray, first: int, most_rules: int)
         place = np.zeros(len(seq) + 1, np.int32)  # rank of the pair that begins here, from 1 on
         place[may[hit] + 1] = rank[at[hit]]
         here, before, after = place[1:], place[:-1], np.append(place[2:], 0)
-        take = np.flatnonzero((here > 0) & (here > before) & (here >= after))
+        take = np.flatnonzero((here > 0) & (here >= before) & (here >= after))
+        # In a run of one symbol its pairs overlap: every other one is taken.
+        begins = np.r_[True, (take[1:] != take[:-1] + 1) | (here[take[1:]] != here[take[:-1]])] if len(take) else take
+        first_of = np.maximum.accumulate(np.where(begins, np.arange(len(take)), 0)) if len(take) else take
+        take = take[(np.arange(len(take)) - first_of) % 2 == 0]
         number = np.empty(len(good) + 1, np.int64)
         number[rank] = np.arange(len(good))
         which = number[here[take]]
