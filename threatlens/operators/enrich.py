@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.urls import netloc_of, root_of
+from ..functions.urls import host_of_netloc, netloc_of, root_of
 
 
 @dataclass
@@ -37,7 +37,7 @@ class Enrichment:
     ct_entries: DataFrame | None = None     # root, entry_id
     redirects: DataFrame | None = None      # url, hop_no, target
     pages: DataFrame | None = None          # url, html
-    reputation: DataFrame | None = None     # url, malicious, suspicious, harmless
+    reputation: DataFrame | None = None     # url, stats (map of engine verdict -> count)
     gsb_hits: DataFrame | None = None       # url
 
 
@@ -131,12 +131,15 @@ _FORM = r"""<form[^>]*action\s*=\s*["']([^"']+)["']"""
 _TITLE = r"(?s)<title[^>]*>(.*?)</title>"
 
 
+PAGE_KEYS = ["has_password_field", "title_brand_mismatch", "has_hidden_iframe", "form_external_action"]
+
+
 def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFrame | None:
     """Per-URL facts from the URL-keyed sources (one union + one groupBy).
     ``flagged_urls`` (column ``url``) become ``in_feed_url``."""
-    cols = ["url", "hops", "final_target", "html", "vt_m", "vt_s", "vt_h", "gsb", "feed"]
-    nul = {"hops": "int", "final_target": "string", "html": "string", "vt_m": "int", "vt_s": "int",
-           "vt_h": "int", "gsb": "int", "feed": "int"}
+    cols = ["url", "hops", "final_target", *PAGE_KEYS, "vt_m", "vt_s", "vt_t", "gsb", "feed"]
+    nul = {"hops": "int", "final_target": "string", "vt_m": "int", "vt_s": "int", "vt_t": "int", "gsb": "int",
+           "feed": "int"} | {k: "int" for k in PAGE_KEYS}
 
     def proj(df, **given):
         return df.select(*[given[c].alias(c) if c in given else F.lit(None).cast(nul[c]).alias(c) for c in cols])
@@ -146,10 +149,14 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
                                             F.max_by("target", "hop_no").alias("t"))
         parts.append(proj(r, url=F.col("url"), hops=F.col("n"), final_target=F.col("t")))
     if enr.pages is not None:
-        parts.append(proj(enr.pages, url=F.col("url"), html=F.col("html")))
+        # a page is read for four flags in the scan itself; only those are shuffled
+        flags = page_columns(F.col("html"), host_of_netloc(netloc_of(F.col("url"))))
+        parts.append(proj(enr.pages, url=F.col("url"), **{k: v.cast("int") for k, v in flags.items()}))
     if enr.reputation is not None:
-        parts.append(proj(enr.reputation, url=F.col("url"), vt_m=F.col("malicious").cast("int"),
-                          vt_s=F.col("suspicious").cast("int"), vt_h=F.col("harmless").cast("int")))
+        st = F.col("stats")
+        total = F.aggregate(F.map_values(st), F.lit(0), lambda a, x: a + F.coalesce(x.cast("int"), F.lit(0)))
+        parts.append(proj(enr.reputation, url=F.col("url"), vt_m=F.try_element_at(st, F.lit("malicious")).cast("int"),
+                          vt_s=F.try_element_at(st, F.lit("suspicious")).cast("int"), vt_t=total))
     if enr.gsb_hits is not None:
         parts.append(proj(enr.gsb_hits, url=F.col("url"), gsb=F.lit(1)))
     if flagged_urls is not None:
@@ -161,15 +168,10 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
         u = u.unionByName(p)
     g = u.groupBy("url").agg(
         F.max("hops").alias("hops"), F.max("final_target").alias("final_target"),
-        F.max("html").alias("page_html"), F.max("vt_m").alias("vt_malicious"),
-        F.max("vt_s").alias("vt_suspicious"), F.max("vt_h").alias("vt_harmless"),
+        *[F.max(k).alias(k) for k in PAGE_KEYS], F.max("vt_m").alias("vt_malicious"),
+        F.max("vt_s").alias("vt_suspicious"), F.max("vt_t").alias("vt_all"),
         F.max("gsb").alias("gsb"), F.max("feed").alias("feed"))
-    # page content is analysed here, once per distinct URL, so the HTML is
-    # never carried through the join to the (many more) request rows
-    from ..functions.urls import host_of_netloc
-    g = g.withColumn("_ph", host_of_netloc(netloc_of(F.col("url")))).withColumn("page_html", F.lower(F.col("page_html")))
-    g = g.withColumns(page_columns(F.col("page_html"), F.col("_ph"), lowered=True))
-    return g.drop("_ph", "page_html")
+    return g.withColumns({k: F.coalesce(F.col(k) == 1, F.lit(False)) for k in PAGE_KEYS})
 
 
 def redirect_columns(url: Column) -> dict[str, Column]:
@@ -197,12 +199,13 @@ def page_columns(html: Column, host: Column, lowered: bool = False) -> dict[str,
 
 
 def reputation_columns() -> dict[str, Column]:
-    """Positives, total, verdict, ratio text and probability."""
-    m, s, hm = F.col("vt_malicious"), F.col("vt_suspicious"), F.col("vt_harmless")
-    known = m.isNotNull() | s.isNotNull() | hm.isNotNull()
+    """Positives, total, verdict, ratio text and probability.  The total
+    counts every entry of the engines' statistics, undetected and timed-out
+    ones included."""
+    m, s, total = F.col("vt_malicious"), F.col("vt_suspicious"), F.col("vt_all")
+    known = total.isNotNull()
     pos = F.coalesce(m, F.lit(0)) + F.coalesce(s, F.lit(0))
-    tot = pos + F.coalesce(hm, F.lit(0))
-    tot = F.when(tot == 0, F.lit(1)).otherwise(tot)
+    tot = F.when(total == 0, F.lit(1)).otherwise(total)
     return {
         "vt_result": F.when(~known, F.lit("UNAVAILABLE")).when(pos >= 1, F.lit("PHISHING")).otherwise(F.lit("SAFE")),
         "vt_positives": F.when(known, pos).otherwise(F.lit(0)),
@@ -232,7 +235,7 @@ def enrich_features(df: DataFrame, enr: Enrichment, url_col: str = "url", as_of=
         cols.update(reputation_columns())
         cols["gsb_flagged"] = F.coalesce(F.col("gsb") == 1, F.lit(False))
         cols["in_feed_url"] = F.coalesce(F.col("feed") == 1, F.lit(False))
-        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "final_target", "gsb", "feed")
+        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "final_target", "gsb", "feed", "vt_malicious", "vt_suspicious", "vt_all")
     from ..functions.features import DEEP_DEFAULTS
     fills = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in DEEP_DEFAULTS.items() if k in out.columns}
     return out.withColumns(fills)

@@ -5,7 +5,7 @@ All lookups are joins.  Parent-domain walks explode the suffixes of each
 hosts that hit.  The hit tables are what later joins back to the URL rows; they
 are usually far smaller than the URL table, so AQE turns that join into a
 broadcast when the measured size allows, and otherwise shuffles with
-skew-splitting.  Fixed-size reference lists are broadcast explicitly.
+skew-splitting.
 """
 
 from __future__ import annotations
@@ -25,18 +25,6 @@ def list_df(spark: SparkSession, values, name: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is proven small: ``limit(max_rows + 1)``
-    stops reading after ``max_rows + 1`` rows, so the check is cheap even for
-    a large table.  Beyond the bound the join is left to AQE (shuffle join
-    with skew splitting, or a broadcast if the measured size allows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def static_allow_candidates(host) -> Column:
     """J1 candidate names: the host, the host minus a leading 'www.', and
     every parent suffix down to two labels."""
@@ -61,14 +49,12 @@ def feed_domain_candidates(host) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def static_allowlist_hits(hosts: DataFrame, allowlist: DataFrame, host_col: str = "host",
-                          broadcast_list: bool = True) -> DataFrame:
+def static_allowlist_hits(hosts: DataFrame, allowlist: DataFrame, host_col: str = "host") -> DataFrame:
     """Distinct hosts that are allow-listed by the static list.
     ``allowlist`` has one column ``domain``."""
     h = hosts.select(F.col(host_col).alias("host")).distinct()
     cand = h.select("host", F.explode(static_allow_candidates(F.col("host"))).alias("domain"))
     al = allowlist.select("domain").distinct()
-    al = bounded_broadcast(al) if broadcast_list else al
     return cand.join(al, "domain", "left_semi").select("host").distinct()
 
 
@@ -76,7 +62,7 @@ def dynamic_allowlist_hits(hosts: DataFrame, dynamic: DataFrame, host_col: str =
     """Hosts whose 'www.'-free form is in the dynamic list, exact only."""
     h = hosts.select(F.col(host_col).alias("host")).distinct()
     key = F.replace(F.lower(F.col("host")), F.lit("www."), F.lit(""))
-    d = bounded_broadcast(dynamic.select(F.col("domain").alias("_k")).distinct())
+    d = dynamic.select(F.col("domain").alias("_k")).distinct()
     return h.join(d, key == F.col("_k"), "left_semi").select("host")
 
 

@@ -246,7 +246,7 @@ def verified_ctes() -> str:
     return f"""cons AS ({consensus_sql('SELECT * FROM reports')}),
 prior_verified AS (SELECT url, decision AS label, report_count::INT AS report_count,
                           TIMESTAMP '2024-01-01 00:00:00' AS verified_at, 1 AS used_in_train
-                   FROM ({consensus_sql('SELECT * FROM reports WHERE id < 150')}) c WHERE decision IN ('safe', 'phishing')),
+                   FROM ({consensus_sql('SELECT * FROM reports WHERE id % 3 <> 0')}) c WHERE decision IN ('safe', 'phishing')),
 new_verified AS (SELECT url, decision AS label, report_count::INT AS report_count,
                         TIMESTAMP '2024-02-01 00:00:00' AS verified_at, 0 AS used_in_train
                  FROM cons WHERE decision IN ('safe', 'phishing')),
@@ -286,6 +286,8 @@ ENRICH_FIXTURES = ["whois", "certs", "dns_records", "resolutions", "ip_geo", "ct
 
 
 def enrichment_ctes() -> str:
+    title = f"lower(regexp_extract(hh, {q(TITLE)}, 1))"
+    mism = "(" + " OR ".join(f"(contains({title}, {q(b)}) AND NOT contains(lower(ph), {q(b)}))" for b in lists.BRANDS) + ")"
     priv = "(starts_with(r.ip, '10.') OR starts_with(r.ip, '192.168.') OR starts_with(r.ip, '127.'))"
     return f"""hfacts AS (
   SELECT domain, min(created_at) AS created_at, min(not_before) AS not_before, max(a) AS a, max(mx) AS mx,
@@ -309,13 +311,21 @@ hf AS (SELECT domain,
        FROM hfacts),
 ct AS (SELECT root, count(*) AS ct_n FROM ct_entries GROUP BY root),
 ufacts AS (
-  SELECT url, max(hops) AS hops, max(final_target) AS final_target, max(html) AS page_html, max(vt_m) AS vt_malicious,
-         max(vt_s) AS vt_suspicious, max(vt_h) AS vt_harmless, max(gsb) AS gsb
-  FROM (SELECT url, count(*)::INT AS hops, arg_max(target, hop_no) AS final_target, NULL::VARCHAR AS html, NULL::INT AS vt_m,
-               NULL::INT AS vt_s, NULL::INT AS vt_h, NULL::INT AS gsb FROM redirects GROUP BY url
-        UNION ALL SELECT url, NULL, NULL, html, NULL, NULL, NULL, NULL FROM page_html
-        UNION ALL SELECT url, NULL, NULL, NULL, malicious, suspicious, harmless, NULL FROM reputation
-        UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM gsb_hits) u
+  SELECT url, max(hops) AS hops, max(final_target) AS final_target, max(pw) AS pw, max(title) AS title,
+         max(frame) AS frame, max(form) AS form, max(vt_m) AS vt_malicious,
+         max(vt_s) AS vt_suspicious, max(vt_t) AS vt_all, max(gsb) AS gsb
+  FROM (SELECT url, count(*)::INT AS hops, arg_max(target, hop_no) AS final_target, NULL::INT AS pw, NULL::INT AS title,
+               NULL::INT AS frame, NULL::INT AS form, NULL::INT AS vt_m,
+               NULL::INT AS vt_s, NULL::INT AS vt_t, NULL::INT AS gsb FROM redirects GROUP BY url
+        UNION ALL SELECT url, NULL, NULL, (contains(hh, 'type="password"') OR contains(hh, 'type=''password'''))::INT, {mism}::INT,
+                         regexp_matches(hh, {q(IFRAME)})::INT,
+                         coalesce(len(list_filter(regexp_extract_all(hh, {q(FORM)}, 1),
+                                  lambda a: starts_with(a, 'http') AND NOT contains(a, ph))) > 0, false)::INT,
+                         NULL, NULL, NULL, NULL
+                  FROM (SELECT url, lower(html) AS hh, {host_sql('url')} AS ph FROM page_html) pg
+        UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, malicious, suspicious,
+                         malicious + suspicious + harmless + undetected, NULL FROM reputation
+        UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM gsb_hits) u
   GROUP BY url)"""
 
 
@@ -334,19 +344,16 @@ def root_sql(h: str) -> str:
 def enriched_sql(src: str) -> str:
     """All 43 features plus vt_* columns over ``src`` (a lexical feature
     relation with url and host), joined to hf / ct / ufacts CTEs."""
-    hh = "lower(e.page_html)"
-    title = f"lower(regexp_extract({hh}, {q(TITLE)}, 1))"
-    mism = " OR ".join(f"(contains({title}, {q(b)}) AND NOT contains(lower(e.host), {q(b)}))" for b in lists.BRANDS)
     hops = "coalesce(e.hops, 0)"
     ok = f"({hops} > 0 AND {hops} <= 5)"
     changed = f"({ok} AND {etld1_sql('e.url')} <> {etld1_sql('e.final_target')})"
-    known = "(e.vt_malicious IS NOT NULL OR e.vt_suspicious IS NOT NULL OR e.vt_harmless IS NOT NULL)"
+    known = "(e.vt_all IS NOT NULL)"
     pos = "(coalesce(e.vt_malicious, 0) + coalesce(e.vt_suspicious, 0))"
-    tot0 = f"({pos} + coalesce(e.vt_harmless, 0))"
+    tot0 = "e.vt_all"
     tot = f"(CASE WHEN {tot0} = 0 THEN 1 ELSE {tot0} END)"
     ctn = "coalesce(e.ct_n, -1)"
     return f"""
-SELECT e.* EXCLUDE (hops, final_target, page_html, gsb, ct_n, vt_malicious, vt_suspicious, vt_harmless, gsb_flagged,
+SELECT e.* EXCLUDE (hops, final_target, pw, title, frame, form, gsb, ct_n, vt_malicious, vt_suspicious, vt_all, gsb_flagged,
                     domain_age_days, ssl_cert_age_days, dns_resolves, has_mx_record, has_spf_record, high_risk_country,
                     is_proxy_hosting),
   coalesce(e.domain_age_days, -1)::BIGINT AS domain_age_days,
@@ -359,11 +366,8 @@ SELECT e.* EXCLUDE (hops, final_target, page_html, gsb, ct_n, vt_malicious, vt_s
   {ctn}::BIGINT AS cert_transparency_count, ({ctn} >= 0 AND {ctn} <= 2) AS low_cert_history,
   (CASE WHEN {ok} THEN {hops} ELSE 0 END)::BIGINT AS redirect_hop_count,
   {changed} AS redirect_domain_changed, ({ok} AND ({hops} >= 3 OR {changed})) AS redirect_chain_suspicious,
-  (e.page_html IS NOT NULL AND (contains({hh}, 'type="password"') OR contains({hh}, 'type=''password'''))) AS has_password_field,
-  (e.page_html IS NOT NULL AND ({mism})) AS title_brand_mismatch,
-  (e.page_html IS NOT NULL AND regexp_matches({hh}, {q(IFRAME)})) AS has_hidden_iframe,
-  (e.page_html IS NOT NULL AND coalesce(len(list_filter(regexp_extract_all({hh}, {q(FORM)}, 1),
-       lambda a: starts_with(a, 'http') AND NOT contains(a, e.host))) > 0, false)) AS form_external_action,
+  coalesce(e.pw = 1, false) AS has_password_field, coalesce(e.title = 1, false) AS title_brand_mismatch,
+  coalesce(e.frame = 1, false) AS has_hidden_iframe, coalesce(e.form = 1, false) AS form_external_action,
   coalesce(e.gsb = 1, false) AS gsb_flagged,
   CASE WHEN NOT {known} THEN 'UNAVAILABLE' WHEN {pos} >= 1 THEN 'PHISHING' ELSE 'SAFE' END AS vt_result,
   (CASE WHEN {known} THEN {pos} ELSE 0 END)::BIGINT AS vt_positives,

@@ -12,7 +12,7 @@ _CORPUS = "SELECT page_id, url FROM url_corpus"
 ORACLES["url_split"] = o.with_fixtures(["url_corpus"], f"""
 SELECT page_id, url, scheme, netloc, path, params, query, fragment FROM ({o.url_parts_sql(_CORPUS)}) x""")
 
-_NORM_SRC = """SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT id + 1000000000 AS id, url FROM scans"""
+_NORM_SRC = """SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans"""
 _WS = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STRIP = f"regexp_replace(url, '^{_WS}+|{_WS}+$', '', 'g')"
 _PREF = (f"CASE WHEN starts_with(s, 'http://') OR starts_with(s, 'https://') THEN s ELSE 'https://' || s END")
@@ -61,8 +61,8 @@ ORACLES["feed_urls"] = o.with_fixtures(["feed_lines"], "SELECT url FROM feed_url
 ORACLES["feed_domains"] = o.with_fixtures(["feed_lines"], "SELECT domain FROM feed_domains", _FEED)
 ORACLES["feed_stats"] = o.with_fixtures(["feed_lines"], """
 SELECT c.source, coalesce(CASE WHEN c.format IN ('url_per_line', 'url_per_line_skip_hash') THEN s.u ELSE s.d END, 0)::BIGINT AS count,
-  CASE WHEN (CASE WHEN c.format IN ('url_per_line', 'url_per_line_skip_hash') THEN s.u ELSE s.d END) IS NULL THEN 'HTTP ERR' ELSE 'OK' END AS status
-FROM (SELECT DISTINCT source, format FROM feed_lines UNION ALL SELECT 'offline_source', 'url_per_line') c
+  CASE WHEN c.landed THEN 'OK' ELSE 'HTTP ERR' END AS status
+FROM (SELECT DISTINCT source, format, true AS landed FROM feed_lines UNION ALL SELECT 'offline_source', 'url_per_line', false) c
 LEFT JOIN (SELECT source, count(*) FILTER (WHERE kind = 'url') AS u, count(*) FILTER (WHERE kind = 'domain') AS d
            FROM parsed GROUP BY source) s ON s.source = c.source""", _FEED)
 ORACLES["feed_totals"] = o.with_fixtures(["feed_lines"], """
@@ -199,7 +199,7 @@ FROM report_requests""")
 
 # ---- enrichment, ensemble, routing -----------------------------------------------------
 _FEAT_SRC = ("SELECT page_id AS id, url FROM url_corpus UNION ALL "
-             "SELECT page_id + 100000 AS id, url FROM page_html")
+             "SELECT -page_id - 1 AS id, url FROM page_html")
 _ENR = o.enriched_sql(o.lexical_features_sql(_FEAT_SRC))
 _ENR_FIX = ["url_corpus"] + o.ENRICH_FIXTURES
 _FEATURE_KEYS = ["url_length", "has_ip", "has_at", "is_https", "suspicious_keywords", "dot_count", "subdomain_count",
@@ -226,7 +226,7 @@ _ERR = (f"CASE WHEN url IS NULL THEN 'Missing url' WHEN {o.strip_sql('url')} = '
         f"WHEN length({o.strip_sql('url')}) > 2048 THEN 'URL too long (max 2048 chars)' END")
 _REQ = f"""req AS (SELECT id, raw_url, error, CASE WHEN error IS NULL THEN {o.normalize_sql('raw_url')} END AS url FROM (
     SELECT id, url AS raw_url, {_ERR} AS error FROM (
-      SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT id + 1000000000 AS id, url FROM scans) a) b),
+      SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans) a) b),
 req2 AS (SELECT *, coalesce(({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.SKIP_PREFIXES)}), false) AS skipped FROM req),
 lex AS ({o.lexical_features_sql('SELECT * FROM req2')}),
 hflags AS (SELECT host,

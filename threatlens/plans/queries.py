@@ -57,7 +57,7 @@ def q_url_split(spark, sf_dir):
 def q_url_normalize(spark, sf_dir):
     """U2 + U4 + U5 over the corpus and the (messier) scan-log URLs."""
     c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
-    s = fixture(spark, sf_dir, "scans").select(F.col("id") + F.lit(1_000_000_000), "url")
+    s = fixture(spark, sf_dir, "scans").select(-F.col("id") - F.lit(1), "url")
     both = c.unionByName(s.toDF("id", "url"))
     n = urls.normalize_url(F.col("url"))
     return (both.select("id", "url", urls.validation_error(F.col("url")).alias("error"), n.alias("normalized"))
@@ -155,8 +155,8 @@ def q_feed_domains(spark, sf_dir):
 @register("feed_stats")
 def q_feed_stats(spark, sf_dir):
     """Entries per source before de-duplication, with status."""
-    parsed = fd.parse_feed_lines(fixture(spark, sf_dir, "feed_lines"))
-    return fd.feed_stats(parsed, _feed_catalog(spark, sf_dir))
+    lines = fixture(spark, sf_dir, "feed_lines")
+    return fd.feed_stats(lines, fd.parse_feed_lines(lines), _feed_catalog(spark, sf_dir))
 
 
 @register("feed_totals")
@@ -210,9 +210,9 @@ def _consensus(spark, sf_dir):
 
 
 def _prior_verified(spark, sf_dir):
-    """verified_urls before this run: consensus over the first half of the
-    report log, all already used for training."""
-    early = _reports(spark, sf_dir).where(F.col("id") < 150)
+    """verified_urls before this run: consensus over two thirds of
+    the report log, all already used for training."""
+    early = _reports(spark, sf_dir).where(F.col("id") % 3 != 0)
     return (cs.newly_verified(cs.report_consensus(early), PRIOR_TS)
             .withColumn("used_in_train", F.lit(1)))
 
@@ -414,13 +414,16 @@ def enrichment_for(spark, sf_dir) -> en.Enrichment:
         whois=fx("whois"), certs=fx("certs"), dns_records=fx("dns_records"),
         resolutions=fx("resolutions"), ip_geo=fx("ip_geo"), ct_entries=fx("ct_entries"),
         redirects=fx("redirects"), pages=fx("page_html").select("url", "html"),
-        reputation=fx("reputation"), gsb_hits=fx("gsb_hits"))
+        reputation=fx("reputation").select("url", F.create_map(
+            *[x for k in ("malicious", "suspicious", "harmless", "undetected") for x in (F.lit(k), F.col(k))]).alias("stats")),
+        gsb_hits=fx("gsb_hits"))
 
 
 def _feature_input(spark, sf_dir) -> DataFrame:
-    """Corpus URLs plus raw page URLs (the enrichment tables know the latter)."""
+    """Corpus URLs plus raw page URLs (the enrichment tables know the latter);
+    the latter's ids count down from -1, so the two never meet."""
     c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
-    p = fixture(spark, sf_dir, "page_html").select((F.col("page_id") + F.lit(100000)).alias("id"), "url")
+    p = fixture(spark, sf_dir, "page_html").select((-F.col("page_id") - F.lit(1)).alias("id"), "url")
     return c.unionByName(p)
 
 
@@ -470,7 +473,7 @@ def scoring_inputs(spark, sf_dir) -> sc.ScoringInputs:
 def scan_requests(spark, sf_dir) -> DataFrame:
     """Requests: corpus URLs and the scan-log URLs (internal pages included)."""
     c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
-    s = fixture(spark, sf_dir, "scans").select((F.col("id") + F.lit(1_000_000_000)).alias("id"), "url")
+    s = fixture(spark, sf_dir, "scans").select((-F.col("id") - F.lit(1)).alias("id"), "url")
     return c.unionByName(s)
 
 

@@ -61,54 +61,72 @@ def _host_flags(hosts: DataFrame, li: ListInputs) -> DataFrame:
 
 def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id",
                    url_col: str = "url") -> DataFrame:
-    """Full verdict per request row."""
+    """Full verdict per request row.
+
+    Validation, normalisation and list routing run once per distinct request
+    URL; features, enrichment and rules once per distinct URL that no list has
+    decided.  The requests meet both tables in two joins at the end.
+    """
     r = requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("raw_url"))
-    r = r.withColumn("error", U.validation_error(F.col("raw_url")))
-    r = U.with_normalized(r, "raw_url", "_norm")
-    r = (r.withColumn("url", F.when(F.col("error").isNull(), F.col("_norm"))).drop("_norm")
+    u = r.select("raw_url").distinct().withColumn("error", U.validation_error(F.col("raw_url")))
+    u = U.with_normalized(u, "raw_url", "_norm")
+    u = (u.withColumn("url", F.when(F.col("error").isNull(), F.col("_norm"))).drop("_norm")
           .withColumn("skipped", F.coalesce(U.is_skipped(F.col("url")), F.lit(False))))
-    # the URL-level table feeds three branches (rows, distinct hosts,
-    # distinct URLs); write it once
-    f = materialize(fz.url_level_features(r, "url"), "scored-requests")
-    # host table: the 13 host-only features are computed once per distinct
-    # host, next to the list flags; it joins the URL rows together with the
-    # host-keyed enrichment (one join)
-    hosts = feat.host_feature_table(f, "host")
-    flags = _host_flags(hosts.select("host"), inputs.lists)
-    host_cols = hosts.join(flags, "host", "left")
-    hits = None
+    u = U.with_split(u, "url", "_u").withColumn("host", U.host_of_netloc(F.col("_u_netloc")))
+    u = materialize(u.select("raw_url", "error", "url", "skipped", "host"), "request-urls")
+    # lists: only hosts and URLs that are neither invalid nor skipped ask them
+    asks = F.col("error").isNull() & ~F.col("skipped")
+    flags = _host_flags(u.where(asks).select("host"), inputs.lists).select(
+        F.col("host").alias("_fhost"), "in_static", "in_dynamic", "in_feed_domain")
+    ask_host = F.when(asks, F.col("host"))
+    routed = u.withColumn("_ask", ask_host).join(flags, F.col("_ask") == F.col("_fhost"), "left").drop("_ask", "_fhost")
     if inputs.lists.feed_urls is not None:
-        hits = m.feed_url_hits(f.select("url"), inputs.lists.feed_urls)
-    f = en.enrich_features(f, inputs.enrichment, "url", inputs.as_of,
-                           extra_host_flags=host_cols, flagged_urls=hits)
-    f = fz.finish_path_keyword(f)
-    if "vt_result" not in f.columns:
-        f = f.withColumns({"vt_result": F.lit("UNAVAILABLE"), "vt_positives": F.lit(0), "vt_total": F.lit(0),
-                           "vt_ratio": F.lit("N/A"), "vt_prob": F.lit(0.0)})
-    if "in_feed_url" not in f.columns:
-        f = f.withColumn("in_feed_url", F.lit(False))
-    f = fz.with_deep_defaults(f)
-    f = vd.with_rule_verdict(f)
+        hits = m.feed_url_hits(u.where(asks).select("url"), inputs.lists.feed_urls)
+        routed = routed.join(hits.select(F.col("url").alias("_hit")).distinct(), F.col("url") == F.col("_hit"), "left")
+        routed = routed.withColumn("in_feed_url", F.col("_hit").isNotNull()).drop("_hit")
+    else:
+        routed = routed.withColumn("in_feed_url", F.lit(False))
+    routed = materialize(routed.withColumn("route", route_of()), "routed-urls")
+    scored = _scored_urls(routed.where(F.col("route") == "scored").select("url").distinct(), inputs)
+    scored = scored.withColumnRenamed("url", "_surl").drop("host")
+    ru = routed.withColumnRenamed("raw_url", "_raw")
+    f = r.join(ru, r["raw_url"].eqNullSafe(F.col("_raw")), "left").drop("_raw")
+    f = f.join(scored, F.when(F.col("route") == "scored", F.col("url")) == F.col("_surl"), "left").drop("_surl")
     if inputs.model_scores is not None:
         ms = inputs.model_scores.select(F.col("id").alias("_mid"), "rf_prob", "nn_prob")
         f = f.join(ms, f["id"] == F.col("_mid"), "left").drop("_mid")
     else:
         f = f.withColumn("rf_prob", F.lit(None).cast("double")).withColumn("nn_prob", F.lit(None).cast("double"))
-    f = vd.with_model_inputs(f)
-    f = vd.with_ensemble(f)
-    return route(f)
+    return finish(vd.with_ensemble(vd.with_model_inputs(f)))
+
+
+def _scored_urls(urls_: DataFrame, inputs: ScoringInputs) -> DataFrame:
+    """One row per undecided URL: the 43 features, reputation and rule verdict."""
+    f = materialize(fz.url_level_features(urls_, "url"), "undecided-urls")
+    # the 13 host-only features join the URLs together with the host-keyed enrichment
+    f = en.enrich_features(f, inputs.enrichment, "url", inputs.as_of,
+                           extra_host_flags=feat.host_feature_table(f, "host"))
+    f = fz.finish_path_keyword(f)
+    if "vt_result" not in f.columns:
+        f = f.withColumns({"vt_result": F.lit("UNAVAILABLE"), "vt_positives": F.lit(0), "vt_total": F.lit(0),
+                           "vt_ratio": F.lit("N/A"), "vt_prob": F.lit(0.0)})
+    f = vd.with_rule_verdict(fz.with_deep_defaults(f))
+    return materialize(f.drop(*[c for c in f.columns if c in ("in_feed_url",)]), "scored-urls")
 
 
-def route(f: DataFrame) -> DataFrame:
+def route_of() -> Column:
     """Invalid -> skipped -> allow-list -> blocklist -> scored."""
     in_allow = F.coalesce(F.col("in_static"), F.lit(False)) | F.coalesce(F.col("in_dynamic"), F.lit(False))
     in_block = F.coalesce(F.col("in_feed_url"), F.lit(False)) | F.coalesce(F.col("in_feed_domain"), F.lit(False))
-    route_ = (F.when(F.col("error").isNotNull(), F.lit("error"))
-               .when(F.col("skipped"), F.lit("skipped"))
-               .when(in_allow, F.lit("allowlist"))
-               .when(in_block, F.lit("blocklist"))
-               .otherwise(F.lit("scored")))
-    f = f.withColumn("route", route_)
+    return (F.when(F.col("error").isNotNull(), F.lit("error"))
+             .when(F.col("skipped"), F.lit("skipped"))
+             .when(in_allow, F.lit("allowlist"))
+             .when(in_block, F.lit("blocklist"))
+             .otherwise(F.lit("scored")))
+
+
+def finish(f: DataFrame) -> DataFrame:
+    """Final result, confidence, risk, source and reasons by route."""
     rt = F.col("route")
     safe100 = rt.isin("skipped", "allowlist")
     return f.select(

@@ -38,12 +38,19 @@ def catalog_df(spark: SparkSession) -> DataFrame:
 
 def read_feed_folders(spark: SparkSession, landing_root: str, catalog: DataFrame) -> DataFrame:
     """One landing folder per source (``{landing_root}/{source}/``); the
-    source name is taken from the file path and the format from the catalog."""
-    lines = (spark.read.text(landing_root + "/*/")
-             .select(F.col("value").alias("line"),
-                     F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("source")))
-    fmt = catalog.select("source", "format")
-    return lines.join(F.broadcast(fmt), "source")
+    source name is the folder's (paths come URL-encoded), the format the
+    catalog's.  Folders that the catalog doesn't know have a null format:
+    :func:`unknown_sources` lists them, the parser leaves them out."""
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    # in a URL a plus sign is itself; the decoder takes it for a space
+    source = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(landing_root + "/*/").select(F.col("value").alias("line"), source.alias("source"))
+    return lines.join(catalog.select("source", "format"), "source", "left").select("source", "format", "line")
+
+
+def unknown_sources(lines: DataFrame) -> DataFrame:
+    """Quarantine: sources without a catalog entry and their line counts."""
+    return lines.where(F.col("format").isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def parse_feed_lines(lines: DataFrame) -> DataFrame:
@@ -65,7 +72,8 @@ def parse_feed_lines(lines: DataFrame) -> DataFrame:
     # URL per line
     url_ok = F.col("s").startswith("http")
     url_host = host_of_netloc(netloc_of(F.col("s")))
-    is_url_fmt = fmt.isin("url_per_line", "url_per_line_skip_hash")
+    # any format that isn't a hosts file or a domain list is read as URLs
+    is_url_fmt = fmt.isNotNull() & ~fmt.isin("hosts_file", "domain_per_line", "domain_per_line_skip_hash")
     is_dom_fmt = fmt.isin("domain_per_line", "domain_per_line_skip_hash")
     entries = F.when((fmt == "hosts_file") & hosts_ok,
                      F.array(F.struct(F.lit("domain").alias("kind"), host_name.alias("value"))))
@@ -79,18 +87,23 @@ def parse_feed_lines(lines: DataFrame) -> DataFrame:
                   .where(F.col("value") != ""))
 
 
-def feed_stats(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Entries per source counted before de-duplication (a URL line
-    counts once); sources without lines report an error status."""
+def feed_stats(lines: DataFrame, parsed: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Accepted entries per source counted before de-duplication (a URL
+    line counts once).  A source that was fetched is OK, with 0 if none of its
+    lines was accepted; the others report an error.  ``catalog.fetched`` says
+    which were; without that column, those that have lines."""
     counts = (parsed.groupBy("source")
               .agg(F.count_if(F.col("kind") == "url").alias("_u"),
                    F.count_if(F.col("kind") == "domain").alias("_d")))
-    fmt = catalog.select("source", "format")
-    j = fmt.join(counts, "source", "left")
-    is_url = F.col("format").isin("url_per_line", "url_per_line_skip_hash")
+    if "fetched" not in catalog.columns:
+        landed = lines.select("source").distinct().withColumn("fetched", F.lit(True))
+        catalog = catalog.join(landed, "source", "left")
+    j = catalog.select("source", "format", "fetched").join(counts, "source", "left")
+    is_url = ~F.col("format").isin("hosts_file", "domain_per_line", "domain_per_line_skip_hash")
     n = F.when(is_url, F.col("_u")).otherwise(F.col("_d"))
-    return j.select("source", F.coalesce(n, F.lit(0)).cast("bigint").alias("count"),
-                    F.when(n.isNull(), F.lit("HTTP ERR")).otherwise(F.lit("OK")).alias("status"))
+    ok = F.coalesce(F.col("fetched"), F.lit(False))
+    return j.select("source", F.when(ok, F.coalesce(n, F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("count"),
+                    F.when(ok, F.lit("OK")).otherwise(F.lit("HTTP ERR")).alias("status"))
 
 
 def feed_sets(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

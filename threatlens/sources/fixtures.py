@@ -33,12 +33,19 @@ FROM (SELECT e0.*, e0.event_id % c.n AS pid FROM {events} e0 CROSS JOIN (SELECT
 JOIN {pages} p ON p.page_id = e.pid
 """
 
-# user report log
+# user report log: every event reports a page; a quarter of the pages get only
+# safe labels, a quarter only phishing ones, a quarter phishing ones in every third
+# report, and every ninth page few reports at all
 FIXTURE_SQL["reports"] = """
-SELECT e.event_id AS id, p.url AS url, CASE WHEN e.event_type IN ('error','click') THEN 'phishing' ELSE 'safe' END AS label,
+SELECT e.event_id AS id, p.url AS url,
+  CASE WHEN p.page_id % 4 = 0 THEN 'safe' WHEN p.page_id % 4 = 1 THEN 'phishing'
+    WHEN p.page_id % 4 = 2 THEN CASE WHEN e.event_id % 3 = 0 THEN 'phishing' ELSE 'safe' END
+    WHEN e.event_type IN ('error','click') THEN 'phishing' ELSE 'safe' END AS label,
   concat('note ', CAST(e.event_id AS STRING)) AS note,
   CASE WHEN e.event_id % 11 = 0 THEN 1 ELSE 0 END AS used_in_verify, e.ts AS timestamp
-FROM {events} e JOIN {pages} p ON p.page_id = e.event_id % 50 WHERE e.event_id < 300
+FROM (SELECT e0.*, e0.event_id % c.n AS pid FROM {events} e0 CROSS JOIN (SELECT count(*) AS n FROM {pages}) c) e
+JOIN {pages} p ON p.page_id = e.pid
+WHERE p.page_id % 9 <> 4 OR e.event_id % 64 = 5
 """
 
 # URLs with phishing-like variants
@@ -57,9 +64,9 @@ FROM {pages}
 
 # raw threat-feed lines, tagged with their source and format
 FIXTURE_SQL["feed_lines"] = """
-SELECT CASE page_id % 5 WHEN 0 THEN 'urls_plain' WHEN 1 THEN 'hosts' WHEN 2 THEN 'domains' WHEN 3 THEN 'urls_hash' ELSE 'domains' END AS source,
-  CASE page_id % 5 WHEN 0 THEN 'url_per_line' WHEN 1 THEN 'hosts_file' WHEN 2 THEN 'domain_per_line_skip_hash' WHEN 3 THEN 'url_per_line_skip_hash' ELSE 'domain_per_line_skip_hash' END AS format,
-  CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN concat('0.0.0.0 ', upper(regexp_extract(url,'^[a-z]+://([^/?#]*)',1))) WHEN 2 THEN concat('*.', regexp_extract(url,'^[a-z]+://([^/?#]*)',1), '.') WHEN 3 THEN CASE WHEN page_id % 2 = 0 THEN concat('# ', url) ELSE url END ELSE CASE WHEN page_id % 2 = 0 THEN 'www.google.com' ELSE 'nodot' END END AS line
+SELECT CASE WHEN page_id % 23 = 7 THEN 'comments only (test)' ELSE CASE page_id % 5 WHEN 0 THEN 'urls_plain' WHEN 1 THEN 'hosts' WHEN 2 THEN 'domains' WHEN 3 THEN 'urls_hash' ELSE 'domains' END END AS source,
+  CASE WHEN page_id % 23 = 7 THEN 'url_per_line_skip_hash' ELSE CASE page_id % 5 WHEN 0 THEN 'url_per_line' WHEN 1 THEN 'hosts_file' WHEN 2 THEN 'domain_per_line_skip_hash' WHEN 3 THEN 'url_per_line_skip_hash' ELSE 'domain_per_line_skip_hash' END END AS format,
+  CASE WHEN page_id % 23 = 7 THEN concat('# ', url) ELSE CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN concat('0.0.0.0 ', upper(regexp_extract(url,'^[a-z]+://([^/?#]*)',1))) WHEN 2 THEN concat('*.', regexp_extract(url,'^[a-z]+://([^/?#]*)',1), '.') WHEN 3 THEN CASE WHEN page_id % 2 = 0 THEN concat('# ', url) ELSE url END ELSE CASE WHEN page_id % 2 = 0 THEN 'www.google.com' ELSE 'nodot' END END END AS line
 FROM {pages}
 """
 
@@ -99,7 +106,7 @@ FROM {pages} x CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3)
 """
 
 FIXTURE_SQL["reputation"] = """
-SELECT url, CAST(page_id % 5 AS INT) AS malicious, CAST(page_id % 2 AS INT) AS suspicious, CAST(60 AS INT) AS harmless FROM {pages} WHERE page_id % 4 <> 0
+SELECT url, CAST(page_id % 5 AS INT) AS malicious, CAST(page_id % 2 AS INT) AS suspicious, CAST(60 AS INT) AS harmless, CAST(page_id % 9 AS INT) AS undetected FROM {pages} WHERE page_id % 4 <> 0
 """
 
 FIXTURE_SQL["gsb_hits"] = """
@@ -127,8 +134,8 @@ SELECT CAST(page_id AS BIGINT) AS id, CAST('2024-01-01 00:00:00' AS TIMESTAMP) +
   CAST(page_id % 7 AS INT) AS new_safe, CAST(page_id % 5 AS INT) AS new_phishing,
   CASE WHEN page_id % 4 IN (1, 2) THEN CAST(80 + page_id % 20 AS DOUBLE) / 100 ELSE 0.0 END AS accuracy,
   CASE page_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'done' WHEN 2 THEN 'rejected_low_accuracy' ELSE 'failed' END AS status,
-  CAST(page_id % 40 AS BIGINT) AS run_id
-FROM {pages} WHERE page_id < 160
+  CAST(floor(page_id / 4.0) AS BIGINT) AS run_id
+FROM {pages}
 """
 
 # raw report submissions (before S12 validation)
@@ -138,7 +145,8 @@ SELECT e.event_id AS id,
   CASE e.event_id % 6 WHEN 0 THEN ' Safe ' WHEN 1 THEN 'PHISHING' WHEN 2 THEN 'spam' WHEN 3 THEN 'phishing' WHEN 4 THEN 'safe' ELSE '' END AS label,
   CASE WHEN e.event_id % 5 = 0 THEN repeat('n', 700) ELSE e.props END AS note,
   e.event_type AS reported_label, e.ts AS timestamp
-FROM {events} e JOIN {pages} p ON p.page_id = e.event_id % 40 WHERE e.event_id < 500
+FROM (SELECT e0.*, e0.event_id % c.n AS pid FROM {events} e0 CROSS JOIN (SELECT count(*) AS n FROM {pages}) c) e
+JOIN {pages} p ON p.page_id = e.pid
 """
 
 # which fixtures each derivation reads
