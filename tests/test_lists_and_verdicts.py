@@ -14,7 +14,7 @@ def _feed(spark, rows):
 
 
 def test_feed_formats(spark):
-    p = _feed(spark, [
+    rows = [
         ("a", "url_per_line", "# http://x.test/"),          # no http prefix: dropped
         ("a", "url_per_line", "  http://Bad.Test:81/p.  "),   # stripped, trailing dot cut
         ("b", "hosts_file", "127.0.0.1 localhost"),            # needs a dot: dropped
@@ -23,16 +23,33 @@ def test_feed_formats(spark):
         ("c", "domain_per_line_skip_hash", "*.wild.test."),
         ("c", "domain_per_line_skip_hash", "www.google.com"),
         ("c", "domain_per_line_skip_hash", "nodot"),
-    ])
+        ("e", "url_per_line_skip_hash", "# only a comment"),
+        ("f", "some_new_format", "http://new.test/x"),      # unknown formats are read as URLs
+    ]
+    p = _feed(spark, rows)
     got = sorted((r.source, r.kind, r.value) for r in p.collect())
     assert got == [("a", "domain", "bad.test"), ("a", "url", "http://Bad.Test:81/p"),
-                   ("b", "domain", "evil.test"), ("c", "domain", "wild.test"), ("c", "domain", "www.google.com")]
+                   ("b", "domain", "evil.test"), ("c", "domain", "wild.test"), ("c", "domain", "www.google.com"),
+                   ("f", "domain", "new.test"), ("f", "url", "http://new.test/x")]
     urls, domains = fd.feed_sets(p)
-    assert sorted(r.domain for r in domains.collect()) == ["bad.test", "evil.test", "wild.test"]  # brand guard
-    stats = {r.source: (r["count"], r.status) for r in fd.feed_stats(p, spark.createDataFrame(
-        [("a", "url_per_line"), ("b", "hosts_file"), ("c", "domain_per_line_skip_hash"), ("d", "url_per_line")],
-        "source string, format string")).collect()}
-    assert stats == {"a": (1, "OK"), "b": (1, "OK"), "c": (2, "OK"), "d": (0, "HTTP ERR")}
+    assert sorted(r.domain for r in domains.collect()) == ["bad.test", "evil.test", "new.test", "wild.test"]  # brand guard
+    lines = spark.createDataFrame(rows, "source string, format string, line string")
+    stats = {r.source: (r["count"], r.status) for r in fd.feed_stats(lines, p, spark.createDataFrame(
+        [("a", "url_per_line"), ("b", "hosts_file"), ("c", "domain_per_line_skip_hash"), ("d", "url_per_line"),
+         ("e", "url_per_line_skip_hash")], "source string, format string")).collect()}
+    assert stats == {"a": (1, "OK"), "b": (1, "OK"), "c": (2, "OK"), "d": (0, "HTTP ERR"), "e": (0, "OK")}
+
+
+def test_feed_folders_with_spaces_and_unknown_sources(spark, tmp_path):
+    for name, line in (("Abuse Feed (x.ch)", "http://a.test/x"), ("plus+100%", "http://b.test/"), ("nobody knows", "?")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "lines.txt").write_text(line + "\n")
+    cat = spark.createDataFrame([("Abuse Feed (x.ch)", "url_per_line"), ("plus+100%", "url_per_line")],
+                                "source string, format string")
+    lines = fd.read_feed_folders(spark, str(tmp_path), cat)
+    urls = {(r.source, r.value) for r in fd.parse_feed_lines(lines).where("kind = 'url'").collect()}
+    assert urls == {("Abuse Feed (x.ch)", "http://a.test/x"), ("plus+100%", "http://b.test/")}
+    assert [tuple(r) for r in fd.unknown_sources(lines).collect()] == [("nobody knows", 1)]
 
 
 def test_allow_and_block_matching(spark):
@@ -101,8 +118,14 @@ def test_request_sources(spark, tmp_path):
     assert [r.url for r in fl.read_url_file(spark, str(p)).collect()] == ["http://a.test/x", "https://d.test"]
     j = tmp_path / "batch.json"
     j.write_text('{"urls": ["u%d"]}\n' % 0 + '{"urls": [%s]}\n' % ",".join(f'"v{i}"' for i in range(60)))
-    b = fl.read_batch_requests(spark, str(j)).collect()
-    assert len(b) == 1 + 50
+    assert fl.read_batch_requests(spark, str(j)).count() == 1 + 60
+    b = fl.read_batch_requests(spark, str(j), per_batch=50)
+    assert (b.count(), b.where("over_limit").count()) == (61, 10)
+    assert {r.batch_id for r in b.collect()} == {r.batch_id for r in b.collect()}
+    (tmp_path / "more.txt").write_text("http://x/\nhttp://y/\n")
+    cut = fl.read_url_file(spark, str(tmp_path / "*.txt"), limit=1)
+    assert sorted((r.url, r.over_limit) for r in cut.collect()) == [
+        ("http://a.test/x", False), ("http://x/", False), ("http://y/", True), ("https://d.test", True)]
 
 
 def test_neural_net_and_cross_validation(spark, sf_dir):
@@ -126,10 +149,30 @@ def test_verdict_document(spark):
     import json
     req = spark.createDataFrame([(1, "http://a.b.c.d.e.f.paypal-login.tk/x"), (2, "https://ok.test/")], "id long, url string")
     li = sc.ListInputs(static_allowlist=mt.list_df(spark, ["ok.test"], "domain"))
-    docs = {r.id: json.loads(r.verdict_json) for r in sc.verdict_document(sc.score_requests(req, sc.ScoringInputs(lists=li))).collect()}
+    li.feed_domains = mt.list_df(spark, ["evil.test"], "domain")
+    req = req.unionByName(spark.createDataFrame([(3, "https://a.evil.test/"), (4, "http://localhost:5000/"), (5, "")], "id long, url string"))
+    v = sc.score_requests(req, sc.ScoringInputs(lists=li))
+    docs = {r.id: json.loads(r.verdict_json) for r in sc.verdict_document(v, gsb_known=True).collect()}
     d1 = docs[1]
     assert d1["result"] == "PHISHING" and d1["risk"]["level"] in ("MEDIUM", "HIGH", "CRITICAL")
     assert "Unusually high subdomain depth (6 levels)" in d1["reasons"]
     assert "Domain uses a high-risk TLD" in d1["reasons"]
     assert set(d1["models"]) == {"random_forest", "lstm", "virustotal", "google_safebrowsing"}
+    assert d1["models"]["google_safebrowsing"] == "SAFE" and len(d1["features"]) == 43
     assert docs[2]["whitelisted"] is True and docs[2]["whitelist_source"] == "static_whitelist"
+    assert set(docs[2]["models"].values()) == {"SAFE"} and docs[2]["reasons"] == []
+    assert docs[2]["risk"]["level"] == "SAFE" and docs[2]["virustotal"]["vt_ratio"] == "0/0"
+    assert set(docs[3]["models"].values()) == {"PHISHING"} and docs[3]["risk"]["level"] == "CRITICAL"
+    assert docs[3]["reasons"] == ["Found in threat intelligence blocklist"] and docs[3]["source"] == "Threat feed blocklist"
+    assert docs[4]["skipped"] is True and docs[4]["risk"]["level"] == "SAFE" and "models" not in docs[4]
+    assert docs[5]["error"] == "Empty url" and docs[5]["result"] == "ERROR"
+
+
+def test_engine_total_counts_every_entry(spark):
+    from threatlens.operators import enrich as en
+    stats = spark.createDataFrame([("http://a.test/", {"malicious": 1, "harmless": 60, "undetected": 8, "timeout": 1}),
+                                   ("http://b.test/", {})], "url string, stats map<string,int>")
+    f = featurize(spark.createDataFrame([("http://a.test/",), ("http://b.test/",)], "url string"), "url",
+                  en.Enrichment(reputation=stats))
+    got = {r.url: (r.vt_result, r.vt_ratio) for r in f.collect()}
+    assert got == {"http://a.test/": ("PHISHING", "1/70"), "http://b.test/": ("SAFE", "0/1")}

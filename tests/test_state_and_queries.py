@@ -83,27 +83,81 @@ def test_entry_and_registry(spark):
     assert len(q) >= 50
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    rows = _random_calls(n=600, keys=4, seed=9)
-    df = spark.createDataFrame(rows, "id long, k long, ts timestamp")
-    src = str(tmp_path / "calls")
-    df.write.parquet(src)
-    out = str(tmp_path / "out")
+def _run_stream(spark, tmp_path, rows, build, kind="long"):
+    """Rows in several files out of time order, then one far-off row that
+    moves the watermark past all of them."""
+    schema = f"id long, k {kind}, ts timestamp"
+    src, out = str(tmp_path / "calls"), str(tmp_path / "out")
+    random.Random(1).shuffle(rows)
+    step = -(-len(rows) // 3)
+    last = (-1, rows[0][1], max(r[2] for r in rows) + timedelta(days=2))
+    for part in (rows[:step], rows[step:2 * step], rows[2 * step:], [last]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
 
     def sink(b, epoch_id):
         b.write.mode("append").parquet(out)
 
-    stream = spark.readStream.schema(df.schema).parquet(src).select("k", "ts")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     prev = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # state store partitions of this small stream
-    q = (st.throttle_stream(stream, "k", "ts", limit=30, window_s=60, idle_timeout=False).writeStream.outputMode("append")
-         .foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination(240)
+    q = (build(stream).writeStream.outputMode("append").foreachBatch(sink)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(400)
     q.stop()
     spark.conf.set("spark.sql.shuffle.partitions", prev)
-    got = sorted((r.k, r.ts, r.limited) for r in spark.read.parquet(out).collect())
-    want = sorted((r.k, r.ts, r.limited) for r in st.throttle(df, "k", "ts", limit=30, window_s=60).collect())
-    assert got == want
+    return spark.read.parquet(out).where("id >= 0")
+
+
+def test_throttle_stream_equals_batch_out_of_order(spark, tmp_path):
+    rows = [(i, k, t) for i, k, t in _random_calls(n=14000, keys=3, hot=0.9, seed=9)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp")
+    got = _run_stream(spark, tmp_path, list(rows),
+                      lambda s: st.throttle_stream(s, "k", "ts", "id", limit=30, window_s=60, delay="1 day"))
+    got = sorted((r.id, r.limited) for r in got.collect())
+    want = sorted((r.id, r.limited) for r in st.throttle(df, "k", "ts", limit=30, window_s=60, tie="id").collect())
+    assert got == want and len(got) == 14000
+
+
+def test_ttl_stream_equals_batch_with_text_keys(spark, tmp_path):
+    rows = [(i, f"http://h{k}.test/", t) for i, k, t in _random_calls(n=900, keys=5, seed=12)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    got = _run_stream(spark, tmp_path, list(rows),
+                      lambda s: st.ttl_reuse_stream(s, "k", "ts", "id", ttl_s=300, delay="1 day"), "string")
+    got = sorted((r.id, r.cache_hit) for r in got.collect())
+    assert got == sorted((r.id, r.cache_hit) for r in st.ttl_reuse(df, "k", "ts", ttl_s=300, tie="id").collect())
+
+
+def test_watcher_ticks_and_retrain_log(spark, sf_dir, tmp_path):
+    """A trained URL stays trained when an unrelated report comes in; a
+    rejected or failed run leaves the published model alone."""
+    from threatlens.operators import ml
+    from threatlens.sources import sinks as sk
+    root, reg, log = (str(tmp_path / n) for n in ("state", "models", "log"))
+    t0 = datetime(2024, 1, 1)
+    schema = "id long, url string, label string, note string, used_in_verify int, timestamp timestamp"
+    rows = [(10 * u + k, f"http://u{u}.test/", "phishing", "", 0, t0) for u in range(5) for k in range(2)]
+    reports = spark.createDataFrame(rows, schema)
+    assert sj.watcher_tick(spark, reports, root, "v0") is True
+    base = spark.createDataFrame([(f"https://site{k}.example/a", 0) for k in range(40)] +
+                                 [(f"http://10.0.0.{k}/login/verify", 1) for k in range(40)], "url string, y int")
+    real = ml.tree_classifier
+    ml.tree_classifier = lambda kind="forest", seed=42: real(kind, seed).setNumTrees(10).setMaxDepth(4)
+    try:
+        assert ml.run_retrain(spark, base, reg, log, "r1", watcher=root).status == "done"
+        assert ml.load_model(spark, reg).numFeatures == 43
+        later = reports.unionByName(spark.createDataFrame([(99, "http://other.test/", "safe", "", 0, t0)], schema))
+        assert sj.watcher_tick(spark, later, root, "v1") is False
+        verified, used = sj.watcher_state(spark, root)
+        assert {r.used_in_train for r in verified.collect()} == {1} and used.count() == len(rows)
+        assert sj.watcher_tick(spark, later, root, "v1") is False  # a tick that runs again changes nothing
+        assert ml.run_retrain(spark, base, reg, log, "r2", watcher=root, min_accuracy=1.1).status == "rejected_low_accuracy"
+        assert ml.run_retrain(spark, base.select("y"), reg, log, "r3", watcher=root).status == "failed"
+    finally:
+        ml.tree_classifier = real
+    assert sk.current_version(spark, reg) == "r1"
+    events = {(r.run_id, r.seq): r.status for r in spark.read.parquet(log).collect()}
+    assert events == {("r1", 0): "running", ("r1", 1): "done", ("r2", 0): "running", ("r2", 1): "rejected_low_accuracy",
+                      ("r3", 0): "running", ("r3", 1): "failed"}
 
 
 def test_scoring_stream_and_jobs(spark, sf_dir, tmp_path):
@@ -120,6 +174,8 @@ def test_scoring_stream_and_jobs(spark, sf_dir, tmp_path):
     q = sj.start_scoring_stream(spark, src, req.schema, inputs, str(tmp_path / "verdicts"), str(tmp_path / "scans"),
                                 str(tmp_path / "ckpt"))
     q.awaitTermination(300)
+    logged = spark.read.parquet(str(tmp_path / "scans"))
+    assert {"timestamp", "date", "epoch"} <= set(logged.columns) and logged.count() > 0
     got = sorted((r.id, r.final_result) for r in spark.read.parquet(str(tmp_path / "verdicts")).collect())
     want = sorted((r.id, r.final_result) for r in sc.score_requests(req, inputs).collect())
     assert got == want and len(got) == req.count()
@@ -130,6 +186,9 @@ def test_scoring_stream_and_jobs(spark, sf_dir, tmp_path):
     u, d = fd.feed_sets(fd.parse_feed_lines(lines))
     assert spark.read.parquet(paths["feed_urls"]).count() == u.count()
     assert spark.read.parquet(paths["feed_domains"]).count() == d.count()
+    root = str(tmp_path / "feeds")
+    sj.refresh_feeds(lines.where("source = 'hosts'"), cat, root, "v2")
+    assert sj.current_feeds(spark, root)[0].count() == 0 and sj.current_feeds(spark, str(tmp_path / "none")) is None
 
     reports = fixture(spark, sf_dir, "reports")
     empty = spark.createDataFrame([], "url string, label string, report_count int, verified_at timestamp, used_in_train int")

@@ -9,6 +9,7 @@ and every copy of an oversampled row lands on the same side.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,21 +17,25 @@ from pyspark.sql import functions as F
 
 from ..functions import features as feat
 from ..functions import lists
+from ..session import materialize
+from ..sources import sinks as sk
 from . import featurize as fz
 
 
 # ---- S3, S4 -------------------------------------------------------------------------
 
+def first_present(columns, candidates, what: str) -> str:
+    """The first candidate among the columns."""
+    for c in candidates:
+        if c in columns:
+            return c
+    raise ValueError(f"none of the columns {', '.join(columns)} can be the {what} (looked for {', '.join(candidates)})")
+
+
 def resolve_columns(columns, label_candidates=lists.LABEL_COLUMN_CANDIDATES,
                     url_candidates=lists.URL_COLUMN_CANDIDATES) -> tuple[str, str]:
-    """S3: first matching label and URL column names, else ValueError."""
-    label = next((c for c in label_candidates if c in columns), None)
-    url = next((c for c in url_candidates if c in columns), None)
-    if not label:
-        raise ValueError(f"No label column found. Columns: {list(columns)}")
-    if not url:
-        raise ValueError(f"No URL column found. Columns: {list(columns)}")
-    return label, url
+    """S3: label and URL column names."""
+    return first_present(columns, label_candidates, "label"), first_present(columns, url_candidates, "URL")
 
 
 def labelled_frame(df: DataFrame) -> DataFrame:
@@ -219,16 +224,71 @@ def retrain(base: DataFrame, verified: DataFrame, min_accuracy: float = lists.MI
     counts = verified.agg(F.count_if(F.lower(F.col("label")) == "safe").alias("s"),
                           F.count_if(F.lower(F.col("label")) != "safe").alias("p")).first()
     vec = train_test_split(feature_vectors(data, "url", enrichment, as_of)).select("url", "y", "features", "split")
-    train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
-    n_train, n_test = train.count(), test.count()
+    # the vectors feed two counts, the fit and the evaluation: written once
+    vec = materialize(vec, "training-vectors")
+    sizes = {r["split"]: r["count"] for r in vec.groupBy("split").count().collect()}
+    n_train, n_test = sizes.get("train", 0), sizes.get("test", 0)
     if n_train == 0:
         return RetrainResult("failed", 0.0, 0, n_test, counts["s"], counts["p"])
+    train, test = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
     model = tree_classifier(kind).fit(train)
     acc = evaluation(model.transform(test)).first()["accuracy"] if n_test else 0.0
-    status = "done" if acc >= min_accuracy else "rejected_low_accuracy"
-    return RetrainResult(status, round(float(acc), 4), n_train, n_test, counts["s"], counts["p"], model)
+    return RetrainResult(gate(acc, min_accuracy), round(float(acc), 4), n_train, n_test, counts["s"], counts["p"], model)
+
+
+def gate(accuracy: float, least: float = lists.MIN_ACCURACY_TO_REPLACE) -> str:
+    """ML9: whether a fitted model replaces the current one."""
+    return "done" if accuracy >= least else "rejected_low_accuracy"
+
+
+def gate_column(accuracy: Column, least: float = lists.MIN_ACCURACY_TO_REPLACE) -> Column:
+    return F.when(accuracy >= least, F.lit("done")).otherwise(F.lit("rejected_low_accuracy"))
 
 
 def save_model(model, path: str) -> None:
     """Versioned model folder (write, never overwrite in place)."""
     model.write().save(path)
+
+
+FEATURES_OF_A_MODEL = 43
+
+
+def load_model(spark: SparkSession, registry: str, loader=None):
+    """The registry's current model, or None before the first; a model of
+    another width than the 43 features is refused."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    version = sk.current_version(spark, registry)
+    if version is None:
+        return None
+    model = (loader or RandomForestClassificationModel.load)(f"{registry}/{version}")
+    if model.numFeatures != FEATURES_OF_A_MODEL:
+        raise ValueError(f"the model has {model.numFeatures} features, scoring gives {FEATURES_OF_A_MODEL}")
+    return model
+
+
+def run_retrain(spark: SparkSession, base: DataFrame, registry: str, log: str, run_id: str,
+                watcher: str | None = None, verified: DataFrame | None = None, **kw) -> RetrainResult:
+    """ML10 as a state machine: a running row, the fit, the gate; an accepted
+    model is written under its own version and published last, then its URLs are
+    marked as trained.  A rejected or failed run leaves the published version as
+    it was; the log's last row of the run says which it was."""
+    from ..operators import consensus as cs
+    from ..streaming import jobs
+
+    if verified is None:
+        verified = cs.pending_training_rows(jobs.watcher_state(spark, watcher)[0])
+    sk.append_retrain_event(spark, log, run_id, 0, "running")
+    try:
+        r = retrain(base, verified, **kw)
+        if r.status == "done":
+            save_model(r.model, f"{registry}/{run_id}")
+            sk.commit_version(spark, registry, run_id)
+            if watcher is not None:
+                jobs.mark_trained(spark, watcher, verified, f"{run_id}-trained")
+    except Exception as e:
+        sk.append_retrain_event(spark, log, run_id, 1, "failed")
+        logging.getLogger(__name__).warning("retrain %s failed: %s", run_id, e)
+        return RetrainResult("failed", 0.0, 0, 0, 0, 0)
+    sk.append_retrain_event(spark, log, run_id, 1, r.status, r.new_safe, r.new_phishing, r.accuracy)
+    return r

@@ -60,6 +60,11 @@ def _add(df: DataFrame, named) -> DataFrame:
 
 # ---- V10 --------------------------------------------------------------------
 
+def risk_literal(level) -> Column:
+    """One of the fixed risk levels as a struct."""
+    return F.struct(*[F.lit(v).alias(k) for k, v in zip(("level", "color", "label", "emoji"), level)])
+
+
 def risk_struct(score: Column, final: Column) -> Column:
     """V10 risk level; the score is the unrounded weighted score."""
     def st(t):

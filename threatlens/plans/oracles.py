@@ -270,6 +270,27 @@ SELECT id, url, final_result AS result,
   final_confidence AS confidence, CASE WHEN route = 'blocklist' THEN 'N/A' ELSE vt_ratio END AS vt_ratio
 FROM ({_ROUTED}) r WHERE route IN ('blocklist', 'scored')
   AND NOT ({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.NO_LOG_PREFIXES)})""", _ROUTE_CTES)
+def _doc(allow: str, block: str, own: str) -> str:
+    return f"CASE route WHEN 'allowlist' THEN {allow} WHEN 'blocklist' THEN {block} WHEN 'scored' THEN {own} END"
+
+
+_LISTED = lambda own: _doc("'SAFE'", "'PHISHING'", own)
+_COLOURS = " ".join(f"WHEN {o.q(r[0])} THEN {o.q(r[1])}" for r in (
+    lists.RISK_SAFE, lists.RISK_LOW, lists.RISK_MEDIUM, lists.RISK_HIGH, lists.RISK_CRITICAL))
+ORACLES["verdict_documents"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT id, route, final_result AS result, final_confidence AS confidence, final_risk AS risk_level,
+  CASE final_risk {_COLOURS} END AS risk_color,
+  CASE route WHEN 'blocklist' THEN 1 WHEN 'scored' THEN
+    CASE WHEN final_reasons = '' THEN 0 ELSE len(string_split(final_reasons, ',')) END ELSE 0 END::BIGINT AS n_reasons,
+  CASE WHEN route = 'blocklist' THEN 'Threat feed blocklist' END AS source,
+  {_LISTED('rf_result')} AS rf, {_LISTED("coalesce(nn_result, 'unavailable')")} AS lstm, {_LISTED('vt_result')} AS vt,
+  {_LISTED("CASE WHEN gsb_flagged THEN 'PHISHING' ELSE 'SAFE' END")} AS gsb,
+  ({_doc('0', '1', 'vt_positives')})::BIGINT AS positives, ({_doc('0', '1', 'vt_total')})::BIGINT AS total,
+  {_doc("'0/0'", "'1/1'", 'vt_ratio')} AS vt_ratio,
+  CASE WHEN route = 'scored' THEN redirect_hop_count END::BIGINT AS redirect_hops,
+  CASE WHEN route = 'scored' THEN length(url) END::BIGINT AS url_length, route = 'allowlist' AS whitelisted, whitelist_source,
+  route = 'skipped' AS skipped
+FROM ({_ROUTED}) r""", _ROUTE_CTES)
 ORACLES["verdict_counters"] = o.with_fixtures(_ROUTE_FIX, f"""
 SELECT count(*) FILTER (WHERE route = 'scored')::BIGINT AS total_scans,
   count(*) FILTER (WHERE route = 'scored' AND final_result = 'PHISHING')::BIGINT AS result_phishing,
@@ -311,6 +332,27 @@ FROM (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::BIGINT AS tp, count(*) FIL
       FROM (SELECT (l.label = 'phishing')::INT AS y, (m.rf_prob > 0.5)::INT AS p
             FROM labelled l JOIN model_scores m ON l.page_id = m.page_id) j) c""", _LABELLED)
 
+# T4, T5: one step of every key's sequence a round, carrying what the next decision depends on
+ORACLES["throttle_decisions"] = f"""
+WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch_us(ts) AS t,
+                             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT event_id, user_id, rn, [t] AS log, false AS limited FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT event_id, user_id, rn, CASE WHEN len(kept) >= 2 THEN kept ELSE list_append(kept, t) END, len(kept) >= 2
+  FROM (SELECT e.*, list_filter(f.log, lambda x: e.t - x < {6 * 3600 * 1_000_000}) AS kept
+        FROM f JOIN ev e ON e.user_id = f.user_id AND e.rn = f.rn + 1) n)
+SELECT event_id, user_id, limited FROM f"""
+ORACLES["cache_reuse"] = o.with_fixtures(["scans"], """
+SELECT id, key, cache_hit FROM f UNION ALL SELECT id, key, false FROM k WHERE skipped""", f"""
+k AS (SELECT id, key, epoch_us(timestamp) AS t, coalesce(({' OR '.join(f"starts_with(key, {o.q(p)})" for p in lists.SKIP_PREFIXES)}), false) AS skipped
+      FROM (SELECT id, {o.normalize_sql('url')} AS key, timestamp FROM scans) a),
+ev AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS rn FROM k WHERE NOT skipped),
+f AS (SELECT id, key, rn, t AS anchor, false AS cache_hit FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.id, e.key, e.rn, CASE WHEN e.t - f.anchor < {lists.CACHE_TTL_SECONDS * 1_000_000} THEN f.anchor ELSE e.t END,
+         e.t - f.anchor < {lists.CACHE_TTL_SECONDS * 1_000_000}
+  FROM f JOIN ev e ON e.key = f.key AND e.rn = f.rn + 1)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 ORACLES["windowed_scan_activity"] = o.with_fixtures(["scans"], """
 SELECT date_trunc('day', timestamp) AS window_start, date_trunc('day', timestamp) + INTERVAL 1 DAY AS window_end,
   count(*)::BIGINT AS scans, sum(CASE WHEN result = 'PHISHING' THEN 1 ELSE 0 END)::BIGINT AS phishing

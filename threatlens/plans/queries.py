@@ -507,8 +507,17 @@ def q_counters(spark, sf_dir):
 
 @register("verdict_documents")
 def q_documents(spark, sf_dir):
-    """Nested verdict document per request (struct + JSON)."""
-    return sc.verdict_document(routed(spark, sf_dir)).select("id", "route", "verdict_json")
+    """The fields of the nested verdict document of every request."""
+    v = sc.verdict_document(routed(spark, sf_dir), gsb_known=True).select("id", "route", "verdict.*")
+    return bigints(v.select(
+        "id", "route", "result", "confidence", F.col("risk.level").alias("risk_level"), F.col("risk.color").alias("risk_color"),
+        F.when(F.col("reasons").isNull(), F.lit(0)).otherwise(F.size("reasons")).cast("bigint").alias("n_reasons"), "source", F.col("models.random_forest").alias("rf"),
+        F.col("models.lstm").alias("lstm"), F.col("models.virustotal").alias("vt"),
+        F.col("models.google_safebrowsing").alias("gsb"), F.col("virustotal.positives").alias("positives"),
+        F.col("virustotal.total").alias("total"), F.col("virustotal.vt_ratio").alias("vt_ratio"),
+        F.col("new_signals.redirect_hops").alias("redirect_hops"), F.col("features.url_length").alias("url_length"),
+        F.coalesce("whitelisted", F.lit(False)).alias("whitelisted"), "whitelist_source",
+        F.coalesce("skipped", F.lit(False)).alias("skipped")))
 
 
 # ---- S3, ML1, ML2, SET4, ML7, ML10, A15 ---------------------------------------------------
@@ -583,7 +592,7 @@ from ..streaming import state as st  # noqa: E402
 def q_throttle(spark, sf_dir):
     """T4 batch form: sliding-log throttle per user, 2 calls per 6 hours."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return st.throttle(ev, "user_id", "ts", limit=2, window_s=6 * 3600).select("event_id", "user_id", "limited")
+    return st.throttle(ev, "user_id", "ts", limit=2, window_s=6 * 3600, tie="event_id").select("event_id", "user_id", "limited")
 
 
 @register("cache_reuse")
@@ -594,7 +603,7 @@ def q_cache_reuse(spark, sf_dir):
     # two branches filter on derived columns: write the table once first
     s = materialize(s.select("id", "key", "timestamp", "skipped"), "cache-requests")
     # skipped internal pages are answered before the cache and never stored
-    folded = st.ttl_reuse(s.where(~F.col("skipped")).select("id", "key", "timestamp"), "key", "timestamp")
+    folded = st.ttl_reuse(s.where(~F.col("skipped")).select("id", "key", "timestamp"), "key", "timestamp", tie="id")
     passed = s.where(F.col("skipped")).select("id", "key", F.lit(False).alias("cache_hit"))
     return folded.select("id", "key", "cache_hit").unionByName(passed)
 

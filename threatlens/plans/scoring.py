@@ -156,31 +156,64 @@ def scan_log_rows(verdicts: DataFrame) -> DataFrame:
         F.when(blk, F.lit("N/A")).otherwise(F.coalesce(F.col("nn_result"), F.lit("N/A"))).alias("lstm_result"),
         F.when(blk, F.lit("BLOCKLIST")).otherwise(F.col("vt_result")).alias("vt_result"),
         F.col("final_confidence").alias("confidence"),
-        F.when(blk, F.lit("N/A")).otherwise(F.col("vt_ratio")).alias("vt_ratio"))
+        F.when(blk, F.lit("N/A")).otherwise(F.col("vt_ratio")).alias("vt_ratio"),
+        *(["timestamp"] if "timestamp" in verdicts.columns else []))
     return out.where(~U.starts_with_any(F.col("url"), lists.NO_LOG_PREFIXES))
 
 
-def verdict_document(verdicts: DataFrame) -> DataFrame:
-    """The nested verdict as a struct and as JSON text."""
+#: What a document of a list hit says.
+BLOCKLIST_REASON = "Found in threat intelligence blocklist"
+BLOCKLIST_SOURCE = "Threat feed blocklist"
+
+
+def verdict_document(verdicts: DataFrame, gsb_known: bool = False) -> DataFrame:
+    """The nested verdict by route, as a struct and as JSON text.
+
+    Skipped pages carry result, risk and no models; allow-listed ones SAFE and
+    blocklisted ones PHISHING from every model; scored ones the models' own
+    answers, the signals and the 43 features.  ``gsb_known`` says that a
+    safe-browsing table was asked, so that no hit means SAFE.
+    """
     rt = F.col("route")
+    scored, blocked, allowed, skipped = (rt == r for r in ("scored", "blocklist", "allowlist", "skipped"))
+
+    def by_route(allow, block, score):
+        return F.when(allowed, allow).when(blocked, block).when(scored, score)
+
+    def listed(own):
+        return by_route(F.lit("SAFE"), F.lit("PHISHING"), own)
+
+    gsb = F.when(F.col("gsb_flagged"), F.lit("PHISHING")).otherwise(F.lit("SAFE" if gsb_known else "UNAVAILABLE"))
+    risk = (F.when(skipped | allowed, vd.risk_literal(lists.RISK_SAFE)).when(blocked, vd.risk_literal(lists.RISK_CRITICAL))
+             .when(scored, F.col("risk")))
+    none = F.array().cast("array<string>")
+    reasons = (F.when(blocked, F.array(F.lit(BLOCKLIST_REASON)))
+                .when(scored, vd.reason_messages(F.col("reason_codes"))).when(rt != "error", none))
     doc = F.struct(
-        F.col("url"), F.col("final_result").alias("result"), F.col("final_confidence").alias("confidence"),
-        (F.col("final_result") == "SUSPICIOUS").alias("is_suspicious"),
-        F.when(rt == "scored", F.col("weighted_score")).alias("weighted_score"),
-        F.when(rt == "scored", F.col("risk")).alias("risk"),
-        F.when(rt == "scored", vd.reason_messages(F.col("reason_codes"))).alias("reasons"),
-        F.struct(F.col("rf_result").alias("random_forest"),
-                 F.coalesce(F.col("nn_result"), F.lit("unavailable")).alias("lstm"),
-                 F.col("vt_result").alias("virustotal"),
-                 F.when(F.col("gsb_flagged"), F.lit("PHISHING")).otherwise(F.lit("UNAVAILABLE")).alias("google_safebrowsing")
-                 ).alias("models"),
-        F.struct(F.col("vt_result"), F.col("vt_positives").alias("positives"), F.col("vt_total").alias("total"),
-                 F.col("vt_ratio"), F.col("vt_prob")).alias("virustotal"),
-        F.struct(F.col("typosquatting"), F.col("homograph_attack"), F.col("gsb_flagged"),
-                 F.col("redirect_hop_count").alias("redirect_hops"),
-                 F.col("redirect_chain_suspicious").alias("redirect_suspicious"),
-                 F.col("high_risk_country"), F.col("is_proxy_hosting")).alias("new_signals"),
-        (rt == "allowlist").alias("whitelisted"), F.col("whitelist_source"), (rt == "skipped").alias("skipped"),
+        F.col("url"), F.col("error"), F.col("final_result").alias("result"), F.col("final_confidence").alias("confidence"),
+        F.when(scored, F.col("final_result") == "SUSPICIOUS").alias("is_suspicious"),
+        F.when(scored, F.col("weighted_score")).alias("weighted_score"),
+        risk.alias("risk"), reasons.alias("reasons"),
+        F.when(blocked, F.lit(BLOCKLIST_SOURCE)).alias("source"),
+        F.when(allowed | blocked | scored, F.struct(
+            listed(F.col("rf_result")).alias("random_forest"),
+            listed(F.coalesce(F.col("nn_result"), F.lit("unavailable"))).alias("lstm"),
+            listed(F.col("vt_result")).alias("virustotal"),
+            listed(gsb).alias("google_safebrowsing"))).alias("models"),
+        F.when(allowed | blocked | scored, F.struct(
+            listed(F.col("vt_result")).alias("vt_result"),
+            by_route(F.lit(0), F.lit(1), F.col("vt_positives")).alias("positives"),
+            by_route(F.lit(0), F.lit(1), F.col("vt_total")).alias("total"),
+            by_route(F.lit("0/0"), F.lit("1/1"), F.col("vt_ratio")).alias("vt_ratio"),
+            F.when(scored, F.col("vt_prob")).alias("vt_prob"))).alias("virustotal"),
+        F.when(scored, F.struct(
+            F.col("typosquatting"), F.col("homograph_attack"), F.col("gsb_flagged"),
+            F.col("redirect_hop_count").alias("redirect_hops"),
+            F.col("redirect_chain_suspicious").alias("redirect_suspicious"),
+            F.col("high_risk_country"), F.col("is_proxy_hosting"))).alias("new_signals"),
+        F.when(scored, F.struct(*[F.col(k) for k in feat.FEATURE_KEYS])).alias("features"),
+        F.when(allowed, F.lit(True)).alias("whitelisted"), F.col("whitelist_source"),
+        F.when(skipped, F.lit(True)).alias("skipped"),
     )
     return verdicts.select("id", "route", doc.alias("verdict")).withColumn("verdict_json", F.to_json("verdict"))
 

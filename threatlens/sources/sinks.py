@@ -8,7 +8,7 @@ row is silently dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
@@ -62,10 +62,11 @@ def scan_log_filter(rows: DataFrame) -> DataFrame:
     return rows.where(~U.starts_with_any(F.col("url"), lists.NO_LOG_PREFIXES))
 
 
-def append_scans(rows: DataFrame, path: str) -> None:
-    """S11 sink: append to a date-partitioned Parquet scan log."""
+def append_scans(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """S11 sink: append to a date-partitioned Parquet scan log (a streaming
+    batch replaces its own folder, so that running it again adds nothing)."""
     (scan_log_filter(rows).withColumn("date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("date").parquet(path))
+     .write.mode(mode).partitionBy("date").parquet(path))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -73,6 +74,56 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _is_missing(error: Exception) -> bool:
+    """The path does not exist (any other read error is one)."""
+    get = getattr(error, "getCondition", None) or getattr(error, "getErrorClass", lambda: "")
+    return "PATH_NOT_FOUND" in str(get() or "")
+
+
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if _is_missing(e):
+            return None
+        raise
+
+
+def commit_version(spark: SparkSession, root: str, version: str) -> None:
+    """Publish a finished version folder: one appended row, after the data, so
+    readers see the former version or the new one and never a part of it."""
+    log = read_or_none(spark, f"{root}/commits")
+    last = log.agg(F.max("seq")).first()[0] if log is not None else None
+    (spark.createDataFrame([((last or 0) + 1, version)], "seq long, version string").coalesce(1)
+     .write.mode("append").parquet(f"{root}/commits"))
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    log = read_or_none(spark, f"{root}/commits")
+    return None if log is None else log.agg(F.max_by("version", "seq")).first()[0]
+
+
+def is_committed(spark: SparkSession, root: str, version: str) -> bool:
+    log = read_or_none(spark, f"{root}/commits")
+    return log is not None and not log.where(F.col("version") == version).isEmpty()
+
+
+RETRAIN_EVENT = ("run_id string, seq int, triggered_at timestamp, new_safe long, new_phishing long, "
+                 "accuracy double, status string")
+
+
+def append_retrain_event(spark: SparkSession, path: str, run_id: str, seq: int, status: str, new_safe: int = 0,
+                         new_phishing: int = 0, accuracy: float = 0.0) -> None:
+    """S16 write side: one status event of a retrain run (running, then done,
+    rejected_low_accuracy or failed)."""
+    row = (spark.createDataFrame([(run_id, seq, new_safe, new_phishing, accuracy, status)],
+                                 "run_id string, seq int, new_safe long, new_phishing long, accuracy double, status string")
+           .withColumn("triggered_at", F.current_timestamp()))
+    row.select(*[c.strip().split()[0] for c in RETRAIN_EVENT.split(",")]).coalesce(1).write.mode("append").parquet(path)
+
+
 def retrain_log_latest(events: DataFrame) -> DataFrame:
     """The log is append-only status events; the current state of each
     run is its newest event."""

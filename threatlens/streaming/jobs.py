@@ -40,15 +40,28 @@ def start_windowed_activity(spark: SparkSession, scans_dir: str, schema, checkpo
     return out.start()
 
 
-def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs: sc.ScoringInputs,
-                         verdicts_out: str, scans_out: str, checkpoint: str, available_now: bool = True):
+def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs, verdicts_out: str, scans_out: str,
+                         checkpoint: str, available_now: bool = True):
     """Request files -> full verdict per row (same plan as batch) ->
-    verdict table + scan-log append, one micro-batch at a time."""
+    verdict table, and the scan log from that table, one micro-batch at a time.
+
+    ``inputs`` is a :class:`ScoringInputs` or a function of the session that
+    builds one; the function runs for every batch, so a batch sees the lists
+    that were current when it began.  A batch owns the folder ``epoch=<id>``
+    of each table: one that is run again replaces what it wrote.  Requests
+    without a ``timestamp`` get the batch's.
+    """
     def batch(df: DataFrame, epoch_id: int):
-        v = sc.score_requests(df, inputs)
-        v.select("id", "url", "route", "final_result", "final_confidence", "risk_level", "reasons") \
-         .write.mode("append").parquet(verdicts_out)
-        sc.scan_log_rows(v).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(scans_out)
+        session = df.sparkSession
+        given = inputs(session) if callable(inputs) else inputs
+        if "timestamp" not in df.columns:
+            df = df.withColumn("timestamp", F.current_timestamp())
+        when = df.select(F.col("id").alias("_tid"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+        v = sc.score_requests(df, given)
+        v = v.join(when.dropDuplicates(["_tid"]), v["id"] == F.col("_tid"), "left").drop("_tid")
+        v.select(*VERDICT_COLUMNS).write.mode("overwrite").parquet(f"{verdicts_out}/epoch={epoch_id}")
+        written = session.read.parquet(f"{verdicts_out}/epoch={epoch_id}")
+        sk.append_scans(sc.scan_log_rows(written), f"{scans_out}/epoch={epoch_id}", mode="overwrite")
 
     w = spark.readStream.schema(schema).parquet(requests_dir).writeStream.foreachBatch(batch) \
         .option("checkpointLocation", checkpoint)
@@ -56,19 +69,32 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs:
     return w.start()
 
 
+VERDICT_COLUMNS = ["id", "url", "timestamp", "route", "final_result", "final_confidence", "risk_level", "reasons",
+                   "rf_result", "nn_result", "vt_result", "vt_ratio"]
+
+
 def refresh_feeds(lines: DataFrame, catalog: DataFrame, out_root: str, version: str) -> dict[str, str]:
-    """Build the feed sets and stats from the latest lines and write a
-    new versioned snapshot; readers switch by reading the new version
-    (whole-set swap, never a partial update)."""
+    """Build the feed sets and stats from the latest lines, write them
+    under a new version and publish it (whole-set swap, never a partial
+    update)."""
     parsed = fd.parse_feed_lines(lines)
     urls_, domains = fd.feed_sets(parsed)
     paths = {k: f"{out_root}/{k}/version={version}" for k in ("feed_urls", "feed_domains", "feed_stats")}
     urls_.write.mode("overwrite").parquet(paths["feed_urls"])
     domains.write.mode("overwrite").parquet(paths["feed_domains"])
-    fd.feed_stats(parsed, catalog).write.mode("overwrite").parquet(paths["feed_stats"])
+    fd.feed_stats(lines, parsed, catalog).write.mode("overwrite").parquet(paths["feed_stats"])
+    sk.commit_version(lines.sparkSession, out_root, version)
     return paths
 
 
+def current_feeds(spark: SparkSession, out_root: str) -> tuple[DataFrame, DataFrame] | None:
+    """The published feed URLs and domains, or None before the first refresh."""
+    version = sk.current_version(spark, out_root)
+    if version is None:
+        return None
+    return tuple(spark.read.parquet(f"{out_root}/{k}/version={version}") for k in ("feed_urls", "feed_domains"))
+
+
 def watch_reports(reports: DataFrame, verified: DataFrame, verified_at):
     """T3 (one watcher tick): consensus -> verified upsert -> report flags ->
     trigger check.  Returns (new verified table, new reports table, trigger row)."""
@@ -78,20 +104,55 @@ def watch_reports(reports: DataFrame, verified: DataFrame, verified_at):
     return new_verified, new_reports, cs.retrain_trigger(new_verified)
 
 
-def start_report_watcher(spark: SparkSession, reports_dir: str, schema, verified_path: str,
-                         checkpoint: str, interval: str = "30 minutes", available_now: bool = True):
-    """T3 stream: every tick re-runs consensus over the report table and
-    writes the verified snapshot (the retrain itself is launched by the
-    caller when the trigger row says so)."""
+VERIFIED = "url string, label string, report_count int, verified_at timestamp, used_in_train int"
+
+
+def watcher_state(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The published verified URLs and the ids of the reports used for them."""
+    version = sk.current_version(spark, root)
+    if version is None:
+        return spark.createDataFrame([], VERIFIED), spark.createDataFrame([], "id long")
+    return spark.read.parquet(f"{root}/{version}/verified"), spark.read.parquet(f"{root}/{version}/used_reports")
+
+
+def _publish(verified: DataFrame, used: DataFrame, root: str, version: str) -> None:
+    sk.write_snapshot(verified, f"{root}/{version}/verified")
+    sk.write_snapshot(used, f"{root}/{version}/used_reports")
+    sk.commit_version(verified.sparkSession, root, version)
+
+
+def watcher_tick(spark: SparkSession, reports: DataFrame, root: str, version: str, verified_at=None) -> bool:
+    """One tick over the whole report table and the published state; the
+    new verified URLs and the report flags are published together under
+    ``version`` (nothing happens if it is published already).  Returns the
+    trigger."""
+    if not sk.is_committed(spark, root, version):
+        verified, used = watcher_state(spark, root)
+        flagged = reports.join(used.select(F.col("id").alias("_used")), F.col("id") == F.col("_used"), "left")
+        flagged = flagged.withColumn("used_in_verify", F.when(F.col("_used").isNotNull(), F.lit(1))
+                                     .otherwise(F.col("used_in_verify"))).drop("_used")
+        new_verified, new_reports, _ = watch_reports(flagged, verified, verified_at or F.current_timestamp())
+        _publish(new_verified, new_reports.where(F.col("used_in_verify") == 1).select(F.col("id").cast("long")),
+                 root, version)
+    return bool(cs.retrain_trigger(watcher_state(spark, root)[0]).first()["trigger"])
+
+
+def mark_trained(spark: SparkSession, root: str, trained: DataFrame, version: str) -> None:
+    """A12 after a retrain: publish the state with the trained URLs marked."""
+    verified, used = watcher_state(spark, root)
+    _publish(cs.mark_trained(verified, trained), used, root, version)
+
+
+def start_report_watcher(spark: SparkSession, reports_dir: str, schema, root: str, checkpoint: str,
+                         on_trigger=None, interval: str = "30 minutes", available_now: bool = True):
+    """T3 stream: every tick re-runs consensus over the report table; when
+    enough verified URLs wait, ``on_trigger(session, root, version)`` starts the
+    retrain (see :func:`threatlens.operators.ml.run_retrain`)."""
     def tick(new_reports: DataFrame, epoch_id: int):
-        all_reports = spark.read.schema(schema).parquet(reports_dir)
-        try:  # the previous tick's snapshot
-            current = spark.read.parquet(f"{verified_path}/v{epoch_id - 1}")
-        except Exception:  # first run: no snapshot yet
-            current = spark.createDataFrame([], "url string, label string, report_count int, "
-                                                "verified_at timestamp, used_in_train int")
-        v, _, _ = watch_reports(all_reports, current, F.current_timestamp())
-        sk.write_snapshot(v, f"{verified_path}/v{epoch_id}")
+        session = new_reports.sparkSession
+        due = watcher_tick(session, session.read.schema(schema).parquet(reports_dir), root, f"v{epoch_id}")
+        if due and on_trigger is not None:
+            on_trigger(session, root, f"v{epoch_id}-trained")
 
     w = spark.readStream.schema(schema).parquet(reports_dir).writeStream.foreachBatch(tick) \
         .option("checkpointLocation", checkpoint)

@@ -6,7 +6,7 @@ not window counts.  Batch form: one hash shuffle on the key, a sort within
 partitions by (key, time), then ``mapInPandas`` streams each partition in
 order carrying O(limit) state for the current key only -- no group is ever
 collected into memory or onto the driver.  Stream form: the same step
-functions inside ``applyInPandasWithState`` with the state kept per key.
+functions inside ``applyInPandasWithState``, in event-time order.
 """
 
 from __future__ import annotations
@@ -57,11 +57,13 @@ class TtlAnchor:
 
 # ---- batch form ------------------------------------------------------------------------
 
-def _sorted_fold(df: DataFrame, key: str, ts: str, make_state, out_col: str, num_partitions: int | None):
-    epoch = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / F.lit(1e6)
-    staged = df.withColumn("_t", epoch)
+def _sorted_fold(df: DataFrame, key: str, ts: str, make_state, out_col: str, num_partitions: int | None,
+                 tie: str | None = None):
+    """Equal times are taken in the order of ``tie`` (an id), so the answers
+    do not depend on the run; times are whole microseconds."""
+    staged = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    staged = staged.repartition(parts, F.col(key)).sortWithinPartitions(key, "_t")
+    staged = staged.repartition(parts, F.col(key)).sortWithinPartitions(key, "_t", *([tie] if tie else []))
     out_schema = T.StructType(list(staged.schema.fields) + [T.StructField(out_col, T.BooleanType())])
 
     def run(batches):
@@ -78,46 +80,86 @@ def _sorted_fold(df: DataFrame, key: str, ts: str, make_state, out_col: str, num
     return staged.mapInPandas(run, out_schema).drop("_t")
 
 
+def _micros(seconds: float) -> int:
+    return round(seconds * 1_000_000)
+
+
 def throttle(df: DataFrame, key: str, ts: str, limit: int = lists.RATE_LIMIT,
-             window_s: float = lists.RATE_WINDOW_SECONDS, num_partitions: int | None = None) -> DataFrame:
+             window_s: float = lists.RATE_WINDOW_SECONDS, num_partitions: int | None = None,
+             tie: str | None = None) -> DataFrame:
     """T4 batch form: adds ``limited`` to every call row."""
-    return _sorted_fold(df, key, ts, lambda: SlidingLog(limit, window_s), "limited", num_partitions)
+    window = _micros(window_s)
+    return _sorted_fold(df, key, ts, lambda: SlidingLog(limit, window), "limited", num_partitions, tie)
 
 
 def ttl_reuse(df: DataFrame, key: str, ts: str, ttl_s: float = lists.CACHE_TTL_SECONDS,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, tie: str | None = None) -> DataFrame:
     """T5 batch form: adds ``cache_hit`` to every request row."""
-    return _sorted_fold(df, key, ts, lambda: TtlAnchor(ttl_s), "cache_hit", num_partitions)
+    ttl = _micros(ttl_s)
+    return _sorted_fold(df, key, ts, lambda: TtlAnchor(ttl), "cache_hit", num_partitions, tie)
 
 
 # ---- stream form --------------------------------------------------------------------------
 
-def throttle_stream(stream: DataFrame, key: str, ts: str, limit: int = lists.RATE_LIMIT,
-                    window_s: float = lists.RATE_WINDOW_SECONDS, idle_timeout: bool = True) -> DataFrame:
-    """T4 on a stream: state per key = accepted times inside the window; with
-    ``idle_timeout`` keys idle for longer than the window time out (the
-    periodic clean-up of a long-running stream; bounded runs pass False)."""
+def _ordered_fold_stream(stream: DataFrame, key: str, ts: str, id_col: str, delay: str, keep_s: float,
+                         load, dump, out_col: str) -> DataFrame:
+    """The fold on a stream whose rows arrive out of order by up to ``delay``.
+
+    Rows wait in the key's state until the watermark has passed them and are
+    then folded in the order of (time, id), whatever batch or Arrow chunk
+    brought them.  An event-time timer wakes the key for the next waiting row,
+    and drops its state once ``keep_s`` after its last decision nothing can
+    depend on it; a backfill or a slow source forgets nothing.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    out_schema = f"{key} long, {ts} timestamp, limited boolean"
-    state_schema = "accepted array<double>"
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, id_col)}
+    out_schema = f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, `{ts}` timestamp, {out_col} boolean"
+    state_schema = f"kept array<long>, times array<long>, ids array<{kinds[id_col]}>"
+    hold = _micros(keep_s)
 
     def fn(k, pdfs, state):
-        if state.hasTimedOut:
+        kept, times, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                times += pdf["_t"].tolist()
+                ids += pdf[id_col].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(zip(times, ids))
+        ready = [r for r in waiting if r[0] <= mark]
+        waiting = waiting[len(ready):]
+        fold = load(kept)
+        flags = [fold.step(t) for t, _ in ready]
+        kept = dump(fold)
+        if waiting or (kept and kept[-1] + hold > mark):
+            state.update((kept, [t for t, _ in waiting], [i for _, i in waiting]))
+            wake = waiting[0][0] if waiting else kept[-1] + hold
+            state.setTimeoutTimestamp(max(mark // 1000, -(-wake // 1000)) + 1)
+        elif state.exists:
             state.remove()
-            return
-        acc = list(state.get[0]) if state.exists else []
-        log = SlidingLog(limit, window_s, acc)
-        rows = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(ts)
-            for t in pdf[ts]:
-                rows.append((k[0], t, log.step(pd.Timestamp(t).timestamp())))
-        state.update((list(log.log),))
-        if idle_timeout:
-            state.setTimeoutDuration(int(window_s * 1000))
-        if rows:
-            yield pd.DataFrame(rows, columns=[key, ts, "limited"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout else GroupStateTimeout.NoTimeout
-    return stream.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append", timeout)
+        if ready:
+            yield pd.DataFrame({key: [k[0]] * len(ready), id_col: [i for _, i in ready],
+                                ts: pd.to_datetime([t for t, _ in ready], unit="us"), out_col: flags})
+
+    timed = (stream.select(key, id_col, F.col(ts).cast("timestamp").alias(ts))
+             .withColumn("_t", F.unix_micros(ts)).withWatermark(ts, delay))
+    return timed.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
+
+
+def throttle_stream(stream: DataFrame, key: str, ts: str, id_col: str, limit: int = lists.RATE_LIMIT,
+                    window_s: float = lists.RATE_WINDOW_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """T4 on a stream: key, id, time and ``limited`` of every call, once the
+    watermark (``delay`` behind the latest call) has passed it."""
+    window = _micros(window_s)
+    return _ordered_fold_stream(stream, key, ts, id_col, delay, window_s,
+                                lambda kept: SlidingLog(limit, window, kept), lambda f: list(f.log), "limited")
+
+
+def ttl_reuse_stream(stream: DataFrame, key: str, ts: str, id_col: str, ttl_s: float = lists.CACHE_TTL_SECONDS,
+                     delay: str = "10 minutes") -> DataFrame:
+    """T5 on a stream: key, id, time and ``cache_hit`` of every request."""
+    ttl = _micros(ttl_s)
+    return _ordered_fold_stream(stream, key, ts, id_col, delay, ttl_s,
+                                lambda kept: TtlAnchor(ttl, kept[0] if kept else None),
+                                lambda f: [] if f.anchor is None else [f.anchor], "cache_hit")
