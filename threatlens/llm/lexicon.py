@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .bytebpe import WordTable, byte_alphabet, mixed, vocabulary, word_keys
-from .common import concat_ranges, row_slices, text_buffer, text_or_empty
+from .common import concat_ranges, row_slices, staged, text_buffer, text_or_empty
 
 #: Words of the lexicon.
 LEXICON_WORDS = 65_536
@@ -501,7 +501,11 @@ def build_lexicon(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int =
     """Compile the most frequent words (up to eleven characters) of all
     documents; returns the file's place in the shared checkpoint folder."""
     spark = docs.sparkSession
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
+    counts = staged(word_counts(docs), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Frequent: a share that at most 16 x size words can have, so few rows are sorted however large the table.
+    frequent = counts.where(F.col("n") >= total / (16 * size))
+    top = frequent.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = sorted(top.column("word").to_pylist())
     coder = LexiconBpe(vocab if "/" in vocab else vocabulary(vocab), None)
     cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
