@@ -503,8 +503,8 @@ def build_lexicon(docs: DataFrame, vocab: str = "word_bpe_49k.json", size: int =
     spark = docs.sparkSession
     counts = staged(word_counts(docs), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # Frequent: a share that at most 16 x size words can have, so few rows are sorted however large the table.
-    frequent = counts.where(F.col("n") >= total / (16 * size))
+    # Frequent: a share that at most 64 x size words can have, so few rows are sorted however large the table.
+    frequent = counts.where(F.col("n") >= total / (64 * size))
     top = frequent.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     words = sorted(top.column("word").to_pylist())
     coder = LexiconBpe(vocab if "/" in vocab else vocabulary(vocab), None)
