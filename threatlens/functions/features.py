@@ -84,73 +84,6 @@ def shannon_entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(round3(-total) + F.lit(0.0))
 
 
-def domain_entropy(d: Column) -> Column:
-    """Entropy of the first label after removing 'www.'."""
-    return shannon_entropy(F.substring_index(strip_www(d), ".", 1))
-
-
-def suspicious_tld(d: Column) -> Column:
-    # every listed suffix is one label, so "ends with .t" == "last label is t"
-    last = F.substring_index(d, ".", -1)
-    return d.contains(".") & F.concat(F.lit("."), last).isin(lists.SUSPICIOUS_TLDS)
-
-
-def brand_impersonation(d: Column) -> Column:
-    dc = strip_www(F.lower(d))
-    parts = labels(dc)
-    sld = F.try_element_at(parts, F.lit(-2))
-    return (F.size(parts) >= 2) & brand_hit(dc, sld)
-
-
-def brand_hit(dc: Column, sld: Column) -> Column:
-    """Some brand occurs in the host and is not its second-level label.
-    Unrolled into an OR chain: compiled code beats a per-element lambda."""
-    hit = F.lit(False)
-    for b in lists.BRANDS:
-        hit = hit | (dc.contains(b) & F.coalesce(sld != F.lit(b), F.lit(True)))
-    return hit
-
-
-def typosquatting(d: Column) -> Column:
-    """First decision over BRANDS in list order: an exact brand stops with
-    False, an edit distance of at most 2 (label of 4+ chars) stops with True."""
-    dc = strip_www(F.lower(d))
-    parts = labels(dc)
-    sld = F.when(F.size(parts) >= 2, F.element_at(parts, -2)).otherwise(dc)
-    return (F.length(sld) >= 4) & first_brand_decision(sld)
-
-
-def first_brand_decision(sld: Column) -> Column:
-    """First decision over BRANDS in list order: an exact brand gives False,
-    an edit distance of at most 2 gives True.  One CASE chain (compiled);
-    the 3-argument levenshtein stops early and returns -1 beyond 2."""
-    decision = None
-    for b in lists.BRANDS:
-        lev = F.levenshtein(sld, F.lit(b), 2)
-        decision = (F.when(sld == F.lit(b), F.lit(False)) if decision is None
-                    else decision.when(sld == F.lit(b), F.lit(False)))
-        decision = decision.when(lev >= 0, F.lit(True))  # -1 means beyond 2
-    return decision.otherwise(F.lit(False))
-
-
-def homograph_attack(d: Column) -> Column:
-    dc = strip_www(F.lower(d))
-    return dc.contains("xn--") | dc.rlike(r"[^\x00-\x7F]")
-
-
-def path_exempt(d: Column) -> Column:
-    """Host is (a subdomain of) a trusted service or an academic or
-    government suffix."""
-    dd = F.lower(d)
-    cond = F.lit(False)
-    for t in lists.PATH_KEYWORD_EXEMPT:
-        cond = cond | (dd == F.lit(t)) | dd.endswith("." + t)
-    parts = labels(dd)
-    last = F.element_at(parts, -1)
-    last2 = F.array_join(F.slice(parts, -2, 2), ".")
-    return cond | ((F.size(parts) >= 2) & (last.isin(lists.PATH_EXEMPT_TLDS) | last2.isin(lists.PATH_EXEMPT_TLD2)))
-
-
 def longest_word_length(url: Column) -> Column:
     words = F.split(F.lower(url), r"[/.\-_?=&]", -1)
     return F.coalesce(F.array_max(F.transform(words, lambda w: F.length(w))), F.lit(0))
@@ -174,11 +107,11 @@ _COLUMN_CACHE: dict = {}
 
 def _memo(key, build):
     """Column expressions that refer to columns by name are reusable; build
-    each set once per SparkContext (building them is thousands of py4j
+    each set once per application (building them is thousands of py4j
     calls, the plan itself is unaffected)."""
     from pyspark import SparkContext
     sc = SparkContext._active_spark_context
-    k = (id(sc), key)
+    k = (sc.applicationId, key)
     if k not in _COLUMN_CACHE:
         _COLUMN_CACHE[k] = build()
     return _COLUMN_CACHE[k]

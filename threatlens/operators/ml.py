@@ -192,6 +192,38 @@ def evaluation(pred: DataFrame, label_col: str = "y", pred_col: str = "predictio
                     F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
 
 
+def per_class_report(pred: DataFrame, label_col: str = "y", pred_col: str = "prediction") -> DataFrame:
+    """ML7: precision, recall, F1 and support of each class and, as ``class``
+    -1, their averages weighted by support (0 where undefined)."""
+    y, p = F.col(label_col).cast("int"), F.col(pred_col).cast("int")
+    pairs = pred.groupBy(y.alias("y"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.select(F.explode(F.array(
+        F.struct(F.col("y").alias("class"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said"),
+                 F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(F.lit(0)).alias("right")),
+        F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said"),
+                 F.lit(0).cast("long").alias("right")))).alias("e")).select("e.*")
+    c = both.groupBy("class").agg(F.sum("is").alias("support"), F.sum("said").alias("said"), F.sum("right").alias("right"))
+    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+    c = c.select("class", "support", ratio(F.col("right"), F.col("said")).alias("precision"),
+                 ratio(F.col("right"), F.col("support")).alias("recall"))
+    pr = F.col("precision") + F.col("recall")
+    c = c.withColumn("f1", F.when(pr > 0, F.lit(2.0) * F.col("precision") * F.col("recall") / pr).otherwise(F.lit(0.0)))
+    mean = lambda k: ratio(F.sum(F.col(k) * F.col("support")), F.sum("support")).alias(k)
+    whole = c.agg(F.lit(-1).alias("class"), F.sum("support").alias("support"), mean("precision"), mean("recall"), mean("f1"))
+    return c.unionByName(whole)
+
+
+def fold_summary(pred: DataFrame, fold: str = "fold", label_col: str = "y", pred_col: str = "prediction") -> DataFrame:
+    """ML8 from given predictions: accuracy per fold and, as fold -1, their
+    mean, each with the population standard deviation over the folds."""
+    ok = (F.col(label_col).cast("int") == F.col(pred_col).cast("int")).cast("int")
+    per = pred.groupBy(F.col(fold).cast("int").alias("fold")).agg(
+        (F.sum(ok).cast("double") / F.count(F.lit(1))).alias("accuracy"))
+    whole = per.agg(F.avg("accuracy").alias("accuracy"), F.coalesce(F.stddev_pop("accuracy"), F.lit(0.0)).alias("std"))
+    rows = per.withColumn("std", F.lit(None).cast("double"))
+    return rows.unionByName(whole.select(F.lit(-1).alias("fold"), "accuracy", "std"))
+
+
 def cross_validate(train: DataFrame, estimator, folds: int = 5) -> list[float]:
     """ML8: accuracy per fold; folds are hash buckets of the URL."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator

@@ -65,6 +65,9 @@ SELECT c.source, coalesce(CASE WHEN c.format IN ('url_per_line', 'url_per_line_s
 FROM (SELECT DISTINCT source, format, true AS landed FROM feed_lines UNION ALL SELECT 'offline_source', 'url_per_line', false) c
 LEFT JOIN (SELECT source, count(*) FILTER (WHERE kind = 'url') AS u, count(*) FILTER (WHERE kind = 'domain') AS d
            FROM parsed GROUP BY source) s ON s.source = c.source""", _FEED)
+ORACLES["feed_folder_entries"] = o.with_fixtures(["feed_lines"], """
+SELECT source, kind, value, NULL::BIGINT AS lines FROM parsed WHERE source <> 'hosts'
+UNION ALL SELECT source, 'unknown source', NULL, count(*)::BIGINT FROM feed_lines WHERE source = 'hosts' GROUP BY source""", _FEED)
 ORACLES["feed_totals"] = o.with_fixtures(["feed_lines"], """
 SELECT u.n AS total_urls, d.n AS total_domains, (u.n + d.n)::BIGINT AS total_entries
 FROM (SELECT count(*)::BIGINT AS n FROM feed_urls) u, (SELECT count(*)::BIGINT AS n FROM feed_domains) d""", _FEED)
@@ -270,6 +273,13 @@ SELECT id, url, final_result AS result,
   final_confidence AS confidence, CASE WHEN route = 'blocklist' THEN 'N/A' ELSE vt_ratio END AS vt_ratio
 FROM ({_ROUTED}) r WHERE route IN ('blocklist', 'scored')
   AND NOT ({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.NO_LOG_PREFIXES)})""", _ROUTE_CTES)
+ORACLES["scan_log_roundtrip"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT r.d AS date, count(*)::BIGINT AS scans, count(*) FILTER (WHERE r.final_result = 'PHISHING')::BIGINT AS phishing
+FROM (SELECT v.*, s.timestamp::DATE AS d FROM ({_ROUTED}) v JOIN scans s ON v.id = -s.id - 1) r
+WHERE route IN ('blocklist', 'scored') AND NOT ({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.NO_LOG_PREFIXES)})
+GROUP BY r.d""", _ROUTE_CTES)
+
+
 def _doc(allow: str, block: str, own: str) -> str:
     return f"CASE route WHEN 'allowlist' THEN {allow} WHEN 'blocklist' THEN {block} WHEN 'scored' THEN {own} END"
 
@@ -332,6 +342,28 @@ FROM (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::BIGINT AS tp, count(*) FIL
       FROM (SELECT (l.label = 'phishing')::INT AS y, (m.rf_prob > 0.5)::INT AS p
             FROM labelled l JOIN model_scores m ON l.page_id = m.page_id) j) c""", _LABELLED)
 
+_PRED = """pred AS (SELECT l.url, (l.label = 'phishing')::INT AS y, (m.rf_prob > 0.5)::INT AS p
+         FROM labelled l JOIN model_scores m ON l.page_id = m.page_id)"""
+ORACLES["model_report"] = o.with_fixtures(["url_corpus", "model_scores"], """
+SELECT class, support, floor(prec * 1e9 + 0.5)::BIGINT AS precision_e9, floor(rec * 1e9 + 0.5)::BIGINT AS recall_e9,
+  floor(f * 1e9 + 0.5)::BIGINT AS f1_e9
+FROM (SELECT * FROM scores UNION ALL
+      SELECT -1, sum(support)::BIGINT, sum(prec * support) / sum(support), sum(rec * support) / sum(support),
+             sum(f * support) / sum(support) FROM scores) x""", ",\n".join([_LABELLED, _PRED, """scores AS (
+  SELECT class::BIGINT AS class, support, prec, rec, CASE WHEN prec + rec > 0 THEN 2.0 * prec * rec / (prec + rec) ELSE 0.0 END AS f
+  FROM (SELECT c.class, count(*) FILTER (WHERE y = c.class)::BIGINT AS support,
+               coalesce(count(*) FILTER (WHERE y = c.class AND p = c.class)::DOUBLE / nullif(count(*) FILTER (WHERE p = c.class), 0), 0.0) AS prec,
+               coalesce(count(*) FILTER (WHERE y = c.class AND p = c.class)::DOUBLE / nullif(count(*) FILTER (WHERE y = c.class), 0), 0.0) AS rec
+        FROM pred, (SELECT y AS class FROM pred UNION SELECT p FROM pred) c GROUP BY c.class) s)"""]))
+ORACLES["cv_summary"] = o.with_fixtures(["url_corpus", "model_scores"], """
+SELECT fold, floor(a * 1e9 + 0.5)::BIGINT AS accuracy_e9, floor(s * 1e9 + 0.5)::BIGINT AS std_e9
+FROM (SELECT fold, a, NULL::DOUBLE AS s FROM folds UNION ALL SELECT -1, avg(a), coalesce(stddev_pop(a), 0.0) FROM folds) x""",
+    ",\n".join([_LABELLED, _PRED, """folds AS (SELECT ((('0x' || substr(md5(url), 1, 8))::BIGINT % 100) % 5)::BIGINT AS fold,
+  avg((y = p)::INT::DOUBLE) AS a FROM pred GROUP BY 1)"""]))
+ORACLES["model_gate"] = o.with_fixtures(["retrain_log"], """
+SELECT id, run_id, accuracy, CASE WHEN accuracy >= 0.88 THEN 'done' ELSE 'rejected_low_accuracy' END AS gate
+FROM retrain_log WHERE accuracy > 0""")
+
 # T4, T5: one step of every key's sequence a round, carrying what the next decision depends on
 ORACLES["throttle_decisions"] = f"""
 WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch_us(ts) AS t,

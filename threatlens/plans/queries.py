@@ -140,6 +140,24 @@ def q_feed_entries(spark, sf_dir):
     return fd.parse_feed_lines(fixture(spark, sf_dir, "feed_lines"))
 
 
+@register("feed_folder_entries")
+def q_feed_folder_entries(spark, sf_dir):
+    """Landing folders (names with spaces), written from the feed lines and
+    read back by folder name; unknown folders go to the quarantine."""
+    from ..session import scratch_path
+    import uuid
+    root = scratch_path(spark, f"feed-landing-{uuid.uuid4().hex[:12]}")
+    lines = fixture(spark, sf_dir, "feed_lines")
+    catalog = lines.select("source", "format").distinct().where(F.col("source") != "hosts")
+    for r in lines.select("source").distinct().collect():  # the catalog's few sources
+        lines.where(F.col("source") == r["source"]).select("line").write.text(f"{root}/{r['source']}")
+    back = fd.read_feed_folders(spark, root, catalog)
+    known = fd.parse_feed_lines(back).select("source", "kind", "value", F.lit(None).cast("bigint").alias("lines"))
+    lost = fd.unknown_sources(back).select("source", F.lit("unknown source").alias("kind"),
+                                           F.lit(None).cast("string").alias("value"), "lines")
+    return known.unionByName(lost)
+
+
 @register("feed_urls")
 def q_feed_urls(spark, sf_dir):
     """Distinct feed URLs."""
@@ -499,6 +517,22 @@ def q_scan_log_rows(spark, sf_dir):
     return bigints(sc.scan_log_rows(routed(spark, sf_dir)))
 
 
+@register("scan_log_roundtrip")
+def q_scan_log_roundtrip(spark, sf_dir):
+    """S11 + A3: verdict rows appended to the date-partitioned scan log, read
+    back, and the daily activity over what was read."""
+    from ..session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"scan-log-{uuid.uuid4().hex[:12]}")
+    when = fixture(spark, sf_dir, "scans").select((-F.col("id") - F.lit(1)).alias("_tid"), "timestamp")
+    v = routed(spark, sf_dir)
+    v = v.join(when, v["id"] == F.col("_tid"), "left").drop("_tid").where(F.col("timestamp").isNotNull())
+    sk.append_scans(sc.scan_log_rows(v), path)
+    back = spark.read.parquet(path)
+    return bigints(back.groupBy("date").agg(F.count(F.lit(1)).alias("scans"),
+                                            F.count_if(F.col("result") == "PHISHING").alias("phishing")))
+
+
 @register("verdict_counters")
 def q_counters(spark, sf_dir):
     """Service counters over the routed verdicts."""
@@ -573,6 +607,35 @@ def q_model_evaluation(spark, sf_dir):
     return bigints(ml.evaluation(pred))
 
 
+@register("model_report")
+def q_model_report(spark, sf_dir):
+    """ML7: precision, recall, F1 and support per class, and weighted (class -1)."""
+    lab = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    ms = fixture(spark, sf_dir, "model_scores")
+    pred = lab.join(ms, "page_id").withColumn("prediction", (F.col("rf_prob") > F.lit(0.5)).cast("int"))
+    r = ml.per_class_report(pred)
+    nine = lambda c: F.floor(F.col(c) * 1e9 + 0.5).cast("bigint").alias(c + "_e9")
+    return bigints(r.select("class", "support", nine("precision"), nine("recall"), nine("f1")))
+
+
+@register("cv_summary")
+def q_cv_summary(spark, sf_dir):
+    """ML8: accuracy per fold (hash buckets of the URL), mean and deviation."""
+    lab = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    ms = fixture(spark, sf_dir, "model_scores")
+    pred = (lab.join(ms, "page_id").withColumn("prediction", (F.col("rf_prob") > F.lit(0.5)).cast("int"))
+            .withColumn("fold", F.pmod(ml.split_bucket(F.col("url")), F.lit(5))))
+    nine = lambda c: F.floor(F.col(c) * 1e9 + 0.5).cast("bigint").alias(c + "_e9")
+    return bigints(ml.fold_summary(pred).select("fold", nine("accuracy"), nine("std")))
+
+
+@register("model_gate")
+def q_model_gate(spark, sf_dir):
+    """ML9: the gate over the accuracies of the retrain log's runs."""
+    log = fixture(spark, sf_dir, "retrain_log").where(F.col("accuracy") > 0)
+    return bigints(log.select("id", "run_id", "accuracy", ml.gate_column(F.col("accuracy")).alias("gate")))
+
+
 @register("retrain_run")
 def q_retrain_run(spark, sf_dir):
     """ML9 + ML10: retrain on corpus + verified reports, gate on accuracy."""
