@@ -137,8 +137,8 @@ PAGE_KEYS = ["has_password_field", "title_brand_mismatch", "has_hidden_iframe",
 def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFrame | None:
     """Per-URL facts from the URL-keyed sources (one union + one groupBy).
     ``flagged_urls`` (column ``url``) become ``in_feed_url``."""
-    cols = ["url", "hops", "final_target", *PAGE_KEYS, "vt_m", "vt_s", "vt_t", "gsb", "feed"]
-    nul = {"hops": "int", "final_target": "string", "vt_m": "int", "vt_s": "int", "vt_t": "int", "gsb": "int",
+    cols = ["url", "hops", "changed", *PAGE_KEYS, "vt_m", "vt_s", "vt_t", "gsb", "feed"]
+    nul = {"hops": "int", "changed": "int", "vt_m": "int", "vt_s": "int", "vt_t": "int", "gsb": "int",
            "feed": "int"} | {k: "int" for k in PAGE_KEYS}
 
     def proj(df, **given):
@@ -147,7 +147,9 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
     if enr.redirects is not None:
         r = enr.redirects.groupBy("url").agg(F.count(F.lit(1)).cast("int").alias("n"),
                                             F.max_by("target", "hop_no").alias("t"))
-        parts.append(proj(r, url=F.col("url"), hops=F.col("n"), final_target=F.col("t")))
+        # whether the domain changed is decided here, so no string is aggregated below
+        changed = (_etld1_of_url(F.col("url")) != _etld1_of_url(F.col("t"))).cast("int")
+        parts.append(proj(r, url=F.col("url"), hops=F.col("n"), changed=changed))
     if enr.pages is not None:
         # a page is read for four flags in the scan itself; only those are shuffled
         flags = page_columns(F.col("html"), host_of_netloc(netloc_of(F.col("url"))))
@@ -167,17 +169,17 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
     for p in parts[1:]:
         u = u.unionByName(p)
     g = u.groupBy("url").agg(
-        F.max("hops").alias("hops"), F.max("final_target").alias("final_target"),
+        F.max("hops").alias("hops"), F.max("changed").alias("changed"),
         *[F.max(k).alias(k) for k in PAGE_KEYS], F.max("vt_m").alias("vt_malicious"),
         F.max("vt_s").alias("vt_suspicious"), F.max("vt_t").alias("vt_all"),
         F.max("gsb").alias("gsb"), F.max("feed").alias("feed"))
     return g.withColumns({k: F.coalesce(F.col(k) == 1, F.lit(False)) for k in PAGE_KEYS})
 
 
-def redirect_columns(url: Column) -> dict[str, Column]:
+def redirect_columns() -> dict[str, Column]:
     hops = F.coalesce(F.col("hops"), F.lit(0))
     ok = (hops > 0) & (hops <= 5)
-    changed = ok & (_etld1_of_url(url) != _etld1_of_url(F.col("final_target")))
+    changed = ok & (F.col("changed") == 1)
     return {"redirect_hop_count": F.when(ok, hops).otherwise(F.lit(0)),
             "redirect_domain_changed": changed,
             "redirect_chain_suspicious": ok & ((hops >= 3) | changed)}
@@ -231,11 +233,11 @@ def enrich_features(df: DataFrame, enr: Enrichment, url_col: str = "url", as_of=
         uf = uf.withColumnRenamed("url", "_furl")
         out = out.join(uf, out[url_col] == uf["_furl"], "left").drop("_furl")
         cols = {}
-        cols.update(redirect_columns(F.col(url_col)))
+        cols.update(redirect_columns())
         cols.update(reputation_columns())
         cols["gsb_flagged"] = F.coalesce(F.col("gsb") == 1, F.lit(False))
         cols["in_feed_url"] = F.coalesce(F.col("feed") == 1, F.lit(False))
-        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "final_target", "gsb", "feed", "vt_malicious", "vt_suspicious", "vt_all")
+        out = out.drop("gsb_flagged").withColumns(cols).drop("hops", "changed", "gsb", "feed", "vt_malicious", "vt_suspicious", "vt_all")
     from ..functions.features import DEEP_DEFAULTS
     fills = {k: F.coalesce(F.col(k), F.lit(v)) for k, v in DEEP_DEFAULTS.items() if k in out.columns}
     return out.withColumns(fills)

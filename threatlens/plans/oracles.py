@@ -12,12 +12,12 @@ _CORPUS = "SELECT page_id, url FROM url_corpus"
 ORACLES["url_split"] = o.with_fixtures(["url_corpus"], f"""
 SELECT page_id, url, scheme, netloc, path, params, query, fragment FROM ({o.url_parts_sql(_CORPUS)}) x""")
 
-_NORM_SRC = """SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans"""
+_NORM_SRC = """SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans UNION ALL SELECT -id - 1099511627776 AS id, url FROM odd_requests"""
 _WS = r"[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STRIP = f"regexp_replace(url, '^{_WS}+|{_WS}+$', '', 'g')"
 _PREF = (f"CASE WHEN starts_with(s, 'http://') OR starts_with(s, 'https://') THEN s ELSE 'https://' || s END")
 _TRACK = lists.TRACKING_PARAM_PATTERN
-ORACLES["url_normalize"] = o.with_fixtures(["url_corpus", "scans"], f"""
+ORACLES["url_normalize"] = o.with_fixtures(["url_corpus", "scans", "odd_requests"], f"""
 SELECT id, raw AS url, error,
   scheme || '://' || netloc || CASE WHEN params <> '' THEN path || ';' || params ELSE path END
     || CASE WHEN q2 <> '' THEN '?' || q2 ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS normalized,
@@ -229,7 +229,7 @@ _ERR = (f"CASE WHEN url IS NULL THEN 'Missing url' WHEN {o.strip_sql('url')} = '
         f"WHEN length({o.strip_sql('url')}) > 2048 THEN 'URL too long (max 2048 chars)' END")
 _REQ = f"""req AS (SELECT id, raw_url, error, CASE WHEN error IS NULL THEN {o.normalize_sql('raw_url')} END AS url FROM (
     SELECT id, url AS raw_url, {_ERR} AS error FROM (
-      SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans) a) b),
+      SELECT page_id AS id, url FROM url_corpus UNION ALL SELECT -id - 1 AS id, url FROM scans UNION ALL SELECT -id - 1099511627776 AS id, url FROM odd_requests) a) b),
 req2 AS (SELECT *, coalesce(({' OR '.join(f"starts_with(url, {o.q(p)})" for p in lists.SKIP_PREFIXES)}), false) AS skipped FROM req),
 lex AS ({o.lexical_features_sql('SELECT * FROM req2')}),
 hflags AS (SELECT host,
@@ -260,7 +260,7 @@ FROM (SELECT u.*, CASE WHEN error IS NOT NULL THEN 'error' WHEN skipped THEN 'sk
                   WHEN coalesce(in_static, false) OR coalesce(in_dynamic, false) THEN 'allowlist'
                   WHEN coalesce(in_feed_url, false) OR coalesce(in_feed_domain, false) THEN 'blocklist'
                   ELSE 'scored' END AS route FROM ({_RENS}) u) v"""
-_ROUTE_FIX = ["url_corpus", "scans", "feed_lines", "reports", "allowlist_requests", "model_scores"] + o.ENRICH_FIXTURES
+_ROUTE_FIX = ["url_corpus", "scans", "odd_requests", "feed_lines", "reports", "allowlist_requests", "model_scores"] + o.ENRICH_FIXTURES
 ORACLES["routed_verdicts"] = o.with_fixtures(_ROUTE_FIX, f"""
 SELECT id, url, route, final_result AS result, final_confidence AS confidence, final_risk AS risk_level, whitelist_source,
   final_reasons AS reasons, CASE WHEN route = 'scored' THEN weighted_score END AS weighted_score,

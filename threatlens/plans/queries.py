@@ -53,12 +53,20 @@ def q_url_split(spark, sf_dir):
                     p["fragment"].alias("fragment"))
 
 
+def _odd_requests(spark, sf_dir) -> DataFrame:
+    """Requests that validation or cleaning changes, ids below all others."""
+    return fixture(spark, sf_dir, "odd_requests").select((-F.col("id") - F.lit(ODD_IDS)).alias("id"), "url")
+
+
+ODD_IDS = 1 << 40
+
+
 @register("url_normalize")
 def q_url_normalize(spark, sf_dir):
     """U2 + U4 + U5 over the corpus and the (messier) scan-log URLs."""
     c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
     s = fixture(spark, sf_dir, "scans").select(-F.col("id") - F.lit(1), "url")
-    both = c.unionByName(s.toDF("id", "url"))
+    both = c.unionByName(s.toDF("id", "url")).unionByName(_odd_requests(spark, sf_dir))
     n = urls.normalize_url(F.col("url"))
     return (both.select("id", "url", urls.validation_error(F.col("url")).alias("error"), n.alias("normalized"))
                 .withColumn("skipped", urls.is_skipped(F.col("normalized"))))
@@ -492,7 +500,7 @@ def scan_requests(spark, sf_dir) -> DataFrame:
     """Requests: corpus URLs and the scan-log URLs (internal pages included)."""
     c = fixture(spark, sf_dir, "url_corpus").select(F.col("page_id").alias("id"), "url")
     s = fixture(spark, sf_dir, "scans").select((-F.col("id") - F.lit(1)).alias("id"), "url")
-    return c.unionByName(s)
+    return c.unionByName(s).unionByName(_odd_requests(spark, sf_dir))
 
 
 def routed(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,9 @@ FIXTURE_SQL: dict[str, str] = {}
 FIXTURE_SQL["scans"] = """
 SELECT e.event_id AS id,
   CASE e.event_id % 10 WHEN 0 THEN concat('http://localhost:5000/', CAST(e.user_id AS STRING)) WHEN 1 THEN 'chrome://settings'
-    WHEN 2 THEN concat('HTTP://LOCALHOST/', CAST(e.user_id AS STRING)) ELSE p.url END AS url,
+    WHEN 2 THEN concat('HTTP://LOCALHOST/', CAST(e.user_id AS STRING))
+    WHEN 3 THEN CASE e.event_id % 40 WHEN 3 THEN 'about:blank' WHEN 13 THEN concat('chrome-extension://x', CAST(e.user_id AS STRING))
+      WHEN 23 THEN concat('https://www.google.com/maps?q=', CAST(e.user_id AS STRING)) ELSE p.url END ELSE p.url END AS url,
   CASE e.event_type WHEN 'error' THEN 'PHISHING' WHEN 'purchase' THEN 'SUSPICIOUS' ELSE 'SAFE' END AS result,
   CASE e.event_type WHEN 'error' THEN 'PHISHING' ELSE 'SAFE' END AS ml_result,
   CASE WHEN e.event_id % 3 = 0 THEN 'N/A' WHEN e.event_type = 'error' THEN 'PHISHING' ELSE 'SAFE' END AS lstm_result,
@@ -62,6 +64,15 @@ SELECT page_id, CASE page_id % 8
 FROM {pages}
 """
 
+# requests as they arrive: unusable ones, control characters, and one name that
+# only the brand guard keeps off the blocklist
+FIXTURE_SQL["odd_requests"] = """
+SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN '   ' WHEN 1 THEN repeat(url, 100) WHEN 2 THEN concat(chr(9), ' ', url, chr(10))
+  WHEN 3 THEN concat(substr(url, 1, 9), chr(13), chr(10), substr(url, 10)) WHEN 4 THEN NULL
+  ELSE concat('https://sub.google.com/x', CAST(page_id AS STRING)) END AS url
+FROM {pages} WHERE page_id % 5 = 2
+"""
+
 # raw threat-feed lines, tagged with their source and format
 FIXTURE_SQL["feed_lines"] = """
 SELECT CASE WHEN page_id % 23 = 7 THEN 'comments only (test)' ELSE CASE page_id % 5 WHEN 0 THEN 'urls_plain' WHEN 1 THEN 'hosts' WHEN 2 THEN 'domains' WHEN 3 THEN 'urls_hash' ELSE 'domains' END END AS source,
@@ -83,7 +94,7 @@ SELECT DISTINCT regexp_extract(url,'^[a-z]+://([^/?#]*)',1) AS domain, CASE page
 """
 
 FIXTURE_SQL["redirects"] = """
-SELECT p.url, h.hop_no, CASE WHEN h.hop_no = p.page_id % 5 AND p.page_id % 2 = 0 THEN concat('https://other', CAST(p.page_id AS STRING), '.test/') ELSE concat(p.url, '#', CAST(h.hop_no AS STRING)) END AS target FROM {pages} p CROSS JOIN (SELECT 1 AS hop_no UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) h WHERE h.hop_no <= p.page_id % 5
+SELECT p.url, h.hop_no, CASE WHEN h.hop_no = p.page_id % 5 AND p.page_id % 2 = 0 THEN concat('https://other', CAST(p.page_id AS STRING), '.test/') ELSE concat(p.url, '#', CAST(h.hop_no AS STRING)) END AS target FROM {pages} p CROSS JOIN (SELECT 1 AS hop_no UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) h WHERE h.hop_no <= p.page_id % 5 OR p.page_id % 19 = 6
 """
 
 FIXTURE_SQL["resolutions"] = """
