@@ -22,6 +22,8 @@ from ..sources import sinks as sk
 from . import featurize as fz
 
 
+FEATURES_OF_A_MODEL = 43
+
 # ---- S3, S4 -------------------------------------------------------------------------
 
 def first_present(columns, candidates, what: str) -> str:
@@ -132,16 +134,28 @@ def training_union(base: DataFrame, verified: DataFrame, copies: int = lists.REP
 
 # ---- vectors and models -----------------------------------------------------------------
 
-def feature_vectors(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None) -> DataFrame:
-    """Features -> ``features`` vector (43 doubles in fixed order).  The
+def assembled(f: DataFrame) -> DataFrame:
+    """``features`` (43 doubles in fixed order) of featurised rows.  The
     safe-browsing slot is 0 at model time, as in scoring."""
     from pyspark.ml.feature import VectorAssembler
-    f = fz.featurize(df, url_col, enrichment, as_of)
-    f = f.withColumn("gsb_flagged", F.lit(False))
-    cols = [F.col(k).cast("double").alias(f"f_{k}") for k in feat.FEATURE_KEYS]
-    f = f.select("*", *cols)
-    va = VectorAssembler(inputCols=[f"f_{k}" for k in feat.FEATURE_KEYS], outputCol="features")
-    return va.transform(f).drop(*[f"f_{k}" for k in feat.FEATURE_KEYS])
+    names = [f"_f_{k}" for k in feat.FEATURE_KEYS]
+    if len(names) != FEATURES_OF_A_MODEL:
+        raise ValueError(f"{len(names)} features, a model takes {FEATURES_OF_A_MODEL}")
+    values = [(F.lit(False) if k == "gsb_flagged" else F.col(k)).cast("double").alias(n)
+              for k, n in zip(feat.FEATURE_KEYS, names)]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(f.select("*", *values)).drop(*names)
+
+
+def feature_vectors(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None) -> DataFrame:
+    """Features -> ``features`` vector."""
+    return assembled(fz.featurize(df, url_col, enrichment, as_of))
+
+
+def with_model_probability(f: DataFrame, model, name: str) -> DataFrame:
+    """V2/V3: the model's class-1 probability of featurised rows as ``name``."""
+    from pyspark.ml.functions import vector_to_array
+    p = model.transform(assembled(f)).withColumn(name, vector_to_array(F.col("probability"))[1])
+    return p.select(*f.columns, name)
 
 
 def tree_classifier(kind: str = "forest", seed: int = 42):
@@ -282,9 +296,6 @@ def save_model(model, path: str) -> None:
     model.write().save(path)
 
 
-FEATURES_OF_A_MODEL = 43
-
-
 def load_model(spark: SparkSession, registry: str, loader=None):
     """The registry's current model, or None before the first; a model of
     another width than the 43 features is refused."""

@@ -265,6 +265,16 @@ ORACLES["routed_verdicts"] = o.with_fixtures(_ROUTE_FIX, f"""
 SELECT id, url, route, final_result AS result, final_confidence AS confidence, final_risk AS risk_level, whitelist_source,
   final_reasons AS reasons, CASE WHEN route = 'scored' THEN weighted_score END AS weighted_score,
   CASE WHEN route = 'scored' THEN votes END AS votes FROM ({_ROUTED}) r""", _ROUTE_CTES)
+ORACLES["cached_routes"] = o.with_fixtures(_ROUTE_FIX, f"""
+SELECT r.id, r.url, CASE WHEN hit THEN 'cached' ELSE route END AS route,
+  CASE WHEN hit THEN 'R' || c.age ELSE final_result END AS result, CASE WHEN hit THEN c.age ELSE final_confidence END::BIGINT AS confidence,
+  CASE WHEN hit THEN 'LOW' ELSE final_risk END AS risk_level
+FROM ({_ROUTED}) r LEFT JOIN stored c ON r.url = c.n,
+LATERAL (SELECT c.n IS NOT NULL AND r.route NOT IN ('error', 'skipped') AS hit) h""", _ROUTE_CTES + f""",
+-- the youngest result below the TTL of 300 seconds; every page has one 299 old, most one 100 old
+kept AS (SELECT {o.normalize_sql('url')} AS n, page_id FROM page_html WHERE page_id % 6 = 1),
+gone AS (SELECT url AS n FROM page_html WHERE page_id % 6 = 1 AND page_id % 5 = 2),
+stored AS (SELECT n, min(CASE WHEN page_id % 4 <> 3 THEN 100 ELSE 299 END) AS age FROM kept WHERE n NOT IN (SELECT n FROM gone) GROUP BY n)""")
 ORACLES["scan_log_rows"] = o.with_fixtures(_ROUTE_FIX, f"""
 SELECT id, url, final_result AS result,
   CASE WHEN route = 'blocklist' THEN 'BLOCKLIST' ELSE rf_result END AS ml_result,
@@ -306,7 +316,7 @@ SELECT count(*) FILTER (WHERE route = 'scored')::BIGINT AS total_scans,
   count(*) FILTER (WHERE route = 'scored' AND final_result = 'PHISHING')::BIGINT AS result_phishing,
   count(*) FILTER (WHERE route = 'scored' AND final_result = 'SUSPICIOUS')::BIGINT AS result_suspicious,
   count(*) FILTER (WHERE route = 'scored' AND final_result = 'SAFE')::BIGINT AS result_safe,
-  count(*) FILTER (WHERE route = 'blocklist')::BIGINT AS blocklist_hits,
+  0::BIGINT AS cache_hits, count(*) FILTER (WHERE route = 'blocklist')::BIGINT AS blocklist_hits,
   count(*) FILTER (WHERE route = 'scored' AND vt_result = 'UNAVAILABLE')::BIGINT AS vt_unavailable,
   count(*) FILTER (WHERE route = 'scored' AND gsb_flagged)::BIGINT AS gsb_flagged_count
 FROM ({_ROUTED}) r""", _ROUTE_CTES)

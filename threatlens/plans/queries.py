@@ -519,6 +519,50 @@ def q_routed(spark, sf_dir):
         F.when(rt == "scored", F.col("votes")).alias("votes")))
 
 
+def _result_cache(spark, sf_dir) -> DataFrame:
+    """Results stored before the requests: two for every sixth page, one of
+    them too old; some evicted by feedback."""
+    p = fixture(spark, sf_dir, "page_html").where(F.pmod(F.col("page_id"), F.lit(6)) == 1)
+    ages = F.explode(F.array(F.lit(100), F.lit(299), F.lit(300)))
+    rows = p.select("page_id", urls.normalize_url(F.col("url")).alias("n"), ages.alias("age"))
+    rows = rows.where((F.col("age") != 100) | (F.pmod(F.col("page_id"), F.lit(4)) != 3))
+    now = F.lit(AS_OF_TS).cast("timestamp")
+    cache = rows.select(
+        sc.cache_key(F.col("n")).alias("cache_key"),
+        F.timestamp_micros(F.unix_micros(now) - F.col("age") * F.lit(1_000_000)).alias("stored_at"),
+        F.concat(F.lit("R"), F.col("age").cast("string")).alias("result"), F.col("age").cast("int").alias("confidence"),
+        F.lit("LOW").alias("risk_level"), F.lit("").alias("reasons"))
+    return sc.evict(cache, p.where(F.pmod(F.col("page_id"), F.lit(5)) == 2).select("url"))
+
+
+@register("cached_routes")
+def q_cached_routes(spark, sf_dir):
+    """V12 with stored results: precedence, TTL, newest result, eviction."""
+    inp = scoring_inputs(spark, sf_dir)
+    inp.cache, inp.now = _result_cache(spark, sf_dir), AS_OF_TS
+    v = sc.score_requests(scan_requests(spark, sf_dir), inp)
+    return bigints(v.select("id", "url", "route", F.col("final_result").alias("result"),
+                            F.col("final_confidence").alias("confidence"), "risk_level"))
+
+
+@register("model_scoring")
+def q_model_scoring(spark, sf_dir):
+    """V2 + V17: a forest fitted on the labelled corpus, saved to the registry,
+    loaded again and used inside the scoring plan."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from ..session import scratch_path
+    import uuid
+    base = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    fit = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=20, maxDepth=6, seed=42)
+    registry = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    ml.save_model(fit.fit(ml.feature_vectors(base, "url")), f"{registry}/m1")
+    sk.commit_version(spark, registry, "m1")
+    inp = scoring_inputs(spark, sf_dir)
+    inp.model_scores, inp.tree_model = None, ml.load_model(spark, registry)
+    v = sc.score_requests(scan_requests(spark, sf_dir), inp)
+    return bigints(v.where(F.col("route") == "scored").select("id", "url", "rf_prob", "rf_result", "final_result"))
+
+
 @register("scan_log_rows")
 def q_scan_log_rows(spark, sf_dir):
     """V13 + S11: the rows a scoring run appends to the scan log."""

@@ -20,6 +20,7 @@ from ..functions import urls as U
 from ..operators import enrich as en
 from ..operators import featurize as fz
 from ..operators import matching as m
+from ..operators import ml
 from ..operators import verdict as vd
 from ..session import materialize
 
@@ -37,6 +38,10 @@ class ScoringInputs:
     lists: ListInputs = field(default_factory=ListInputs)
     enrichment: en.Enrichment = field(default_factory=en.Enrichment)
     model_scores: DataFrame | None = None       # id, rf_prob, nn_prob
+    tree_model: object | None = None            # fitted on the 43 features; used without model_scores
+    neural_model: object | None = None
+    cache: DataFrame | None = None              # cache_key, stored_at, result, confidence, risk_level, reasons
+    now: str | None = None                      # time that cached results are judged at
     as_of: str = "2024-01-15"
 
 
@@ -86,13 +91,20 @@ def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id
         routed = routed.withColumn("in_feed_url", F.col("_hit").isNotNull()).drop("_hit")
     else:
         routed = routed.withColumn("in_feed_url", F.lit(False))
+    if inputs.cache is not None:
+        now = F.lit(inputs.now).cast("timestamp") if inputs.now else F.current_timestamp()
+        routed = routed.join(fresh_results(inputs.cache, now), cache_key(F.col("url")) == F.col("_ckey"), "left").drop("_ckey")
+    else:
+        routed = routed.withColumn("_stored", F.lit(None).cast(STORED))
     routed = materialize(routed.withColumn("route", route_of()), "routed-urls")
     scored = _scored_urls(routed.where(F.col("route") == "scored").select("url").distinct(), inputs)
     scored = scored.withColumnRenamed("url", "_surl").drop("host")
     ru = routed.withColumnRenamed("raw_url", "_raw")
     f = r.join(ru, r["raw_url"].eqNullSafe(F.col("_raw")), "left").drop("_raw")
     f = f.join(scored, F.when(F.col("route") == "scored", F.col("url")) == F.col("_surl"), "left").drop("_surl")
-    if inputs.model_scores is not None:
+    if inputs.model_scores is None and inputs.tree_model is not None:
+        f = f if "nn_prob" in f.columns else f.withColumn("nn_prob", F.lit(None).cast("double"))
+    elif inputs.model_scores is not None:
         ms = inputs.model_scores.select(F.col("id").alias("_mid"), "rf_prob", "nn_prob")
         f = f.join(ms, f["id"] == F.col("_mid"), "left").drop("_mid")
     else:
@@ -111,15 +123,44 @@ def _scored_urls(urls_: DataFrame, inputs: ScoringInputs) -> DataFrame:
         f = f.withColumns({"vt_result": F.lit("UNAVAILABLE"), "vt_positives": F.lit(0), "vt_total": F.lit(0),
                            "vt_ratio": F.lit("N/A"), "vt_prob": F.lit(0.0)})
     f = vd.with_rule_verdict(fz.with_deep_defaults(f))
-    return materialize(f.drop(*[c for c in f.columns if c in ("in_feed_url",)]), "scored-urls")
+    f = f.drop(*[c for c in f.columns if c in ("in_feed_url",)])
+    if inputs.model_scores is None and inputs.tree_model is not None:
+        f = ml.with_model_probability(f, inputs.tree_model, "rf_prob")
+        if inputs.neural_model is not None:
+            f = ml.with_model_probability(f, inputs.neural_model, "nn_prob")
+    return materialize(f, "scored-urls")
+
+
+def cache_key(url: Column) -> Column:
+    """Key of a stored result: SHA-256 of the normalised URL."""
+    return F.sha2(url, 256)
+
+
+def fresh_results(cache: DataFrame, now: Column, ttl_s: int = lists.CACHE_TTL_SECONDS) -> DataFrame:
+    """The newest stored result of each key that is younger than the TTL."""
+    age = F.unix_micros(now) - F.unix_micros(F.col("stored_at").cast("timestamp"))
+    stored = F.struct(F.col("stored_at"), "result", "confidence", "risk_level", "reasons")
+    return (cache.where((age >= 0) & (age < ttl_s * 1_000_000)).groupBy(F.col("cache_key").alias("_ckey"))
+            .agg(F.max(stored).alias("_stored")))
+
+
+def evict(cache: DataFrame, feedback_urls: DataFrame) -> DataFrame:
+    """The cache without the results that a feedback names (S13): the URL as it
+    was given is the key."""
+    gone = feedback_urls.select(cache_key(F.col("url")).alias("_gone")).distinct()
+    return cache.join(gone, F.col("cache_key") == F.col("_gone"), "left_anti")
+
+
+STORED = "struct<stored_at:timestamp,result:string,confidence:int,risk_level:string,reasons:string>"
 
 
 def route_of() -> Column:
-    """Invalid -> skipped -> allow-list -> blocklist -> scored."""
+    """Invalid -> skipped -> cached -> allow-list -> blocklist -> scored."""
     in_allow = F.coalesce(F.col("in_static"), F.lit(False)) | F.coalesce(F.col("in_dynamic"), F.lit(False))
     in_block = F.coalesce(F.col("in_feed_url"), F.lit(False)) | F.coalesce(F.col("in_feed_domain"), F.lit(False))
     return (F.when(F.col("error").isNotNull(), F.lit("error"))
              .when(F.col("skipped"), F.lit("skipped"))
+             .when(F.col("_stored").isNotNull(), F.lit("cached"))
              .when(in_allow, F.lit("allowlist"))
              .when(in_block, F.lit("blocklist"))
              .otherwise(F.lit("scored")))
@@ -128,20 +169,22 @@ def route_of() -> Column:
 def finish(f: DataFrame) -> DataFrame:
     """Final result, confidence, risk, source and reasons by route."""
     rt = F.col("route")
+    old = lambda k: F.col("_stored").getField(k)
     safe100 = rt.isin("skipped", "allowlist")
     return f.select(
         "*",
-        F.when(rt == "error", F.lit("ERROR")).when(safe100, F.lit("SAFE"))
+        F.when(rt == "error", F.lit("ERROR")).when(safe100, F.lit("SAFE")).when(rt == "cached", old("result"))
          .when(rt == "blocklist", F.lit("PHISHING")).otherwise(F.col("result")).alias("final_result"),
-        F.when(rt == "error", F.lit(None).cast("int")).when(safe100, F.lit(100))
+        F.when(rt == "error", F.lit(None).cast("int")).when(safe100, F.lit(100)).when(rt == "cached", old("confidence"))
          .when(rt == "blocklist", F.lit(99)).otherwise(F.col("confidence")).alias("final_confidence"),
-        F.when(rt == "error", F.lit(None).cast("string")).when(safe100, F.lit("SAFE"))
+        F.when(rt == "error", F.lit(None).cast("string")).when(safe100, F.lit("SAFE")).when(rt == "cached", old("risk_level"))
          .when(rt == "blocklist", F.lit("CRITICAL")).otherwise(F.col("risk.level")).alias("risk_level"),
         F.when(rt == "allowlist", F.when(F.coalesce(F.col("in_static"), F.lit(False)), F.lit("static_whitelist"))
                .otherwise(F.lit("user_verified"))).alias("whitelist_source"),
         F.when(rt == "scored", F.array_join(F.col("reason_codes"), ","))
-         .when(rt == "blocklist", F.lit("blocklist")).otherwise(F.lit("")).alias("reasons"),
-    )
+         .when(rt == "blocklist", F.lit("blocklist")).when(rt == "cached", old("reasons"))
+         .otherwise(F.lit("")).alias("reasons"),
+    ).drop("_stored")
 
 
 def scan_log_rows(verdicts: DataFrame) -> DataFrame:
@@ -227,6 +270,7 @@ def counters(verdicts: DataFrame) -> DataFrame:
         F.count_if(scored & (F.col("final_result") == "PHISHING")).alias("result_phishing"),
         F.count_if(scored & (F.col("final_result") == "SUSPICIOUS")).alias("result_suspicious"),
         F.count_if(scored & (F.col("final_result") == "SAFE")).alias("result_safe"),
+        F.count_if(rt == "cached").alias("cache_hits"),
         F.count_if(rt == "blocklist").alias("blocklist_hits"),
         F.count_if(scored & (F.col("vt_result") == "UNAVAILABLE")).alias("vt_unavailable"),
         F.count_if(scored & F.col("gsb_flagged")).alias("gsb_flagged_count"))
