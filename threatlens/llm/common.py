@@ -14,7 +14,7 @@ from ..sources.tables import read_table
 
 #: Bytes of text that a Python worker handles at a time (one longer text is
 #: handled alone, whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

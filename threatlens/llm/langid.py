@@ -23,6 +23,7 @@ is ``und``.  Only ``doc_id``, ``text`` and, to train, ``lang`` are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import WordTable, mixed, word_keys
-from .common import row_slices, text_buffer, text_or_empty, wrapped
+from .common import row_slices, text_buffer, text_or_empty
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 3000
@@ -285,24 +286,24 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     return fit(sample["text"].tolist(), sample["lang"].tolist())
 
 
-def predict(docs: DataFrame, model: Model, passed: str = "doc_id") -> DataFrame:
-    """``passed`` (a column that goes through), lang_pred, score, rejected for
-    every row."""
+def _predictions(model: Model, spark):
+    """A function from a string array to lang_pred, score and rejected arrays,
+    to be called in Python workers."""
     # A few MB, whatever the data; plain arrays, so that workers need no copy of this package to read it.
-    parts = (model.languages, model.table, model.bias, model.temperature, model.threshold)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
-    def run(batches):
+    shared = spark.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold))
+
+    def of_worker():
         own = Predictor(Model(*shared.value))
         m = own.model
-        for batch in batches:
-            data, off = text_buffer(batch.column(0))
-            lang, score, rejected = [], [], []
+
+        def run(texts: pa.Array):
+            data, off = text_buffer(texts)
+            lang, score, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
             for lo, hi in row_slices(off):
                 o = off[lo:hi + 1]
                 z, has = own.logits(data[o[0]:o[-1]], o - o[0])
                 if not m.languages:
-                    best, p = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
-                    has = np.zeros(hi - lo, bool)
+                    best, p, has = np.zeros(hi - lo, np.int64), np.zeros(hi - lo), np.zeros(hi - lo, bool)
                 else:
                     q = softmax(z / m.temperature)
                     best, p = q.argmax(axis=1), q.max(axis=1)
@@ -310,17 +311,36 @@ def predict(docs: DataFrame, model: Model, passed: str = "doc_id") -> DataFrame:
                 p = np.where(has, p, 0.0)
                 score.append(p)
                 rejected.append(~has | (p < m.threshold))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)),
-                 pa.array(np.concatenate(rejected) if rejected else np.zeros(0, bool))],
-                [passed, "lang_pred", "score", "rejected"])
+            return pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rejected))
 
-    kind = docs.schema[passed].dataType.simpleString()
-    return docs.select(text_or_empty(docs).alias("_text"), F.col(passed)).mapInArrow(
-        run, f"`{passed}` {kind}, lang_pred string, score double, rejected boolean")
+        return run
+
+    return of_worker
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score, rejected for every row."""
+    of_worker = _predictions(model, docs.sparkSession)
+
+    def run(batches):
+        predictions = of_worker()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *predictions(batch.column(1))],
+                                             ["doc_id", "lang_pred", "score", "rejected"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty(docs).alias("text")).mapInArrow(
+        run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that aren't rejected, all their columns."""
-    rows = wrapped(docs).select("text", "row")
-    return predict(rows, model, "row").where("not rejected").select("row.*")
+    """The documents that aren't rejected, all their columns.  Only the texts
+    go to the Python workers, and a boolean comes back."""
+    of_worker = _predictions(model, docs.sparkSession)
+
+    def rejected(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        predictions = of_worker()
+        for texts in batches:
+            yield predictions(texts)[2]
+
+    return docs.where(~F.arrow_udf(rejected, "boolean")(text_or_empty(docs)))
