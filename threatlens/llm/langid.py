@@ -102,6 +102,18 @@ def split_words(data: np.ndarray, off: np.ndarray):
     return low, starts, ends - starts, row
 
 
+def _split_in_slices(data: np.ndarray, off: np.ndarray):
+    """``split_words`` of many texts, a bounded slice at a time."""
+    parts, begin = [], 0
+    for lo, hi in row_slices(off):
+        low, starts, lens, row = split_words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+        parts.append((low, starts + begin, lens, row + lo))
+        begin += len(low)
+    if not parts:
+        return split_words(data, off)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def word_grams(low: np.ndarray, starts: np.ndarray, lens: np.ndarray, buckets: int = BUCKETS):
     """Buckets of the n-grams of ``<word>`` and how many each word has."""
     size = lens + 2
@@ -150,7 +162,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in langs])
-    low, starts, lens, row = split_words(*text_buffer(pa.array(texts, pa.string())))
+    low, starts, lens, row = _split_in_slices(*text_buffer(pa.array(texts, pa.string())))
     words = np.searchsorted(row, np.arange(len(texts) + 1))
     cal = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
     use = np.flatnonzero(~cal & (np.diff(words) > 0))
