@@ -49,7 +49,7 @@ RATE = 0.5
 #: Share of correctly recognised texts that the threshold may reject.
 REJECT_SHARE = 0.001
 #: The threshold is at most this.
-MOST_REJECT = 0.5
+MOST_REJECT = 0.4
 #: What a worker keeps of summed word scores.
 TABLE_WORDS = 300_000
 
