@@ -21,7 +21,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -245,7 +244,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHAR
 
 
 def _packed_round(todo: DataFrame, names: list[str], capacity: int, shards: int, level: int) -> DataFrame:
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, pdf):
         bin_, place, fill = pack_shard(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = (level << 56) + (int(key[0]) << 28) + bin_
         pdf["offset"], pdf["_fill"] = place, fill

@@ -163,7 +163,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_prints: int = BUCK
     routed = (prints.withColumn("_m", F.explode(masks))
               .select(prefix.bitwiseXOR(F.col("_m").cast("long")).alias("bucket"), "fp", "rep"))
 
-    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def join(key, pdf):
         fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
         pairs = _collisions(int(key[0]), fp, p)
         pairs = pairs[np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= max_bits]
