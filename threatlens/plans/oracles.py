@@ -402,3 +402,22 @@ FROM scans WHERE url NOT ILIKE 'http://localhost%' AND url NOT ILIKE 'chrome://%
 
 ORACLES["url_file_lines"] = o.with_fixtures(["feed_lines"], f"""
 SELECT url FROM (SELECT {o.strip_sql('line')} AS url FROM feed_lines) x WHERE url <> '' AND starts_with(url, 'http')""")
+
+ORACLES["batch_request_rows"] = o.with_fixtures(["page_html"], """
+SELECT row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS pos, url,
+  row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) > 15 AS over_limit FROM page_html""")
+ORACLES["labelled_csv"] = o.with_fixtures(["url_corpus"], "SELECT url, label FROM labelled", _LABELLED)
+ORACLES["watcher_state"] = o.with_fixtures(["reports"], """
+SELECT url, label, report_count::BIGINT AS report_count, 0::BIGINT AS used_in_train, verified_at,
+  (SELECT count(*) FROM flagged2 WHERE used_in_verify = 1)::BIGINT AS used_reports
+FROM (SELECT url, decision AS label, report_count, '2024-02-01 00:00:00' AS verified_at FROM c2 WHERE decision IN ('safe', 'phishing')
+      UNION ALL SELECT url, decision, report_count, '2024-01-01 00:00:00' FROM c1 WHERE decision IN ('safe', 'phishing')
+        AND url NOT IN (SELECT url FROM c2 WHERE decision IN ('safe', 'phishing'))) x""", f"""
+r1 AS (SELECT * FROM reports WHERE id % 3 <> 0),
+c1 AS ({o.consensus_sql('SELECT * FROM r1')}),
+used1 AS (SELECT r.id FROM r1 r LEFT JOIN c1 ON c1.url = r.url AND c1.decision = r.label
+          WHERE r.used_in_verify = 1 OR c1.url IS NOT NULL),
+flagged AS (SELECT r.* EXCLUDE (used_in_verify), CASE WHEN id IN (SELECT id FROM used1) THEN 1 ELSE used_in_verify END AS used_in_verify FROM reports r),
+c2 AS ({o.consensus_sql('SELECT * FROM flagged')}),
+flagged2 AS (SELECT f.* EXCLUDE (used_in_verify), CASE WHEN c2.url IS NOT NULL THEN 1 ELSE f.used_in_verify END AS used_in_verify
+             FROM flagged f LEFT JOIN c2 ON c2.url = f.url AND c2.decision = f.label)""")

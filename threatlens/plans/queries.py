@@ -739,3 +739,46 @@ def q_url_file_lines(spark, sf_dir):
     """URL lines of an uploaded list (the raw feed lines used as file text)."""
     lines = fixture(spark, sf_dir, "feed_lines").select(F.col("line").alias("value"))
     return fl.url_lines(lines)
+
+
+@register("batch_request_rows")
+def q_batch_request_rows(spark, sf_dir):
+    """URL batches written as JSON documents and read back, a row a URL."""
+    from ..session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"url-batches-{uuid.uuid4().hex[:12]}")
+    pages = fixture(spark, sf_dir, "page_html").select("page_id", "url")
+    docs = (pages.groupBy(F.floor(F.col("page_id") / 20).alias("b"))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: x["url"]).alias("urls")))
+    docs.select("urls").write.json(path)
+    rows = fl.read_batch_requests(spark, path, per_batch=15)
+    return bigints(rows.select("pos", "url", "over_limit"))
+
+
+@register("labelled_csv")
+def q_labelled_csv(spark, sf_dir):
+    """S3: the labelled corpus written as CSV with a header and read back with
+    its columns found by name."""
+    from ..session import scratch_path
+    import uuid
+    path = scratch_path(spark, f"labelled-{uuid.uuid4().hex[:12]}")
+    c = _labelled_corpus(spark, sf_dir).select(F.col("label").alias("status"), F.col("url").alias("Url"), "page_id")
+    c.write.option("header", True).csv(path)
+    return ml.read_labelled_csv(spark, path)
+
+
+@register("watcher_state")
+def q_watcher_state(spark, sf_dir):
+    """Two ticks of the report watcher (two thirds of the reports, then
+    all), with the flags and verified URLs that each publishes."""
+    from ..session import scratch_path
+    import uuid
+    root = scratch_path(spark, f"watcher-{uuid.uuid4().hex[:12]}")
+    r = _reports(spark, sf_dir)
+    sj.watcher_tick(spark, r.where(F.col("id") % 3 != 0), root, "v0", PRIOR_TS)
+    sj.watcher_tick(spark, r, root, "v1", AS_OF_TS)
+    verified, used = sj.watcher_state(spark, root)
+    n = used.agg(F.count(F.lit(1)).alias("used_reports"))
+    v = verified.select("url", "label", "report_count", "used_in_train",
+                        F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"))
+    return bigints(v.withColumn("used_reports", F.lit(n.first()[0])))
