@@ -152,8 +152,10 @@ def url_facts(enr: Enrichment, flagged_urls: DataFrame | None = None) -> DataFra
         parts.append(proj(r, url=F.col("url"), hops=F.col("n"), changed=changed))
     if enr.pages is not None:
         # a page is read for four flags in the scan itself; only those are shuffled
-        flags = page_columns(F.col("html"), host_of_netloc(netloc_of(F.col("url"))))
-        parts.append(proj(enr.pages, url=F.col("url"), **{k: v.cast("int") for k, v in flags.items()}))
+        staged = enr.pages.select("url", F.lower(F.col("html")).alias("_h"),
+                                  host_of_netloc(netloc_of(F.col("url"))).alias("_ph"))
+        flags = page_columns(F.col("_h"), F.col("_ph"), lowered=True)
+        parts.append(proj(staged, url=F.col("url"), **{k: v.cast("int") for k, v in flags.items()}))
     if enr.reputation is not None:
         st = F.col("stats")
         total = F.aggregate(F.map_values(st), F.lit(0), lambda a, x: a + F.coalesce(x.cast("int"), F.lit(0)))
