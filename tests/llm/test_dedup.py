@@ -85,6 +85,22 @@ def test_simhash_nulls_and_empty_table(table):
     assert simhash.near_duplicates(table(EDGE)).count() == len(EDGE)
 
 
+def test_simhash_ids_never_link_texts(table):
+    texts = [prose(60, k) for k in range(1, 9)]
+    assert len({plain_fingerprint(t) for t in texts}) == 8
+    # Null ids with texts of their own, one id with two texts, and real ids equal to null rows' texts.
+    pairs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[1]), (2, texts[2]),
+             (5, texts[3]), (5, texts[4]), (6, texts[4]), (7, texts[5]), (7, texts[5])]
+    prints = [plain_fingerprint(t) for _, t in pairs]
+    root = roots(len(pairs), [(a, b) for a in range(len(pairs)) for b in range(a)
+                              if (prints[a] ^ prints[b]).bit_count() <= 3])
+    df = table(pairs)
+    assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(texts[:6])
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(pairs) and len({r.component for r in got}) == len(set(root)) == 6
+    assert {r.component_id for r in got} == {-(1 << 63), 5, 7}
+
+
 @pytest.mark.parametrize("bits", [2, 5, 9])
 def test_collisions_connect_all_close_prints(bits):
     rng = np.random.default_rng(bits)

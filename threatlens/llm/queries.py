@@ -81,7 +81,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 @register("op10_language_id")

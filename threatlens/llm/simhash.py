@@ -18,9 +18,13 @@ Fingerprint: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, shingles of
 sequence; none: zero).  A bit is 1 if set in over half of the shingles' XXH64
 values (seed 42).
 
-Cases: null and empty texts have fingerprint zero and link like any other.
-Rows that repeat a doc_id are one document, of which the filter keeps one row;
-a null doc_id counts as -2**63.  An empty table gives no rows.
+Cases: null and empty texts have fingerprint zero and link like any other.  The
+graph's nodes are fingerprints, so rows are linked by their texts alone: a null
+doc_id, which counts as -2**63, or a repeated one merges and drops nothing.
+``component_id`` is the smallest doc_id of a component; components whose
+smallest is null or repeated elsewhere share it, and ``component``, their least
+fingerprint, tells them apart.  The filter keeps one row of each component.  An
+empty table gives no rows.
 Only ``doc_id`` and ``text`` are read; the filter passes the others on.
 """
 
@@ -70,16 +74,18 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (signed long)."""
+    """doc_id, h1, h2 (hashes of the text), fp (signed long)."""
     def run(batches):
         for batch in batches:
-            data, off = text_buffer(batch.column(1))
+            data, off = text_buffer(batch.column(3))
             raw = memoryview(data)
             fp = [fingerprint(bytes(raw[i:j]), words) for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64())], ["doc_id", "h1", "h2", "fp"])
 
-    rows = docs.select(doc_key(docs).alias("doc_id"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = text_or_empty(docs)
+    rows = docs.select(doc_key(docs).alias("doc_id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"),
+                       text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 int, fp long")
 
 
 def _flips(bits: int, n: int) -> np.ndarray:
@@ -149,8 +155,8 @@ def _forest(n: int, pairs: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_prints: int = BUCKET_PRINTS) -> DataFrame:
-    """Edges (a, b) between the ``rep`` of distinct fingerprints (``fp, rep``)
-    that connect all of them that are linked."""
+    """Edges (a, b) between distinct fingerprints (``fp``) that connect all of
+    them that are linked."""
     if max_bits != 3:
         raise ValueError("the variants are laid out for links of up to three bits")
     n, p = prints.count(), 2
@@ -161,36 +167,49 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_prints: int = BUCK
     masks = F.when(F.bit_count("fp") % 2 == 0, F.array(*map(F.lit, far))).otherwise(F.array(*map(F.lit, near)))
     prefix = F.shiftrightunsigned("fp", 64 - p)
     routed = (prints.withColumn("_m", F.explode(masks))
-              .select(prefix.bitwiseXOR(F.col("_m").cast("long")).alias("bucket"), "fp", "rep"))
+              .select(prefix.bitwiseXOR(F.col("_m").cast("long")).alias("bucket"), "fp"))
 
     def join(key, pdf):
-        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
+        own_fp = pdf["fp"].to_numpy()
+        fp = own_fp.view(np.uint64)
         pairs = _collisions(int(key[0]), fp, p)
         pairs = pairs[np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]) <= max_bits]
         if not len(pairs):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        root = _forest(len(fp), pairs, rep)
+        root = _forest(len(fp), pairs, own_fp)
         own = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": rep[own], "b": rep[root[own]]})
+        return pd.DataFrame({"a": own_fp[own], "b": own_fp[root[own]]})
 
     return routed.groupBy("bucket").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id (the smallest
-    doc_id that links lead to, itself included)."""
+def _labelled(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``fingerprints``, and fp, component (its least fingerprint) of
+    the distinct ones."""
     rows = staged(fingerprints(docs, words), "fingerprints")
-    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
+    prints = staged(rows.select("fp").distinct(), "prints")
     found = components(links(prints, max_bits))
-    label = (prints.join(found, prints.rep == found.node, "left")
-             .select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return rows.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, prints.join(found, prints.fp == found.node, "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id (the
+    smallest doc_id that links lead to, itself included) and component."""
+    rows, label = _labelled(docs, words, max_bits)
+    label = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(label, "fp"), "components")
+    best = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(label.join(best, "component").select("fp", "component", "component_id"), "fp").select(
+        "doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("component").alias("component"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns;
-    of rows that repeat a doc_id, one."""
-    kept = near_duplicates(docs, words, max_bits).where("doc_id = component_id").select(
-        F.col("doc_id").alias("id")).distinct()
-    return wrapped(docs).join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    """One row of each component, all columns: that with the smallest doc_id,
+    of several texts under it the one with the smallest hashes."""
+    rows, label = _labelled(docs, words, max_bits)
+    least = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("k"))
+    kept = least.join(label, "fp").groupBy("component").agg(F.min("k").alias("k")).select(
+        F.col("k.doc_id").alias("id"), "k.h1", "k.h2")
+    keyed = wrapped(docs).select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "row")
+    return keyed.join(kept, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"]).select("row.*")
