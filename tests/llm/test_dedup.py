@@ -184,6 +184,33 @@ def test_lines_match_brute_force(table):
     assert texts[62] == "tail\n" and texts[61] == "" and texts[1] is None
 
 
+def test_lines_recall_against_edit_similarity_alone(table):
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    pairs, lines = [], {}
+    for size in (40, 80, 200):
+        for share in (0, 0.05, 0.1, 0.2):  # 0: one changed letter
+            for _ in range(25):
+                a = "".join(rng.choice(letters[:-1]) if k % 6 else " " for k in range(1, size + 1)).strip()
+                b = list(a)
+                for k in rng.sample(range(len(b)), int(share * len(b)) or 1):
+                    b[k] = "#"
+                i = 2 * len(lines)
+                lines[i] = (a, "".join(b), size, share)
+                pairs += [(i, a), (i + 1, "".join(b))]
+    gone = {r.doc_id for r in line_dedup.line_report(table(pairs)).collect() if r.n_dropped}
+    assert all(i % 2 for i in gone)  # the copy, and none by an unrelated line
+    found = {}
+    for i, (a, b, size, share) in lines.items():
+        assert line_dedup.similar(a, b)
+        found.setdefault((size, share), []).append(i + 1 in gone)
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    assert all(x >= (0.5 if share == 0.2 else 0.95) for (_, share), x in recall.items()), recall
+    assert sum(map(sum, found.values())) >= 0.9 * len(lines), recall
+
+
 def test_lines_of_empty_table(table):
     assert line_dedup.line_report(table([])).count() == 0
 
