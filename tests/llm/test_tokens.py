@@ -85,6 +85,29 @@ def test_packing_rounds_and_sequences(table, monkeypatch):
     assert got == {i: ids for (i, _), ids in zip(pairs, plain_ids(pairs))}
 
 
+@pytest.mark.parametrize("short", [0, 40])
+def test_packing_bounds_shards_of_pieces_that_never_pair(spark, monkeypatch, short):
+    lengths = [1025 + k * 7 % 900 for k in range(400)] + [50 + k * 11 % 700 for k in range(short)]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    rounds, plain = [], packing._packed_round
+
+    def seen(todo, names, capacity, shards, level):
+        rounds.append(todo.count() / shards)
+        return plain(todo, names, capacity, shards, level)
+
+    monkeypatch.setattr(packing, "_packed_round", seen)
+    rows = packing.packed(pieces, shard_pieces=20).collect()
+    assert 1 < len(rounds) < 20 and max(rounds) <= 2 * packing.FAN_IN
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
+    fill = {}
+    for r in rows:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(fill) == 400  # the short ones fit in beside the long ones
+    for f in fill.values():
+        f.sort()
+        assert f[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(f, f[1:])) and sum(f[-1]) <= 2048
+
+
 @pytest.mark.parametrize("lengths, most", [([700] * 9, 5), ([2048] * 3, 3), ([], 0), ([1], 1),
                                            ([1000, 900, 148, 1100, 800, 148], 2), ([1024] * 7, 4)])
 def test_pack_shard(lengths, most):

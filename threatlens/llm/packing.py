@@ -8,8 +8,11 @@ underfull bins: pieces of the emptiest bin move into, or are exchanged
 one-for-one or two-for-one with pieces of, fuller bins, and where that fails
 other bins exchange pieces, each step raising the sum of squared fills, until
 the bin is empty.  Bins that stay underfull are
-opened again and their pieces dealt to fewer shards, until one shard is left;
-what a round opens is a few bins a shard, so no shard outgrows its bound.
+opened again and their pieces dealt to as many shards as their number asks for,
+never more than before.  That ends with a round of one shard, or with the first
+that leaves as many bins as it opened (pieces over half the capacity, say),
+whose pieces stay as the round before packed them.  So no shard outgrows its
+bound, however many bins stay open.
 
 Cases: a null or empty text is a document of its end id alone.  Repeated rows
 are packed each on their own.  An empty table gives no rows.  Only
@@ -37,8 +40,10 @@ OPEN_BELOW = 0.97
 PATIENCE = 64
 #: Exchanges between other bins that are tried to make room for one bin.
 EXCHANGES = 16
-#: Shards of a round for each shard of the next.
+#: Open bins that a shard gets at least, if there are as many.
 FAN_IN = 32
+#: Rounds that a ``sequence_id`` has room for.
+ROUNDS = 127
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -230,17 +235,27 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHAR
     names = pieces.columns
     todo = staged(pieces, "pieces")
     shards = max(1, -(-todo.count() // shard_pieces))
-    done, level = None, 0
-    while True:
-        last = shards == 1
-        out = _packed_round(todo, names, capacity, shards, level)
-        if last:
-            return (done.unionByName(out) if done is not None else out).select(*names, "sequence_id", "offset")
-        out = staged(out, f"packed-{level}")
-        closed = out.where(F.col("_fill") >= int(OPEN_BELOW * capacity))
+    if shards == 1:
+        return _packed_round(todo, names, capacity, 1, 0).select(*names, "sequence_id", "offset")
+    done, opened = None, None
+    for level in range(ROUNDS):
+        out = staged(_packed_round(todo.select(*names), names, capacity, shards, level), f"packed-{level}")
+        if opened is not None and _sizes(out)[1] >= opened:
+            break  # todo stays as it was packed
+        under = F.col("_fill") < int(OPEN_BELOW * capacity)
+        closed, todo = out.where(~under), out.where(under)
         done = closed if done is None else done.unionByName(closed)
-        todo = out.where(F.col("_fill") < int(OPEN_BELOW * capacity)).select(*names)
-        shards, level = -(-shards // FAN_IN), level + 1
+        left, opened = _sizes(todo)
+        if shards == 1 or not left:
+            break
+        shards = min(shards, -(-left // shard_pieces), -(-opened // FAN_IN))
+    return done.unionByName(todo).select(*names, "sequence_id", "offset")
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Number of pieces and of bins."""
+    bins = rows.groupBy("sequence_id").count().agg(F.sum("count"), F.count("*")).first()
+    return bins[0] or 0, bins[1]
 
 
 def _packed_round(todo: DataFrame, names: list[str], capacity: int, shards: int, level: int) -> DataFrame:
