@@ -1,4 +1,5 @@
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -31,6 +32,20 @@ def test_language_id_edges(table):
     assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
+def test_language_id_rejects_below_the_calibrated_score_of_two_languages(table):
+    words = {"de": "der hund und die katze sitzt auf dem haus mit einem ball".split(),
+             "en": "the dog and the cat sits on the house with a ball".split()}
+    text = lambda x, k: " ".join(words[x][(k * j + k + j) % len(words[x])] for j in range(12))
+    for n in (200, 8):  # a calibration part, and folds
+        langs = ["de", "en"] * (n // 2)
+        model = langid.fit([text(x, k) for k, x in enumerate(langs)], langs)
+        assert model.threshold.min() >= 0.5 - 1e-4 and model.threshold[3] > 0.6
+        blank = replace(model, table=model.table * 0, bias=model.bias * 0)  # one half for each language
+        assert langid.keep_recognised(table([(1, text("en", 1))]), blank).count() == 0
+        clean = table([(k, text("de" if k % 2 else "en", 1 + k)) for k in range(40)])
+        assert langid.keep_recognised(clean, model).count() >= (39 if n == 200 else 20)
+
+
 def test_language_id_without_labels(table):
     df = table([(1, "some text"), (2, "more")])
     model = langid.train(df)

@@ -10,8 +10,10 @@ into the embeddings: a worker keeps the summed scores of the words it has seen
 
 Calibration on a part of the training sample that the gradient never saw: a
 temperature for the probabilities and, from the probabilities of its correctly
-recognised texts, the rejection threshold.  A text is rejected below it, or if
-it has no letter.
+recognised texts, the rejection thresholds: one for each power of two of words,
+from stretches of these texts, as short texts score less.  With under
+``FEW_TEXTS`` labelled texts each is scored by a model of the other folds.  A
+text is rejected below the threshold of its length, or if it has no letter.
 
 The training rows are a bounded sample (``TRAIN_DOCS`` documents with the
 smallest hashes of their ids); everything else covers all data.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import WordTable, mixed, word_keys
-from .common import row_slices, text_buffer, text_or_empty
+from .common import concat_ranges, row_slices, text_buffer, text_or_empty
 
 #: Bound of the training sample, in documents.
 TRAIN_DOCS = 3000
@@ -48,8 +50,13 @@ BATCH = 16
 RATE = 0.5
 #: Share of correctly recognised texts that the threshold may reject.
 REJECT_SHARE = 0.001
-#: The threshold is at most this.
-MOST_REJECT = 0.4
+#: Under so many labelled texts, folds calibrate instead of every fifth text.
+FEW_TEXTS = 20
+FOLDS = 5
+#: Powers of two of words with a threshold of their own; longer texts have the last.
+LENGTHS = 10
+#: Rounding between the sums of the calibration and those of the workers.
+ROUNDING = 1e-5
 #: What a worker keeps of summed word scores.
 TABLE_WORDS = 300_000
 
@@ -147,7 +154,7 @@ class Model:
     table: np.ndarray  # buckets x languages: embedding times layer
     bias: np.ndarray
     temperature: float
-    threshold: float
+    threshold: np.ndarray  # by the binary logarithm of the number of words
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -156,16 +163,61 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Model from labelled texts; every fifth text calibrates."""
+    """Model from labelled texts; every fifth text calibrates, or each in folds."""
     languages = tuple(sorted(set(langs)))
     if not languages:
-        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+        return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, np.ones(1))
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in langs])
     low, starts, lens, row = _split_in_slices(*text_buffer(pa.array(texts, pa.string())))
     words = np.searchsorted(row, np.arange(len(texts) + 1))
-    cal = np.arange(len(texts)) % 5 == 4 if len(texts) >= 20 else np.zeros(len(texts), bool)
-    use = np.flatnonzero(~cal & (np.diff(words) > 0))
+    some, fold = np.diff(words) > 0, np.arange(len(texts)) % FOLDS
+    parsed = (low, starts, lens, words)
+    if len(texts) >= FEW_TEXTS:
+        model = _descended(languages, parsed, y, np.flatnonzero((fold != 4) & some), rng)
+        judged = [(model, np.flatnonzero((fold == 4) & some))]
+    else:
+        model = _descended(languages, parsed, y, np.flatnonzero(some), rng)
+        judged = [(_descended(languages, parsed, y, np.flatnonzero((fold != f) & some), rng),
+                   np.flatnonzero((fold == f) & some)) for f in range(FOLDS) if ((fold == f) & some).any()]
+    held = np.concatenate([k for _, k in judged]) if judged else np.zeros(0, np.int64)
+    if not len(held):
+        return model
+    true = y[held]
+
+    def scores(most: int) -> np.ndarray:
+        """Of a stretch of at most so many words of each held text."""
+        return np.concatenate([_stretch_logits(m, parsed, k, most, rng) for m, k in judged])
+
+    z = scores(int(np.diff(words).max()))
+    grid = np.geomspace(0.25, 8, 41)
+    loss = [-np.log(softmax(z / t)[np.arange(len(held)), true] + 1e-12).mean() for t in grid]
+    t = float(grid[int(np.argmin(loss))])
+    chance = 1 / len(languages)
+
+    def right(z):
+        p = softmax(z / t)
+        return p.max(axis=1)[p.argmax(axis=1) == true]
+
+    # A text of 2^k words or more is held against stretches of 2^k to 2^(k+1).
+    of_length = [right(scores(1 << k)) for k in range(LENGTHS)] + [right(z)]
+    pools = [np.concatenate(of_length[k:k + 2]) for k in range(LENGTHS)]
+    limits = [float(np.quantile(p, REJECT_SHARE, method="lower")) if len(p) else chance for p in pools]
+    return Model(languages, model.table, model.bias, t, np.maximum(np.array(limits) - ROUNDING, chance - ROUNDING))
+
+
+def _stretch_logits(model: Model, parsed, docs: np.ndarray, most: int, rng) -> np.ndarray:
+    low, starts, lens, words = parsed
+    n = words[docs + 1] - words[docs]
+    take = np.minimum(n, most)
+    first = words[docs] + (rng.random(len(docs)) * (n - take + 1)).astype(np.int64)
+    chosen = concat_ranges(first, take)
+    return _logits(model, low, starts[chosen], lens[chosen], np.repeat(np.arange(len(docs)), take), len(docs))
+
+
+def _descended(languages: tuple[str, ...], parsed, y: np.ndarray, use: np.ndarray, rng) -> Model:
+    """Model that the descent over the texts ``use`` gives, not calibrated."""
+    low, starts, lens, words = parsed
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     epochs = -(-DRAWS // max(1, len(use)))
@@ -193,20 +245,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             bias -= rate * p.mean(axis=0)
             np.add.at(emb, grams, -rate * back[doc] * 8)
             step += 1
-    model = Model(languages, (emb @ layer).astype(np.float32), bias, 1.0, 0.0)
-    held = np.flatnonzero(cal & (np.diff(words) > 0))
-    if not len(held):
-        return model
-    z = _logits(model, low, starts, lens, row, len(texts))[held]
-    true = y[held]
-    grid = np.geomspace(0.25, 8, 41)
-    loss = [-np.log(softmax(z / t)[np.arange(len(held)), true] + 1e-12).mean() for t in grid]
-    t = float(grid[int(np.argmin(loss))])
-    p = softmax(z / t)
-    right = p.max(axis=1)[p.argmax(axis=1) == true]
-    chance = 1 / len(languages)
-    threshold = float(np.quantile(right, REJECT_SHARE)) if len(right) else chance
-    return Model(languages, model.table, bias, t, min(max(threshold * 0.8, chance), MOST_REJECT))
+    return Model(languages, (emb @ layer).astype(np.float32), bias, 1.0, np.zeros(1))
 
 
 def _word_scores(model: Model, low, starts, lens) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +276,7 @@ class Predictor:
         self.grams = np.zeros(TABLE_WORDS, np.int32)
 
     def logits(self, data: np.ndarray, off: np.ndarray):
-        """Scores of each row and whether it has a letter."""
+        """Scores of each row and whether it has a letter; ``n_words``: of each row."""
         n = len(off) - 1
         low, starts, lens, row = split_words(data, off)
         out = np.zeros((n, len(self.model.languages)))
@@ -275,8 +314,8 @@ class Predictor:
             s, per = self._scores(low, starts[k], lens[k])
             np.add.at(out, row[k], s)
             grams += np.bincount(row[k], weights=per, minlength=n)
-        has = np.zeros(n, bool)
-        has[row] = True
+        self.n_words = np.bincount(row, minlength=n)
+        has = self.n_words > 0
         return out / np.maximum(grams, 1)[:, None] + self.model.bias, has
 
     def _scores(self, low, starts, lens):
@@ -322,7 +361,8 @@ def _predictions(model: Model, spark):
                 lang += [m.languages[b] if x else "und" for b, x in zip(best.tolist(), has.tolist())]
                 p = np.where(has, p, 0.0)
                 score.append(p)
-                rejected.append(~has | (p < m.threshold))
+                k = np.frexp(np.maximum(own.n_words, 1))[1] - 1  # the binary logarithm, rounded down
+                rejected.append(~has | (p < m.threshold[np.minimum(k, len(m.threshold) - 1)]))
             return pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rejected))
 
         return run
