@@ -55,3 +55,53 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
              vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5"""
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+                  struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn_, coalesce(text, '') AS txt
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+hex8 AS (SELECT c, n, c - c % 20 AS src, c::VARCHAR AS digits FROM n),
+bits AS (SELECT c, n, src, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(digits) + 1),
+           lambda i: ascii(substr(digits, i, 1))::BIGINT)), lambda a, b: (
+           list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i:
+             CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) AS crc FROM hex8),
+plan AS (SELECT c, n, src, xor(crc, 4294967295::BIGINT) % 4 AS h,
+                least(xor(crc, 4294967295::BIGINT) % 4, coalesce((SELECT s.n FROM n s WHERE s.c = b.src), 0)) AS m
+         FROM bits b),
+r AS (SELECT plan.c, t.p AS d, turn_, txt FROM plan JOIN t ON t.c = plan.src AND t.p <= m
+      UNION ALL SELECT plan.c, m + t.p - h, turn_, txt FROM plan JOIN t ON t.c = plan.c AND t.p > h),
+w AS (SELECT c, d, txt, sha256(string_agg(sha256(turn_.r) || sha256(turn_.t), '') OVER (PARTITION BY c ORDER BY d)) AS key,
+             len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS words FROM r),
+x AS (SELECT c, d, key, words FROM w UNION ALL SELECT c, 0, '', 0 FROM plan),
+ends AS (SELECT c, max(d) AS e FROM x GROUP BY c),
+node AS (SELECT d, key, min(x.c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                sha256(coalesce(string_agg(x.c::VARCHAR, ',' ORDER BY x.c) FILTER (e = d), '')) AS ends_sha256
+         FROM x JOIN ends USING (c) GROUP BY d, key),
+member AS (SELECT x.c, x.d, x.key, node.conv_id, node.n_convs, node.words FROM x JOIN node USING (d, key)),
+edge AS (SELECT DISTINCT a.d, a.key, a.conv_id, b.conv_id AS parent FROM member a JOIN member b ON a.c = b.c AND a.d = b.d + 1),
+kids AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n_children FROM edge GROUP BY 1, 2),
+below AS (SELECT DISTINCT a.d, a.conv_id, b.d AS bd, b.conv_id AS bc, b.n_convs, b.words
+          FROM member a JOIN member b ON a.c = b.c AND b.d >= a.d),
+sums AS (SELECT below.d, below.conv_id, count(*) FILTER (kids.n_children IS NULL) AS n_leaves,
+                sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+         FROM below LEFT JOIN kids ON kids.d = bd AND kids.conv_id = bc GROUP BY 1, 2)
+SELECT node.conv_id, node.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, ends_sha256
+FROM node JOIN sums USING (d, conv_id) LEFT JOIN kids USING (d, conv_id) LEFT JOIN edge USING (d, conv_id)"""
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                  sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS b,
+             ('0x' || x[17:24])::BIGINT % 100 AS h3, ('0x' || x[25:32])::BIGINT % 100 AS h4 FROM d),
+p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 100
+               THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+             coalesce(array_to_string(u[:least(a, b)], ''), '') AS pre,
+             coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS mid,
+             coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS suf FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p"""

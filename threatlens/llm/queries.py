@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lexicon, line_dedup, packing, quality, secret_scan, simhash, token_store, topk
+from . import (exact_dedup, fim, langid, lexicon, line_dedup, multiset_hash, packing, prefix_trie, quality, secret_scan,
+               simhash, token_store, topk)
 from ..sources.tables import read_table
 from .common import documents
 
@@ -90,3 +91,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.train(docs)).select(
         "doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.build(read_table(spark, sf_dir, "conversations"))
+
+
+@register("op12_fill_in_middle")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and checksums of every document's transformation."""
+    out = fim.transform(documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op13_document_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with likenesses."""
+    return multiset_hash.fingerprints(documents(spark, sf_dir))
