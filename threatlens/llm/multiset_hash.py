@@ -114,7 +114,7 @@ def paragraphs_of(text: str) -> list[bytes]:
 
 def fingerprint(text: str) -> str:
     """The fingerprint of one text, as lowercase hex."""
-    return _hexed(*_own([text]))[0]
+    return _bytes(*_own([text]))[0].hex()
 
 
 def updated(print_: str, removed: list[str] = (), added: list[str] = ()) -> str:
@@ -125,7 +125,7 @@ def updated(print_: str, removed: list[str] = (), added: list[str] = ()) -> str:
     parts = [p.encode() for p in [*removed, *added]]
     sign = np.r_[-np.ones(len(removed), np.int64), np.ones(len(added), np.int64)]
     d, w = vectors(parts, np.zeros(len(parts), np.int64), sign, 1)
-    return _hexed(dense + d, lanes + w)[0]
+    return _bytes(dense + d, lanes + w)[0].hex()
 
 
 def _own(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +134,8 @@ def _own(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return vectors([x for p in parts for x in p], doc, np.ones(len(doc), np.int64), len(texts))
 
 
-def _hexed(dense: np.ndarray, lanes: np.ndarray) -> list[str]:
-    return [a.astype("<u4").tobytes().hex() + b.astype("<i2").tobytes().hex() for a, b in zip(dense, lanes)]
+def _bytes(dense: np.ndarray, lanes: np.ndarray) -> list[bytes]:
+    return [a.astype("<u4").tobytes() + b.astype("<i2").tobytes() for a, b in zip(dense, lanes)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - q] + following[:q]
 
 
-_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_RESULT = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
            "near_edited double, near_next double")
 
 
@@ -166,7 +166,7 @@ def described(ids: list, texts: list[str], following: list[str], last_next: tupl
     changed, doc, sign, digests = [], [], [], []
     for k, (text, after) in enumerate(zip(texts, following)):
         new = edited(text, after)
-        digests.append(hashlib.sha256(new.encode()).hexdigest())
+        digests.append(hashlib.sha256(new.encode()).digest())
         cut = text[:len(text) - len(text) // 4]
         kept = cut.count("\n")  # paragraphs that end before the cut
         for s, parts in ((-1, paragraphs_of(text)[kept:]), (1, paragraphs_of(new)[kept:])):
@@ -178,7 +178,7 @@ def described(ids: list, texts: list[str], following: list[str], last_next: tupl
     nd, nw = np.concatenate([dense[1:], last_next[0]]), np.concatenate([lanes[1:], last_next[1]])
     pairs = [likeness(lanes, y, (dense == x).all(axis=1) & (lanes == y).all(axis=1)) for x, y in ((d, w), (nd, nw))]
     columns = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests),
-               pa.array(_hexed(dense, lanes)), pa.array(_hexed(d, w)), *map(pa.array, pairs)]
+               pa.array(_bytes(dense, lanes)), pa.array(_bytes(d, w)), *map(pa.array, pairs)]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RESULT.split(", ")])
 
 
@@ -199,7 +199,7 @@ def _blocks(batches, id_at: int, text_at: int):
 
 
 def _edge(part: int, leads: bool, i, text: str) -> pa.RecordBatch:
-    columns = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(),
+    columns = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(),
                                         pa.float64())]
     columns[0] = pa.array([i], pa.int64())
     columns += [pa.array([part], pa.int32()), pa.array([leads]), pa.array([text], pa.string())]
@@ -254,4 +254,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ends = out.where(~F.col("leads")).select("part", "doc_id", "text").join(after, "part")
     starts = out.where("leads").select(F.col("part").alias("next"), F.col("text").alias("following"))
     seams = ends.join(starts, "next").select("doc_id", "text", "following").mapInArrow(_pairs, _RESULT)
-    return out.where("part is null").select(*names).unionByName(seams)
+    hexed = lambda c: F.lower(F.hex(c)).alias(c) if c in ("edited_sha256", "fingerprint", "edited_fingerprint") else c
+    return out.where("part is null").select(*names).unionByName(seams).select(*map(hexed, names))
