@@ -12,8 +12,12 @@ keyed tables before anything touches the URL rows:
   reputation and safe-browsing facts, built by a single ``union`` +
   ``groupBy(url)`` over the URL-keyed sources.
 
-The URL rows then take exactly two joins (by host, by URL); AQE broadcasts
-either side when its measured size is small, and splits skewed hosts.
+Both tables are built from the rows that the asked hosts and URLs need: every
+source is cut by a semi-join reduction (:mod:`threatlens.operators.reduction`)
+before it is parsed or shuffled, or the facts are looked up in a kept store
+(:mod:`threatlens.sources.facts`).  The URL rows then take exactly two joins (by
+host, by URL); AQE broadcasts either side when its measured size is small, and
+splits skewed hosts.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.urls import host_of_netloc, netloc_of, root_of
+from .reduction import Keys, asked, reduced
 
 
 @dataclass
@@ -47,9 +52,9 @@ def _age(created: Column, as_of: Column) -> Column:
     return F.greatest(F.lit(0), F.datediff(as_of, created))
 
 
-def host_facts(enr: Enrichment, as_of) -> DataFrame | None:
-    """Per-domain facts from the domain-keyed sources: one union, one groupBy."""
-    as_of = F.to_date(F.lit(as_of)) if not isinstance(as_of, Column) else as_of
+def host_fact_rows(enr: Enrichment) -> DataFrame | None:
+    """Per-domain facts, free of any date of judgement, from the domain-keyed
+    sources: one union, one groupBy."""
     parts = []
     null_i, null_b, null_d = F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("date")
 
@@ -85,16 +90,21 @@ def host_facts(enr: Enrichment, as_of) -> DataFrame | None:
     for p in parts[1:]:
         u = u.unionByName(p)
     # one resolved address per domain (the smallest, for determinism)
-    g = u.groupBy("domain").agg(
+    return u.groupBy("domain").agg(
         F.min("created_at").alias("created_at"), F.min("not_before").alias("not_before"),
         F.max(F.col("a").cast("int")).alias("a"), F.max(F.col("mx").cast("int")).alias("mx"),
         F.max(F.col("spf").cast("int")).alias("spf"),
         F.min_by(F.struct("risky", "proxy"), F.col("ip")).alias("geo"),
         F.count(F.when(F.col("a").isNotNull(), 1)).alias("n_dns"))
+
+
+def host_facts(rows: DataFrame, as_of) -> DataFrame:
+    """The features of ``host_fact_rows`` at a date."""
+    as_of = F.to_date(F.lit(as_of)) if not isinstance(as_of, Column) else as_of
     age = F.when(F.col("created_at").isNull(), F.lit(-1)).otherwise(_age(F.col("created_at"), as_of))
     cert = F.when(F.col("not_before").isNull(), F.lit(-1)).otherwise(_age(F.col("not_before"), as_of))
     known_dns = F.col("n_dns") > 0
-    return g.select(
+    return rows.select(
         "domain",
         age.alias("domain_age_days"), ((age != -1) & (age < 30)).alias("is_new_domain"),
         cert.alias("ssl_cert_age_days"), ((cert != -1) & (cert < 30)).alias("new_ssl_cert"),
@@ -104,14 +114,19 @@ def host_facts(enr: Enrichment, as_of) -> DataFrame | None:
         F.col("geo.risky").alias("high_risk_country"), F.col("geo.proxy").alias("is_proxy_hosting"))
 
 
-def host_table(hosts: DataFrame, enr: Enrichment, as_of, host_col: str = "host") -> DataFrame:
-    """Distinct hosts with their network-backed facts (defaults filled in)."""
+def root_fact_rows(enr: Enrichment) -> DataFrame | None:
+    """Certificate-transparency entries per root domain."""
+    return None if enr.ct_entries is None else enr.ct_entries.groupBy("root").agg(F.count(F.lit(1)).alias("ct_n"))
+
+
+def host_table(hosts: DataFrame, facts: DataFrame | None, ct: DataFrame | None, as_of, host_col: str = "host") -> DataFrame:
+    """Distinct hosts with their network-backed facts (``host_fact_rows``,
+    ``root_fact_rows``)."""
     h = hosts.select(F.col(host_col).alias("host")).distinct()
-    facts = host_facts(enr, as_of)
     if facts is not None:
+        facts = host_facts(facts, as_of)
         h = h.join(facts, h["host"] == facts["domain"], "left").drop("domain")
-    if enr.ct_entries is not None:
-        ct = enr.ct_entries.groupBy("root").agg(F.count(F.lit(1)).alias("ct_n"))
+    if ct is not None:
         h = h.withColumn("_root", root_of(F.col("host")))
         h = h.join(ct, h["_root"] == ct["root"], "left").drop("root", "_root")
         n = F.coalesce(F.col("ct_n"), F.lit(-1))
@@ -219,18 +234,50 @@ def reputation_columns() -> dict[str, Column]:
     }
 
 
+def reduce_enrichment(enr: Enrichment, urls: Keys, hosts: Keys, roots: Keys) -> Enrichment:
+    """The enrichment rows that the asked URLs, hosts and root domains need.
+    Pages are cut before their HTML is read for flags."""
+    by = lambda df, col, keys: reduced(df, col, keys)
+    resolutions = by(enr.resolutions, "domain", hosts)
+    geo = enr.ip_geo
+    if geo is not None and resolutions is not None:
+        geo = geo.join(resolutions.select(F.col("ip").alias("_ip")).distinct(), F.col("ip") == F.col("_ip"), "left_semi")
+    return Enrichment(
+        whois=by(enr.whois, "domain", hosts), certs=by(enr.certs, "domain", hosts),
+        dns_records=by(enr.dns_records, "domain", hosts), resolutions=resolutions, ip_geo=geo,
+        ct_entries=by(enr.ct_entries, "root", roots), redirects=by(enr.redirects, "url", urls),
+        pages=by(enr.pages, "url", urls), reputation=by(enr.reputation, "url", urls), gsb_hits=by(enr.gsb_hits, "url", urls))
+
+
+def asked_of(df: DataFrame, url_col: str = "url", host_col: str = "host") -> dict[str, Keys]:
+    """The URLs, hosts and root domains of a (written) URL table."""
+    return asked(df, urls=F.col(url_col), hosts=F.col(host_col), roots=root_of(F.col(host_col)))
+
+
 def enrich_features(df: DataFrame, enr: Enrichment, url_col: str = "url", as_of=None,
                     host_col: str = "host", extra_host_flags: DataFrame | None = None,
-                    flagged_urls: DataFrame | None = None) -> DataFrame:
+                    flagged_urls: DataFrame | None = None, store=None) -> DataFrame:
     """Adds the 18 network-backed features plus reputation and safe-browsing
-    columns to a featurised URL table (two joins: by host, by URL)."""
+    columns to a featurised URL table (two joins: by host, by URL).
+
+    The sources are cut to the hosts and URLs of ``df`` (a written table) first,
+    so the cost follows the request and not the crawl; with ``store``, a
+    :class:`threatlens.sources.facts.FactStore`, the facts come from there."""
     as_of = as_of or "2024-01-15"
-    ht = host_table(df, enr, as_of, host_col)
+    keys = asked_of(df, url_col, host_col)
+    if store is not None:
+        facts, ct, uf = (store.lookup(kind, keys[k]) for kind, k in (("host", "hosts"), ("root", "roots"), ("url", "urls")))
+        if flagged_urls is not None:
+            raise ValueError("a fact store does not hold flagged URLs")
+    else:
+        enr = reduce_enrichment(enr, **keys)
+        flagged_urls = reduced(flagged_urls, "url", keys["urls"])
+        facts, ct, uf = host_fact_rows(enr), root_fact_rows(enr), url_facts(enr, flagged_urls)
+    ht = host_table(df, facts, ct, as_of, host_col)
     if extra_host_flags is not None:
         ht = ht.join(extra_host_flags, "host", "left")
     ht = ht.withColumnRenamed("host", "_hhost")
     out = df.join(ht, df[host_col] == F.col("_hhost"), "left").drop("_hhost")
-    uf = url_facts(enr, flagged_urls)
     if uf is not None:
         uf = uf.withColumnRenamed("url", "_furl")
         out = out.join(uf, out[url_col] == uf["_furl"], "left").drop("_furl")

@@ -53,10 +53,11 @@ def with_deep_defaults(df: DataFrame) -> DataFrame:
     return df.select("*", *add) if add else df
 
 
-def featurize(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None) -> DataFrame:
+def featurize(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None, store=None) -> DataFrame:
     """All 43 features.  ``enrichment`` is an
-    :class:`threatlens.operators.enrich.Enrichment`; None means defaults."""
-    if enrichment is None:
+    :class:`threatlens.operators.enrich.Enrichment`, ``store`` a kept
+    :class:`threatlens.sources.facts.FactStore`; neither means defaults."""
+    if enrichment is None and store is None:
         return with_deep_defaults(lexical_features(df, url_col))
     # with enrichment the rows meet a host table anyway: host-only features
     # are computed there once per distinct host; the URL-level table feeds
@@ -65,7 +66,7 @@ def featurize(df: DataFrame, url_col: str = "url", enrichment=None, as_of=None)
     from .enrich import enrich_features
     u = materialize(url_level_features(df, url_col), "featurize-urls")
     hosts = feat.host_feature_table(u, "host")
-    out = enrich_features(u, enrichment, url_col=url_col, as_of=as_of, extra_host_flags=hosts)
+    out = enrich_features(u, enrichment, url_col=url_col, as_of=as_of, extra_host_flags=hosts, store=store)
     order = list(df.columns) + ["host"] + [k for k in feat.FEATURE_KEYS]
     out = with_deep_defaults(finish_path_keyword(out))
     return out.select(*order, *[c for c in out.columns if c not in order])

@@ -217,6 +217,7 @@ _FEATURE_KEYS = ["url_length", "has_ip", "has_at", "is_https", "suspicious_keywo
                  "path_login_keyword"]
 ORACLES["enriched_features"] = o.with_fixtures(_ENR_FIX, f"""
 SELECT id, url, {', '.join(_FEATURE_KEYS)} FROM ({_ENR}) e""", o.enrichment_ctes())
+ORACLES["fact_store_features"] = ORACLES["enriched_features"]
 ORACLES["reputation_enrich"] = o.with_fixtures(_ENR_FIX, f"""
 SELECT id, url, vt_result, vt_positives, vt_total, vt_ratio, vt_prob, gsb_flagged FROM ({_ENR}) e""", o.enrichment_ctes())
 _ENS = o.ensemble_sql(f"SELECT e.*, ms.rf_prob, ms.nn_prob FROM ({_ENR}) e LEFT JOIN model_scores ms ON e.id = ms.page_id")

@@ -3,8 +3,8 @@
 ``requests (id, url)`` -> validation -> normalisation -> skip flag ->
 features -> host table (enrichment + allow/block flags, one row per host) ->
 URL table (enrichment + exact feed hits, one row per URL) -> model inputs ->
-ensemble -> routing precedence.  The URL rows are joined twice (host, URL)
-plus once to model scores when those come from a table.
+ensemble -> routing precedence.  The URL rows are joined twice (host, URL),
+the requests once, and once to model scores when those come from a table.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class ScoringInputs:
     model_scores: DataFrame | None = None       # id, rf_prob, nn_prob
     tree_model: object | None = None            # fitted on the 43 features; used without model_scores
     neural_model: object | None = None
+    facts: object | None = None                 # a kept FactStore, used instead of the enrichment tables
     cache: DataFrame | None = None              # cache_key, stored_at, result, confidence, risk_level, reasons
     now: str | None = None                      # time that cached results are judged at
     as_of: str = "2024-01-15"
@@ -65,14 +66,16 @@ def _host_flags(hosts: DataFrame, li: ListInputs) -> DataFrame:
 
 
 def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id",
-                   url_col: str = "url") -> DataFrame:
-    """Full verdict per request row.
+                   url_col: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Full verdict per request row; the request's columns named in ``keep``
+    stay with it.
 
     Validation, normalisation and list routing run once per distinct request
     URL; features, enrichment and rules once per distinct URL that no list has
-    decided.  The requests meet both tables in two joins at the end.
+    decided.  Only the distinct URLs to be scored meet their features; the others
+    pass by, and the requests meet the result in one join.
     """
-    r = requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("raw_url"))
+    r = requests.select(F.col(id_col).alias("id"), F.col(url_col).alias("raw_url"), *keep)
     u = r.select("raw_url").distinct().withColumn("error", U.validation_error(F.col("raw_url")))
     u = U.with_normalized(u, "raw_url", "_norm")
     u = (u.withColumn("url", F.when(F.col("error").isNull(), F.col("_norm"))).drop("_norm")
@@ -99,9 +102,10 @@ def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id
     routed = materialize(routed.withColumn("route", route_of()), "routed-urls")
     scored = _scored_urls(routed.where(F.col("route") == "scored").select("url").distinct(), inputs)
     scored = scored.withColumnRenamed("url", "_surl").drop("host")
-    ru = routed.withColumnRenamed("raw_url", "_raw")
+    undecided = F.col("route") == "scored"
+    ru = routed.where(undecided).join(scored, F.col("url") == F.col("_surl")).drop("_surl")
+    ru = ru.unionByName(routed.where(~undecided), allowMissingColumns=True).withColumnRenamed("raw_url", "_raw")
     f = r.join(ru, r["raw_url"].eqNullSafe(F.col("_raw")), "left").drop("_raw")
-    f = f.join(scored, F.when(F.col("route") == "scored", F.col("url")) == F.col("_surl"), "left").drop("_surl")
     if inputs.model_scores is None and inputs.tree_model is not None:
         f = f if "nn_prob" in f.columns else f.withColumn("nn_prob", F.lit(None).cast("double"))
     elif inputs.model_scores is not None:
@@ -117,7 +121,7 @@ def _scored_urls(urls_: DataFrame, inputs: ScoringInputs) -> DataFrame:
     f = materialize(fz.url_level_features(urls_, "url"), "undecided-urls")
     # the 13 host-only features join the URLs together with the host-keyed enrichment
     f = en.enrich_features(f, inputs.enrichment, "url", inputs.as_of,
-                           extra_host_flags=feat.host_feature_table(f, "host"))
+                           extra_host_flags=feat.host_feature_table(f, "host"), store=inputs.facts)
     f = fz.finish_path_keyword(f)
     if "vt_result" not in f.columns:
         f = f.withColumns({"vt_result": F.lit("UNAVAILABLE"), "vt_positives": F.lit(0), "vt_total": F.lit(0),

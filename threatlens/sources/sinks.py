@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions import urls as U
+from .publish import commit_version, current_version, is_committed  # noqa: F401  the commit log of versions
 
 
 def validate_reports(requests: DataFrame) -> DataFrame:
@@ -91,25 +92,6 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def commit_version(spark: SparkSession, root: str, version: str) -> None:
-    """Publish a finished version folder: one appended row, after the data, so
-    readers see the former version or the new one and never a part of it."""
-    log = read_or_none(spark, f"{root}/commits")
-    last = log.agg(F.max("seq")).first()[0] if log is not None else None
-    (spark.createDataFrame([((last or 0) + 1, version)], "seq long, version string").coalesce(1)
-     .write.mode("append").parquet(f"{root}/commits"))
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    log = read_or_none(spark, f"{root}/commits")
-    return None if log is None else log.agg(F.max_by("version", "seq")).first()[0]
-
-
-def is_committed(spark: SparkSession, root: str, version: str) -> bool:
-    log = read_or_none(spark, f"{root}/commits")
-    return log is not None and not log.where(F.col("version") == version).isEmpty()
-
-
 RETRAIN_EVENT = ("run_id string, seq int, triggered_at timestamp, new_safe long, new_phishing long, "
                  "accuracy double, status string")
 

@@ -56,9 +56,8 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs,
         given = inputs(session) if callable(inputs) else inputs
         if "timestamp" not in df.columns:
             df = df.withColumn("timestamp", F.current_timestamp())
-        when = df.select(F.col("id").alias("_tid"), F.col("timestamp").cast("timestamp").alias("timestamp"))
-        v = sc.score_requests(df, given)
-        v = v.join(when.dropDuplicates(["_tid"]), v["id"] == F.col("_tid"), "left").drop("_tid")
+        df = df.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        v = sc.score_requests(df, given, keep=("timestamp",))
         v.select(*VERDICT_COLUMNS).write.mode("overwrite").parquet(f"{verdicts_out}/epoch={epoch_id}")
         written = session.read.parquet(f"{verdicts_out}/epoch={epoch_id}")
         sk.append_scans(sc.scan_log_rows(written), f"{scans_out}/epoch={epoch_id}", mode="overwrite")
