@@ -28,6 +28,12 @@ def report_consensus(reports: DataFrame, safe_threshold: int = lists.SAFE_REPORT
         F.count_if(pend & (lab == "phishing")).alias("pending_phishing"),
         F.count_if(F.col("label") == "safe").alias("all_safe"),
         F.count_if(F.col("label") == "phishing").alias("all_phishing"))
+    return decided(g, safe_threshold, phishing_threshold)
+
+
+def decided(counts: DataFrame, safe_threshold: int = lists.SAFE_REPORT_THRESHOLD,
+            phishing_threshold: int = lists.PHISHING_REPORT_THRESHOLD) -> DataFrame:
+    """``decision`` and ``report_count`` from the four counts of a URL."""
     safe_hit = F.col("pending_safe") >= safe_threshold
     phish_hit = F.col("pending_phishing") >= phishing_threshold
     safe_ok = safe_hit & (F.col("all_phishing") < phishing_threshold)
@@ -35,7 +41,7 @@ def report_consensus(reports: DataFrame, safe_threshold: int = lists.SAFE_REPORT
     decision = (F.when(safe_ok, F.lit("safe")).when(phish_ok, F.lit("phishing"))
                  .when(safe_hit | phish_hit, F.lit("conflict")).otherwise(F.lit("pending")))
     count = F.when(safe_ok, F.col("pending_safe")).when(phish_ok, F.col("pending_phishing"))
-    return g.withColumn("decision", decision).withColumn("report_count", count)
+    return counts.withColumn("decision", decision).withColumn("report_count", count)
 
 
 def newly_verified(consensus: DataFrame, verified_at) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.features import labels
+from .reduction import Bloom
 
 
 def _c(c) -> Column:
@@ -66,8 +67,9 @@ def dynamic_allowlist_hits(hosts: DataFrame, dynamic: DataFrame, host_col: str =
     return h.join(d, key == F.col("_k"), "left_semi").select("host")
 
 
-def feed_url_hits(urls: DataFrame, feed_urls: DataFrame, url_col: str = "url") -> DataFrame:
+def feed_url_hits(urls: DataFrame, feed_urls: DataFrame, url_col: str = "url", listed: Bloom | None = None) -> DataFrame:
     """URLs equal to a feed URL, or equal to one once trailing '/' are cut.
+    ``listed``, a filter of the feed's URLs, drops most probes before the exchange.
 
     Each distinct URL probes with at most two keys (itself and its
     slash-trimmed form), so one equi-join replaces the OR condition that
@@ -75,18 +77,47 @@ def feed_url_hits(urls: DataFrame, feed_urls: DataFrame, url_col: str = "url") -
     u = urls.select(F.col(url_col).alias("url")).distinct()
     probe = u.select("url", F.explode(F.array_distinct(
         F.array(F.col("url"), F.regexp_replace(F.col("url"), "/+$", "")))).alias("f"))
+    if listed is not None:
+        probe = listed.passing(probe, F.col("f"))
     f = feed_urls.select(F.col("url").alias("f"))
     return probe.join(f, "f", "left_semi").select("url").distinct()
 
 
-def feed_domain_hits(hosts: DataFrame, feed_domains: DataFrame, host_col: str = "feed_host") -> DataFrame:
-    """J4 + J5: feed hosts (U3(b)) with a listed suffix, minus protected brands."""
+def feed_domain_hits(hosts: DataFrame, feed_domains: DataFrame, host_col: str = "feed_host",
+                     listed: Bloom | None = None) -> DataFrame:
+    """J4 + J5: feed hosts (U3(b)) with a listed suffix, minus protected brands.
+    ``listed``, a filter of the feed's domains, drops most suffixes before the
+    exchange."""
     h = hosts.select(F.col(host_col).alias("feed_host")).distinct()
     guarded = F.replace(F.col("feed_host"), F.lit("www."), F.lit("")).isin(lists.NEVER_PHISHING)
     cand = h.where(~guarded).select("feed_host", F.explode(feed_domain_candidates(F.col("feed_host"))).alias("domain"))
+    if listed is not None:
+        cand = listed.passing(cand, F.col("domain"))
     return cand.join(feed_domains.select("domain"), "domain", "left_semi").select("feed_host").distinct()
 
 
+def feed_flags(urls: DataFrame, feed_urls: DataFrame, feed_domains: DataFrame, url_filter: Bloom | None = None,
+               domain_filter: Bloom | None = None) -> DataFrame:
+    """``urls(url, feed_host, ...)`` with in_feed_url and in_feed_domain."""
+    out = with_flag(urls, feed_url_hits(urls, feed_urls, listed=url_filter), "url", "in_feed_url")
+    return with_flag(out, feed_domain_hits(out, feed_domains, listed=domain_filter), "feed_host", "in_feed_domain")
+
+
+def reflagged(flags: DataFrame, changed_urls: DataFrame, changed_domains: DataFrame, feed_urls: DataFrame,
+              feed_domains: DataFrame) -> DataFrame:
+    """Flags of ``feed_flags`` brought up to a new feed version: only URLs and
+    hosts that probe an added or removed entry (``changed_urls(url)``,
+    ``changed_domains(domain)``) are matched again; the others keep theirs."""
+    hosts = flags.select("feed_host").distinct()
+    again_u = feed_url_hits(flags, changed_urls).select("url")
+    again_h = feed_domain_hits(hosts, changed_domains).select("feed_host")
+    now_u = with_flag(again_u, feed_url_hits(again_u, feed_urls), "url", "_now_u").withColumnRenamed("url", "_au")
+    now_h = with_flag(again_h, feed_domain_hits(again_h, feed_domains), "feed_host", "_now_h").withColumnRenamed("feed_host", "_ah")
+    out = flags.join(now_u, F.col("url") == F.col("_au"), "left").join(now_h, F.col("feed_host") == F.col("_ah"), "left")
+    return out.withColumns({"in_feed_url": F.coalesce("_now_u", "in_feed_url"),
+                            "in_feed_domain": F.coalesce("_now_h", "in_feed_domain")}).drop("_au", "_now_u", "_ah", "_now_h")
+
+
 def with_flag(df: DataFrame, hits: DataFrame, key: str, flag: str) -> DataFrame:
     """Left-joins a hit set (one row per key) and turns it into a boolean."""
     h = hits.select(F.col(key).alias("_hk"), F.lit(True).alias(flag))

@@ -10,6 +10,8 @@ and every copy of an oversampled row lands on the same side.
 from __future__ import annotations
 
 import logging
+import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,7 @@ from ..functions import features as feat
 from ..functions import lists
 from ..session import materialize
 from ..sources import sinks as sk
+from ..sources.publish import latest, publish
 from . import featurize as fz
 
 
@@ -122,6 +125,84 @@ def train_test_split(df: DataFrame, test_pct: int = 20, url_col: str = "url") ->
         "split", F.when(F.col("bucket") < 100 - test_pct, F.lit("train")).otherwise(F.lit("test")))
 
 
+HASH_BITS, STEP_BITS = 60, 15
+
+
+def url_hash(url: Column) -> Column:
+    """The first 60 bits of a URL's MD5, as a long."""
+    return F.conv(F.substring(F.md5(url), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def class_thresholds(units: DataFrame, shares: list[float]) -> dict[str, list[int]]:
+    """For each class of ``units(cls, h)``, distinct hashes, and each share the
+    least hash up to which that share of the class lies (rounded half up to whole
+    units; -1 for none of them).
+
+    Selection by histograms: each pass counts the next ``STEP_BITS`` bits of the
+    hashes that agree with a boundary so far, so four passes of at most 2**15
+    counts a boundary find the exact unit, without a sort or a window."""
+    sizes = {r["cls"]: r["n"] for r in units.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    # (class, share number): prefix found so far, units still to pass
+    open_ = {(c, i): (0, math.floor(n * s + 0.5)) for c, n in sizes.items() for i, s in enumerate(shares)}
+    done = {k: -1 for k, (_, rank) in open_.items() if rank == 0}
+    for step in range(HASH_BITS // STEP_BITS):
+        low = HASH_BITS - STEP_BITS * (step + 1)
+        prefixes = {(c, prefix) for (c, i), (prefix, _) in open_.items() if (c, i) not in done}
+        if not prefixes:
+            break
+        wanted = units.sparkSession.createDataFrame(sorted(prefixes, key=str), "cls string, p long")
+        counts = (units.withColumn("q", F.shiftright("h", low)).withColumn("p", F.shiftright("q", STEP_BITS))
+                  .join(F.broadcast(wanted), ["cls", "p"])  # a row a boundary
+                  .groupBy("cls", "q").agg(F.count(F.lit(1)).alias("n")).collect())
+        by: dict = {}
+        for r in sorted(counts, key=lambda r: r["q"]):
+            by.setdefault((r["cls"], r["q"] >> STEP_BITS), []).append((r["q"], r["n"]))
+        for k, (prefix, rank) in open_.items():
+            if k in done:
+                continue
+            for q, n in by[k[0], prefix]:
+                if rank <= n:
+                    open_[k] = (q, rank)
+                    break
+                rank -= n
+    return {c: [done.get((c, i), open_[c, i][0]) for i in range(len(shares))] for c in sizes}
+
+
+def stratified_parts(df: DataFrame, shares: list[float], url_col: str = "url", label_col: str = "y") -> DataFrame:
+    """ML2, ML8: adds ``part``, from 0 to the number of ``shares``: ascending
+    boundaries of the URLs of each class by their hash, exact to one URL.  All
+    rows of a URL get one part; its class is the largest of their labels (as
+    text).  Rows without a URL get the last part, those without a label are a class."""
+    label = F.coalesce(F.col(label_col).cast("string"), F.lit(""))
+    url = F.col(url_col)
+    units = df.where(url.isNotNull()).groupBy(url_hash(url).alias("h")).agg(F.max(label).alias("cls"))
+    units = materialize(units, "split-units")
+    bounds = class_thresholds(units, shares)
+    if not bounds:
+        return df.withColumn("part", F.lit(len(shares)))
+    part = F.lit(None).cast("int")
+    for c, edges in bounds.items():
+        which = F.lit(len(shares))
+        for i in reversed(range(len(shares))):
+            which = F.when(F.col("h") <= edges[i], i).otherwise(which)
+        part = F.when(F.col("cls") == c, which).otherwise(part)
+    placed = units.select(F.col("h").alias("_h"), part.alias("part"))
+    out = df.withColumn("_k", url_hash(url)).join(placed, F.col("_k") == F.col("_h"), "left").drop("_k", "_h")
+    return out.withColumn("part", F.coalesce("part", F.lit(len(shares))))
+
+
+def stratified_split(df: DataFrame, test_share: float = 0.2, url_col: str = "url", label_col: str = "y") -> DataFrame:
+    """ML2: adds ``split`` ('train' / 'test'), exact per class to one URL."""
+    parts = stratified_parts(df, [1 - test_share], url_col, label_col)
+    return parts.withColumn("split", F.when(F.col("part") == 0, F.lit("train")).otherwise(F.lit("test"))).drop("part")
+
+
+def stratified_folds(df: DataFrame, folds: int = 5, url_col: str = "url", label_col: str = "y") -> DataFrame:
+    """ML8: adds ``fold``, 0 to ``folds`` - 1, equal per class to one URL."""
+    parts = stratified_parts(df, [k / folds for k in range(1, folds)], url_col, label_col)
+    return parts.withColumnRenamed("part", "fold")
+
+
 def training_union(base: DataFrame, verified: DataFrame, copies: int = lists.REPORT_COPIES) -> DataFrame:
     """SET4: base rows plus every verified report repeated ``copies`` times
     (label 'safe' -> 0, anything else -> 1)."""
@@ -239,10 +320,10 @@ def fold_summary(pred: DataFrame, fold: str = "fold", label_col: str = "y", pred
 
 
 def cross_validate(train: DataFrame, estimator, folds: int = 5) -> list[float]:
-    """ML8: accuracy per fold; folds are hash buckets of the URL."""
+    """ML8: accuracy per fold; the folds are stratified."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
-    t = train.withColumn("_fold", F.pmod(split_bucket(F.col("url")), F.lit(folds)))
+    t = stratified_folds(train, folds).withColumnRenamed("fold", "_fold")
     out = []
     for k in range(folds):
         m = estimator.fit(t.where(F.col("_fold") != k))
@@ -263,13 +344,13 @@ class RetrainResult:
 
 def retrain(base: DataFrame, verified: DataFrame, min_accuracy: float = lists.MIN_ACCURACY_TO_REPLACE,
             kind: str = "forest", enrichment=None, as_of=None) -> RetrainResult:
-    """ML9 + ML10: base rows + 5x verified rows -> features -> hash split ->
+    """ML9 + ML10: base rows + 5x verified rows -> features -> stratified split ->
     fit -> accuracy gate.  ``status`` is 'done' (accepted) or
     'rejected_low_accuracy'; 'failed' when there is no data."""
     data = training_union(base, verified)
     counts = verified.agg(F.count_if(F.lower(F.col("label")) == "safe").alias("s"),
                           F.count_if(F.lower(F.col("label")) != "safe").alias("p")).first()
-    vec = train_test_split(feature_vectors(data, "url", enrichment, as_of)).select("url", "y", "features", "split")
+    vec = stratified_split(feature_vectors(data, "url", enrichment, as_of)).select("url", "y", "features", "split")
     # the vectors feed two counts, the fit and the evaluation: written once
     vec = materialize(vec, "training-vectors")
     sizes = {r["split"]: r["count"] for r in vec.groupBy("split").count().collect()}
@@ -301,10 +382,10 @@ def load_model(spark: SparkSession, registry: str, loader=None):
     another width than the 43 features is refused."""
     from pyspark.ml.classification import RandomForestClassificationModel
 
-    version = sk.current_version(spark, registry)
-    if version is None:
+    now = latest(spark, registry)
+    if now is None:
         return None
-    model = (loader or RandomForestClassificationModel.load)(f"{registry}/{version}")
+    model = (loader or RandomForestClassificationModel.load)(f"{registry}/{now.data.get('folder', now.version)}")
     if model.numFeatures != FEATURES_OF_A_MODEL:
         raise ValueError(f"the model has {model.numFeatures} features, scoring gives {FEATURES_OF_A_MODEL}")
     return model
@@ -320,18 +401,20 @@ def run_retrain(spark: SparkSession, base: DataFrame, registry: str, log: str, r
     from ..streaming import jobs
 
     if verified is None:
-        verified = cs.pending_training_rows(jobs.watcher_state(spark, watcher)[0])
+        verified = cs.pending_training_rows(jobs.verified_urls(spark, watcher))
     sk.append_retrain_event(spark, log, run_id, 0, "running")
     try:
         r = retrain(base, verified, **kw)
         if r.status == "done":
-            save_model(r.model, f"{registry}/{run_id}")
-            sk.commit_version(spark, registry, run_id)
+            # a folder of its own for each attempt, so a run that died after saving can run again
+            attempt = f"{run_id}-{uuid.uuid4().hex[:8]}"
+            save_model(r.model, f"{registry}/{attempt}")
+            publish(spark, registry, run_id, {"folder": attempt})
             if watcher is not None:
                 jobs.mark_trained(spark, watcher, verified, f"{run_id}-trained")
     except Exception as e:
         sk.append_retrain_event(spark, log, run_id, 1, "failed")
-        logging.getLogger(__name__).warning("retrain %s failed: %s", run_id, e)
+        logging.getLogger(__name__).warning("retrain %s failed: %s", run_id, e, exc_info=True)
         return RetrainResult("failed", 0.0, 0, 0, 0, 0)
     sk.append_retrain_event(spark, log, run_id, 1, r.status, r.new_safe, r.new_phishing, r.accuracy)
     return r

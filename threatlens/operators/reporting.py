@@ -22,6 +22,11 @@ def scan_totals(scans: DataFrame) -> DataFrame:
     t = scans.agg(F.count(F.lit(1)).alias("total"),
                   F.count_if(F.col("result") == "PHISHING").alias("phishing"),
                   F.count_if(F.col("result") == "SUSPICIOUS").alias("suspicious"))
+    return with_rate(t)
+
+
+def with_rate(t: DataFrame) -> DataFrame:
+    """A1 from its three counts."""
     return t.select("total", "phishing", "suspicious",
                     (F.col("total") - F.col("phishing") - F.col("suspicious")).alias("safe"),
                     F.when(F.col("total") > 0,

@@ -422,3 +422,40 @@ flagged AS (SELECT r.* EXCLUDE (used_in_verify), CASE WHEN id IN (SELECT id FROM
 c2 AS ({o.consensus_sql('SELECT * FROM flagged')}),
 flagged2 AS (SELECT f.* EXCLUDE (used_in_verify), CASE WHEN c2.url IS NOT NULL THEN 1 ELSE f.used_in_verify END AS used_in_verify
              FROM flagged f LEFT JOIN c2 ON c2.url = f.url AND c2.decision = f.label)""")
+
+ORACLES["consensus_ticks"] = ORACLES["watcher_state"]
+ORACLES["feed_delta_flags"] = ORACLES["blocklist_match_filtered"] = ORACLES["blocklist_match"]
+ORACLES["stratified_split"] = o.with_fixtures(["url_corpus"], """
+SELECT l.page_id, l.url, l.label, CASE WHEN r <= floor(n * 0.8 + 0.5) THEN 'train' ELSE 'test' END AS split,
+  ((r > floor(n * 0.2 + 0.5))::INT + (r > floor(n * 0.4 + 0.5))::INT + (r > floor(n * 0.6 + 0.5))::INT
+   + (r > floor(n * 0.8 + 0.5))::INT)::BIGINT AS fold
+FROM labelled l JOIN (SELECT url, row_number() OVER (PARTITION BY label ORDER BY substr(md5(url), 1, 15)) AS r,
+                             count(*) OVER (PARTITION BY label) AS n
+                      FROM (SELECT url, max(label) AS label FROM labelled GROUP BY url) d) u ON u.url = l.url""", _LABELLED)
+_LOGGED = ("logged AS (SELECT * FROM scans WHERE NOT ("
+           + " OR ".join(f"starts_with(url, {o.q(p)})" for p in lists.NO_LOG_PREFIXES) + "))")
+_LOG_DAY = f"""SELECT CAST(timestamp AS DATE) AS day, count(*)::BIGINT AS n, count(*) FILTER (WHERE result = 'PHISHING')::BIGINT AS p
+  FROM logged WHERE {_NOT_LOCAL} AND url NOT ILIKE 'chrome://%' GROUP BY 1"""
+ORACLES["scan_log_reports"] = o.with_fixtures(["scans"], f"""
+SELECT 'totals' AS report, NULL::VARCHAR AS key, count(*)::BIGINT AS n0, count(*) FILTER (WHERE result = 'PHISHING')::BIGINT AS n1,
+  count(*) FILTER (WHERE result = 'SUSPICIOUS')::BIGINT AS n2,
+  count(*) FILTER (WHERE result NOT IN ('PHISHING', 'SUSPICIOUS'))::BIGINT AS n3 FROM logged
+UNION ALL SELECT 'kpis', NULL, count(*)::BIGINT, count(*) FILTER (WHERE result = 'PHISHING')::BIGINT,
+  count(*) FILTER (WHERE result = 'SAFE')::BIGINT, count(*) FILTER (WHERE result = 'SUSPICIOUS')::BIGINT
+  FROM logged WHERE {_NOT_LOCAL} AND {_NOT_BROWSER}
+UNION ALL SELECT 'daily', day::VARCHAR, n, p, NULL, NULL FROM (SELECT * FROM ({_LOG_DAY}) a ORDER BY day DESC LIMIT 7) b
+UNION ALL SELECT 'windows', (day + 1)::DATE::VARCHAR, n, p, NULL, NULL FROM ({_LOG_DAY}) c
+UNION ALL SELECT 'domains', domain, cnt, NULL, NULL, NULL FROM (
+  SELECT replace(replace(substr(url, instr(url, '://') + 3,
+    CASE WHEN instr(substr(url, instr(url, '://') + 3), '/') > 0 THEN instr(substr(url, instr(url, '://') + 3), '/') - 1
+         ELSE length(url) END), 'www.', ''), 'http://', '') AS domain, count(*)::BIGINT AS cnt
+  FROM logged WHERE result = 'PHISHING' AND {_NOT_LOCAL} GROUP BY 1 ORDER BY cnt DESC, domain LIMIT 8) d""", _LOGGED)
+ORACLES["scan_log_newest"] = o.with_fixtures(["scans"], f"""
+SELECT * FROM (SELECT {_SC}, 'recent' AS report FROM logged WHERE {_NOT_BROWSER} ORDER BY timestamp DESC, id DESC LIMIT 50) a
+UNION ALL SELECT * FROM (SELECT {_SC}, 'history' AS report FROM logged ORDER BY timestamp DESC, id DESC LIMIT 200) b""", _LOGGED)
+ORACLES["retrain_log_rows"] = o.with_fixtures(["reports"], f"""
+SELECT 'r1' AS run_id, s.seq::BIGINT AS seq, (CASE WHEN s.seq = 1 THEN c.a ELSE 0 END)::BIGINT AS new_safe,
+  (CASE WHEN s.seq = 1 THEN c.b ELSE 0 END)::BIGINT AS new_phishing, CASE WHEN s.seq = 1 THEN 'done' ELSE 'running' END AS status,
+  0::BIGINT AS left_to_train
+FROM (SELECT count(*) FILTER (WHERE decision = 'safe') AS a, count(*) FILTER (WHERE decision = 'phishing') AS b
+      FROM ({o.consensus_sql('SELECT * FROM reports')}) x) c, (SELECT unnest([0, 1]) AS seq) s""")

@@ -274,6 +274,36 @@ def q_blocklist_match(spark, sf_dir):
     return out.withColumn("blocked", F.col("in_feed_url") | F.col("in_feed_domain"))
 
 
+@register("feed_delta_flags")
+def q_feed_delta_flags(spark, sf_dir):
+    """T2 + J3 + J4: flags under an earlier feed (some lines missing, some since
+    taken out), brought up to date by the published changes alone."""
+    from ..session import scratch_path
+    import uuid
+    root = scratch_path(spark, f"feeds-{uuid.uuid4().hex[:12]}")
+    lines, catalog = fixture(spark, sf_dir, "feed_lines"), _feed_catalog(spark, sf_dir)
+    gone = fixture(spark, sf_dir, "page_html").where(F.pmod(F.col("page_id"), F.lit(7)) == 3).select(
+        F.lit("urls_plain").alias("source"), F.lit("url_per_line").alias("format"), F.col("url").alias("line"))
+    u = _probe_urls(spark, sf_dir).withColumn("feed_host", urls.feed_host_of_netloc(F.col("host")))
+    sj.refresh_feeds(lines.where(F.pmod(F.xxhash64("line"), F.lit(3)) != 0).unionByName(gone), catalog, root, "v0")
+    flags = materialize(mt.feed_flags(u, *sj.current_feeds(spark, root)), "feed-flags")
+    sj.refresh_feeds(lines, catalog, root, "v1")
+    out = mt.reflagged(flags, *sj.feed_changes(spark, root), *sj.current_feeds(spark, root))
+    return out.withColumn("blocked", F.col("in_feed_url") | F.col("in_feed_domain"))
+
+
+@register("blocklist_match_filtered")
+def q_blocklist_match_filtered(spark, sf_dir):
+    """J3 + J4 through the published feed's membership filters."""
+    from ..session import scratch_path
+    import uuid
+    root = scratch_path(spark, f"feeds-{uuid.uuid4().hex[:12]}")
+    sj.refresh_feeds(fixture(spark, sf_dir, "feed_lines"), _feed_catalog(spark, sf_dir), root, "v0")
+    u = _probe_urls(spark, sf_dir).withColumn("feed_host", urls.feed_host_of_netloc(F.col("host")))
+    out = mt.feed_flags(u, *sj.current_feeds(spark, root), *sj.feed_filters(spark, root))
+    return out.withColumn("blocked", F.col("in_feed_url") | F.col("in_feed_domain"))
+
+
 @register("dynamic_allowlist")
 def q_dynamic_allowlist(spark, sf_dir):
     """SET3: user-added + report-verified hosts."""
@@ -629,6 +659,53 @@ def q_scan_log_roundtrip(spark, sf_dir):
                                             F.count_if(F.col("result") == "PHISHING").alias("phishing")))
 
 
+def _filled_log(spark, sf_dir):
+    """A scan log of three batches, the reports refreshed before the last one,
+    then compacted and refreshed again."""
+    from ..session import scratch_path
+    from ..sources.scan_log import ScanLog
+    import uuid
+    log = ScanLog(spark, scratch_path(spark, f"scan-log-{uuid.uuid4().hex[:12]}"), max_folders=2)
+    s = _scans(spark, sf_dir)
+    for k in range(3):
+        if k == 2:
+            log.refresh()
+        log.append(s.where(F.pmod(F.col("id"), F.lit(3)) == k), f"batch-{k}")
+    log.append(s, "batch-0")  # a batch that runs again adds nothing
+    log.compact()
+    log.refresh()
+    return log
+
+
+@register("scan_log_reports")
+def q_scan_log_reports(spark, sf_dir):
+    """S11 with A1, A2, A3, A7 and T6 from sums that are kept by date."""
+    from ..sources import scan_log as sl
+    p = _filled_log(spark, sf_dir).partials()
+    none = F.lit(None).cast("bigint")
+    row = lambda df, name, key, *v: df.select(
+        F.lit(name).alias("report"), key.cast("string").alias("key"),
+        *[(x if i < len(v) else none).cast("bigint").alias(f"n{i}") for i, x in enumerate([*map(F.col, v), *[none] * 4][:4])])
+    none_key = F.lit(None)
+    parts = [row(sl.totals(p), "totals", none_key, "total", "phishing", "suspicious", "safe"),
+             row(sl.kpis(p), "kpis", none_key, "total", "phishing", "safe", "suspicious"),
+             row(sl.daily(p), "daily", F.col("day"), "scans", "phishing"),
+             row(sl.windows(p), "windows", F.date_format("window_end", "yyyy-MM-dd"), "scans", "phishing"),
+             row(sl.top_domains(p), "domains", F.col("domain"), "cnt")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@register("scan_log_newest")
+def q_scan_log_newest(spark, sf_dir):
+    """A4 + A5 from a compacted log, opening the newest dates alone."""
+    log = _filled_log(spark, sf_dir)
+    return bigints(log.recent(50).withColumn("report", F.lit("recent")).unionByName(
+        log.history(200).withColumn("report", F.lit("history"))))
+
+
 @register("verdict_counters")
 def q_counters(spark, sf_dir):
     """Service counters over the routed verdicts."""
@@ -677,6 +754,13 @@ def q_split(spark, sf_dir):
     return bigints(ml.train_test_split(_labelled_corpus(spark, sf_dir)).select("page_id", "url", "bucket", "split"))
 
 
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    """ML2 + ML8: exact 80/20 split and five folds per class, by URL."""
+    lab = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing").select("page_id", "url", "label", "y")
+    return bigints(ml.stratified_folds(ml.stratified_split(lab)).select("page_id", "url", "label", "split", "fold"))
+
+
 @register("class_distribution")
 def q_class_distribution(spark, sf_dir):
     """Label histogram of the labelled corpus."""
@@ -741,6 +825,22 @@ def q_retrain_run(spark, sf_dir):
                                  "status string, accuracy double, n_train bigint, n_test bigint, new_safe bigint, new_phishing bigint")
 
 
+@register("retrain_log_rows")
+def q_retrain_log_rows(spark, sf_dir):
+    """S16 + S17 + ML10: the rows that a run of the retrain job logs (its gate
+    open), with the verified URLs left to train on afterwards."""
+    from ..session import scratch_path
+    from ..streaming.consensus_state import ConsensusState
+    import uuid
+    base_path = scratch_path(spark, f"retrain-{uuid.uuid4().hex[:12]}")
+    state = ConsensusState(spark, f"{base_path}/watcher", buckets=8)
+    state.tick(_reports(spark, sf_dir), "v0", AS_OF_TS)
+    base = ml.encode_labels(_labelled_corpus(spark, sf_dir), "label", positive_label="phishing")
+    ml.run_retrain(spark, base, f"{base_path}/models", f"{base_path}/log", "r1", watcher=f"{base_path}/watcher", min_accuracy=0.0)
+    log = spark.read.parquet(f"{base_path}/log").select("run_id", "seq", "new_safe", "new_phishing", "status")
+    return bigints(log.withColumn("left_to_train", F.lit(state.totals()["pending"])))
+
+
 # ---- T4, T5, T6 -------------------------------------------------------------------------------
 
 from ..streaming import jobs as sj  # noqa: E402
@@ -824,3 +924,19 @@ def q_watcher_state(spark, sf_dir):
     v = verified.select("url", "label", "report_count", "used_in_train",
                         F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"))
     return bigints(v.withColumn("used_reports", F.lit(n.first()[0])))
+
+
+@register("consensus_ticks")
+def q_consensus_ticks(spark, sf_dir):
+    """A9 + T3 by kept counts: two ticks, each of its own reports alone, the
+    verified URLs and how many reports were used."""
+    from ..session import scratch_path
+    from ..streaming.consensus_state import ConsensusState
+    import uuid
+    state = ConsensusState(spark, scratch_path(spark, f"consensus-{uuid.uuid4().hex[:12]}"), buckets=8)
+    r = _reports(spark, sf_dir)
+    state.tick(r.where(F.col("id") % 3 != 0), "v0", PRIOR_TS, 0)
+    state.tick(r.where(F.col("id") % 3 == 0), "v1", AS_OF_TS, 1)
+    v = state.verified().select("url", "label", "report_count", "used_in_train",
+                                F.date_format("verified_at", "yyyy-MM-dd HH:mm:ss").alias("verified_at"))
+    return bigints(v.withColumn("used_reports", F.lit(state.totals()["used"])))

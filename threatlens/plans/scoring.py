@@ -31,6 +31,8 @@ class ListInputs:
     dynamic_allowlist: DataFrame | None = None  # domain
     feed_urls: DataFrame | None = None          # url
     feed_domains: DataFrame | None = None       # domain
+    feed_url_filter: object | None = None       # membership filters of the two (Bloom)
+    feed_domain_filter: object | None = None
 
 
 @dataclass
@@ -59,7 +61,7 @@ def _host_flags(hosts: DataFrame, li: ListInputs) -> DataFrame:
     else:
         h = h.withColumn("in_dynamic", F.lit(False))
     if li.feed_domains is not None:
-        h = m.with_flag(h, m.feed_domain_hits(h, li.feed_domains), "feed_host", "in_feed_domain")
+        h = m.with_flag(h, m.feed_domain_hits(h, li.feed_domains, listed=li.feed_domain_filter), "feed_host", "in_feed_domain")
     else:
         h = h.withColumn("in_feed_domain", F.lit(False))
     return h.drop("feed_host")
@@ -89,7 +91,7 @@ def score_requests(requests: DataFrame, inputs: ScoringInputs, id_col: str = "id
     ask_host = F.when(asks, F.col("host"))
     routed = u.withColumn("_ask", ask_host).join(flags, F.col("_ask") == F.col("_fhost"), "left").drop("_ask", "_fhost")
     if inputs.lists.feed_urls is not None:
-        hits = m.feed_url_hits(u.where(asks).select("url"), inputs.lists.feed_urls)
+        hits = m.feed_url_hits(u.where(asks).select("url"), inputs.lists.feed_urls, listed=inputs.lists.feed_url_filter)
         routed = routed.join(hits.select(F.col("url").alias("_hit")).distinct(), F.col("url") == F.col("_hit"), "left")
         routed = routed.withColumn("in_feed_url", F.col("_hit").isNotNull()).drop("_hit")
     else:

@@ -124,3 +124,12 @@ def feed_totals(feed_urls: DataFrame, feed_domains: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("total_domains"))
     return t.select("total_urls", "total_domains",
                     (F.col("total_urls") + F.col("total_domains")).alias("total_entries"))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Entries that were added or removed between two versions of a set:
+    ``key`` and ``change``."""
+    both = old.select(F.col(key), F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
+        new.select(F.col(key), F.lit(0).alias("o"), F.lit(1).alias("n")))
+    sums = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n")).where(F.col("o") != F.col("n"))
+    return sums.select(key, F.when(F.col("n") == 1, F.lit("added")).otherwise(F.lit("removed")).alias("change"))

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import consensus as cs
+from ..operators.reduction import Bloom, bloom
 from ..plans import scoring as sc
 from ..sources import feeds as fd
 from ..sources import sinks as sk
+from ..sources.publish import latest, publish
+from .consensus_state import ConsensusState
 
 
 def windowed_activity(scans: DataFrame, ts: str = "timestamp", window: str = "1 day") -> DataFrame:
@@ -41,7 +44,7 @@ def start_windowed_activity(spark: SparkSession, scans_dir: str, schema, checkpo
 
 
 def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs, verdicts_out: str, scans_out: str,
-                         checkpoint: str, available_now: bool = True):
+                         checkpoint: str, available_now: bool = True, log=None):
     """Request files -> full verdict per row (same plan as batch) ->
     verdict table, and the scan log from that table, one micro-batch at a time.
 
@@ -49,7 +52,8 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs,
     builds one; the function runs for every batch, so a batch sees the lists
     that were current when it began.  A batch owns the folder ``epoch=<id>``
     of each table: one that is run again replaces what it wrote.  Requests
-    without a ``timestamp`` get the batch's.
+    without a ``timestamp`` get the batch's.  With ``log`` (a
+    :class:`threatlens.sources.scan_log.ScanLog`) the scans go there instead.
     """
     def batch(df: DataFrame, epoch_id: int):
         session = df.sparkSession
@@ -60,7 +64,10 @@ def start_scoring_stream(spark: SparkSession, requests_dir: str, schema, inputs,
         v = sc.score_requests(df, given, keep=("timestamp",))
         v.select(*VERDICT_COLUMNS).write.mode("overwrite").parquet(f"{verdicts_out}/epoch={epoch_id}")
         written = session.read.parquet(f"{verdicts_out}/epoch={epoch_id}")
-        sk.append_scans(sc.scan_log_rows(written), f"{scans_out}/epoch={epoch_id}", mode="overwrite")
+        if log is not None:
+            log.append(sc.scan_log_rows(written), f"epoch-{epoch_id}")
+        else:
+            sk.append_scans(sc.scan_log_rows(written), f"{scans_out}/epoch={epoch_id}", mode="overwrite")
 
     w = spark.readStream.schema(schema).parquet(requests_dir).writeStream.foreachBatch(batch) \
         .option("checkpointLocation", checkpoint)
@@ -75,17 +82,48 @@ VERDICT_COLUMNS = ["id", "url", "timestamp", "route", "final_result", "final_con
 def refresh_feeds(lines: DataFrame, catalog: DataFrame, out_root: str, version: str) -> dict[str, str]:
     """Build the feed sets and stats from the latest lines, write them
     under a new version and publish it (whole-set swap, never a partial
-    update)."""
+    update).  With each set go what was added and removed since the version
+    before (``feed_urls_changes``, ``feed_domains_changes``) and a membership
+    filter, as far as one fits (:class:`threatlens.operators.reduction.Bloom`).
+    """
+    spark = lines.sparkSession
     parsed = fd.parse_feed_lines(lines)
-    urls_, domains = fd.feed_sets(parsed)
-    paths = {k: f"{out_root}/{k}/version={version}" for k in ("feed_urls", "feed_domains", "feed_stats")}
-    urls_.write.mode("overwrite").parquet(paths["feed_urls"])
-    domains.write.mode("overwrite").parquet(paths["feed_domains"])
+    sets = dict(zip(("feed_urls", "feed_domains"), fd.feed_sets(parsed)))
+    before = current_feeds(spark, out_root)
+    paths = {k: f"{out_root}/{k}/version={version}" for k in (*sets, "feed_stats")}
+    data = {}
+    for at, (k, entries) in enumerate(sets.items()):
+        entries.write.mode("overwrite").parquet(paths[k])
+        now = spark.read.parquet(paths[k])
+        key = now.columns[0]
+        old = before[at] if before else now.limit(0)
+        fd.changes(old, now, key).write.mode("overwrite").parquet(f"{out_root}/{k}_changes/version={version}")
+        n = now.count()
+        filter_ = bloom(now.select(F.col(key).alias("key")), n)
+        if filter_ is not None:
+            filter_.table.write.mode("overwrite").parquet(f"{out_root}/{k}_filter/version={version}")
+        data[k] = {"entries": n, "blocks": filter_.blocks if filter_ else None}
     fd.feed_stats(lines, parsed, catalog).write.mode("overwrite").parquet(paths["feed_stats"])
-    sk.commit_version(lines.sparkSession, out_root, version)
+    publish(spark, out_root, version, data)
     return paths
 
 
+def feed_filters(spark: SparkSession, out_root: str) -> tuple[Bloom | None, Bloom | None]:
+    """The published feed's membership filters (URLs, domains)."""
+    now = latest(spark, out_root)
+    out = []
+    for k in ("feed_urls", "feed_domains"):
+        blocks = now.data.get(k, {}).get("blocks") if now else None
+        out.append(Bloom(spark.read.parquet(f"{out_root}/{k}_filter/version={now.version}"), blocks) if blocks else None)
+    return tuple(out)
+
+
+def feed_changes(spark: SparkSession, out_root: str) -> tuple[DataFrame, DataFrame]:
+    """What the published version added to and removed from the one before."""
+    version = sk.current_version(spark, out_root)
+    return tuple(spark.read.parquet(f"{out_root}/{k}_changes/version={version}") for k in ("feed_urls", "feed_domains"))
+
+
 def current_feeds(spark: SparkSession, out_root: str) -> tuple[DataFrame, DataFrame] | None:
     """The published feed URLs and domains, or None before the first refresh."""
     version = sk.current_version(spark, out_root)
@@ -136,20 +174,34 @@ def watcher_tick(spark: SparkSession, reports: DataFrame, root: str, version: st
     return bool(cs.retrain_trigger(watcher_state(spark, root)[0]).first()["trigger"])
 
 
+def verified_urls(spark: SparkSession, root: str) -> DataFrame:
+    """The verified URLs of a watcher, of kept counts or of whole tables."""
+    return ConsensusState(spark, root).verified() if _keeps_counts(spark, root) else watcher_state(spark, root)[0]
+
+
+def _keeps_counts(spark: SparkSession, root: str) -> bool:
+    last = latest(spark, root)
+    return last is not None and "buckets" in last.data
+
+
 def mark_trained(spark: SparkSession, root: str, trained: DataFrame, version: str) -> None:
     """A12 after a retrain: publish the state with the trained URLs marked."""
+    if _keeps_counts(spark, root):
+        ConsensusState(spark, root).mark_trained(trained, version)
+        return
     verified, used = watcher_state(spark, root)
     _publish(cs.mark_trained(verified, trained), used, root, version)
 
 
 def start_report_watcher(spark: SparkSession, reports_dir: str, schema, root: str, checkpoint: str,
                          on_trigger=None, interval: str = "30 minutes", available_now: bool = True):
-    """T3 stream: every tick re-runs consensus over the report table; when
-    enough verified URLs wait, ``on_trigger(session, root, version)`` starts the
-    retrain (see :func:`threatlens.operators.ml.run_retrain`)."""
+    """T3 stream: every tick counts the new reports and decides the URLs that they
+    name (:class:`ConsensusState`); when enough verified URLs wait,
+    ``on_trigger(session, root, version)`` starts the retrain (see
+    :func:`threatlens.operators.ml.run_retrain`)."""
     def tick(new_reports: DataFrame, epoch_id: int):
         session = new_reports.sparkSession
-        due = watcher_tick(session, session.read.schema(schema).parquet(reports_dir), root, f"v{epoch_id}")
+        due = ConsensusState(session, root).tick(new_reports, f"v{epoch_id}", ordinal=epoch_id)
         if due and on_trigger is not None:
             on_trigger(session, root, f"v{epoch_id}-trained")
 
