@@ -61,12 +61,14 @@ class FactStore:
 
     # ---- tables ----------------------------------------------------------------
 
-    def _write(self, kind: str, df: DataFrame) -> dict:
-        """A bucketed table, one file a bucket: its entry in the commit."""
+    def _write(self, kind: str, df: DataFrame, placed: bool = False) -> dict:
+        """A bucketed table: its entry in the commit.  ``placed``: each of the
+        frame's partitions lies within one bucket already."""
         key, n = KEY[kind], self.buckets
         name = f"facts_{kind}_{uuid.uuid4().hex[:16]}"
         path = f"{self.root}/{kind}/{name}"
-        (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path)
+        df = df if placed else df.repartition(n, key)
+        (df.write.bucketBy(n, key).sortBy(key).option("path", path)
          .format("parquet").saveAsTable(name))
         table = self.spark.table(name)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
@@ -128,8 +130,8 @@ class FactStore:
         if delta["rows"] <= MERGE_SHARE * entry["base"]["rows"]:
             return {"base": entry["base"], "delta": delta}
         newer = self._table(kind, delta)
-        kept = base.join(newer.select(key), key, "left_anti")
-        return {"base": self._write(kind, kept.unionByName(newer.where("not gone").drop("gone"))), "delta": None}
+        kept = base.join(newer.select(key).hint("merge"), key, "left_anti")  # bucket by bucket
+        return {"base": self._write(kind, kept.unionByName(newer.where("not gone").drop("gone")), placed=True), "delta": None}
 
     # ---- lookups ---------------------------------------------------------------------
 
@@ -151,7 +153,8 @@ class FactStore:
             delta = delta.where(few)
             return base.join(delta.select(key), key, "left_anti").unionByName(delta.where("not gone").drop("gone"))
         facts = [c for c in base.columns if c != key]
-        out = keys.df.withColumnRenamed("key", key).join(
+        # the asked keys come to the buckets; else Spark may choose their partitioning for the facts
+        out = keys.df.withColumnRenamed("key", key).repartition(entry["base"]["buckets"], key).join(
             base.select(key, F.struct(*facts).alias("_b")), key, "left")
         if delta is not None:
             out = out.join(delta.select(key, F.col("gone").alias("_gone"), F.struct(*facts).alias("_d")), key, "left")

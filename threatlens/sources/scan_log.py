@@ -105,7 +105,7 @@ class ScanLog:
         paths = [f"{self.root}/{f}" for d in dates for f in state["dates"][d]["folders"]]
         if not paths:
             return self.spark.createDataFrame([], ROW + ", date date")
-        return self.spark.read.schema(ROW + ", date date").option("basePath", f"{self.root}/data").parquet(*paths)
+        return self.spark.read.schema(ROW + ", date date").option("basePath", f"{self.root}/data").parquet(*paths).drop("part")
 
     def dates(self) -> dict:
         """Folders and row counts of each date."""
@@ -156,7 +156,7 @@ class ScanLog:
         paths = [f"{self.root}/{e['folder']}" for e in self._state()[1]["reports"].values()]
         if not paths:
             return self.spark.createDataFrame([], PARTIAL + ", date date")
-        return self.spark.read.schema(PARTIAL + ", date date").option("basePath", f"{self.root}/reports").parquet(*paths)
+        return self.spark.read.schema(PARTIAL + ", date date").option("basePath", f"{self.root}/reports").parquet(*paths).drop("part")
 
     def trim(self, keep: int = pb.KEEP) -> list[str]:
         """Old commits and the folders that only they name."""

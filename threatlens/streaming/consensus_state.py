@@ -57,7 +57,7 @@ class ConsensusState:
         (rows.withColumn("bucket", self._bucket(F.col("url"))).repartition(max(1, len(touched)), "bucket")
          .write.partitionBy("bucket").parquet(f"{self.root}/{folder}"))
         verified = F.col("label").isNotNull()
-        stats = self.spark.read.parquet(f"{self.root}/{folder}").groupBy("bucket").agg(
+        stats = self.spark.read.schema(ROW + ", bucket int").parquet(f"{self.root}/{folder}").groupBy("bucket").agg(
             F.count(F.lit(1)).alias("rows"), F.count_if(verified).alias("verified"),
             F.count_if(verified & (F.col("used_in_train") == 0)).alias("pending"),
             F.sum(F.col("all_safe") + F.col("all_phishing") - F.col("pending_safe") - F.col("pending_phishing")).alias("used"))
