@@ -89,6 +89,16 @@ def test_normalize_edge_rows(spark):
     assert {r["url"]: r["n2"] for r in staged} == {k: v for k, v in cases.items()}
 
 
+def test_tracking_parameters_in_other_scripts(spark):
+    import re
+    qs = ["utm_é=1&q=2", "utm_名前=1&q=2", "utm_٣=1", "UTM_Ünï=x&a=b", "\u017fource=1&q=2", "utm_-=1&q=2", "utm_ =1"]
+    pattern = re.compile(r"(utm_\w+|fbclid|gclid|ref|source|mc_cid|mc_eid|_ga|msclkid)=[^&]*&?", re.IGNORECASE)
+    df = spark.createDataFrame([("https://e.com/?" + x,) for x in qs], "url string")
+    got = [r[0] for r in df.select(U.normalize_url(F.col("url"))).collect()]
+    want = [pattern.sub("", x).strip("&") for x in qs]
+    assert got == ["https://e.com/" + ("?" + w if w else "") for w in want]
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("",), ("   ",), ("x" * 2049,), ("http://ok",)], "url string")
     errs = [r[0] for r in df.select(U.validation_error(F.col("url"))).collect()]

@@ -190,13 +190,13 @@ def _host_stages(host):
     exempt = rules["_exempt_listed"] | ((F.size(parts) >= 2) & (F.element_at(parts, -1).isin(lists.PATH_EXEMPT_TLDS)
                                         | F.array_join(F.slice(parts, -2, 2), ".").isin(lists.PATH_EXEMPT_TLD2)))
     cols = {
-        "has_ip": d.rlike(r"([0-9]{1,3}\.){3}[0-9]{1,3}"),
+        "has_ip": d.rlike(r"(\p{Nd}{1,3}\.){3}\p{Nd}{1,3}"),
         "suspicious_keywords": any_contains(d, lists.DOMAIN_SUSPICIOUS_WORDS),
         "dot_count": count_char(d, "."),
         "subdomain_count": F.greatest(F.lit(0), F.size(F.col("_f_parts")) - F.lit(2)),
         "domain_length": F.length(d),
         "has_dash_in_domain": d.contains("-"),
-        "domain_has_digits": d.rlike("[0-9]"),
+        "domain_has_digits": d.rlike(r"\p{Nd}"),
         "suspicious_tld": rules["suspicious_tld"],
         "high_entropy_domain": F.col("domain_entropy") > F.lit(3.5),
         "brand_impersonation": rules["brand_impersonation"],

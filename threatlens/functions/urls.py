@@ -104,12 +104,15 @@ def sql_substring_host(url) -> Column:
 
 # ---- U2, U4, U5 -------------------------------------------------------------
 
+#: Letters of any case match each other, not only A to Z.
+_TRACKING = lists.TRACKING_PARAM_PATTERN.replace("(?i)", "(?iu)")
+
 def normalize_url(c) -> Column:
     """Strip, default https scheme, drop tracking parameters, rebuild."""
     s = py_strip(c)
     pref = F.when(s.startswith("http://") | s.startswith("https://"), s).otherwise(F.concat(F.lit("https://"), s))
     p = url_split(pref)
-    q = F.regexp_replace(p["query"], lists.TRACKING_PARAM_PATTERN, "")
+    q = F.regexp_replace(p["query"], _TRACKING, "")
     q = F.regexp_replace(q, "^&+|&+$", "")
     path = F.when(p["params"] != "", F.concat(p["path"], F.lit(";"), p["params"])).otherwise(p["path"])
     return F.concat(
@@ -178,7 +181,7 @@ def with_normalized(df, url_col: str, out_col: str = "normalized"):
     df = df.withColumn("_n_pref", F.when(s.startswith("http://") | s.startswith("https://"), s)
                        .otherwise(F.concat(F.lit("https://"), s)))
     df = with_split(df, "_n_pref", "_n")
-    q = F.regexp_replace(F.regexp_replace(F.col("_n_query"), lists.TRACKING_PARAM_PATTERN, ""), "^&+|&+$", "")
+    q = F.regexp_replace(F.regexp_replace(F.col("_n_query"), _TRACKING, ""), "^&+|&+$", "")
     df = df.withColumn("_n_q", q)
     path = F.when(F.col("_n_params") != "", F.concat(F.col("_n_path"), F.lit(";"), F.col("_n_params"))).otherwise(F.col("_n_path"))
     out = F.concat(

@@ -465,7 +465,8 @@ AS_OF_DATE = "2024-01-15"
 
 
 def enrichment_for(spark, sf_dir) -> en.Enrichment:
-    fx = lambda n: fixture(spark, sf_dir, n)
+    base = {"pages": read_table(spark, sf_dir, "pages")}
+    fx = lambda n: fixture(spark, sf_dir, n, base)
     return en.Enrichment(
         whois=fx("whois"), certs=fx("certs"), dns_records=fx("dns_records"),
         resolutions=fx("resolutions"), ip_geo=fx("ip_geo"), ct_entries=fx("ct_entries"),

@@ -174,9 +174,10 @@ def fixture_sql_for(name: str, dialect: str = "spark") -> str:
     return text
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build one fixture table from the base tables under ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, base: dict | None = None) -> DataFrame:
+    """Build one fixture table from the base tables under ``sf_dir`` (or from
+    those given in ``base``, which a caller of several fixtures reads once)."""
     deps = _DEPENDS.get(name, ("pages",))
-    args = {d: read_table(spark, sf_dir, d) for d in deps}
+    args = {d: base[d] if base and d in base else read_table(spark, sf_dir, d) for d in deps}
     text = FIXTURE_SQL[name]
     return spark.sql(text, **args)
