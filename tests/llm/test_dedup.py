@@ -24,7 +24,10 @@ def test_exact_matches_plain(table, pairs):
     rows = exact_dedup.classes(table(pairs)).collect()
     assert len(rows) == len(pairs)
     for r in rows:
-        assert (r.keep_id, r.group_size) == best[r.text_sha256]
+        assert (-(1 << 63) if r.keep_id is None else r.keep_id, r.group_size) == best[r.text_sha256]
+    assert sum(r.kept for r in rows) == len(best)  # one row a class, also where the staying row is repeated
+    assert all(r.doc_id == r.keep_id for r in rows if r.kept)
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in pairs)
     df = table(pairs)
     kept = exact_dedup.keep_one(df)
     assert kept.columns == df.columns
@@ -32,6 +35,22 @@ def test_exact_matches_plain(table, pairs):
         sorted(k for k, _ in best.values())
 
 
+def test_exact_sql_agrees_on_repeats_and_nulls(table):
+    import duckdb
+
+    from threatlens.llm.oracles import ORACLES
+
+    pairs = [(5, "ab"), (5, "ab"), (7, "ab"), (None, "ab"), (None, "x"), (None, "x"), (1, "x y"), (1, "x y"), (-(1 << 63), "z"), (None, "z")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", pairs)
+    cur = con.execute(ORACLES["op2_exact_dedup"])
+    names = [d[0] for d in cur.description]
+    want = sorted(map(str, cur.fetchall()))
+    got = exact_dedup.classes(table(pairs)).select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
 def test_exact_keeps_longest_original(table):
     rows = {r.doc_id: r for r in exact_dedup.classes(table([(1, "ab"), (2, "a b"), (3, "a\tb")])).collect()}
     assert [rows[k].keep_id for k in (1, 2, 3)] == [2, 2, 2]
@@ -98,7 +117,8 @@ def test_simhash_ids_never_link_texts(table):
     assert sorted(r.text for r in simhash.keep_one(df).collect()) == sorted(texts[:6])
     got = simhash.near_duplicates(df).collect()
     assert len(got) == len(pairs) and len({r.component for r in got}) == len(set(root)) == 6
-    assert {r.component_id for r in got} == {-(1 << 63), 5, 7}
+    assert {r.component_id for r in got} == {None, 1, 2, 5, 7}
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in pairs)
 
 
 @pytest.mark.parametrize("bits", [2, 5, 9])

@@ -115,7 +115,7 @@ def test_top_k_matches_brute_force(spark, block):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=6).round(1).tolist()) for k in range(0, 400)]
     rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 6), (650, [float("inf")] * 6), (700, [0.5, 0.25])]
-    rows += [(750 + k, [2.0] * 6) for k in range(60)] + [(3, rows[3][1])]
+    rows += [(750 + k, [2.0] * 6) for k in range(60)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
     good = {i: np.floor(256 * np.pad(np.array(v, np.float32).astype(float), (0, 6 - len(v)))).astype(int)
             for i, v in rows if v and None not in v and np.isfinite(v).all()}
@@ -128,6 +128,29 @@ def test_top_k_matches_brute_force(spark, block):
     assert len(got) == len(want) and {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
 
 
+def test_top_k_with_null_and_repeated_ids_matches_plain_and_sql(spark):
+    import duckdb
+
+    from threatlens.llm.oracles import ORACLES
+
+    rng = np.random.default_rng(8)
+    rows = [(int(i) if i >= 0 else None, rng.normal(size=4).round(1).tolist()) for i in rng.integers(-8, 60, 150)]
+    rows += [(1, [0.5] * 4), (1, [0.9] * 4), (None, [2.0] * 4), (None, [2.0] * 4), (50, [1.0] * 4), (50, [1.0] * 4)]
+    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, rid int").repartition(4)
+    v = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    want = []
+    for a, (q, _) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            best = sorted((-int(v[a] @ v[b]), i is not None, i or 0, b) for b, (i, _) in enumerate(rows) if b != a)[:5]
+            want += [(q, r + 1, rows[b][0], -x) for r, (x, _, _, b) in enumerate(best)]
+    got = [tuple(r) for r in topk.top_k(df, block_queries=2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(map(str, con.execute(ORACLES["op6_exact_top_k"]).fetchall())) == sorted(map(str, want))
+
+
 def test_top_k_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0

@@ -135,7 +135,9 @@ def test_token_store_round_trip(table):
 
 def test_token_store_edges(table):
     assert token_store.stored_documents(table([])).count() == 0
-    assert token_store.stored_documents(table([(None, None), (None, "a")])).count() == 2
+    rows = token_store.stored_documents(table([(None, None), (None, "a"), (-(1 << 63), "b c"), (3, "d")])).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("-9223372036854775808", 3), ("3", 2), ("None", 1), ("None", 2)]
+    assert {r.doc_id: r.start for r in rows if r.doc_id is not None} == {-(1 << 63): 3, 3: 6}  # null ids come first
 
 
 def test_grammar_round_trip_and_random_access():

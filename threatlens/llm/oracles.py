@@ -5,9 +5,9 @@ ORACLES: dict[str, str] = {}
 ORACLES["op2_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_cp,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
-SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id,
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id NULLS FIRST) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       row_number() OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) = 1 AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id NULLS FIRST) = 1 AS kept, text_sha256
 FROM d"""
 
 #: Kinds in their order: pattern, group whose length counts, least length.
@@ -48,11 +48,11 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
 ORACLES["op1_secret_scan"] = _secret_scan()
 
 ORACLES["op6_exact_top_k"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+p AS (SELECT q.rid AS query_row, q.vec_id AS query_id, c.rid, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.rid <> q.rid),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id NULLS FIRST, rid)::INTEGER AS rank,
              vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 5"""
 

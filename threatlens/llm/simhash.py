@@ -20,11 +20,12 @@ values (seed 42).
 
 Cases: null and empty texts have fingerprint zero and link like any other.  The
 graph's nodes are fingerprints, so rows are linked by their texts alone: a null
-doc_id, which counts as -2**63, or a repeated one merges and drops nothing.
-``component_id`` is the smallest doc_id of a component; components whose
-smallest is null or repeated elsewhere share it, and ``component``, their least
-fingerprint, tells them apart.  The filter keeps one row of each component.  An
-empty table gives no rows.
+doc_id, which comes back as null, or a repeated one merges and drops nothing.
+``component_id`` is the smallest doc_id of a component, nulls left out (null if
+all are); components whose smallest is repeated elsewhere share it, and
+``component``, their least fingerprint, tells them apart.  The filter keeps one
+row of each component; there a null doc_id is the smallest.  An empty table
+gives no rows.
 Only ``doc_id`` and ``text`` are read; the filter passes the others on.
 """
 
@@ -83,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64())], ["doc_id", "h1", "h2", "fp"])
 
     text = text_or_empty(docs)
-    rows = docs.select(doc_key(docs).alias("doc_id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"),
                        text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 int, fp long")
 
@@ -208,7 +209,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     """One row of each component, all columns: that with the smallest doc_id,
     of several texts under it the one with the smallest hashes."""
     rows, label = _labelled(docs, words, max_bits)
-    least = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("k"))
+    least = rows.groupBy("fp").agg(F.min(F.struct(doc_key(rows).alias("doc_id"), "h1", "h2")).alias("k"))
     kept = least.join(label, "fp").groupBy("component").agg(F.min("k").alias("k")).select(
         F.col("k.doc_id").alias("id"), "k.h1", "k.h2")
     keyed = wrapped(docs).select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "row")

@@ -11,15 +11,20 @@ symbols without the rest of the shard.
 
 File image of a shard (little-endian), held in the binary column ``image`` of a
 Parquet table, one row a shard: the header ``HEADER`` (magic, symbol width in
-bytes, documents, rules, symbols, first nonterminal, ids); doc_ids (int64);
+bytes, documents, rules, symbols, first nonterminal, ids, documents without a
+doc_id, which come first); doc_ids (int64);
 symbols before each document and in all (uint64); ids before each document and
 in all (uint64); the rules' pairs (2 x uint32); their expansion lengths
 (uint32); the symbols (uint16 or uint32).
 
 Cases: a null or empty text is its end id alone.  Rows that repeat a doc_id
 follow each other, ordered by a hash of their text.  An empty table gives no
-shard.  Only ``doc_id`` and ``text`` are read.  A null doc_id counts as the
-smallest long.
+shard.  Only ``doc_id`` and ``text`` are read.  Null doc_ids come first and come
+back as null.
+
+A shard's grammar is finished when no pair occurs ``LEAST_COUNT`` times, when the
+rules are used up, after ``ROUNDS`` rounds, or after a round that saves less than
+a hundredth; that bounds the work, and costs compression only.
 """
 
 from __future__ import annotations
@@ -43,8 +48,8 @@ LEAST_COUNT = 8
 #: a hundredth of the symbols is the last.
 ROUND_PAIRS = 4096
 ROUNDS = 8
-HEADER = "<4sIQQQQQ"
-MAGIC = b"RPG1"
+HEADER = "<4sIQQQQQQ"
+MAGIC = b"RPG2"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -150,14 +155,14 @@ def replace_pairs(ids: np.ndarray, doc: np.ndarray, first: int, most_rules: int)
     return Grammar(seq, doc, first, pairs, lengths.astype(np.uint32))
 
 
-def pack_shard(doc_ids: np.ndarray, ids: np.ndarray, tok: np.ndarray, vocab_size: int) -> bytes:
-    """File image of a shard."""
+def pack_shard(doc_ids: np.ndarray, ids: np.ndarray, tok: np.ndarray, vocab_size: int, nameless: int = 0) -> bytes:
+    """File image of a shard, whose first ``nameless`` documents have no doc_id."""
     narrow = vocab_size < 1 << 16
     g = replace_pairs(ids, tok, vocab_size, (1 << 16) - vocab_size if narrow else 1 << 20)
     width = 2 if narrow else 4
     return b"".join([
-        struct.pack(HEADER, MAGIC, width, len(doc_ids), len(g.pairs), len(g.seq), vocab_size, len(ids)),
-        doc_ids.astype("<i8").tobytes(), g.doc.astype("<u8").tobytes(), tok.astype("<u8").tobytes(),
+        struct.pack(HEADER, MAGIC, width, len(doc_ids), len(g.pairs), len(g.seq), vocab_size, len(ids),
+                    nameless), doc_ids.astype("<i8").tobytes(), g.doc.astype("<u8").tobytes(), tok.astype("<u8").tobytes(),
         g.pairs.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), g.seq.astype(f"<u{width}").tobytes()])
 
 
@@ -165,7 +170,7 @@ class Shard:
     """Reader of a file image."""
 
     def __init__(self, image):
-        magic, width, docs, rules, symbols, first, self.n_ids = struct.unpack_from(HEADER, image)
+        magic, width, docs, rules, symbols, first, self.n_ids, self.nameless = struct.unpack_from(HEADER, image)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at = struct.calcsize(HEADER)
@@ -228,13 +233,14 @@ def write_shards(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", v
             doc_ids = np.concatenate([h[0] for h in held])
             ids = np.concatenate([h[1] for h in held])
             tok = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))])
-            image = pack_shard(doc_ids, ids, tok, vocab_size)
+            image = pack_shard(doc_ids, ids, tok, vocab_size, sum(h[3] for h in held))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()),
                  pa.array([image], pa.binary())], ["part", "seq", "n_tokens", "image"])
 
         for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
             data, off = text_buffer(batch.column(1))
             for lo, hi in row_slices(off):
                 o = off[lo:hi + 1]
@@ -243,7 +249,8 @@ def write_shards(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", v
                     fit = int(np.searchsorted(tok, tok[0] + shard_tokens - size, side="right")) - 1
                     fit = min(max(fit, 0 if held else 1), hi - lo)
                     if fit:
-                        held.append((doc_ids[lo:lo + fit], ids[tok[0]:tok[fit]], tok[:fit + 1] - tok[0]))
+                        held.append((doc_ids[lo:lo + fit], ids[tok[0]:tok[fit]], tok[:fit + 1] - tok[0],
+                                     int((~named[lo:lo + fit]).sum())))
                         size += int(tok[fit] - tok[0])
                         lo, tok = lo + fit, tok[fit:]
                     if lo < hi:
@@ -253,9 +260,9 @@ def write_shards(docs: DataFrame, path: str, vocab: str = "byte_bpe_50k.json", v
             yield close()
 
     text = text_or_empty(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text.alias("text"),
-                       F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    order = [F.asc_nulls_first("doc_id"), F.col("h")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     (rows.mapInArrow(run, "part int, seq int, n_tokens long, image binary")
      .write.mode("errorifexists").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false")
      .parquet(path))
@@ -278,7 +285,7 @@ def documents_of(shards: DataFrame, keep_ids: bool = False) -> DataFrame:
                 chunks = [raw[4 * i:4 * j] for i, j in zip(tok[:-1], tok[1:])]
                 n = len(chunks)
                 cols = [pa.array(np.full(n, batch.column(k)[row].as_py(), np.int32)) for k in range(2)]
-                cols += [pa.array(shard.doc_ids.astype(np.int64)), pa.array(shard.tok[:-1]),
+                cols += [pa.array(shard.doc_ids.astype(np.int64), mask=np.arange(n) < shard.nameless), pa.array(shard.tok[:-1]),
                          pa.array(np.diff(shard.tok)), pa.array([zlib.crc32(c) for c in chunks], pa.int64())]
                 if keep_ids:
                     cols.append(pa.array([bytes(c) for c in chunks], pa.binary()))

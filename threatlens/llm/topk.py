@@ -11,15 +11,18 @@ score is skipped for that query, and only pairs whose bound reaches it are
 multiplied out, in integers.  The k-th best scores start from the longest
 vectors of the table and rise as the task goes on.
 
-Queries are handled in blocks of about ``BLOCK_QUERIES``, each shipped to all
-tasks; what a task returns is k rows a query at most, and only those that reach
-the starting bound.
+Queries are handled in blocks of about ``BLOCK_QUERIES``, one after the other,
+each shipped to all tasks and dropped when its hits are written; what a task
+returns is k rows a query at most, and only those that reach the starting bound.
 
 Cases: vectors that are null or hold null or non-finite components take no
-part.  Rows that repeat a vec_id count once (the least vector).  Vectors shorter
-than the longest are filled up with zeros.  Ties go to the smaller vec_id; a
-query with fewer than k others gets all of them.  Components are exact up to
-2**26 after scaling.  An empty table gives no rows.
+part.  Every other row is a candidate, rows that repeat a vec_id and rows
+without one too; a query leaves out its own row alone, and rows that repeat a
+query's vec_id are queries of their own.  Vectors shorter than the longest are
+filled up with zeros.  Ties go to the smaller vec_id, null before all; a query
+with fewer than k others gets all of them.  Components are exact up to 2**26
+after scaling.  An empty table gives no rows.  Only ``vec_id`` and the vectors
+are read.
 """
 
 from __future__ import annotations
@@ -38,19 +41,24 @@ BLOCK_QUERIES = 4096
 SEED_VECTORS = 2048
 #: Vectors multiplied at a time.
 BATCH_VECTORS = 1024
+#: What a null vec_id is ordered as.
+LEAST = -(1 << 63)
 #: Relative slack of the bounds, far above the rounding of sums of doubles.
 SLACK = 1e-9
 
 
 def integer_vectors(df: DataFrame, col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of long), norm2 (double) of the vectors that take part."""
+    """rid, vec_id, v (array of long), norm2 (double) of the vectors that take
+    part.  ``rid`` numbers the rows, below zero where vec_id is null; write the
+    table before use, the numbers differ from run to run."""
     x = F.col(col).cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
-    rows = df.where(F.col(col).isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    once = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    vec, n = F.col("vec_id").cast("long"), F.monotonically_increasing_id()
+    rows = df.where(F.col(col).isNotNull() & ~bad).select(
+        F.when(vec.isNull(), -n - 1).otherwise(n).alias("rid"), F.coalesce(vec, F.lit(LEAST)).alias("vec_id"), v.alias("v"))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    return once.withColumn("norm2", norm2)
+    return rows.withColumn("norm2", norm2)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -85,31 +93,33 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, then smaller vec_id) of each query of a block."""
+    """The k best (score, then null, then smaller vec_id) of each query of a
+    block; ``ids`` are the queries' row numbers."""
 
     def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
         self.ids, self.k, self.least = ids, k, least.astype(np.float64)
-        self.query, self.vec, self.score = (np.zeros(0, np.int64) for _ in range(3))
+        self.query, self.vec, self.row, self.score = (np.zeros(0, np.int64) for _ in range(4))
 
-    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
-        ok = (score >= self.least[query]) & (vec != self.ids[query])
+    def add(self, query: np.ndarray, vec: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        ok = (score >= self.least[query]) & (row != self.ids[query])
         if not ok.any():
             return
         q = np.concatenate([self.query, query[ok]])
         v = np.concatenate([self.vec, vec[ok]])
+        r = np.concatenate([self.row, row[ok]])
         s = np.concatenate([self.score, score[ok]])
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
+        order = np.lexsort((r, v, r >= 0, -s, q))
+        q, v, r, s = q[order], v[order], r[order], s[order]
         first = np.searchsorted(q, q)
         rank = np.arange(len(q)) - first
         keep = rank < self.k
-        self.query, self.vec, self.score = q[keep], v[keep], s[keep]
+        self.query, self.vec, self.row, self.score = q[keep], v[keep], r[keep], s[keep]
         full = rank == self.k - 1
         self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
 
 
 def search_batch(best: Best, q: np.ndarray, qr: np.ndarray, head: int, v: np.ndarray, vec: np.ndarray,
-                 turn: np.ndarray) -> None:
+                 row: np.ndarray, turn: np.ndarray) -> None:
     """Offer a batch of vectors to a block of queries (``qr``: rotated)."""
     vr = v.astype(np.float64) @ turn.T
     q_len, v_len = np.linalg.norm(qr, axis=1), np.linalg.norm(vr, axis=1)
@@ -124,7 +134,7 @@ def search_batch(best: Best, q: np.ndarray, qr: np.ndarray, head: int, v: np.nda
     i, j = np.nonzero(bound >= best.least[live][:, None])
     for lo in range(0, len(i), 1 << 16):
         a, b = live[i[lo:lo + (1 << 16)]], j[lo:lo + (1 << 16)]
-        best.add(a, vec[b], np.einsum("ij,ij->i", q[a], v[b]))
+        best.add(a, vec[b], row[b], np.einsum("ij,ij->i", q[a], v[b]))
 
 
 def top_k(df: DataFrame, k: int = 5, query_every: int = 50, col: str = "embedding", scale: int = SCALE,
@@ -134,52 +144,55 @@ def top_k(df: DataFrame, k: int = 5, query_every: int = 50, col: str = "embeddin
     spark = df.sparkSession
     parts = parallelism(spark)
     vectors = staged(integer_vectors(df, col, scale)
-                     .repartitionByRange(parts, F.desc("norm2"), F.col("vec_id"))
-                     .sortWithinPartitions(F.desc("norm2"), "vec_id"), "vectors")
-    facts = vectors.agg(F.max(F.size("v")).alias("d"),
-                        F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("n")).first()
+                     .repartitionByRange(parts, F.desc("norm2"), F.col("vec_id"), F.col("rid"))
+                     .sortWithinPartitions(F.desc("norm2"), "vec_id", "rid"), "vectors")
+    asks = (F.col("vec_id") % query_every == 0) & (F.col("rid") >= 0)
+    facts = vectors.agg(F.max(F.size("v")).alias("d"), F.count(F.when(asks, 1)).alias("n")).first()
     dim, n = facts["d"] or 0, facts["n"]
-    schema = "query_id long, vec_id long, score long"
     if not n or not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn = rotation(vectors, dim)
     head = max(1, dim // 4)
-    seeds = vectors.orderBy(F.desc("norm2"), "vec_id").limit(SEED_VECTORS).select("vec_id", "v").toArrow()
-    seed_v, seed_id = _matrix(seeds.column("v").combine_chunks(), dim), seeds.column("vec_id").to_numpy()
+    seeds = vectors.orderBy(F.desc("norm2"), "vec_id", "rid").limit(SEED_VECTORS).select("rid", "vec_id", "v").toArrow()
+    seed_v = _matrix(seeds.column("v").combine_chunks(), dim)
+    seed_row, seed_id = seeds.column("rid").to_numpy(), seeds.column("vec_id").to_numpy()
     blocks = max(1, -(-n // block_queries))
-    queries = vectors.where(F.col("vec_id") % query_every == 0).withColumn(
-        "_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    queries = vectors.where(asks).withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    schema = "query_row long, query_id long, rid long, vec_id long, score long"
 
-    def block_search(b: int) -> DataFrame | None:
-        rows = queries.where(F.col("_b") == b).select("vec_id", "v").toArrow()  # one block
+    def block_hits(b: int) -> DataFrame | None:
+        """The written hits of a block; its queries are then dropped everywhere."""
+        rows = queries.where(F.col("_b") == b).select("rid", "vec_id", "v").toArrow()  # one block
         if not rows.num_rows:
             return None
-        ids, q = rows.column("vec_id").to_numpy(), _matrix(rows.column("v").combine_chunks(), dim)
+        ids, names = rows.column("rid").to_numpy(), rows.column("vec_id").to_numpy()
+        q = _matrix(rows.column("v").combine_chunks(), dim)
         first = Best(ids, k, np.full(len(ids), -np.inf))
         for lo in range(0, len(seed_id), BATCH_VECTORS):
             part = slice(lo, lo + BATCH_VECTORS)
-            search_batch(first, q, q @ turn.T, head, seed_v[part], seed_id[part], turn)
-        shared = spark.sparkContext.broadcast((ids, q, first.least, turn))  # a block: bounded
+            search_batch(first, q, q @ turn.T, head, seed_v[part], seed_id[part], seed_row[part], turn)
+        shared = spark.sparkContext.broadcast((ids, names, q, first.least, turn))  # a block: bounded
 
         def run(batches):
-            ids, q, least, turn = shared.value
+            ids, names, q, least, turn = shared.value
             best = Best(ids, k, least.copy())
             qr = q @ turn.T
             for batch in batches:
-                vec = batch.column(0).to_numpy()
+                row, vec = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for lo in range(0, batch.num_rows, BATCH_VECTORS):
-                    v = _matrix(batch.column(1).slice(lo, BATCH_VECTORS), dim)
-                    search_batch(best, q, qr, head, v, vec[lo:lo + BATCH_VECTORS], turn)
+                    v = _matrix(batch.column(2).slice(lo, BATCH_VECTORS), dim)
+                    search_batch(best, q, qr, head, v, vec[lo:lo + BATCH_VECTORS], row[lo:lo + BATCH_VECTORS], turn)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best.ids[best.query]), pa.array(best.vec), pa.array(best.score)],
-                ["query_id", "vec_id", "score"])
-
-        return vectors.select("vec_id", "v").mapInArrow(run, schema)
-
-    found = None
-    for b in range(blocks):
-        part = block_search(b)
-        if part is not None:
-            found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                [pa.array(x) for x in (best.ids[best.query], names[best.query], best.row, best.vec, best.score)],
+                [c.split()[0] for c in schema.split(", ")])
+
+        hits = staged(vectors.select("rid", "vec_id", "v").mapInArrow(run, schema), "hits")
+        shared.unpersist()
+        return hits
+
+    parts = [hits for hits in map(block_hits, range(blocks)) if hits is not None]
+    found = spark.read.schema(schema).parquet(*[f for hits in parts for f in hits.inputFiles()])
+    real = F.col("rid") >= 0
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), real, "vec_id", "rid"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "query_id", "rank", F.when(real, F.col("vec_id")).alias("vec_id"), "score")
