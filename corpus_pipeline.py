@@ -3,6 +3,15 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage
 before it kept; ``run`` writes what a stage returns as Parquet in the shared
 checkpoint folder and reads it again for the next one.
+
+Cases: a null or empty text, and one without a letter, has no language and goes
+in the first stage; handed to a later stage it counts as an empty text.  Texts
+of any length are read whole.  A null doc_id is the smallest: of equal or near
+texts its row stays, and it comes back as null.  Rows that repeat a doc_id with
+other texts are documents of their own; equal rows are copies, of which one
+stays.  Ties are settled by the texts' hashes.  All columns pass through the
+stages before the last as a struct, so other columns and their names do not
+matter.  An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
