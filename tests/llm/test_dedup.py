@@ -166,6 +166,44 @@ def test_edit_distance_matches_plain():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
+def test_edit_similarity_side_by_side_matches_one_by_one():
+    import random
+
+    rng = random.Random(8)
+    x, y = [], []
+    for k in range(900):
+        a = [rng.choice("abcdé漢😀 "[:4 if k % 3 else 8]) for _ in range(rng.choice([0, 1, 2, 5, 9, 20, 60, 150]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 1 + len(a) // 3)):
+            at, kind = rng.randint(0, len(b)), rng.randint(0, 2)
+            b[at:at + (kind > 0)] = "#" if kind < 2 else ""
+        x.append("".join(a))
+        y.append("".join(b))
+    long = prose(1200, 2)  # beyond the lines that go side by side
+    x += [long] * 4
+    y += [long[9:], long[len(long) // 3:] + "q" * (len(long) // 3), "z" * len(long), "zz" + long[2::2] + long[1::2]]
+    got = line_dedup.all_similar(x, y)
+    assert got.tolist() == [line_dedup.similar(a, b) for a, b in zip(x, y)]
+    assert [line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9 for a, b in zip(x, y)] == got.tolist()
+    assert got[900] and not got[901] and not got[902] and 100 < got.sum() < 850
+    assert line_dedup.all_similar([], []).tolist() == []
+
+
+def test_signature_of_a_line_is_the_same_in_any_company():
+    lines = [b"", b"a", b"ab", b"abc", prose(40).encode(), prose(9000).encode(), "naïve 漢字".encode()]
+    together = line_dedup.signatures(lines)
+    assert (together >> np.uint64(line_dedup.FIELD * line_dedup.ROWS) == 0).all()
+    assert (line_dedup._unpacked(line_dedup._packed(together)) == together).all()
+    for k, line in enumerate(lines):
+        assert (line_dedup.signatures([line]) == together[k]).all()
+    halves = line_dedup._halves(together)
+    every = line_dedup.BANDS * line_dedup.ROWS
+    assert (line_dedup._equal_halves(halves, halves, every) == every).all()
+    plain = [[int(v) >> line_dedup.FIELD * j & 15 for v in row for j in range(line_dedup.ROWS)] for row in together]
+    assert line_dedup._equal_halves(halves[:1], halves[4:5], every)[0] == sum(
+        p == q for p, q in zip(plain[0], plain[4]))
+
+
 def plain_lines(pairs):
     at = {}
     for i, t in pairs:
