@@ -204,6 +204,26 @@ def test_signature_of_a_line_is_the_same_in_any_company():
         p == q for p, q in zip(plain[0], plain[4]))
 
 
+def test_verified_pairs_connect_what_all_similar_pairs_do(spark):
+    import random
+
+    rng, texts = random.Random(3), []
+    for g in range(12):
+        base = prose(9, g)
+        for _ in range(g + 1):  # each a step from the one before, so ends of a group are unlike
+            base = base[:(k := rng.randrange(len(base)))] + rng.choice("#%&") * 3 + base[k + 3:]
+            texts.append(base)
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b) if rng.random() < 0.4]
+    close = [p for p in pairs if line_dedup.similar(texts[p[0]], texts[p[1]])]
+    given = [(len(texts) - 1, 0)]  # a link found elsewhere
+    edges = line_dedup.verified(spark.createDataFrame(pairs, "a long, b long"),
+                                spark.createDataFrame(given, "a long, b long"),
+                                spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    got = [(r.a, r.b) for r in edges.collect()]
+    assert roots(len(texts), got) == roots(len(texts), close + given)
+    assert 1 < len(set(roots(len(texts), close + given))) < len(texts)
+
+
 def plain_lines(pairs):
     at = {}
     for i, t in pairs:
