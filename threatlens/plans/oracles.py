@@ -101,6 +101,11 @@ ORACLES["dynamic_allowlist"] = o.with_fixtures(_CONS_FIX, "SELECT domain FROM dy
 ORACLES["allowlist_additions"] = o.with_fixtures(["allowlist_requests"], "SELECT domain FROM user_allow",
                                                  o.user_allowlist_cte())
 
+ORACLES["allowlist_new_hosts"] = o.with_fixtures(["allowlist_requests", "reports"], f"""
+SELECT domain FROM user_allow EXCEPT
+SELECT replace(lower({o.netloc_sql('url')}), 'www.', '') FROM cons WHERE decision = 'safe'""",
+                                                 f"{o.user_allowlist_cte()}, cons AS ({o.consensus_sql('SELECT * FROM reports')})")
+
 # ---- consensus ---------------------------------------------------------------------
 ORACLES["report_consensus"] = o.with_fixtures(["reports"], f"""
 SELECT url, pending_safe, pending_phishing, all_safe, all_phishing, decision, report_count::BIGINT AS report_count

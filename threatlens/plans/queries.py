@@ -316,6 +316,13 @@ def q_allowlist_additions(spark, sf_dir):
     return _user_allowlist(spark, sf_dir)
 
 
+@register("allowlist_new_hosts")
+def q_allowlist_new_hosts(spark, sf_dir):
+    """S14 against the list so far: requested hosts that no safe report has listed."""
+    listed = cs.consensus_safe_domains(_consensus(spark, sf_dir))
+    return sk.allowlist_additions(fixture(spark, sf_dir, "allowlist_requests"), listed)
+
+
 @register("report_consensus")
 def q_report_consensus(spark, sf_dir):
     """A9 + J8: consensus decision per reported URL."""
