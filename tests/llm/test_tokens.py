@@ -140,6 +140,49 @@ def test_token_store_edges(table):
     assert {r.doc_id: r.start for r in rows if r.doc_id is not None} == {-(1 << 63): 3, 3: 6}  # null ids come first
 
 
+def test_pairs_are_found_by_slot(monkeypatch):
+    """Only keys that share the slot of another are searched for."""
+    rng = np.random.default_rng(5)
+    ids, tok = (rng.zipf(1.3, 60_000) % 5000).astype(np.uint32), np.array([0, 60_000])
+    searched, plain = [], np.searchsorted
+
+    def counted(a, v, *args, **kw):
+        searched.append(np.size(v))
+        return plain(a, v, *args, **kw)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    grammar = token_store.replace_pairs(ids, tok, 50257, 15_000)
+    assert len(grammar.pairs) > 500 and sum(searched) < 3000
+    monkeypatch.setattr(token_store, "_SLOT_BITS", 3)  # most slots hold several pairs
+    crowded = token_store.replace_pairs(ids, tok, 50257, 15_000)
+    assert sum(searched) > 30_000
+    assert (crowded.seq == grammar.seq).all() and (crowded.pairs == grammar.pairs).all()
+    grammar.lengths = grammar.lengths.astype(np.int64)  # as a reader has them
+    assert (grammar.expand(grammar.seq) == ids).all()
+
+
+def test_expansions_of_deep_rules():
+    first, pairs = 10, [(1, 2), (10, 3), (11, 10), (4, 12), (13, 13), (5, 5)]
+    plain = lambda s: [s] if s < first else plain(pairs[s - first][0]) + plain(pairs[s - first][1])
+    spelt = [plain(first + k) for k in range(len(pairs))]
+    lengths = np.array([len(x) for x in spelt])
+    flat, begin = token_store.Grammar(np.zeros(0), np.zeros(1), first, np.array(pairs, np.uint32), lengths).expansions()
+    assert [flat[begin[k]:begin[k + 1]].tolist() for k in range(len(pairs))] == spelt
+    none = token_store.Grammar(np.zeros(0), np.zeros(1), first, np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32))
+    assert none.expansions()[0].tolist() == [] and none.expand(np.array([3, 4])).tolist() == [3, 4]
+
+
+def test_word_table_with_shared_slots():
+    from threatlens.llm.bytebpe import WordTable
+
+    keys = np.array([[k % 3, k // 3, 1 << 56 | k % 2] for k in range(40)], np.uint64)
+    h = np.full(40, np.uint64(0xFFFFFFFFFFFFFFFF))  # one slot, the last
+    table = WordTable(30)
+    assert (table.find(keys, h) == -1).all()
+    assert table.add(keys[:25], h[:25]) == 25 and table.add(keys[25:], h[25:]) == 5
+    assert table.find(keys, h).tolist() == [*range(30), *[-1] * 10]
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     parts = [rng.integers(0, 6, n) for n in (0, 1, 2, 900, 50, 0, 4000)] + [np.zeros(700, np.int64)]

@@ -44,40 +44,47 @@ def mixed(keys: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Open-addressing table from exact keys to numbers 0, 1, ..."""
+    """Open-addressing table from exact keys to numbers 0, 1, ...  The keys lie
+    in the order of their numbers, so those of frequent words, which come
+    first, lie side by side."""
 
     def __init__(self, limit: int = TABLE_WORDS):
         self.limit, self.size = limit, 0
-        self.keys = np.zeros(((1 << _BITS) + 1, 3), np.uint64)
+        self.keys = np.zeros((3, limit + 1), np.uint64)
         self.word = np.full((1 << _BITS) + 1, -1, np.int32)
 
+    def _equal(self, word: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether each key is that of its word; word -1 has no key."""
+        same = self.keys[2][word] == keys[:, 2]  # holds the length, so it is never that of word -1
+        for k in range(2):
+            same &= self.keys[k][word] == keys[:, k]
+        return same
+
     def find(self, keys: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Number of each key, or -1."""
-        found = np.full(len(keys), -1, np.int64)
-        slot = (h >> np.uint64(64 - _BITS)).astype(np.int64)
-        left = np.arange(len(keys))
+        slot = (h >> np.uint64(64 - _BITS)).view(np.int64)
+        found = self.word[slot]
+        left = np.flatnonzero(~self._equal(found, keys))
+        left = left[found[left] >= 0]
+        found = found.astype(np.int64)
         while len(left):
-            at = slot[left]
-            word, same = self.word[at], (self.keys[at] == keys[left]).all(axis=1)
-            hit = same & (word >= 0)
-            found[left[hit]] = word[hit]
-            left = left[~hit & (word >= 0)]
             slot[left] = (slot[left] + 1) & ((1 << _BITS) - 1)
+            found[left] = word = self.word[slot[left]]
+            left = left[(word >= 0) & ~self._equal(word, keys[left])]
         return found
 
     def add(self, keys: np.ndarray, h: np.ndarray) -> int:
         """Number the distinct new keys from the present size on; returns how
         many had room."""
         n = min(len(keys), self.limit - self.size)
+        self.keys[:, self.size:self.size + n] = keys[:n].T
         slot = (h[:n] >> np.uint64(64 - _BITS)).astype(np.int64)
         left = np.arange(n)
         while len(left):
             at = slot[left]
             free = self.word[at] < 0
             self.word[at[free]] = self.size + left[free]
-            own = self.word[at] == self.size + left
-            self.keys[at[own]] = keys[left[own]]
-            left = left[~own]
+            left = left[self.word[at] != self.size + left]
             slot[left] = (slot[left] + 1) & ((1 << _BITS) - 1)
         self.size += n
         return n

@@ -51,6 +51,8 @@ ROUNDS = 8
 HEADER = "<4sIQQQQQQ"
 MAGIC = b"RPG2"
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Slots by which a round finds its pairs, and the factor that deals them.
+_SLOT_BITS, _MIX = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grammar:
@@ -60,20 +62,24 @@ class Grammar:
         self.seq, self.doc, self.first, self.pairs, self.lengths = seq, doc, first, pairs, lengths
 
     def expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules' expansions in a row, and where each begins."""
+        """All rules' expansions in a row, and where each begins: rules of ids
+        alone first, then those whose symbols are spelt out by then."""
         begin = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         out = np.zeros(int(begin[-1]), np.uint32)
-        for k, (a, b) in enumerate(self.pairs.tolist()):
-            at = begin[k]
-            for s in (a, b):
-                if s < self.first:
-                    out[at] = s
-                    at += 1
-                else:
-                    n = int(self.lengths[s - self.first])
-                    src = begin[s - self.first]
-                    out[at:at + n] = out[src:src + n]
-                    at += n
+        sides = self.pairs.astype(np.int64)
+        rule = sides >= self.first
+        of = np.where(rule, sides - self.first, 0)
+        size = np.where(rule, self.lengths[of], 1).astype(np.int64)
+        to = np.stack([begin[:-1], begin[:-1] + size[:, 0]], 1)
+        out[to[~rule]] = sides[~rule]
+        done = ~rule.any(axis=1)
+        left = np.flatnonzero(~done)
+        while len(left):
+            k = left[(done[of[left]] | ~rule[left]).all(axis=1)]
+            r = rule[k]
+            out[concat_ranges(to[k][r], size[k][r])] = out[concat_ranges(begin[of[k][r]], size[k][r])]
+            done[k] = True
+            left = left[~done[left]]
         return out, begin
 
     def expand(self, seq: np.ndarray, pool=None) -> np.ndarray:
@@ -90,6 +96,23 @@ class Grammar:
         return source[concat_ranges(start, count)]
 
 
+def _ranks(key: np.ndarray, chosen: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Rank of each key among ``chosen`` (in order), 0 if it isn't there: a
+    look at its slot, and a search where the slot holds another key's."""
+    slot, shift = np.zeros(1 << _SLOT_BITS, np.int32), np.uint64(64 - _SLOT_BITS)
+    slot[(chosen * _MIX >> shift).view(np.int64)] = rank
+    value = np.empty(len(chosen) + 1, np.uint64)
+    value[rank] = chosen
+    at = key * _MIX
+    at >>= shift
+    out = slot[at.view(np.int64)]
+    some = np.flatnonzero(out)
+    other = some[value[out[some]] != key[some]]
+    at = np.minimum(np.searchsorted(chosen, key[other]), len(chosen) - 1)
+    out[other] = np.where(chosen[at] == key[other], rank[at], 0)
+    return out
+
+
 def replace_pairs(ids: np.ndarray, doc: np.ndarray, first: int, most_rules: int) -> Grammar:
     """Re-Pair over ids whose documents begin at ``doc`` (and end at its last)."""
     seq, doc = ids.astype(np.uint64), doc.astype(np.int64)
@@ -114,15 +137,8 @@ def replace_pairs(ids: np.ndarray, doc: np.ndarray, first: int, most_rules: int)
         chosen = value[good]
         rank = np.empty(len(good), np.int32)
         rank[np.argsort(count[good], kind="stable")] = np.arange(1, len(good) + 1)
-        left = np.zeros(first + len(pairs) + 1, bool)
-        right = left.copy()
-        left[(chosen >> shift).astype(np.int64)] = True
-        right[(chosen & low).astype(np.int64)] = True
-        may = np.flatnonzero(left[seq[:-1].astype(np.int64)] & right[seq[1:].astype(np.int64)])
-        at = np.minimum(np.searchsorted(chosen, key[may]), len(chosen) - 1)
-        hit = chosen[at] == key[may]
         place = np.zeros(len(seq) + 1, np.int32)  # rank of the pair that begins here, from 1 on
-        place[may[hit] + 1] = rank[at[hit]]
+        place[1:-1] = _ranks(key, chosen, rank)
         here, before, after = place[1:], place[:-1], np.append(place[2:], 0)
         take = np.flatnonzero((here > 0) & (here >= before) & (here >= after))
         # In a run of one symbol its pairs overlap: every other one is taken.
