@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -301,3 +302,50 @@ def test_block_masks_cover_any_three_bits():
         for flips in list(combinations(range(64), 3))[::97]:
             x = sum(1 << b for b in flips)
             assert any(x & m == 0 for m in masks)
+
+
+def test_edit_distances_leave_out_diagonals_beyond_the_bounds(monkeypatch):
+    rng = random.Random(12)
+    rows, plain = [], np.full
+
+    def seen(shape, *args, **kw):
+        if args == (1 << 14, np.int16) and isinstance(shape, tuple):
+            rows.append(shape[0])
+        return plain(shape, *args, **kw)
+
+    monkeypatch.setattr(np, "full", seen)
+    for difference in (0, 15, 40):
+        x = ["".join(rng.choice("ab") for _ in range(200)) for _ in range(60)]
+        y = ["".join(c if rng.random() < 0.9 else rng.choice("abc") for c in t[difference:]) for t in x]
+        bound = np.array([rng.randint(difference, 40) for _ in x])
+        true = np.array([line_dedup.edit_distance(a, b) for a, b in zip(x, y)])
+        for one, other in ((x, y), (y, x)):
+            rows.clear()
+            got = line_dedup._distances(one, other, bound)
+            assert ((got == true) | ((got > bound) & (true > bound))).all()
+            # (40 + difference) / 2 diagonals on one side, (40 - difference) / 2 on the other
+            assert rows and max(rows) <= 40 // 2 + 4
+    for _ in range(50):
+        x, y = (["".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(20)] for _ in range(2))
+        bound = np.array([rng.randint(0, 30) for _ in x])
+        true = np.array([line_dedup.edit_distance(a, b) for a, b in zip(x, y)])
+        got = line_dedup._distances(x, y, bound)
+        assert ((got == true) | ((got > bound) & (true > bound))).all()
+
+
+def test_simhash_is_the_majority_of_the_runs_bits():
+    rng = random.Random(13)
+    lines = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in (1, 4, 5, 6, 40, 259, 260, 700, 70_000)]
+
+    def plain(line):
+        votes, g = np.zeros(64, np.int64), max(len(line) - line_dedup.GRAM + 1, 1)
+        for k in range(g):
+            run = line[k:k + line_dedup.GRAM]
+            h = int.from_bytes(run, "little") + 8 * len(run)
+            for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                h = (h ^ h >> 31) * factor % (1 << 64)
+            h ^= h >> 29
+            votes += np.unpackbits(np.frombuffer(h.to_bytes(8, "little"), np.uint8))
+        return int.from_bytes(np.packbits(votes * 2 > g).tobytes(), "big", signed=True)
+
+    assert line_dedup.line_prints(lines).tolist() == [plain(x) for x in lines]
