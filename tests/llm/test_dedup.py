@@ -349,3 +349,63 @@ def test_simhash_is_the_majority_of_the_runs_bits():
         return int.from_bytes(np.packbits(votes * 2 > g).tobytes(), "big", signed=True)
 
     assert line_dedup.line_prints(lines).tolist() == [plain(x) for x in lines]
+
+
+def test_unlike_long_lines_are_refuted_by_pieces_and_like_ones_never(monkeypatch):
+    rng = random.Random(14)
+
+    def text(n):
+        return "".join(rng.choice("etaoin shrdlué日😀") for _ in range(n))
+
+    def changed(t, part):
+        out = []
+        for c in t:
+            if rng.random() >= part:
+                out.append(c)
+            elif rng.random() < 0.5:
+                out.append(rng.choice("xyz") + rng.choice(["", c]))
+        return "".join(out)
+
+    x = [text(rng.randint(400, 1500)) for _ in range(40)]
+    y = [changed(t, part) for t, part in zip(x, [0, 0.05, 0.15, 0.18, 0.2, 0.22, 0.25, 0.3] * 5)]
+    y[7], y[15] = x[7][120:], "ab" * 30 + x[15]  # one side far longer
+    unlike = [text(len(t)) for t in x]
+    size = np.array([(len(a), len(b)) for a, b in zip(x, y)])
+    bound = np.array([line_dedup.edit_distance(a, b) for a, b in zip(x, y)])
+    for one, other, s in ((x, y, size), (y, x, size[:, ::-1])):
+        far = np.abs(s[:, 0] - s[:, 1]) <= bound
+        assert (line_dedup._piecewise(one, other, s, bound)[far] <= bound[far]).all()
+    true = [line_dedup.similar(a, b) for a, b in zip(x, y)]
+    assert 0 < sum(true) < len(true)
+
+    passed, whole = [], line_dedup._distances
+    monkeypatch.setattr(line_dedup, "_distances", lambda a, b, bound: passed.extend(a) or whole(a, b, bound))
+    assert line_dedup.all_similar(x + unlike, y + x).tolist() == true + [False] * len(x)
+    assert not set(passed) & set(unlike)
+
+
+def test_lines_that_meet_are_paired_if_their_sizes_allow():
+    rng = np.random.default_rng(15)
+    n = 300
+    sig = rng.integers(0, 1 << 39, (n, line_dedup.BANDS), dtype=np.uint64)
+    sig[50:100, :30] = sig[50, :30]  # surely alike
+    sig[100:200, :20] = sig[100, :20]  # alike
+    halves, key = line_dedup._halves(sig), np.arange(n, dtype=np.uint64) // np.uint64(50)
+    key[100:200] = 2
+    size = rng.integers(1, 300, n)
+    size[250], size[251] = line_dedup._MOST, line_dedup._MOST  # as all longer ones
+    halves[251] = halves[250]
+    rows = np.column_stack([key << np.uint64(line_dedup._SIZE_BITS) | size.astype(np.uint64),
+                            np.arange(n, dtype=np.uint64), halves])[rng.permutation(n)]
+    got = [tuple(sorted(p)) for p in np.concatenate(line_dedup._meeting([rows[:99], rows[99:]])).tolist()]
+    agree = {(a, b): int(line_dedup._equal_halves(halves[a:a + 1], halves[b:b + 1], line_dedup.BANDS * line_dedup.ROWS)[0])
+             for a in range(n) for b in range(a + 1, n)
+             if key[a] == key[b] and min(size[a], size[b]) >= line_dedup.SIMILARITY * max(size[a], size[b])}
+    want = [p for p, v in agree.items() if v >= line_dedup.AGREE]
+    sure = [p for p in want if agree[p] >= line_dedup.SURE]
+    root = roots(n, sure)
+    assert len(got) == len(set(got)) and set(got) <= set(want) and len(got) < len(want)
+    assert {p for p in want if root[p[0]] != root[p[1]]} <= set(got)
+    assert roots(n, [p for p in got if p in sure]) == root and (250, 251) in got
+    assert line_dedup._meeting([rows[:0]]) == []
+    assert line_dedup._sizes(["aé日😀".encode(), b"x"]).tolist() == [4, 1] and not len(line_dedup._sizes([]))
