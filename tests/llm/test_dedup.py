@@ -409,3 +409,74 @@ def test_lines_that_meet_are_paired_if_their_sizes_allow():
     assert roots(n, [p for p in got if p in sure]) == root and (250, 251) in got
     assert line_dedup._meeting([rows[:0]]) == []
     assert line_dedup._sizes(["aé日😀".encode(), b"x"]).tolist() == [4, 1] and not len(line_dedup._sizes([]))
+
+
+def test_distinct_lines_are_blocks_with_first_occurrence_and_signature(table):
+    pairs = EDGE + [(100 + k, f"shared line\n  Shared   LINE \nonly {k * 7919} here\n\nx") for k in range(700)] + [(100, "x\nmore")]
+    blocks = line_dedup.distinct_lines(table(pairs, parts=5))
+    heads = line_dedup.line_heads(blocks).collect()
+    plain = {}
+    for i, t in pairs:
+        for j, line in enumerate((t or "").encode().split(b"\n")):
+            if line.split():
+                plain.setdefault(b" ".join(line.lower().split()), []).append((-(1 << 63) if i is None else i, j))
+    want = {tuple(np.frombuffer(line_dedup._digest(k), ">i8").tolist()): (len(v), *min(v), k) for k, v in plain.items()}
+    assert len(heads) == len(want) == len({r.id for r in heads})
+    assert {(r.h1, r.h2): (r.n, r.doc_id, r.line) for r in heads} == {k: v[:3] for k, v in want.items()}
+    rows = blocks.collect()
+    assert len(rows) < len(want)  # not a row a line
+    got = {}
+    for r in rows:
+        half = np.frombuffer(r.half, np.uint64).reshape(-1, line_dedup._WORDS)
+        size = np.frombuffer(r.size, np.uint32).tolist()
+        values = []
+        for k in range(line_dedup.BANDS):
+            each = np.frombuffer(r[f"rest{k // line_dedup.BANDS_AT_ONCE}"], np.uint32).reshape(-1, line_dedup.BANDS_AT_ONCE)
+            values.append(line_dedup._values(half, each[:, k % line_dedup.BANDS_AT_ONCE], k).tolist())
+        got |= {r.id + i: (half[i].tolist(), size[i], [v[i] for v in values]) for i in range(len(half))}
+    at = {(r.h1, r.h2): r.id for r in heads}
+    lines = [v[3] for v in want.values()]
+    rows = line_dedup.signatures(lines)
+    halves, bands = line_dedup._halves(rows).tolist(), [set() for _ in range(line_dedup.BANDS)]
+    for h, row, line, (fp, key) in zip(halves, rows.tolist(), lines, zip(line_dedup.line_prints(lines).tolist(), want)):
+        half, size, values = got[at[key]]
+        assert half == h and size == len(line.decode())
+        for k, v in enumerate(values):  # equal values of a band stay equal, others apart
+            bands[k].add((v, row[k]))
+        assert next(r.fp for r in heads if r.id == at[key]) == fp
+    assert all(len({v for v, _ in b}) == len({w for _, w in b}) == len(b) for b in bands)
+
+
+def test_similar_lines_are_confirmed_near_the_diagonal_with_few_pieces(monkeypatch):
+    rng = random.Random(16)
+
+    def changed(t, part):
+        return "".join(rng.choice(["", c, "#", c + "#"]) if rng.random() < part else c for c in t)
+
+    x = ["".join(rng.choice("etaoin shrdlu\u00e9\u65e5") for _ in range(rng.choice([128, 129, 191, 192, 300, 450, 700])))
+         for _ in range(400)]
+    y = [changed(t, rng.choice([0, 0.02, 0.1, 0.2, 0.4])) for t in x]
+    y[:40] = [t[20:] + t[:20] for t in x[:40]]  # its way leaves the band's middle
+    y[40:60] = ["".join(rng.sample(t, len(t))) for t in x[40:60]]
+    x, y = zip(*((a, b) if k % 2 else (b, a) for k, (a, b) in enumerate(zip(x, y))))
+    order = sorted(range(len(x)), key=lambda k: -len(x[k]) - len(y[k]))
+    x, y = [x[k] for k in order], [y[k] for k in order]
+    true = np.array([line_dedup.edit_distance(a, b) for a, b in zip(x, y)])
+    size = np.array([(len(a), len(b)) for a, b in zip(x, y)])
+    close = np.abs(size[:, 0] - size[:, 1]) < line_dedup._BAND // 2
+    ways = line_dedup._in_band(*([t for t, c in zip(z, close) if c] for z in (x, y)))
+    assert (ways >= true[close]).all() and (ways == true[close]).mean() > 0.9
+    similar = true <= 0.2 * size.max(axis=1) + 1e-9
+    assert 100 < similar.sum() < 350
+
+    whole, nearest, passed, pieces = line_dedup._distances, line_dedup._nearest, [], []
+    monkeypatch.setattr(line_dedup, "_distances", lambda a, b, bound: passed.extend(zip(a, b)) or whole(a, b, bound))
+    monkeypatch.setattr(line_dedup, "_nearest", lambda x, start, *a: pieces.append(len(start)) or nearest(x, start, *a))
+    monkeypatch.setattr(line_dedup, "_BAND_LETTERS", 0)
+    assert line_dedup.all_similar(x, y).tolist() == similar.tolist()
+    alike = {(a, b) for a, b, s in zip(x, y, similar) if s}
+    assert len(alike & set(passed)) < 0.2 * len(alike)
+    pieces.clear()
+    k = [k for k in np.flatnonzero(true < 0.1 * size.max(axis=1)) if size[k].max() >= line_dedup._PIECEWISE]
+    assert line_dedup.all_similar([x[i] for i in k], [y[i] for i in k]).all()
+    assert 0 < sum(pieces) <= 3 * len(k)
